@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, linededup, toxicity
+from tidemark.llm import bpe, linededup, mixing, sharding, toxicity
 from tidemark.llm.common import table
 
 
@@ -17,6 +17,29 @@ def remainder(doc_id: Column, n: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(n))
 
 
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return sharding.shard_documents(docs, n_shards=8).select(
+        "doc_id",
+        (F.octet_length(text) + 1).cast("long").alias("size"),
+        F.crc32(text.cast("binary")).alias("text_crc32"),
+        F.lit("bytes").alias("law"),
+        F.col("shard").cast("int").alias("shard"),
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix_sources(table(spark, sf_dir, "documents"), weights=(1, 2, 3), cap=3.0)
+    return (
+        mixed.groupBy("row_key", "doc_id", "size", "source_size", "target")
+        .agg(F.sum("n_words").alias("taken"))
+        .select("doc_id", "size", "source_size", "target", "taken")
+    )
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = toxicity.fit(docs, labels.where(remainder(F.col("doc_id"), 3) != 1))
@@ -68,6 +91,8 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_sharding": op1_sharding,
+        "op2_mixing": op2_mixing,
         "op3_toxicity": op3_toxicity,
         "op6_line_dedup": op6_line_dedup,
         "op10_bpe": op10_bpe,
