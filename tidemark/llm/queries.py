@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, bpe, linededup, mixing, quality, sharding, topk, toxicity
+from tidemark.llm import ann, bpe, html, linededup, mixing, quality, sharding, topk, toxicity
 from tidemark.llm.common import table
 
 
@@ -135,6 +135,11 @@ FROM marked GROUP BY doc_id
 """
 
 
+def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html.extract_main_text(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = bpe.encode_documents(
         table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json")
@@ -156,6 +161,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_top_k": op5_top_k,
         "op6_line_dedup": op6_line_dedup,
         "op8_nearest": op8_nearest,
+        "op9_main_text": op9_main_text,
         "op10_bpe": op10_bpe,
     }
 
