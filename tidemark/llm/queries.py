@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, bpe, html, linededup, mixing, quality, sharding, topk, toxicity
+from tidemark.llm import ann, bpe, html, jaccard, linededup, mixing, quality, sharding, topk, toxicity
 from tidemark.llm.common import table
 
 
@@ -87,6 +87,12 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 """
 
 
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"), n=4, percent=85).select(
+        "doc_id", "n_shingles", "component_id"
+    )
+
+
 def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), ASKS, k=20)
 
@@ -160,6 +166,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_quality": op4_quality,
         "op5_top_k": op5_top_k,
         "op6_line_dedup": op6_line_dedup,
+        "op7_near_duplicates": op7_near_duplicates,
         "op8_nearest": op8_nearest,
         "op9_main_text": op9_main_text,
         "op10_bpe": op10_bpe,
