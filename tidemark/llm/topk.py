@@ -15,8 +15,10 @@ from pyspark.sql import Column, DataFrame
 
 from tidemark.llm.blocks import search_blocks
 
-LEAF = 48
-FAN_OUT = 16
+LEAF = 128
+FAN_OUT = 8
+#: Rows scored at once: the leaves of the best bounds together, before the bounds of the rest are looked at again.
+BATCH = 1024
 
 
 @dataclass
@@ -87,9 +89,9 @@ class _Best:
         keys = scores * (1 << self.shift) + (last - rows)[None, :]
         keys[own] = self.low
         both = np.concatenate([self.keys[queries], keys], axis=1)
-        both.sort(axis=1)
+        both.partition(both.shape[1] - self.k, axis=1)
         self.keys[queries] = both[:, -self.k :]
-        kth = self.keys[queries, 0]
+        kth = self.keys[queries].min(axis=1)
         self.worst[queries] = [float(x >> self.shift) if x != self.low else -np.inf for x in kth.tolist()]
 
 
@@ -139,13 +141,19 @@ def dual_tree(
             queue.append((-(top + 1e-9 * (abs(top) + 1.0)), n, p))
             n += 1
         heapq.heapify(queue)
-        while queue:
+        batch: list[np.ndarray] = []
+        gathered, worst = 0, best.worst[node.rows].min()
+        while queue or batch:
+            if batch and (gathered >= BATCH or not queue or -queue[0][0] < worst):
+                score(node.rows, np.sort(np.concatenate(batch)))
+                batch, gathered, worst = [], 0, best.worst[node.rows].min()
+                continue
             bound, _, p = heapq.heappop(queue)
-            worst = best.worst[node.rows].min()
             if -bound < worst:
                 break
             if not p.children:
-                score(node.rows, np.sort(p.rows))
+                batch.append(p.rows)
+                gathered += len(p.rows)
                 continue
             for b, c in zip(_bounds(node, p).tolist(), p.children):
                 if b >= worst:
