@@ -18,12 +18,18 @@ def remainder(doc_id: Column, n: int) -> Column:
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     text = F.coalesce(F.col("text"), F.lit(""))
-    return sharding.shard_documents(docs, n_shards=8).select(
+    # Size and checksum are taken before the exchange, so that texts don't travel.
+    docs = table(spark, sf_dir, "documents").select(
         "doc_id",
+        "text",
         (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
+    )
+    return sharding.shard_documents(docs, n_shards=8).select(
+        "doc_id",
+        "size",
+        "text_crc32",
         F.lit("bytes").alias("law"),
         F.col("shard").cast("int").alias("shard"),
         "slot",

@@ -32,12 +32,18 @@ class Splitter:
         return (text > self.text) | ((text == self.text) & (ident >= self.ident))
 
 
-def _probe(rows: DataFrame, key: str, shift: int, active: set[int], below: int) -> dict[int, int]:
-    """Exact bytes by candidate interval (key >> shift), inside the intervals that are still open."""
+def _probe(
+    rows: DataFrame, key: str, shift: int, active: set[int], below: int
+) -> tuple[dict[int, int], dict[int, int]]:
+    """Exact bytes by candidate interval (key >> shift) inside those still open; the key, where an interval has one."""
     if shift < 64 - BITS:
         rows = rows.where(F.shiftright(F.col(key), below).isin(*active))
-    found = rows.groupBy(F.shiftright(F.col(key), shift).alias("at")).agg(F.sum("bytes").alias("bytes")).collect()
-    return {r["at"]: r["bytes"] for r in found}
+    found = (
+        rows.groupBy(F.shiftright(F.col(key), shift).alias("at"))
+        .agg(F.sum("bytes").alias("bytes"), F.min(key).alias("low"), F.max(key).alias("high"))
+        .collect()
+    )
+    return {r["at"]: r["bytes"] for r in found}, {r["at"]: r["low"] for r in found if r["low"] == r["high"]}
 
 
 def _refine(
@@ -52,7 +58,7 @@ def _refine(
     left = {n: (None, base) for n, (_, base) in goals.items()}
     shift, below = 64 - BITS, 64
     while left:
-        counts = _probe(rows, key, shift, {at for at, _ in left.values()}, below)
+        counts, alone = _probe(rows, key, shift, {at for at, _ in left.values()}, below)
         ahead = {}
         for n, (parent, base) in left.items():
             goal, run = goals[n][0], base
@@ -66,8 +72,8 @@ def _refine(
                 done[n] = edges
             elif run + counts[at] - goal <= tolerance:
                 done[n] = ((at + 1) << shift, run + counts[at], run + counts[at])
-            elif shift == 0:
-                done[n] = edges
+            elif at in alone:
+                done[n] = (alone[at], run, run + counts[at])
             else:
                 ahead[n] = (at, run)
         left, below = ahead, shift
