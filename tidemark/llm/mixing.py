@@ -197,6 +197,7 @@ def mix_sources(
     n_shards: int = 64,
     seed: int = 17,
     chunk_rows: int = 5_000,
+    few_sources: int = 20_000,
     texts: bool = False,
 ) -> DataFrame:
     """The mix: for every document, what each drawn slot takes from it.
@@ -220,8 +221,9 @@ def mix_sources(
     )
     sources = sized.groupBy("source").agg(F.sum("words").alias("size"), F.count(F.lit(1)).alias("n_docs"))
     sources = cut(target_words(sources, weights, cap))
-    # One row per source: the optimiser sees its size after the checkpoint and may broadcast it, or split a hot key.
+    # One row per source: broadcast after a check of their number; a hot key of the join beyond can be split.
     known = sources.select(F.col("source").alias("its"), "source_no", F.col("size").alias("source_size"), "target", "n_docs")
+    known = F.broadcast(known) if sources.limit(few_sources + 1).count() <= few_sources else known.hint("merge")
     placed = sized.join(known, F.col("source").eqNullSafe(F.col("its"))).withColumn(
         "chunk", F.pmod(F.col("name"), F.ceil(F.col("n_docs") / chunk_rows))
     )
@@ -230,7 +232,7 @@ def mix_sources(
     sums = sums.select("source_no", "chunk", F.coalesce(F.sum("in_chunk").over(ahead), F.lit(0)).alias("before"))
     inside = Window.partitionBy("source_no", "chunk").orderBy("name", "id")
     placed = (
-        placed.join(sums, ["source_no", "chunk"])
+        placed.join(sums.hint("merge"), ["source_no", "chunk"])
         .withColumn("nth", F.row_number().over(inside))
         .withColumn("begin", F.col("before") + F.sum("words").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("words"))
     )
@@ -252,6 +254,8 @@ def mix_sources(
     slots = draw_slots(sources, block_words, n_shards, seed).select(
         "source_no", "block", "shard", "slot", F.col("words").alias("slot_words")
     )
+    # The optimiser can't know how many slots a source explodes to, and must not take them for a small table.
+    slots = slots.hint("merge")
     # least() passes over nulls, so segments that no slot takes are told apart first.
     taken = F.when(
         F.col("slot_words").isNotNull(), F.greatest(F.lit(0), F.least(F.col("there"), F.col("slot_words") - F.col("in_block")))
@@ -286,7 +290,8 @@ def attach(docs: DataFrame, mixed: DataFrame, id_col: str, text_col: str, named:
     left = left.withColumn(nth, F.row_number().over(Window.partitionBy(name, id_col).orderBy(name)))
     joined = left.join(
         runs.select(F.col("name").alias("mix_run_name"), F.col("id").alias("mix_run_id"), F.col("nth").alias("mix_run_nth"), F.col("runs").alias("mix_runs"), F.col("size").alias("mix_run_size")),
-        (F.col(name) == F.col("mix_run_name")) & col(left, id_col).eqNullSafe(F.col("mix_run_id")) & (F.col(nth) == F.col("mix_run_nth")),
+        (F.col(name) == F.col("mix_run_name"))
+        & col(left, id_col).eqNullSafe(F.col("mix_run_id")) & (F.col(nth) == F.col("mix_run_nth")),
     )
     finder = re.compile(WORD)
 
