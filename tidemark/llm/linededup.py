@@ -69,8 +69,10 @@ def dedup_lines(
         .where(F.col(n_docs) >= min_docs)
         .select(key, last)
     )
+    # Cut, so that both sides of the join are exchanged for it, and a line that very many documents share can be split.
+    spread = cut(spread)
     gone = (
-        hashed.join(spread, key)
+        hashed.join(spread.hint("merge"), key)
         .where(~F.col(held).eqNullSafe(F.col(last)))
         .groupBy(row, held)
         .agg(F.collect_set(place).alias(drop))
