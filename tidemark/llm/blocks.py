@@ -29,7 +29,7 @@ def _arrays(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     vectors = np.array(frame["vec"].tolist(), np.float64).reshape(len(ids), -1)
     order = np.lexsort([*vectors.T[::-1], ids])
     ids, vectors = ids[order], vectors[order]
-    first = np.r_[True, ids[1:] != ids[:-1]] if len(ids) else np.zeros(0, bool)
+    first = np.r_[True, ids[1:] != ids[:-1]]
     return ids[first], vectors[first]
 
 
@@ -65,12 +65,11 @@ def search_blocks(
     kind = np.int64 if score_type == "long" else np.float64
 
     def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": kind})
         q_ids, q = _arrays(left)
         ids, vectors = _arrays(right)
-        if not len(q_ids) or not len(ids):
-            q_no, no, score = np.zeros(0, int), np.zeros(0, int), np.zeros(0, kind)
-        else:
-            q_no, no, score = search(q_ids, q, ids, vectors, k)
+        q_no, no, score = search(q_ids, q, ids, vectors, k)
         return pd.DataFrame({"query_id": q_ids[q_no], "vec_id": ids[no], "score": score.astype(kind)})
 
     keys = ["q", "b", "size"]

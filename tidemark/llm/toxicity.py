@@ -167,7 +167,9 @@ def fit(
         counts[r["word"]] = (bad + r["bad"], good + r["good"])
     weights = {}
     for word, (bad, good) in counts.items():
-        odds = math.log((bad + 0.5) / (n_toxic + 4.0)) - math.log((good + 0.5) / (n_clean + 4.0))
+        # Seeds count as words of three toxic texts, and of none of 200 clean ones.
+        more_toxic, more_clean = (3, 200) if word in SEEDS else (0, 0)
+        odds = math.log((bad + 0.5) / (n_toxic + more_toxic + 4.0)) - math.log((good + 0.5) / (n_clean + more_clean + 4.0))
         odds -= math.sqrt(1.0 / (bad + 0.5) + 1.0 / (good + 0.5))  # one standard error, so that chance finds weigh less
         if odds >= 2.3:
             weights[word] = round(min((odds - 2.0) / 3.0, 1.0), 6)
