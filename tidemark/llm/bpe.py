@@ -23,8 +23,10 @@ from tidemark.llm.common import col, fresh, small_batches
 
 #: White space as Unicode defines it. Python's own notion also has U+001C to U+001F.
 _NOT_SPACE = "\x1c\x1d\x1e\x1f"
+#: Room for an id in a pair of ids.
+SHIFT = 24
 #: Words remembered in each of two generations; forgetting never changes a result.
-REMEMBERED = 100_000
+REMEMBERED = 60_000
 
 
 class Memory:
@@ -69,90 +71,103 @@ class ForcedBoundaryBPE:
         self.vocab: dict[str, int] = model["vocab"]
         self.end = model.get("end_of_word_suffix") or ""
         merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
-        self.ranks = {(a, b): n for n, (a, b) in enumerate(merges)}
         special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.tokens = {i: t for t, i in (self.vocab | special).items()}
         self.special = special
         self._special = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
         pattern = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self._pattern = regex.compile(pattern["pattern"]["Regex"])
-        self._alphabet = byte_alphabet()
+        chars = byte_alphabet()
+        self._byte = {c: n for n, c in enumerate(chars)}
+        #: The ids of each byte inside of a word, and at its end.
+        self._first = [self.vocab[c] for c in chars]
+        self._last = [self.vocab[c + self.end] for c in chars]
+        self._ranks: dict[int, int] = {}
+        self._made: list[int] = []
+        for n, (left, right) in enumerate(merges):
+            self._ranks.setdefault(self.vocab[left] << SHIFT | self.vocab[right], n)
+            self._made.append(self.vocab[left + right])
         self.inside = self._pairs_inside()
         self._words, self._chunks = Memory(), Memory(2 * REMEMBERED)
 
-    def _pairs_inside(self) -> set[str]:
-        """Two-byte strings that occur inside at least one token."""
-        found: set[str] = set()
+    def _pairs_inside(self) -> set[int]:
+        """Pairs of bytes (first * 256 + second) that occur inside at least one token."""
+        found: set[int] = set()
         for token in self.vocab:
             body = token.removesuffix(self.end) if self.end and len(token) > len(self.end) else token
-            found.update(body[i : i + 2] for i in range(len(body) - 1))
+            found.update(self._byte[a] << 8 | self._byte[b] for a, b in zip(body, body[1:]))
         return found
 
-    def cuts(self, word: str) -> list[str]:
-        """A word, in the byte alphabet, cut where no token can reach across."""
+    def cuts(self, word: bytes) -> list[bytes]:
+        """A word cut where no token can reach across."""
+        inside = self.inside
+        pairs = [a << 8 | b for a, b in zip(word, word[1:])]
+        if inside.issuperset(pairs):
+            return [word]
         out, start = [], 0
-        for i in range(1, len(word)):
-            if word[i - 1 : i + 1] not in self.inside:
+        for i, pair in enumerate(pairs, 1):
+            if pair not in inside:
                 out.append(word[start:i])
                 start = i
         out.append(word[start:])
         return out
 
-    def _merge(self, fragment: str, last: bool) -> list[int]:
-        parts = list(fragment)
+    def _merge(self, fragment: bytes, last: bool) -> list[int]:
+        """The ids of a fragment; ``last`` if it ends its word."""
+        first = self._first
+        ids = [first[b] for b in fragment]
         if last:
-            parts[-1] += self.end
-        merge = self._merge_short if len(parts) <= 200 else self._merge_long
-        return [self.vocab[p] for p in merge(parts) if p in self.vocab]
+            ids[-1] = self._last[fragment[-1]]
+        return self._merge_short(ids) if len(ids) <= 200 else self._merge_long(ids)
 
-    def _merge_short(self, parts: list[str]) -> list[str]:
+    def _merge_short(self, ids: list[int]) -> list[int]:
         """Merge the leftmost pair of the lowest rank, again and again, with the ranks kept at hand."""
-        rank, none = self.ranks.get, 1 << 60
-        ranks = [rank(pair, none) for pair in zip(parts, parts[1:])]
+        rank, made, none = self._ranks.get, self._made, 1 << 60
+        ranks = [rank(a << SHIFT | b, none) for a, b in zip(ids, ids[1:])]
         while ranks:
             low = min(ranks)
             if low == none:
                 break
             i = ranks.index(low)
-            parts[i] += parts.pop(i + 1)
-            del ranks[i]
+            ids[i] = new = made[low]
+            del ids[i + 1], ranks[i]
             if i:
-                ranks[i - 1] = rank((parts[i - 1], parts[i]), none)
+                ranks[i - 1] = rank(ids[i - 1] << SHIFT | new, none)
             if i < len(ranks):
-                ranks[i] = rank((parts[i], parts[i + 1]), none)
-        return parts
+                ranks[i] = rank(new << SHIFT | ids[i + 1], none)
+        return ids
 
-    def _merge_long(self, parts: list[str]) -> list[str]:
+    def _merge_long(self, ids: list[int]) -> list[int]:
         """The same for very long fragments, with all places of a pair merged in one sweep.
 
         A pair that a merge makes always has a higher rank than the merge itself, so the order is the same.
         """
-        rank, none = self.ranks.get, 1 << 60
-        while len(parts) > 1:
-            low, left, right = min((rank(pair, none), *pair) for pair in set(zip(parts, parts[1:])))
+        rank, none = self._ranks.get, 1 << 60
+        while len(ids) > 1:
+            low, left, right = min((rank(a << SHIFT | b, none), a, b) for a, b in set(zip(ids, ids[1:])))
             if low == none:
                 break
             merged, i = [], 0
-            while i < len(parts):
-                if i + 1 < len(parts) and parts[i] == left and parts[i + 1] == right:
-                    merged.append(left + right)
+            while i < len(ids):
+                if i + 1 < len(ids) and ids[i] == left and ids[i + 1] == right:
+                    merged.append(self._made[low])
                     i += 2
                 else:
-                    merged.append(parts[i])
+                    merged.append(ids[i])
                     i += 1
-            parts = merged
-        return parts
+            ids = merged
+        return ids
 
     def _word(self, word: str) -> tuple[bytes, str]:
         """The ids of one word, and their tokens joined by spaces."""
         known = self._words.get(word)
         if known is None:
-            ids: list[int] = []
-            alphabet = self._alphabet
-            fragments = self.cuts("".join([alphabet[b] for b in word.encode()]))
-            for n, fragment in enumerate(fragments, 1):
-                ids += self._merge(fragment, n == len(fragments))
-            known = pack(f"<{len(ids)}I", *ids), self.decode(ids)
+            fragments = self.cuts(word.encode())
+            ids = self._merge(fragments[-1], True)
+            if len(fragments) > 1:
+                ids = [i for f in fragments[:-1] for i in self._merge(f, False)] + ids
+            tokens = self.tokens
+            known = pack(f"<{len(ids)}I", *ids), " ".join([tokens[i] for i in ids])
             self._words.put(word, known)
         return known
 
