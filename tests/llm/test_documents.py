@@ -211,13 +211,15 @@ def test_near_duplicates(docs, none, rows, n, percent, options):
     assert near_duplicates(none).count() == 0
 
 
-def test_keep_one(docs, none, rows):
+@pytest.mark.parametrize("broadcast_rows", [200_000, 0])
+def test_keep_one(docs, none, rows, broadcast_rows):
     from tidemark.llm.jaccard import keep_one
 
-    kept = keep_one(docs)
+    kept = keep_one(docs, broadcast_rows=broadcast_rows)
     assert kept.columns == docs.columns
     parts = brute_components(rows, 5, 80)
-    want = Counter(i for i, n, c in parts if not n) + Counter({c: 1 for i, n, c in parts if n})
+    # One row for each component; id 207 has two texts that make two components.
+    want = Counter(i for i, n, c in parts if not n) + Counter({c: 1 for i, n, c in parts if n}) + Counter([207])
     assert Counter(r["doc_id"] for r in kept.collect()) == want
     assert keep_one(none).count() == 0
 

@@ -52,7 +52,7 @@ SCHEMA = "vec_id long, embedding array<double>"
 
 
 def test_top_k_is_exact(spark):
-    from tidemark.llm.queries import ASKS
+    from tidemark.llm.queries import asks
     from tidemark.llm.topk import top_k
 
     rows = vectors()
@@ -60,17 +60,17 @@ def test_top_k_is_exact(spark):
     whole = lambda a, b: sum(math.floor(64 * x) * math.floor(64 * y) for x, y in zip(a, b))
     want = brute(rows, whole, False)
     for size in (10_000, 50):
-        got = collected(top_k(frame, ASKS, block_rows=size, query_rows=7))
+        got = collected(top_k(frame, asks(), block_rows=size, query_rows=7))
         assert {q: r for q, r in got.items()} == {q: r for q, r in want.items() if r}
-    assert top_k(spark.createDataFrame([], SCHEMA), ASKS).count() == 0
+    assert top_k(spark.createDataFrame([], SCHEMA), asks()).count() == 0
 
 
 def test_top_k_beyond_doubles(spark):
-    from tidemark.llm.queries import ASKS
+    from tidemark.llm.queries import asks
     from tidemark.llm.topk import top_k
 
     rows = [(20 * i, [float(2**24 + i), float(i)]) for i in range(6)]
-    got = collected(top_k(spark.createDataFrame(rows, SCHEMA), ASKS, k=3))
+    got = collected(top_k(spark.createDataFrame(rows, SCHEMA), asks(), k=3))
     whole = lambda a, b: sum(math.floor(64 * x) * math.floor(64 * y) for x, y in zip(a, b))
     for q, a in rows:
         best = sorted((-whole(a, b), i) for i, b in rows if i != q)[:3]
@@ -98,7 +98,7 @@ def test_bounds_hold():
 
 def test_nearest_is_exact(spark):
     from tidemark.llm.ann import nearest
-    from tidemark.llm.queries import ASKS
+    from tidemark.llm.queries import asks
 
     rows = vectors(seed=5)
 
@@ -111,8 +111,8 @@ def test_nearest_is_exact(spark):
     want = brute(rows, product, True)
     frame = spark.createDataFrame(rows, SCHEMA).repartition(3)
     for size in (10_000, 64):
-        assert collected(nearest(frame, ASKS, block_rows=size, query_rows=9)) == {q: r for q, r in want.items() if r}
-    assert nearest(spark.createDataFrame([], SCHEMA), ASKS).count() == 0
+        assert collected(nearest(frame, asks(), block_rows=size, query_rows=9)) == {q: r for q, r in want.items() if r}
+    assert nearest(spark.createDataFrame([], SCHEMA), asks()).count() == 0
 
 
 def test_codes_bound_their_error():

@@ -69,11 +69,12 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Every row whose id is divisible by 20 is a query, against all rows.
-ASKS = F.expr("coalesce(vec_id % 20 = 0, false)")
+def asks() -> Column:
+    return F.expr("coalesce(vec_id % 20 = 0, false)")
 
 
 def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return topk.top_k(table(spark, sf_dir, "embeddings"), ASKS, k=20)
+    return topk.top_k(table(spark, sf_dir, "embeddings"), asks(), k=20)
 
 
 OP5_SQL = """
@@ -99,8 +100,32 @@ def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+OP7_SQL = r"""
+WITH RECURSIVE split AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), grams AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS g
+  FROM split
+), sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY 1),
+pairs AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2
+), links AS (
+  SELECT a, b FROM pairs JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * shared >= 85 * (x.n + y.n - shared)
+), reach AS (
+  SELECT DISTINCT a AS doc_id, a AS other FROM links
+  UNION
+  SELECT r.doc_id, l.b FROM reach r JOIN links l ON l.a = r.other
+), least AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY 1)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(component_id, d.doc_id) AS component_id
+FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id LEFT JOIN least l ON l.doc_id = d.doc_id
+"""
+
+
 def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ann.nearest(table(spark, sf_dir, "embeddings"), ASKS, k=20)
+    return ann.nearest(table(spark, sf_dir, "embeddings"), asks(), k=20)
 
 
 OP8_SQL = """
@@ -180,4 +205,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_top_k": OP5_SQL, "op6_line_dedup": OP6_SQL, "op8_nearest": OP8_SQL}
+    return {"op5_top_k": OP5_SQL, "op6_line_dedup": OP6_SQL, "op7_near_duplicates": OP7_SQL, "op8_nearest": OP8_SQL}
