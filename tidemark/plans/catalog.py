@@ -314,20 +314,20 @@ def staleness_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- calendar --------------------------------------------------------------------------------------------------------
 
 _CLOSED = ", ".join(f"(DATE '{d}')" for d in calendar.closures())
-_OPEN = f"""WITH closed(d) AS (VALUES {_CLOSED}),
+OPEN_DAYS = f"""WITH closed(d) AS (VALUES {_CLOSED}),
 days AS (SELECT d::DATE AS day FROM range(TIMESTAMP '2013-01-01', TIMESTAMP '2028-01-01', INTERVAL 1 DAY) t(d)),
 open_days AS (SELECT day FROM days WHERE isodow(day) < 6 AND day NOT IN (SELECT d FROM closed)),
 rolled AS (SELECT f.day AS friday, min(o.day) AS assembly_date FROM days f JOIN open_days o ON o.day BETWEEN f.day AND f.day + 6
            WHERE isodow(f.day) = 5 GROUP BY 1)"""
 
 
-@query(_OPEN + " SELECT friday, assembly_date FROM rolled")
+@query(OPEN_DAYS + " SELECT friday, assembly_date FROM rolled")
 def calendar_assemblies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return calendar.assemblies(spark)
 
 
 @query(
-    _OPEN
+    OPEN_DAYS
     + """
 SELECT (year(assembly_date) * 12 + month(assembly_date) - 3)::INT AS month_idx, min(assembly_date) AS finalized_on
 FROM rolled WHERE day(assembly_date) >= 15 GROUP BY 1"""

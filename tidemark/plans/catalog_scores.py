@@ -10,7 +10,8 @@ from tidemark.functions import values as V
 from tidemark.operators import bands, baselines, compare, compose, outcomes, pit, transforms
 from tidemark.plans import composite
 from tidemark.plans import fixtures as fx
-from tidemark.plans.catalog import query
+from tidemark.plans.catalog import OPEN_DAYS, query
+from tidemark.sources import archive
 
 CONTRACT = baselines.Contract(trials=200)
 
@@ -486,6 +487,47 @@ def gap_duplicate_conflict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return late.unionByName(twice.select("series_id", "observation_date", F.lit("duplicate").alias("code")))
 
 
+@query(
+    r"""WITH t AS (
+  SELECT o_orderkey AS k, CASE o_orderkey % 7 WHEN 0 THEN 'NOPE' ELSE 'UMICH_SCA_T2N_TOP' END AS series_id,
+         CASE o_orderkey % 11 WHEN 0 THEN '2020-1-5' ELSE strftime(o_orderdate, '%Y-%m-%d') END AS observation_date,
+         CASE o_orderkey % 13 WHEN 0 THEN ' ' ELSE o_totalprice::VARCHAR END AS value_text,
+         strftime(o_orderdate + to_days((o_orderkey % 5 - 1)::INT), '%Y-%m-%d') AS release_date,
+         ['preliminary', 'final', 'revision', 'guess'][(o_custkey % 4) + 1] AS release_stage,
+         CASE o_orderkey % 17 WHEN 0 THEN '/abs' WHEN 1 THEN 'a/../b' ELSE 'a/b.csv' END AS source_file,
+         strftime(o_orderdate + INTERVAL 2 DAY, '%Y-%m-%d') || CASE o_orderkey % 19 WHEN 0 THEN ' 14:00' ELSE 'T14:00:00Z' END AS retrieved_at
+  FROM orders
+)
+SELECT k AS o_orderkey, array_to_string(list_filter([
+  CASE WHEN trim(value_text) = '' THEN 'missing_value' END,
+  CASE WHEN series_id = 'NOPE' THEN 'unknown_series' END,
+  CASE WHEN source_file <> 'a/b.csv' THEN 'unsafe_source_file' END,
+  CASE WHEN release_stage = 'guess' THEN 'unknown_stage' END,
+  CASE WHEN series_id <> 'NOPE' AND release_stage = 'revision' THEN 'stage_not_allowed' END,
+  CASE WHEN observation_date = '2020-1-5' THEN 'invalid_observation_date' END,
+  CASE WHEN NOT retrieved_at LIKE '%Z' THEN 'invalid_retrieved_at' END,
+  CASE WHEN observation_date <> '2020-1-5' AND release_date < observation_date THEN 'release_before_observation' END,
+  CASE WHEN retrieved_at LIKE '%Z' AND release_date > retrieved_at[1:10] THEN 'release_after_retrieval' END], lambda x: x IS NOT NULL), ',') AS codes
+FROM t"""
+)
+def archive_rules_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    day = lambda shift: F.date_format(F.date_add(F.to_date("o_orderdate"), shift), "yyyy-MM-dd")
+    key = F.col("o_orderkey")
+    stages = F.array(*[F.lit(x) for x in ("preliminary", "final", "revision", "guess")])
+    rows = fx.read(spark, sf_dir, "orders").select(
+        "o_orderkey",
+        F.when(key % 7 == 0, "NOPE").otherwise("UMICH_SCA_T2N_TOP").alias("series_id"),
+        F.when(key % 11 == 0, "2020-1-5").otherwise(day(F.lit(0))).alias("observation_date"),
+        F.when(key % 13 == 0, " ").otherwise(F.col("o_totalprice").cast("string")).alias("value_text"),
+        day((key % 5 - 1).cast("int")).alias("release_date"),
+        F.get(stages, (F.col("o_custkey") % 4).cast("int")).alias("release_stage"),
+        F.when(key % 17 == 0, "/abs").when(key % 17 == 1, "a/../b").otherwise("a/b.csv").alias("source_file"),
+        F.concat(day(F.lit(2)), F.when(key % 19 == 0, " 14:00").otherwise("T14:00:00Z")).alias("retrieved_at"),
+        F.lit(False).alias("too_long"),
+    )
+    return archive.rule_codes(rows).select("o_orderkey", F.array_join("codes", ",").alias("codes"))
+
+
 # --- the whole composite ---------------------------------------------------------------------------------------------
 
 
@@ -494,6 +536,69 @@ def _months(spark: SparkSession) -> DataFrame:
     return calendar.finalizations(spark).where("month_idx between 24180 and 24258")
 
 
+_COMPOSITE = (
+    OPEN_DAYS
+    + """, fin AS (
+  SELECT min(assembly_date) AS assembly_date
+  FROM (SELECT *, (year(assembly_date) * 12 + month(assembly_date) - 3)::INT AS month_idx FROM rolled WHERE day(assembly_date) >= 15)
+  WHERE month_idx BETWEEN 24180 AND 24258 GROUP BY month_idx
+), x AS (
+  SELECT CASE WHEN o_orderpriority = '1-URGENT' AND o_orderstatus = 'F' THEN 'RSFSDP' WHEN o_orderpriority = '1-URGENT' THEN 'RSFHFS'
+              WHEN o_orderpriority = '2-HIGH' THEN 'VISASMIDSA' WHEN o_orderpriority = '3-MEDIUM' THEN 'UMICH_SCA_T2N_TOP'
+              WHEN o_orderpriority = '4-NOT SPECIFIED' THEN 'REVOLSL' ELSE 'DRCCLACBS' END AS s,
+         o_orderdate + INTERVAL 240 MONTH AS d, o_totalprice::DECIMAL(18,2) AS p
+  FROM orders
+), sums AS (
+  SELECT s, (CASE WHEN s = 'DRCCLACBS' THEN date_trunc('quarter', d) ELSE date_trunc('month', d) END)::DATE AS obs,
+         sum(p) FILTER (day(d) <= 15) AS early, sum(p) AS total
+  FROM x GROUP BY 1, 2
+), known AS (
+  SELECT *, (obs + CASE WHEN s = 'DRCCLACBS' THEN INTERVAL 3 MONTH ELSE INTERVAL 1 MONTH END)::DATE + 20 AS k FROM sums
+), """
+    + fx.SQL["f_weekly"]
+    + """, spans AS (
+  SELECT s, obs, k AS rs, k + 27 AS re, early::DOUBLE AS v FROM known WHERE early IS NOT NULL
+  UNION ALL SELECT s, obs, k + 28, DATE '9999-12-31', total::DOUBLE FROM known
+  UNION ALL SELECT CASE series WHEN 'A' THEN 'DPSACBW027SBOG' ELSE 'WRMFNS' END, wed - CASE series WHEN 'A' THEN 0 ELSE 2 END, wed + 9,
+                   DATE '9999-12-31', value FROM f_weekly
+), pit AS (
+  SELECT assembly_date, s, obs, v FROM spans JOIN fin ON assembly_date BETWEEN rs AND re
+), w AS (
+  SELECT assembly_date, s, date_trunc('month', day)::DATE AS m, avg(v) AS v, count(DISTINCT day) AS n
+  FROM (SELECT *, obs + CASE s WHEN 'WRMFNS' THEN 2 ELSE 0 END AS day FROM pit WHERE s IN ('DPSACBW027SBOG', 'WRMFNS')) GROUP BY 1, 2, 3
+), wednesdays AS (
+  SELECT date_trunc('month', day)::DATE AS m, count(*) AS n FROM days WHERE isodow(day) = 3 GROUP BY 1
+), grid AS (
+  SELECT assembly_date, s, (year(m) * 12 + month(m) - 1)::INT AS month_idx, v FROM w JOIN wednesdays USING (m, n)
+  UNION ALL SELECT assembly_date, s, (year(obs) * 12 + month(obs) - 1)::INT, v FROM pit WHERE s NOT IN ('DPSACBW027SBOG', 'WRMFNS')
+), prior AS (
+  SELECT *, first_value(v) OVER (PARTITION BY assembly_date, s ORDER BY month_idx RANGE BETWEEN 12 PRECEDING AND 12 PRECEDING) AS p FROM grid
+), units AS (
+  SELECT assembly_date, CASE WHEN s LIKE 'RSF%' THEN 'census_retail' ELSE 'household_liquidity' END AS unit, 36 AS least, month_idx, -(sum(v) - sum(p)) / sum(p) AS v
+  FROM prior WHERE s IN ('RSFSDP', 'RSFHFS', 'DPSACBW027SBOG', 'WRMFNS') GROUP BY 1, 2, 3, 4 HAVING count(p) = 2
+  UNION ALL SELECT assembly_date, s, 36, month_idx, -(v - p) / p FROM prior WHERE s = 'REVOLSL' AND p IS NOT NULL
+  UNION ALL SELECT assembly_date, s, CASE s WHEN 'DRCCLACBS' THEN 20 ELSE 36 END, month_idx,
+                   CASE s WHEN 'VISASMIDSA' THEN 100.0 - v WHEN 'UMICH_SCA_T2N_TOP' THEN -v ELSE v END
+            FROM grid WHERE s IN ('VISASMIDSA', 'UMICH_SCA_T2N_TOP', 'DRCCLACBS')
+), last AS (SELECT assembly_date, unit, max(month_idx) AS now FROM units GROUP BY 1, 2)
+SELECT assembly_date, unit, now AS month_idx, count(v) FILTER (month_idx < now AND month_idx >= now - 120) AS n_refs,
+       round_even(CASE WHEN count(v) FILTER (month_idx < now AND month_idx >= now - 120) >= max(least)
+                       AND stddev_pop(v) FILTER (month_idx < now AND month_idx >= now - 120) > 0
+                  THEN greatest(least((max(v) FILTER (month_idx = now) - avg(v) FILTER (month_idx < now AND month_idx >= now - 120))
+                       / stddev_pop(v) FILTER (month_idx < now AND month_idx >= now - 120), 3.0), -3.0) END, 5) AS z
+FROM units JOIN last USING (assembly_date, unit) GROUP BY 1, 2, 3"""
+)
+
+
+@query(_COMPOSITE)
+def composite_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every unit's score at every finalisation, from vintages to z."""
+    dates = _months(spark).select(F.col("finalized_on").alias("assembly_date"))
+    rows = composite.checked(composite.histories(composite.demo_spans(spark, sf_dir), dates))
+    found = composite.scored(composite.transformed(composite.grid(rows)))
+    return found.select("assembly_date", "unit", "month_idx", "n_refs", F.bround("z", 5).alias("z"))
+
+
 @query()
 def composite_all_assemblies(spark: SparkSession, sf_dir: str) -> DataFrame:
     dates = calendar.assemblies(spark).where("assembly_date between '2015-06-01' and '2021-12-31'").select("assembly_date")

@@ -44,6 +44,40 @@ def lines(spark: SparkSession, paths: list[str]) -> DataFrame:
     return split.where("raw <> ''").withColumn("line", F.col("line") + 1)
 
 
+def rule_codes(rows: DataFrame) -> DataFrame:
+    """Add parsed dates (obs, rel, got) and ``codes``: the rules that each row of text columns breaks, in a fixed order.
+
+    ``too_long`` says whether a row has more values than its header.
+    """
+    spark = rows.sparkSession
+    series = F.broadcast(registry(spark).where("source = 'archive'").select(F.col("series_id").alias("known_id")))
+    rows = rows.join(series, F.col("series_id") == F.col("known_id"), "left")
+    rows = rows.withColumns(
+        {
+            "obs": strict_date(F.col("observation_date")),
+            "rel": strict_date(F.col("release_date")),
+            "got": utc_timestamp(F.col("retrieved_at")),
+        }
+    )
+    # Each rule in turn; the codes of a row keep this order.
+    umich = F.col("series_id").startswith("UMICH")
+    rules = {
+        "extra_value": F.col("too_long"),
+        "missing_value": F.array_contains(F.array(*[F.coalesce(F.trim(c), F.lit("")) == "" for c in ARCHIVE_COLUMNS]), True),
+        "unknown_series": F.col("known_id").isNull(),
+        "unsafe_source_file": ~safe_path(F.col("source_file")),
+        "unknown_stage": ~F.col("release_stage").isin(*STAGES),
+        "stage_not_allowed": umich & F.col("release_stage").isin(*STAGES[2:]),
+        "invalid_observation_date": F.col("obs").isNull(),
+        "invalid_release_date": F.col("rel").isNull(),
+        "invalid_retrieved_at": F.col("got").isNull(),
+        "release_before_observation": F.col("rel") < F.col("obs"),
+        "release_after_retrieval": F.col("rel") > F.to_date("got"),
+    }
+    codes = F.array_compact(F.array(*[F.when(F.coalesce(rule, F.lit(False)), F.lit(code)) for code, rule in rules.items()]))
+    return rows.withColumn("codes", codes).drop("known_id")
+
+
 def read_archive(spark: SparkSession, paths: str | list[str]) -> Archive:
     """Read release files with a header of the seven required columns, in any order; others are a warning.
 
@@ -75,32 +109,7 @@ def read_archive(spark: SparkSession, paths: str | list[str]) -> Archive:
         "file", "line", *[value(c).alias(c) for c in ARCHIVE_COLUMNS],
         F.get(every, F.size("names")).isNotNull().alias("too_long"),
     )
-    series = F.broadcast(registry(spark).where("source = 'archive'").select(F.col("series_id").alias("known_id")))
-    rows = rows.join(series, F.col("series_id") == F.col("known_id"), "left")
-    rows = rows.withColumns(
-        {
-            "obs": strict_date(F.col("observation_date")),
-            "rel": strict_date(F.col("release_date")),
-            "got": utc_timestamp(F.col("retrieved_at")),
-        }
-    )
-    # Each rule in turn; the codes of a row keep this order.
-    umich = F.col("series_id").startswith("UMICH")
-    rules = {
-        "extra_value": F.col("too_long"),
-        "missing_value": F.array_contains(F.array(*[F.coalesce(F.trim(c), F.lit("")) == "" for c in ARCHIVE_COLUMNS]), True),
-        "unknown_series": F.col("known_id").isNull(),
-        "unsafe_source_file": ~safe_path(F.col("source_file")),
-        "unknown_stage": ~F.col("release_stage").isin(*STAGES),
-        "stage_not_allowed": umich & F.col("release_stage").isin(*STAGES[2:]),
-        "invalid_observation_date": F.col("obs").isNull(),
-        "invalid_release_date": F.col("rel").isNull(),
-        "invalid_retrieved_at": F.col("got").isNull(),
-        "release_before_observation": F.col("rel") < F.col("obs"),
-        "release_after_retrieval": F.col("rel") > F.to_date("got"),
-    }
-    codes = F.array_compact(F.array(*[F.when(F.coalesce(rule, F.lit(False)), F.lit(code)) for code, rule in rules.items()]))
-    rows = rows.withColumn("codes", codes)
+    rows = rule_codes(rows)
     row_issues = rows.select("file", "line", F.lit("error").alias("severity"), F.explode("codes").alias("code"))
     valid = rows.where(F.size("codes") == 0).select(
         "file", "line", "series_id", F.col("obs").alias("observation_date"), "value_text", F.col("rel").alias("release_date"),
