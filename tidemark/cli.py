@@ -55,6 +55,20 @@ def _fetch(args) -> int:
     return 1 if failed else 0
 
 
+def _with_archive(spans, paths, stages=("final",), assume_unrevised=False):
+    """The store's spans and those of release files; a file with errors is refused as a whole."""
+    if not paths:
+        return spans
+    from tidemark.sources.archive import read_archive
+
+    found = read_archive(spans.sparkSession, paths)
+    wrong = found.issues.where("severity = 'error'").select("file", "line", "code").limit(5).collect()
+    if wrong:
+        raise SystemExit(f"the archive has errors: {[tuple(r) for r in wrong]}")
+    columns = ["series_id", "observation_date", "realtime_start", "realtime_end", "value_text", "release_date"]
+    return spans.unionByName(found.spans(stages, assume_unrevised).select(*columns), allowMissingColumns=True)
+
+
 def _validate(args) -> int:
     from pyspark.sql import functions as F
 
@@ -68,7 +82,7 @@ def _validate(args) -> int:
         return 2
     spark = get_spark("tidemark validate")
     store = VintageStore(spark, args.store).snapshot()
-    spans = store["observation_spans"]
+    spans = _with_archive(store["observation_spans"], args.archive, assume_unrevised=True)
     validation.reconstruct_store(spans, args.frozen, args.start, args.end)
     _, months = validation.reconstruct(spans, args.start, args.end)
     dates = months.select("assembly_date")
@@ -95,7 +109,11 @@ def _report(args) -> int:
         print("that day has no assembly", file=sys.stderr)
         return 2
     spark = get_spark("tidemark report")
-    spans = VintageStore(spark, args.store).snapshot()["observation_spans"]
+    from tidemark.sources.archive import CANONICAL, PROVISIONAL
+
+    # An assembly that finalises a month takes final releases only; others may use preliminary ones.
+    stages = CANONICAL if calendar.canonical_month_for_assembly(args.date) else PROVISIONAL
+    spans = _with_archive(VintageStore(spark, args.store).snapshot()["observation_spans"], args.archive, stages)
     found = report.weekly(spark, spans, args.date, args.output, previous=args.previous)
     print(found["run_id"])
     return 0 if found["confidence"] in ("Verified", "Provisional") else 1
@@ -137,6 +155,8 @@ def parser() -> argparse.ArgumentParser:
     report.add_argument("--previous")
     for p in (fetch, validate, report):
         p.add_argument("--store", required=True)
+    for p in (validate, report):
+        p.add_argument("--archive", nargs="*", default=[])
     prepare = sub.add_parser("cleanroom-prepare")
     prepare.add_argument("--file", action="append", default=[], metavar="NAME=PATH")
     for name in ("--output", "--start", "--end", "--at"):

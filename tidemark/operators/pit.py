@@ -123,3 +123,43 @@ def advance(old: DataFrame, new: DataFrame, key: str, mark: str) -> DataFrame:
     """A watermark for each key that never goes back."""
     newer = new.groupBy(key).agg(F.max(mark).alias("newer"))
     return old.join(newer, key, "full_outer").select(key, F.greatest(mark, "newer").alias(mark))
+
+
+#: Ways in which an availability date can be known.
+BASES = ("observed", "umich_unrevised_final")
+
+
+def snapshot_issues(values: DataFrame, stages: tuple[str, ...] = ("final",), date_col: str = "assembly_date") -> DataFrame:
+    """Add ``codes``: the rules that each point-in-time value breaks, in a fixed order.
+
+    ``values`` has the columns of an as-of selection: series_id, asked_series (whose history this is), source,
+    known_source (of the registry), observation_date, release_date, available_from, available_through,
+    availability_basis, release_stage and retrieved_at (texts, null unless archived).
+    """
+    from tidemark.functions.values import utc_timestamp
+
+    keys = Window.partitionBy(date_col, "asked_series")
+    day = F.col(date_col)
+    archived = F.col("source") == "archive"
+    got = utc_timestamp(F.col("retrieved_at"))
+    known = F.greatest("release_date", F.to_date(got))
+    rules = {
+        "other_series": F.col("series_id") != F.col("asked_series"),
+        "other_source": F.col("source") != F.col("known_source"),
+        "missing_date": F.col("observation_date").isNull() | F.col("release_date").isNull() | F.col("available_from").isNull() | F.col("available_through").isNull(),
+        "repeated_observation": F.count(F.lit(1)).over(Window.partitionBy(date_col, "asked_series", "observation_date")) > 1,
+        "released_before_observation": F.col("release_date") < F.col("observation_date"),
+        "released_after_assembly": F.col("release_date") > day,
+        "available_after_assembly": F.col("available_from") > day,
+        "not_available_at_assembly": F.col("available_through") != day,
+        "available_before_release": F.col("available_from") < F.col("release_date"),
+        "unknown_basis": ~F.col("availability_basis").isin(*BASES),
+        "stage_not_allowed": archived & ~F.coalesce(F.col("release_stage").isin(*stages), F.lit(False)),
+        "invalid_retrieval": archived & got.isNull(),
+        "released_after_retrieval": archived & (F.col("release_date") > F.to_date(got)),
+        "wrong_availability": archived
+        & (F.col("available_from") != F.when(F.col("availability_basis") == BASES[1], F.col("release_date")).otherwise(known)),
+        "empty_history": F.count("observation_date").over(keys) == 0,
+    }
+    found = [F.when(F.coalesce(rule, F.lit(False)), F.lit(code)) for code, rule in rules.items()]
+    return values.withColumn("codes", F.array_compact(F.array(*found)))

@@ -133,6 +133,59 @@ def span_scd2_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     return built.select("series_id", "observation_date", "value", "realtime_start", "realtime_end")
 
 
+@query(
+    fx.with_sql("f_spans")
+    + f""", {_DATES}, pit AS (
+  SELECT assembly_date, series_id, observation_date, realtime_start AS available_from, least(realtime_end, assembly_date) AS through,
+         (year(observation_date) * 12 + month(observation_date)) % 9 AS kind
+  FROM f_spans JOIN dates ON assembly_date BETWEEN realtime_start AND realtime_end
+), v AS (
+  SELECT assembly_date, observation_date, series_id AS asked, CASE WHEN kind = 1 THEN 'other' ELSE series_id END AS series_id,
+         CASE WHEN kind IN (4, 5, 6) THEN 'archive' ELSE 'alfred' END AS source, CASE WHEN kind = 2 THEN observation_date - 1 ELSE available_from END AS release_date,
+         available_from, through, CASE WHEN kind = 3 THEN 'guessed' ELSE 'observed' END AS basis,
+         CASE WHEN kind = 4 THEN 'preliminary' WHEN kind IN (5, 6) THEN 'final' END AS stage,
+         CASE WHEN kind = 5 THEN strftime(available_from - 1, '%Y-%m-%dT00:00:00Z') WHEN kind = 6 THEN 'soon' WHEN kind = 4 THEN strftime(available_from, '%Y-%m-%dT00:00:00Z') END AS got
+  FROM pit
+)
+SELECT assembly_date, asked AS series_id, observation_date, array_to_string(list_filter([
+  CASE WHEN series_id <> asked THEN 'other_series' END,
+  CASE WHEN source <> 'alfred' THEN 'other_source' END,
+  CASE WHEN release_date < observation_date THEN 'released_before_observation' END,
+  CASE WHEN release_date > assembly_date THEN 'released_after_assembly' END,
+  CASE WHEN through <> assembly_date THEN 'not_available_at_assembly' END,
+  CASE WHEN available_from < release_date THEN 'available_before_release' END,
+  CASE WHEN basis = 'guessed' THEN 'unknown_basis' END,
+  CASE WHEN stage = 'preliminary' THEN 'stage_not_allowed' END,
+  CASE WHEN got = 'soon' THEN 'invalid_retrieval' END,
+  CASE WHEN got LIKE '%Z' AND release_date > got[1:10]::DATE THEN 'released_after_retrieval' END,
+  CASE WHEN got LIKE '%Z' AND available_from <> greatest(release_date, got[1:10]::DATE) THEN 'wrong_availability' END
+], lambda x: x IS NOT NULL), ',') AS codes FROM v"""
+)
+def snapshot_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = pit.as_of(fx.spans(spark, sf_dir), release_dates(spark, sf_dir))
+    kind = (V.month_of(F.col("observation_date")) + 1) % 9
+    stamp = lambda day: F.date_format(day, "yyyy-MM-dd'T00:00:00Z'")
+    values = rows.withColumn("kind", kind).select(
+        "assembly_date",
+        F.col("series_id").alias("asked_series"),
+        F.when(F.col("kind") == 1, "other").otherwise(F.col("series_id")).alias("series_id"),
+        F.when(F.col("kind").isin(4, 5, 6), "archive").otherwise("alfred").alias("source"),
+        F.lit("alfred").alias("known_source"),
+        "observation_date",
+        F.when(F.col("kind") == 2, F.date_sub("observation_date", 1)).otherwise(F.col("release_date")).alias("release_date"),
+        "available_from",
+        "available_through",
+        F.when(F.col("kind") == 3, "guessed").otherwise("observed").alias("availability_basis"),
+        F.when(F.col("kind") == 4, "preliminary").when(F.col("kind").isin(5, 6), "final").alias("release_stage"),
+        F.when(F.col("kind") == 5, stamp(F.date_sub("available_from", 1)))
+        .when(F.col("kind") == 6, "soon")
+        .when(F.col("kind") == 4, stamp(F.col("available_from")))
+        .alias("retrieved_at"),
+    )
+    found = pit.snapshot_issues(values)
+    return found.select("assembly_date", F.col("asked_series").alias("series_id"), "observation_date", F.array_join("codes", ",").alias("codes"))
+
+
 # --- keyed sinks -----------------------------------------------------------------------------------------------------
 
 

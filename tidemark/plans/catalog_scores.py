@@ -610,7 +610,8 @@ def composite_all_assemblies(spark: SparkSession, sf_dir: str) -> DataFrame:
 def composite_families(spark: SparkSession, sf_dir: str) -> DataFrame:
     dates = _months(spark).select(F.col("finalized_on").alias("assembly_date"))
     found = composite.families(composite.demo_spans(spark, sf_dir), dates)
-    return composite.rounded(found, "z", "transformed_value").withColumn("flags", F.array_join("flags", ","))
+    found = composite.rounded(found, "z", "transformed_value").withColumn("flags", F.array_join("flags", ","))
+    return found.withColumn("releases", F.to_json("releases"))
 
 
 @query()

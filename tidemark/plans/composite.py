@@ -133,6 +133,8 @@ def families(spans: DataFrame, dates: DataFrame, inclusive_start: bool = True, d
     rows = checked(histories(spans, dates, inclusive_start))
     state = member_state(rows, dates, limits=limits)
     gated = compose.gate(state, ["assembly_date", "family"])
+    released = F.when(F.col("newest_release").isNotNull(), F.struct("series_id", "newest_release"))
+    releases = state.groupBy("assembly_date", "family").agg(F.map_from_entries(F.sort_array(F.collect_list(released))).alias("releases"))
     units = registry(spark, engine_only=True)
     expected = units.select(
         "family", "ord", "tier", F.when(F.col("transform") == POOLED, F.col("family")).otherwise(F.col("series_id")).alias("unit")
@@ -151,7 +153,7 @@ def families(spans: DataFrame, dates: DataFrame, inclusive_start: bool = True, d
         F.max_by("value", "ord").alias("value"),
         F.sort_array(F.collect_list(F.when(F.col("flag").isNotNull(), F.struct("ord", "flag")))).alias("reasons"),
     )
-    out = gated.join(by_family, ["assembly_date", "family"])
+    out = gated.join(by_family, ["assembly_date", "family"]).join(releases, ["assembly_date", "family"])
     available = ~F.col("abstained") & (F.col("scored") == F.col("units"))
     return out.select(
         "assembly_date", "family", "tier",
@@ -160,6 +162,7 @@ def families(spans: DataFrame, dates: DataFrame, inclusive_start: bool = True, d
         F.when(F.col("abstained"), F.col("flags")).otherwise(F.transform("reasons", lambda r: r["flag"])).alias("flags"),
         F.when(available & (F.col("units") == 1), F.col("value")).alias("transformed_value"),
         F.when(available, F.col("month_idx")).alias("month_idx"),
+        "releases",
     )
 
 

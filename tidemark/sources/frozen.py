@@ -16,8 +16,14 @@ from pyspark.sql import functions as F
 from tidemark import calendar, schemas
 from tidemark.functions.canonical import canonical_bytes, digest, parse_canonical, parse_strict
 from tidemark.functions.values import BANDS
+from tidemark.registry import by_id
 
 SCHEMA_VERSION = "tidemark.frozen.month.v1"
+#: What has to be said wherever a series of that licence is used.
+NOTICES = {
+    "visa_citation": "Uses a spending index that must be cited with its publisher.",
+    "umich_internal": "Uses survey values for internal research only.",
+}
 KEYS = {
     "": {
         "assembly_flags", "band", "composite", "families", "finalized_on", "input_vintages", "license_notices", "month",
@@ -57,6 +63,9 @@ def _shape(record: dict, month: str, issues: list[tuple[str, str]]) -> None:
             issues.append((month, f"band:{name}"))
     if record["source_assembly_sha256"] != digest(str(record["source_assembly_json"]).encode()):
         issues.append((month, "source_hash"))
+    vintages = record["input_vintages"]
+    if not isinstance(vintages, dict) or any(str(d) > str(record["finalized_on"]) for d in vintages.values()):
+        issues.append((month, "vintage_after_finalization"))
     try:
         if calendar.monthly_finalization_date(month).isoformat() != record["finalized_on"]:
             issues.append((month, "finalization_date"))
@@ -132,7 +141,7 @@ def append(path: str | Path, record: dict) -> list[tuple[str, str]]:
 def records_from(frozen: DataFrame, families: DataFrame) -> list[dict]:
     """Frozen records of a plan's months (a few hundred rows), with the canonical assembly that each comes from."""
     by_date: dict[date, list] = {}
-    for r in families.select("assembly_date", "family", "z", "abstained", "flags").collect():
+    for r in families.select("assembly_date", "family", "z", "abstained", "flags", "releases").collect():
         by_date.setdefault(r["assembly_date"], []).append(r)
     out = []
     for r in sorted(frozen.collect(), key=lambda r: r["month"]):
@@ -144,6 +153,8 @@ def records_from(frozen: DataFrame, families: DataFrame) -> list[dict]:
             "abstained": r["abstained"], "headline_tier": r["headline_tier"], "headline_value": r["headline"],
             "tier_a_value": r["tier_a"], "tier_b_mapped_band": r["tier_b_mapped_band"], "tier_b_value": r["tier_b"],
         }
+        vintages = {s: d.isoformat() for f in by_date.get(r["assembly_date"], []) for s, d in (f["releases"] or {}).items()}
+        notices = sorted({NOTICES[by_id(s).license] for s in vintages if by_id(s).license in NOTICES})
         source = canonical_bytes(
             {"assembly_date": r["assembly_date"].isoformat(), "composite": composite, "families": members, "flags": list(r["flags"])}
         ).decode()
@@ -156,8 +167,8 @@ def records_from(frozen: DataFrame, families: DataFrame) -> list[dict]:
                     "eligible": r["eligible"], "published_band": r["published_band"], "raw_band": r["raw_band"],
                     "reference_count": r["reference_count"], "thresholds": cuts,
                 },
-                "composite": composite, "families": members, "finalized_on": r["finalized_on"].isoformat(), "input_vintages": {},
-                "license_notices": [], "month": r["month"], "schema_version": SCHEMA_VERSION, "source_assembly_json": source,
+                "composite": composite, "families": members, "finalized_on": r["finalized_on"].isoformat(), "input_vintages": vintages,
+                "license_notices": notices, "month": r["month"], "schema_version": SCHEMA_VERSION, "source_assembly_json": source,
                 "source_assembly_sha256": digest(source.encode()),
             }
         )
