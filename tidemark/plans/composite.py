@@ -62,39 +62,50 @@ def member_state(rows: DataFrame, dates: DataFrame, date_col: str = "assembly_da
 
 
 def grid(rows: DataFrame) -> DataFrame:
-    """(assembly_date, family, series_id, transform, frequency, month_idx, value) of numeric observations.
+    """(assembly_date, family, series_id, ord, transform, frequency, month_idx, value) of numeric observations.
 
-    Weekly series become means of complete months, after their shift to Wednesdays; the others are on the grid already.
+    Weekly series become means of complete months, after their shift to Wednesdays. The others have one observation a
+    month, which is its own mean, so that all of them pass through one aggregate.
     """
     keys = ["assembly_date", "family", "series_id", "ord", "transform", "frequency"]
-    good = rows.where("number is not null")
-    weekly = good.where("frequency = 'weekly'").withColumn("day", F.date_add("observation_date", F.col("shift_days")))
-    weekly = transforms.complete_month_means(weekly, keys, "day", "number").select(*keys, "month_idx", "value")
-    other = good.where("frequency <> 'weekly'").select(*keys, month_of(F.col("observation_date")).alias("month_idx"), F.col("number").alias("value"))
-    return other.unionByName(weekly)
+    day = F.date_add("observation_date", F.col("shift_days"))
+    moved = rows.where("number is not null").withColumn("day", F.when(F.col("frequency") == "weekly", day).otherwise(F.col("observation_date")))
+    monthly = moved.groupBy(*keys, month_of(F.col("day")).alias("month_idx")).agg(
+        F.avg("number").alias("value"), F.count(F.lit(1)).alias("n"), F.max("day").alias("last_day")
+    )
+    whole = (F.col("frequency") != "weekly") | (F.col("n") == transforms.wednesdays_in_month(F.col("last_day")))
+    return monthly.where(whole).drop("n", "last_day")
 
 
 def transformed(points: DataFrame) -> DataFrame:
-    """(assembly_date, family, unit, frequency, month_idx, value, error): pools by family, other series by themselves."""
-    members = registry(points.sparkSession, engine_only=True).where(F.col("transform") == POOLED)
+    """(assembly_date, family, unit, ord, frequency, month_idx, value, error): pools by family, others by series.
+
+    One window finds the values of a year before, one aggregate adds up the members of a unit: growth needs all of them
+    with a prior value, levels have one member and need none.
+    """
+    pooled = F.col("transform") == POOLED
+    growing = F.col("transform").isin(POOLED, "yoy_growth")
+    members = registry(points.sparkSession, engine_only=True).where(pooled)
     members = members.groupBy("family").agg(F.count(F.lit(1)).alias("n_members"))
-    pool = points.where(F.col("transform") == POOLED)
-    pool = pool.withColumn("prior", transforms.year_ago("value", ["assembly_date", "family", "series_id"]))
-    pool = pool.groupBy("assembly_date", "family", "month_idx").agg(
-        F.count("prior").alias("there"), F.sum("value").alias("total"), F.sum("prior").alias("prior_total")
+    rows = points.withColumn("prior", transforms.year_ago("value", ["assembly_date", "family", "series_id"]))
+    rows = rows.join(F.broadcast(members), "family", "left").select(
+        "assembly_date", "family", "month_idx", "value", "prior", "transform",
+        F.when(pooled, F.col("family")).otherwise(F.col("series_id")).alias("unit"),
+        F.when(pooled, 0).otherwise(F.col("ord")).alias("ord"),
+        F.when(pooled, "monthly").otherwise(F.col("frequency")).alias("frequency"),
+        F.when(pooled, F.col("n_members")).otherwise(1).alias("n_members"),
+    )
+    units = rows.groupBy("assembly_date", "family", "unit", "ord", "frequency", "transform", "n_members", "month_idx").agg(
+        F.sum("value").alias("total"), F.sum("prior").alias("prior_total"), F.count("prior").alias("there")
     )
-    pool = pool.join(F.broadcast(members), "family").where(F.col("there") == F.col("n_members"))
-    pool = pool.select(
-        "assembly_date", "family", F.col("family").alias("unit"), F.lit(0).alias("ord"), F.lit("monthly").alias("frequency"), "month_idx",
-        F.when(F.col("prior_total") != 0, -(F.col("total") - F.col("prior_total")) / F.col("prior_total")).alias("value"),
-        (F.col("prior_total") == 0).alias("error"),
+    units = units.where(~growing | (F.col("there") == F.col("n_members")))
+    error = growing & (F.col("prior_total") == 0)
+    growth = F.when(~error, -(F.col("total") - F.col("prior_total")) / F.col("prior_total"))
+    return units.select(
+        "assembly_date", "family", "unit", "ord", "frequency", "month_idx",
+        F.when(growing, growth).otherwise(transforms.level(F.col("transform"), F.col("total"))).alias("value"),
+        error.alias("error"),
     )
-    single = ["assembly_date", "family", F.col("series_id").alias("unit"), "ord", "frequency", "month_idx"]
-    growth = transforms.yoy_growth(points.where("transform = 'yoy_growth'"), ["assembly_date", "series_id"])
-    growth = growth.select(*single, F.col("growth").alias("value"), "error")
-    levels = points.where(F.col("transform").isin("hundred_minus_level", "inverted_level", "level"))
-    levels = levels.select(*single, transforms.level(F.col("transform"), F.col("value")).alias("value"), F.lit(False).alias("error"))
-    return pool.unionByName(growth).unionByName(levels)
 
 
 def scored(points: DataFrame, ddof: int = 0) -> DataFrame:
