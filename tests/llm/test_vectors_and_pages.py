@@ -169,6 +169,26 @@ def test_main_text(spark):
     assert len(twice) == 2 * len(table) and all(r["text"] == want[r["page_id"]] for r in twice)
 
 
+def test_comparison_decides_beside_articles(spark):
+    from tidemark.llm.html import extract_main_text
+
+    table = []
+    for n in range(4):
+        kinds = {
+            "art": f"<div>Intro {n}</div><article><p>Body {n}</p><p>quoted</p></article>",
+            "main": f"<main><div>Rubric</div><div>Intro {n}</div></main>",
+            "same": f"<article><p>Body {n}</p></article>",  # the pages differ in the article alone
+        }
+        for k, (kind, body) in enumerate(kinds.items()):
+            table.append((10 * k + n, f"http://{kind}.org/{n}", f"<div>Site name</div>{body}<div>All rights</div>"))
+    got = extract_main_text(spark.createDataFrame(table, "page_id long, url string, html string").repartition(3)).collect()
+    texts = {r["page_id"]: r["text"] for r in got}
+    for n in range(4):
+        assert texts[n] == f"Intro {n}\n\nBody {n}\n\nquoted"
+        assert texts[10 + n] == f"Intro {n}"
+        assert texts[20 + n] == f"Body {n}"
+
+
 def test_common_lines_is_a_longest_subsequence():
     from tidemark.llm.html import common_lines
 

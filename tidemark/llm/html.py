@@ -3,7 +3,8 @@
 Pages of a host are sorted by URL path, so that neighbours tend to come from one template. The text lines of a page are
 aligned with those of its nearest neighbour by a longest common subsequence; lines that both share belong to the
 template and are deleted. Adverts, footers and menus can differ from page to page, and paragraphs can be quoted on
-several: so what the markup itself calls boilerplate goes in any case, and what it calls the article stays.
+several: so what the markup itself calls boilerplate goes in any case, and what it calls the article stays. The
+comparison decides on every other line, whether or not the page has an article.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ import html as entities
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
+from hashlib import blake2b
 from urllib.parse import urlsplit
 from zlib import crc32
 
@@ -166,22 +168,26 @@ def place(url: str | None) -> tuple[str, str]:
 
 
 def main_text(lines: list[tuple[str, int]], shared: set[int]) -> str:
-    """What stays: of the highest level on the page, the lines that are not shared; articles whole."""
-    levels = [level for _, level in lines if level != MARKED]
-    top = max(levels, default=OPEN)
-    kept = [t for n, (t, level) in enumerate(lines) if level == top and (level >= MAIN or n not in shared)]
+    """What stays: articles whole, and of the other lines that are not boilerplate those that are not shared."""
+    kept = [t for n, (t, level) in enumerate(lines) if level == ARTICLE or (level != MARKED and n not in shared)]
     return "\n\n".join(kept)
 
 
 def _outlines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Host, path and line hashes of pages: only lines outside of articles are compared."""
+    """Host, path and line hashes of pages: only lines outside of articles are compared.
+
+    ``whole`` is a hash of all lines, articles with them: pages of one template, that differ in their articles alone, are
+    different pages.
+    """
     for batch in batches:
         rows = []
         for key, url, page in zip(batch["key"], batch["url"], batch["page"]):
             lines = lines_of(page)
-            hashes = [crc32(t.encode()) << 32 | len(t) & 0xFFFFFFFF for t, level in lines if level < MAIN]
-            rows.append((*place(url), key, [h - (1 << 63) for h in hashes], any(level == OPEN for _, level in lines)))
-        yield pd.DataFrame(rows, columns=["host", "path", "key", "lines", "undecided"])
+            hashes = [crc32(t.encode()) << 32 | len(t) & 0xFFFFFFFF for t, level in lines if level < ARTICLE]
+            whole = blake2b("\n".join(f"{level}{t}" for t, level in lines).encode(), digest_size=8).digest()
+            undecided = any(MARKED < level < ARTICLE for _, level in lines)
+            rows.append((*place(url), key, [h - (1 << 63) for h in hashes], undecided, int.from_bytes(whole, signed=True)))
+        yield pd.DataFrame(rows, columns=["host", "path", "key", "lines", "undecided", "whole"])
 
 
 def _edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -189,17 +195,17 @@ def _edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     first, last = [], []
     for batch in batches:
         for row in batch.itertuples(index=False):
-            if not len(first) or (len(first) < 2 and list(row.lines) != list(first[-1].lines)):
+            if not len(first) or (len(first) < 2 and row.whole != first[-1].whole):
                 first.append(row)
-            if not last or list(row.lines) != list(last[-1].lines) or row.host != last[-1].host:
+            if not last or row.whole != last[-1].whole or row.host != last[-1].host:
                 last = [*last[-1:], row]
             else:
                 last[-1] = row
     from pyspark import TaskContext
 
     part = TaskContext.get().partitionId()
-    rows = [(part, n, r.host, r.path, list(r.lines)) for n, r in enumerate([*first, *last])]
-    yield pd.DataFrame(rows, columns=["part", "n", "host", "path", "lines"])
+    rows = [(part, n, r.host, r.path, list(r.lines), r.whole) for n, r in enumerate([*first, *last])]
+    yield pd.DataFrame(rows, columns=["part", "n", "host", "path", "lines", "whole"])
 
 
 def template_lines(outlines: DataFrame) -> DataFrame:
@@ -209,8 +215,8 @@ def template_lines(outlines: DataFrame) -> DataFrame:
     a third of all pages is dealt to many tasks; the few pages at the partitions' edges are handed to the neighbours.
     """
     edges: dict[int, list] = {}
-    for r in outlines.mapInPandas(_edges, "part int, n int, host string, path string, lines array<long>").collect():
-        edges.setdefault(r["part"], []).append((r["n"], r["host"], r["path"], list(r["lines"])))
+    for r in outlines.mapInPandas(_edges, "part int, n int, host string, path string, lines array<long>, whole long").collect():
+        edges.setdefault(r["part"], []).append((r["n"], r["host"], r["path"], list(r["lines"]), r["whole"]))
     order = sorted(edges)
     shared = outlines.sparkSession.sparkContext.broadcast(
         {
@@ -226,13 +232,13 @@ def template_lines(outlines: DataFrame) -> DataFrame:
         from pyspark import TaskContext
 
         before, after = shared.value.get(TaskContext.get().partitionId(), (None, None))
-        waiting: list[tuple] = []  # pages with equal lines, that still wait for the next different one
+        waiting: list[tuple] = []  # equal pages, that still wait for the next different one
 
         def settle(following: tuple | None) -> Iterator[tuple[int, list[int]]]:
-            for key, undecided, host, path, lines in waiting:
+            for key, undecided, host, path, lines, whole in waiting:
                 if not undecided:
                     continue
-                rivals = [r for r in (before, following) if r and r[0] == host and r[2] != lines]
+                rivals = [r for r in (before, following) if r and r[0] == host and r[3] != whole]
                 if rivals:
                     best = max(rivals, key=lambda r: near(path, r[1]))
                     yield key, common_lines(lines, best[2])
@@ -240,10 +246,10 @@ def template_lines(outlines: DataFrame) -> DataFrame:
         for batch in batches:
             done: list[tuple[int, list[int]]] = []
             for row in batch.itertuples(index=False):
-                page = (row.host, row.path, list(row.lines))
-                if waiting and waiting[-1][4] == page[2]:
-                    page = (row.host, row.path, waiting[-1][4])  # copies share one list
-                if waiting and (waiting[-1][4] != page[2] or waiting[-1][2] != page[0]):
+                page = (row.host, row.path, list(row.lines), row.whole)
+                if waiting and waiting[-1][5] == page[3]:
+                    page = (row.host, row.path, waiting[-1][4], row.whole)  # copies share one list
+                if waiting and (waiting[-1][5] != page[3] or waiting[-1][2] != page[0]):
                     done += settle(page)
                     before, waiting = waiting[-1][2:], []
                 if waiting and not waiting[-1][1]:
@@ -276,7 +282,7 @@ def extract_main_text(
     url, page = col(pages, url_col), col(pages, html_col)
     named = F.xxhash64(url, page)
     outlines = pages.select(named.alias("key"), url.alias("url"), page.alias("page")).mapInPandas(
-        _outlines, "host string, path string, key long, lines array<long>, undecided boolean"
+        _outlines, "host string, path string, key long, lines array<long>, undecided boolean, whole long"
     )
     outlines = cut(outlines.repartitionByRange("host", "path", "key").sortWithinPartitions("host", "path", "key"))
     template = cut(template_lines(outlines).groupBy("key").agg(F.first("shared").alias("shared")))
@@ -291,7 +297,7 @@ def extract_main_text(
         texts = []
         for p, s in zip(page, shared):
             lines = lines_of(p)
-            compared = [n for n, (_, level) in enumerate(lines) if level < MAIN]
+            compared = [n for n, (_, level) in enumerate(lines) if level < ARTICLE]
             texts.append(main_text(lines, {compared[i] for i in s} if s is not None else set()))
         return pd.Series(texts, dtype=object)
 
