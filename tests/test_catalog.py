@@ -47,3 +47,35 @@ def test_queries_without_sql_give_rows(spark, sf, name):
         assert any(r["forecast"] for r in rows)
         assert all((r["forecast"] is None) == (r["reason"] is not None) for r in rows)
         assert all(math.isfinite(x) for r in rows for x in r["forecast"] or [])
+
+
+def test_the_permutation_null_has_every_trial_of_every_series(spark, sf):
+    import random
+
+    from tidemark.operators import baselines
+    from tidemark.plans import catalog_scores
+
+    rows = registered.queries()["permutation_null"](spark, sf).collect()
+    got = {(r["series"], r["trial"]): r for r in rows}
+    scores = {}
+    for r in catalog_scores._scores(spark, sf).orderBy("month_idx").collect():
+        scores.setdefault(r["series"], []).append((r["signal"], r["outcome_event"]))
+    trials = baselines.Contract().trials
+    assert trials == 10_000 and len(scores) == 5
+    assert len(rows) == len(got) == 5 * trials and {k[0] for k in got} == set(scores)
+    for series, points in scores.items():
+        stream = random.Random(20260719)
+        for trial in range(50):
+            order = baselines.block_permutation(len(points), 12, 12, stream)
+            episodes = scored = hits = 0
+            before = None
+            for t, s in enumerate(order):
+                signal, event = points[s][0], points[t][1]
+                if signal and not before:
+                    episodes += 1
+                    scored += event is not None
+                    hits += bool(event)
+                before = signal
+            r = got[series, trial]
+            assert (r["episodes"], r["scored_episodes"], r["hits"]) == (episodes, scored, hits)
+            assert r["lead_rate"] == (hits / scored if scored else None)

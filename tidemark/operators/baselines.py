@@ -182,12 +182,15 @@ def block_permutation(
         return ()
     for _ in range(attempts):
         turn = rng.randrange(length)
-        turned = [(turn + i) % length for i in range(length)]
-        blocks = [turned[i : i + block] for i in range(0, length, block)]
-        rng.shuffle(blocks)
-        order = [i for b in blocks for i in b]
-        if all(min(abs(t - s), length - abs(t - s)) > embargo for t, s in enumerate(order)):
-            return tuple(order)
+        starts = list(range(0, length, block))
+        rng.shuffle(starts)
+        at, far = 0, True
+        for start in starts:  # all indexes of a block move by the same distance
+            moved = (turn + start - at) % length
+            far = far and min(moved, length - moved) > embargo
+            at += min(block, length - start)
+        if far:
+            return tuple((turn + i) % length for start in starts for i in range(start, min(start + block, length)))
     return ()
 
 
@@ -197,7 +200,6 @@ def permutation_table(
     """(trial, target, source) of every trial: one seeded stream over all of them, so trials reproduce exactly."""
     stream, rows = rng(contract.seed), []
     for trial in range(contract.trials):
-        order = block_permutation(length, contract.block, contract.embargo, stream)
-        rows += [(trial, t, s) for t, s in enumerate(order)] or [(trial, None, None)]
-    frame = pd.DataFrame(rows, columns=["trial", "target", "source"]).astype({"target": "Int64", "source": "Int64"})
-    return spark.createDataFrame(frame, "trial int, target int, source int")
+        rows.append((trial, list(block_permutation(length, contract.block, contract.embargo, stream))))
+    frame = spark.createDataFrame(rows, "trial int, sources array<int>")
+    return frame.select("trial", F.posexplode_outer("sources").alias("target", "source"))

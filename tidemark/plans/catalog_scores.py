@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,7 +15,7 @@ from tidemark.plans import fixtures as fx
 from tidemark.plans.catalog import OPEN_DAYS, query
 from tidemark.sources import archive
 
-CONTRACT = baselines.Contract(trials=200)
+CONTRACT = baselines.Contract()
 
 
 # --- families and tiers ----------------------------------------------------------------------------------------------
@@ -388,18 +390,26 @@ def var_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def permutation_null(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lead rates of the signals of one series under joint block permutations: the null of no lead."""
-    points = _scores(spark, sf_dir).where("series = '1-URGENT'").select("month_idx", "signal", "outcome_event")
-    order = Window.partitionBy().orderBy("month_idx")  # one series: at most a few hundred months
-    points = points.withColumn("idx", F.row_number().over(order) - 1)
-    table = baselines.permutation_table(spark, points.count(), CONTRACT)
-    source = points.select(F.col("idx").alias("source"), "signal")
-    target = points.select(F.col("idx").alias("target"), "month_idx", "outcome_event")
-    moved = table.where("target is not null").join(F.broadcast(source), "source").join(F.broadcast(target), "target")
-    trials = outcomes.summarize(outcomes.score_signals(moved, ["trial"]), ["trial"])
-    every = table.select("trial").distinct().join(trials, "trial", "left")
+    """Lead rates of each series' signals under joint block permutations: the null of no lead.
+
+    Every series has the contract's trials, from the contract's seed; series of equal length share their table.
+    """
+    points = _scores(spark, sf_dir).select("series", "month_idx", "signal", "outcome_event")
+    order, whole = Window.partitionBy("series").orderBy("month_idx"), Window.partitionBy("series")
+    points = points.withColumns({"idx": F.row_number().over(order) - 1, "length": F.count(F.lit(1)).over(whole).cast("int")})
+    lengths = points.select("series", "length").distinct().collect()  # one row per series
+    tables = [
+        baselines.permutation_table(spark, n, CONTRACT).withColumn("length", F.lit(n)) for n in sorted({r["length"] for r in lengths})
+    ]
+    table = functools.reduce(DataFrame.unionByName, tables)
+    table = table.join(F.broadcast(spark.createDataFrame(lengths, "series string, length int")), "length").drop("length")
+    source = points.select("series", F.col("idx").alias("source"), "signal")
+    target = points.select("series", F.col("idx").alias("target"), "month_idx", "outcome_event")
+    moved = table.where("target is not null").join(F.broadcast(source), ["series", "source"]).join(F.broadcast(target), ["series", "target"])
+    trials = outcomes.summarize(outcomes.score_signals(moved, ["series", "trial"]), ["series", "trial"])
+    every = table.select("series", "trial").distinct().join(trials, ["series", "trial"], "left")
     status = F.when(F.col("points").isNull(), "embargo_abstention").when(F.col("lead_rate").isNull(), "no_signal_episode").otherwise("scored")
-    return every.select("trial", "episodes", "scored_episodes", "hits", "lead_rate", status.alias("status"))
+    return every.select("series", "trial", "episodes", "scored_episodes", "hits", "lead_rate", status.alias("status"))
 
 
 # --- comparisons -----------------------------------------------------------------------------------------------------
