@@ -189,6 +189,23 @@ def test_comparison_decides_beside_articles(spark):
         assert texts[20 + n] == f"Body {n}"
 
 
+def test_copies_over_several_partitions(spark):
+    from tidemark.llm.html import _outlines, template_lines
+
+    page = "<div>Site name</div><div>Body {}</div><div>All rights</div>".format
+    rows = [(k, f"http://a.org/{k:02}", page(0 if k < 2 else 1 if k < 20 else k)) for k in range(22)]
+    rows += [(k, f"http://b.org/{k:02}", page("copy")) for k in range(22, 34)]
+    found = []
+    for parts in (1, 7, 17, 34):
+        # partitions of equal length, in order: copies fill several of them
+        pairs = spark.sparkContext.parallelize(rows, parts)
+        frame = spark.createDataFrame(pairs, "key long, url string, page string")
+        lines = frame.mapInPandas(_outlines, "host string, path string, key long, lines array<long>, undecided boolean, whole long")
+        found.append({r["key"]: list(r["shared"]) for r in template_lines(lines).collect()})
+    assert found[0] == {k: [0, 2] for k in range(22)}
+    assert all(f == found[0] for f in found)
+
+
 def test_common_lines_is_a_longest_subsequence():
     from tidemark.llm.html import common_lines
 

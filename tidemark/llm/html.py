@@ -204,44 +204,57 @@ def _edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     from pyspark import TaskContext
 
     part = TaskContext.get().partitionId()
-    rows = [(part, n, r.host, r.path, list(r.lines), r.whole) for n, r in enumerate([*first, *last])]
+    rows = [(part, n, r.host, r.path, list(r.lines), r.whole) for n, r in (*enumerate(first), *enumerate(last, 2))]
     yield pd.DataFrame(rows, columns=["part", "n", "host", "path", "lines", "whole"])
 
 
+def _carried(partitions: list[list[tuple]]) -> list[list[tuple]]:
+    """The two nearest different pages ahead of each partition, nearest first; of equal pages the nearest one.
+
+    A page that equals the nearest differs from the other one: two are enough, however many partitions copies fill.
+    """
+    out, near_by = [], []
+    for pages in partitions:
+        out.append(near_by)
+        for page in pages:
+            equal = near_by and (near_by[0][0], near_by[0][3]) == (page[0], page[3])
+            near_by = [page, *(near_by[1:] if equal else near_by[:1])]
+    return out
+
+
 def template_lines(outlines: DataFrame) -> DataFrame:
     """(key, shared): for pages with undecided lines, the places (among the lines compared) shared with the template.
 
     ``outlines`` are sorted by host and path over all partitions. Partitions are read in order as streams, so a host with
-    a third of all pages is dealt to many tasks; the few pages at the partitions' edges are handed to the neighbours.
+    a third of all pages is dealt to many tasks; the few pages at the partitions' edges are handed to the others, over
+    any number of partitions that copies fill.
     """
     edges: dict[int, list] = {}
     for r in outlines.mapInPandas(_edges, "part int, n int, host string, path string, lines array<long>, whole long").collect():
-        edges.setdefault(r["part"], []).append((r["n"], r["host"], r["path"], list(r["lines"]), r["whole"]))
+        edges.setdefault(r["part"], []).append((r["n"], (r["host"], r["path"], list(r["lines"]), r["whole"])))
     order = sorted(edges)
-    shared = outlines.sparkSession.sparkContext.broadcast(
-        {
-            p: (
-                max(edges[order[n - 1]])[1:] if n else None,
-                min(edges[order[n + 1]])[1:] if n + 1 < len(order) else None,
-            )
-            for n, p in enumerate(order)
-        }
-    )
+    ahead = _carried([[page for n, page in sorted(edges[p]) if n >= 2] for p in order])
+    behind = _carried([[page for n, page in sorted(edges[p], reverse=True) if n < 2] for p in reversed(order)])
+    shared = outlines.sparkSession.sparkContext.broadcast(dict(zip(order, zip(ahead, reversed(behind)))))
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        before, after = shared.value.get(TaskContext.get().partitionId(), (None, None))
+        before, after = shared.value.get(TaskContext.get().partitionId(), ([], []))
         waiting: list[tuple] = []  # equal pages, that still wait for the next different one
 
-        def settle(following: tuple | None) -> Iterator[tuple[int, list[int]]]:
+        def settle(following: list[tuple]) -> Iterator[tuple[int, list[int]]]:
+            found: dict[int, list[int]] = {}  # by rival: copies have the same lines
             for key, undecided, host, path, lines, whole in waiting:
                 if not undecided:
                     continue
-                rivals = [r for r in (before, following) if r and r[0] == host and r[3] != whole]
+                sides = (next((r for r in side if (r[0], r[3]) != (host, whole)), None) for side in (before, following))
+                rivals = [r for r in sides if r and r[0] == host]
                 if rivals:
                     best = max(rivals, key=lambda r: near(path, r[1]))
-                    yield key, common_lines(lines, best[2])
+                    if id(best) not in found:
+                        found[id(best)] = common_lines(lines, best[2])
+                    yield key, found[id(best)]
 
         for batch in batches:
             done: list[tuple[int, list[int]]] = []
@@ -250,8 +263,8 @@ def template_lines(outlines: DataFrame) -> DataFrame:
                 if waiting and waiting[-1][5] == page[3]:
                     page = (row.host, row.path, waiting[-1][4], row.whole)  # copies share one list
                 if waiting and (waiting[-1][5] != page[3] or waiting[-1][2] != page[0]):
-                    done += settle(page)
-                    before, waiting = waiting[-1][2:], []
+                    done += settle([page])
+                    before, waiting = [waiting[-1][2:]], []
                 if waiting and not waiting[-1][1]:
                     waiting.pop()  # nothing of that page is undecided, and this one stands for it as a neighbour
                 waiting.append((row.key, row.undecided, *page))
