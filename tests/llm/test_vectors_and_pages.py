@@ -206,6 +206,25 @@ def test_copies_over_several_partitions(spark):
     assert all(f == found[0] for f in found)
 
 
+def test_elements_without_text_end():
+    from tidemark.llm.html import lines_of
+
+    def texts(page):
+        return [t for t, _ in lines_of(page)]
+
+    for name in ("svg", "math", "iframe", "object", "select", "template", "noscript"):
+        for mark in (f"<{name}/>", f'<{name} id="x" />', f"<{name}-icon a=b></{name}-icon>", f"<{name}>"):
+            page = f"<body><div>One {mark} two</div><article><p>Three</p></article></body></html>"
+            assert texts(page) == ["One two", "Three"], page
+        later = f"<body><{name}/><p>One</p><{name}>x</{name}><p>Two</p>"
+        assert texts(later) == (["One", "x", "Two"] if name == "math" else ["One", "Two"])
+    for page in ("a <svg><g><svg><text>x</text></svg><title/><text>y</text></g></svg> b", "a <select><option>x<option>y</select> b"):
+        assert texts(f"<p>{page}</p>") == ["a b"]
+    assert texts("<p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> be</p>") == ["Let x=2 be"]
+    assert texts("<script>var a='<p>';</script><script/>x</script><style>p{}</style><p>b</p><noscript></p><i>n</noscript> c") == ["b", "c"]
+    assert texts("<p>a</p><script>never closed") == ["a"] and texts("<script-like>a</script-like>") == ["a"]
+
+
 def test_common_lines_is_a_longest_subsequence():
     from tidemark.llm.html import common_lines
 

@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import col, cut, fresh, small_batches
 
 # Elements and names that the web uses for what is no main text.
-RAW = "script|style|noscript|template|textarea|iframe|svg|object|select|title|math"
+RAW = "script|style|textarea|title"  # no tags inside: they end with their closing tag or the page
+UNSEEN = {"noscript", "template", "iframe", "svg", "object", "select"}  # no text of the page inside, if they are closed
 DROPPED = {"nav", "footer", "aside", "form", "button", "dialog", "menu", "head", "label", "fieldset", "datalist"}
 NAMES = {
     "ad", "ads", "advert", "adverts", "advertisement", "adsense", "adslot", "banner", "sponsor", "sponsored", "promo",
@@ -41,9 +42,10 @@ BLOCKS = set(
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<[!?][^>]*>",
+    rf"<!--.*?(?:-->|\Z)|<({RAW})(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<[!?][^>]*>",
     re.IGNORECASE | re.DOTALL,
 )
+_EMPTY = re.compile(rf"<(?:{RAW})(?=[\s/>])[^>]*/>", re.IGNORECASE)
 _ATTR = re.compile(r"(?<![\w-])(class|id|role|style|aria-hidden|hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]*))?", re.IGNORECASE)
 _NAME = re.compile(r"[a-z0-9]+")
 
@@ -74,14 +76,17 @@ def _level(tag: str, attrs: str, now: int) -> int:
     return level
 
 
-def lines_of(page: str | None) -> list[tuple[str, int]]:
-    """The text lines (blocks) of a page, with their levels; references decoded, white space made single spaces."""
+def lines_of(page: str | None, seen: frozenset[str] = frozenset()) -> list[tuple[str, int]]:
+    """The text lines (blocks) of a page, with their levels; references decoded, white space made single spaces.
+
+    Elements named in ``seen`` are read although they are ``UNSEEN``: one of them is never closed on this page.
+    """
     out: list[tuple[str, int]] = []
     if not page:
         return out
     stack: list[tuple[str, int]] = []
     level, parts, at = OPEN, [], 0
-
+    unseen = 0  # the length of the stack with an unseen element on its top
     def flush() -> None:
         if parts:
             text = " ".join(entities.unescape("".join(parts)).split())
@@ -89,33 +94,50 @@ def lines_of(page: str | None) -> list[tuple[str, int]]:
                 out.append((text, level))
             parts.clear()
 
-    for m in _TOKEN.finditer(page):
-        if m.start() > at:
+    while m := _TOKEN.search(page, at):
+        if m.start() > at and not unseen:
             parts.append(page[at : m.start()])
         at = m.end()
         if m[3] is None:
+            if m[1] and unseen and (own := _EMPTY.match(page, m.start())):
+                at = own.end()  # in drawings <title/> and <style/> are empty
             continue
         tag = m[3].lower()
-        if tag in BLOCKS:
+        own = stack[unseen - 1][0] if unseen else ""
+        if own in ("iframe", "noscript") and not (m[2] and tag == own):
+            continue
+        if tag in BLOCKS and not m[2] and not unseen:
             flush()
-        if tag == "br":
+        if tag == "br" and not unseen:
             parts.append(" ")
         if tag in VOID:
             continue
         if m[2]:
-            for n in range(len(stack) - 1, -1, -1):
-                if stack[n][0] == tag:
-                    level = stack[n][1]
-                    del stack[n:]
-                    break
-        elif not m[4].endswith("/") or tag in BLOCKS:
+            n = next((n for n in range(len(stack) - 1, -1, -1) if stack[n][0] == tag), None)
+            if n is not None and n < unseen - 1:
+                return lines_of(page, seen | {own})  # what is around it ends first
+            if n is not None and n == unseen - 1:
+                unseen = 0
+            if not unseen and (tag in BLOCKS or n is not None and stack[n][1] != level):
+                flush()
+            if n is not None:
+                level = stack[n][1]
+                del stack[n:]
+        elif not m[4].endswith("/") or (tag in BLOCKS and not unseen):
             if tag == "p" and stack and stack[-1][0] == "p":
                 level = stack.pop()[1]
             stack.append((tag, level))
+            if unseen:
+                continue
+            if tag in UNSEEN and tag not in seen:
+                unseen = len(stack)
+                continue
             inner = _level(tag, m[4], level)
             if inner != level:
                 flush()
                 level = inner
+    if unseen:
+        return lines_of(page, seen | {stack[unseen - 1][0]})
     parts.append(page[at:])
     flush()
     return out
