@@ -206,6 +206,26 @@ def test_copies_over_several_partitions(spark):
     assert all(f == found[0] for f in found)
 
 
+def test_names_inside_articles(spark):
+    from tidemark.llm.html import extract_main_text
+
+    def page(n):
+        body = (
+            f'<h2 id="search">Search {n}</h2><section id="related-work"><h3 id="comments">On comments</h3><p>Work {n}</p></section>'
+            f'<div class="share-price">Price {n}</div><fieldset>Field {n}</fieldset><label>Label {n}</label><button>Push {n}</button>'
+            f'<div class="ad-hoc">Made {n}</div><p>Cookies {n}</p><div id="cookies">Recipe {n}</div>'
+            f'<div class="share">Tell your friends</div><button>Print</button>'  # template: the comparison finds it
+            f'<div class="ad-slot-2">Buy {n}</div><div class="cookie-notice">We use cookies {n}</div>'
+            f'<section class="comments-area">Reader {n}</section><form>Mail {n}</form><nav>To {n}</nav><p>End</p>'
+        )
+        return (n, f"http://a.org/{n}", f"<header>Site</header><article>{body}</article>")
+
+    frame = spark.createDataFrame([page(n) for n in range(3)], "page_id long, url string, html string").repartition(2)
+    for r in extract_main_text(frame).collect():
+        kept = ["Search {}", "On comments", "Work {}", "Price {}", "Field {}", "Label {}", "Push {}", "Made {}", "Cookies {}", "Recipe {}", "End"]
+        assert r["text"].split("\n\n") == [k.format(r["page_id"]) for k in kept]
+
+
 def test_elements_without_text_end():
     from tidemark.llm.html import lines_of
 

@@ -49,13 +49,59 @@ _EMPTY = re.compile(rf"<(?:{RAW})(?=[\s/>])[^>]*/>", re.IGNORECASE)
 _ATTR = re.compile(r"(?<![\w-])(class|id|role|style|aria-hidden|hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]*))?", re.IGNORECASE)
 _NAME = re.compile(r"[a-z0-9]+")
 
-#: What the markup says of a line: boilerplate, nothing, part of the main element, part of an article.
-MARKED, OPEN, MAIN, ARTICLE = 0, 1, 2, 3
+# Inside an article only what is surely none of it: names of adverts, notices and comments, alone or with words of layout.
+FORMS = {"nav", "form", "dialog", "menu", "head", "datalist"}
+SURE = set("ad ads advert adverts advertisement adsense adslot sponsored gdpr consent comment comments disqus".split())
+LAYOUT = set("area bar block bottom box container form inner item left list outer right section slot thread top unit wrap wrapper".split())
+
+#: What the markup says of a line: boilerplate, nothing, part of the main element, a doubtful part of an article, part of it.
+MARKED, OPEN, MAIN, DOUBT, ARTICLE = 0, 1, 2, 3, 4
+
+
+def _surely(value: str) -> bool:
+    """Whether one of the names is that of an advert, a notice or comments, as a whole."""
+    for name in value.split():
+        words = {w for w in _NAME.findall(name) if not w.isdigit()}
+        cookies = words & {"cookie", "cookies"} and len(words & NAMES) > 1
+        if (words & SURE or cookies) and words <= NAMES | LAYOUT | SURE:
+            return True
+    return False
+
+
+def _article_level(tag: str, attrs: str, now: int) -> int:
+    """The level inside an element of an article: dropped if it surely is none of it, compared if in doubt."""
+    if tag in FORMS:
+        return MARKED
+    level = DOUBT if tag in DROPPED else now
+    if not attrs or tag == "article":
+        return level
+    for m in _ATTR.finditer(attrs):
+        name, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
+        if name == "style":
+            if re.search(r"display\s*:\s*none", value):
+                return MARKED
+        elif name in ("hidden", "aria-hidden"):
+            if value != "false":
+                return MARKED
+        elif name == "role":
+            if value in ("navigation", "search", "menu", "toolbar"):
+                return MARKED
+            if set(_NAME.findall(value)) & NAMES:
+                level = DOUBT
+        elif name == "id" and (tag == "section" or re.fullmatch("h[1-6]", tag)):
+            continue  # the name of a place in the text
+        elif _surely(value):
+            return MARKED
+        elif set(_NAME.findall(value)) & NAMES:
+            level = DOUBT
+    return level
 
 
 def _level(tag: str, attrs: str, now: int) -> int:
     """The level inside an element that starts at level ``now``."""
-    if now == MARKED or tag in DROPPED or (tag == "header" and now < ARTICLE):
+    if now >= DOUBT:
+        return _article_level(tag, attrs, now)
+    if now == MARKED or tag in DROPPED or tag == "header":
         return MARKED
     level = max(now, {"article": ARTICLE, "main": MAIN}.get(tag, OPEN))
     if attrs and tag not in ("html", "body", "article", "main"):
@@ -71,7 +117,7 @@ def _level(tag: str, attrs: str, now: int) -> int:
                 level = max(level, MAIN if value == "main" else ARTICLE)
             else:
                 words = set(_NAME.findall(value))
-                if words & NAMES or ("header" in words and now < ARTICLE):
+                if words & NAMES or "header" in words:
                     return MARKED
     return level
 
