@@ -320,6 +320,18 @@ def test_toxicity(spark, none):
     assert set(empty.weights) == set(toxicity.SEEDS)
 
 
+def test_toxicity_learns_rare_words(spark):
+    from tidemark.llm import toxicity
+
+    # Fifteen of 2,000 toxic texts are of a language of their own.
+    rows = [(n, f"a{n}x you {'grobnik' if n < 15 else 'common'}slur there", 1) for n in range(2000)]
+    rows += [(n, f"b{n}x you kind word there", 0) for n in range(2000, 6000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit(docs.drop("toxic"), docs.drop("text"))
+    assert {"grobnikslur", "commonslur"} <= set(model.weights)
+    assert not {"you", "there", "kind", "word"} & set(model.weights)
+
+
 def test_toxicity_folds_and_spares():
     from tidemark.llm import toxicity
 
