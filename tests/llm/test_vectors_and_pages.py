@@ -4,6 +4,7 @@ import html as entities
 import math
 import random
 import re
+from collections import Counter, defaultdict
 
 import pytest
 
@@ -161,9 +162,8 @@ def test_main_text(spark):
         elif i < 107:
             want[i] = f"Body of page {min(i - 100, 5)}\n\nAlso {min(i - 100, 5)}"
     want |= {200: "", 201: "Only page", 202: ""}
-    for options in ({}, {"small_rows": 0}):
-        made = extract_main_text(frame.withColumnRenamed("html", "page"), html_col="page", **options)
-        assert {r["page_id"]: r["text"] for r in made.collect()} == want
+    made = extract_main_text(frame.withColumnRenamed("html", "page"), html_col="page")
+    assert {r["page_id"]: r["text"] for r in made.collect()} == want
     assert extract_main_text(spark.createDataFrame([], frame.schema)).count() == 0
     twice = extract_main_text(frame.unionByName(frame)).collect()
     assert len(twice) == 2 * len(table) and all(r["text"] == want[r["page_id"]] for r in twice)
@@ -190,7 +190,7 @@ def test_comparison_decides_beside_articles(spark):
 
 
 def test_copies_over_several_partitions(spark):
-    from tidemark.llm.html import _outlines, template_lines
+    from tidemark.llm.html import _OUTLINE, _outlines, compared
 
     page = "<div>Site name</div><div>Body {}</div><div>All rights</div>".format
     rows = [(k, f"http://a.org/{k:02}", page(0 if k < 2 else 1 if k < 20 else k)) for k in range(22)]
@@ -200,9 +200,8 @@ def test_copies_over_several_partitions(spark):
         # partitions of equal length, in order: copies fill several of them
         pairs = spark.sparkContext.parallelize(rows, parts)
         frame = spark.createDataFrame(pairs, "key long, url string, page string")
-        lines = frame.mapInPandas(_outlines, "host string, path string, key long, lines array<long>, undecided boolean, whole long")
-        found.append({r["key"]: list(r["shared"]) for r in template_lines(lines).collect()})
-    assert found[0] == {k: [0, 2] for k in range(22)}
+        found.append({r["key"]: list(r["marks"]) for r in compared(frame.mapInPandas(_outlines, _OUTLINE)).collect()})
+    assert found[0] == {k: [2, 0, 2] for k in range(22)}
     assert all(f == found[0] for f in found)
 
 
@@ -212,25 +211,26 @@ def test_names_inside_articles(spark):
     def page(n):
         body = (
             f'<h2 id="search">Search {n}</h2><section id="related-work"><h3 id="comments">On comments</h3><p>Work {n}</p></section>'
-            f'<div class="share-price">Price {n}</div><fieldset>Field {n}</fieldset><label>Label {n}</label><button>Push {n}</button>'
+            f'<div class="share-price">Price {n}</div><fieldset>Field {n}</fieldset><label>Label {n}</label>'
             f'<div class="ad-hoc">Made {n}</div><p>Cookies {n}</p><div id="cookies">Recipe {n}</div>'
             f'<div class="share">Tell your friends</div><button>Print</button>'  # template: the comparison finds it
             f'<div class="ad-slot-2">Buy {n}</div><div class="cookie-notice">We use cookies {n}</div>'
             f'<section class="comments-area">Reader {n}</section><form>Mail {n}</form><nav>To {n}</nav><p>End</p>'
+            f'<p>In <b>one</b> <span class="ad">Buy {n}</span>block<button>Push {n}</button> <a class="share">Share {n}</a></p>'
         )
         return (n, f"http://a.org/{n}", f"<header>Site</header><article>{body}</article>")
 
     frame = spark.createDataFrame([page(n) for n in range(3)], "page_id long, url string, html string").repartition(2)
     for r in extract_main_text(frame).collect():
-        kept = ["Search {}", "On comments", "Work {}", "Price {}", "Field {}", "Label {}", "Push {}", "Made {}", "Cookies {}", "Recipe {}", "End"]
+        kept = ["Search {}", "On comments", "Work {}", "Price {}", "Field {}", "Made {}", "Cookies {}", "Recipe {}", "End", "In one block"]
         assert r["text"].split("\n\n") == [k.format(r["page_id"]) for k in kept]
 
 
 def test_elements_without_text_end():
-    from tidemark.llm.html import lines_of
+    from tidemark.llm.html import blocks_of, spans_of
 
     def texts(page):
-        return [t for t, _ in lines_of(page)]
+        return blocks_of(spans_of(page))
 
     for name in ("svg", "math", "iframe", "object", "select", "template", "noscript"):
         for mark in (f"<{name}/>", f'<{name} id="x" />', f"<{name}-icon a=b></{name}-icon>", f"<{name}>"):
@@ -258,13 +258,111 @@ def test_common_lines_is_a_longest_subsequence():
         return row[-1]
 
     rng = random.Random(7)
-    for _ in range(300):
-        a = [rng.randrange(5) for _ in range(rng.randrange(14))]
-        b = [rng.randrange(5) for _ in range(rng.randrange(14))]
-        at = common_lines(a, b)
-        assert at == sorted(set(at)) and len(at) == longest(a, b)
-        it = iter(b)
-        assert all(any(x == y for y in it) for x in (a[i] for i in at))
+    for bits in (1 << 28, 9):  # with small numbers, lists are halved
+        for _ in range(300):
+            a = [rng.randrange(5) for _ in range(rng.randrange(14))]
+            b = [rng.randrange(5) for _ in range(rng.randrange(14))]
+            at = common_lines(a, b, bits)
+            assert at == sorted(set(at)) and len(at) == longest(a, b)
+            it = iter(b)
+            assert all(any(x == y for y in it) for x in (a[i] for i in at))
+
+
+def test_long_pages_take_linear_time():
+    import time
+
+    from tidemark.llm.html import blocks_of, common_lines, spans_of
+
+    begun = time.monotonic()
+    assert blocks_of(spans_of("<p>a</p>" + "<a " * 200_000)) == ["a"]
+    assert len(blocks_of(spans_of('<a ">" ' * 100_000))) <= 1
+    assert blocks_of(spans_of("<b>" * 100_000 + "x" + "</i>" * 100_000)) == ["x"]
+    assert len(common_lines([1] * 20_000 + [2], [3] + [1] * 30_000)) == 20_000
+    assert time.monotonic() - begun < 20
+
+
+def test_template_without_telling_markup(spark):
+    """A footer that differs in one piece, around articles and without any: its place is template on the host."""
+    from tidemark.llm.html import extract_main_text
+
+    table = []
+    for n in range(8):
+        menu = "<div class=top><div>Start</div><div>Topics</div></div>"
+        foot = f"<div class=bottom>&copy; host | day {n * n}</div></body></html>"
+        table.append((n, f"http://div.org/{n}", f"<html><body>{menu}<div class=text><p>Body {n}</p><p>More {n * 7}</p></div>{foot}"))
+        # an article around everything, the menu too: markup protects all of it but what is surely none
+        table.append((10 + n, f"http://all.org/{n}", f"<body><article><nav>To {n}</nav><p>Body {n}</p><p>quoted</p></article>{foot}"))
+    got = extract_main_text(spark.createDataFrame(table, "page_id long, url string, html string").repartition(3)).collect()
+    texts = {r["page_id"]: r["text"] for r in got}
+    for n in range(8):
+        assert texts[n] == f"Body {n}\n\nMore {n * 7}"
+        assert texts[10 + n] == f"Body {n}\n\nquoted"
+
+
+def brute_main_texts(rows):
+    """(page_id, url, html) -> text: neighbours by search, alignment by the full table, places counted in dictionaries."""
+    from tidemark.llm.html import ARTICLE, MARKED, blocks_of, near, pieces_of, place_of, spans_of
+
+    def shared(a, b):
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+        return best[-1][-1]
+
+    pages = {}
+    for i, url, page in rows:
+        spans = spans_of(page)
+        pages[i] = (*place_of(url), spans, [(n, p) for n, s in enumerate(spans) for p in pieces_of(s[1])], page)
+    marks, places = {}, defaultdict(lambda: [0, 0])
+    by_host = defaultdict(list)
+    for i, p in pages.items():
+        by_host[p[0]].append((p[1], i))
+    for host, members in by_host.items():
+        members.sort()
+        for at, (path, i) in enumerate(members):
+            _, _, spans, pieces, _ = pages[i]
+            sides = (range(at - 1, -1, -1), range(at + 1, len(members)))
+            rivals = [next((members[m] for m in side if pages[members[m][1]][3] != pieces), None) for side in sides]
+            rivals = [r for r in rivals if r]
+            if not rivals or not spans:
+                continue
+            other = [p for _, p in pages[max(rivals, key=lambda r: near(path, r[0]))[1]][3]]
+            mine = [p for _, p in pieces]
+            n_all = shared(mine, other)
+            marks[i] = (mine, other, n_all)
+    return pages, marks
+
+
+def test_brute_force_over_the_small_table(spark, sf):
+    """Every page's comparison is as long as the full table says, and the texts follow from the marks."""
+    from tidemark.llm import html as H
+
+    table = spark.read.parquet(f"{sf}/pages.parquet")
+    rows = [tuple(r) for r in table.select("page_id", "url", "html").collect()]
+    pages, rivals = brute_main_texts(rows)
+    counts, marked = defaultdict(lambda: [0, 0]), {}
+    for i, (mine, other, n_all) in rivals.items():
+        at = H.common_lines([hash(x) for x in mine], [hash(x) for x in other])
+        assert len(at) == n_all
+        spans, owner = pages[i][2], [n for n, _ in pages[i][3]]
+        there, hit = Counter(owner), Counter(owner[a] for a in at)
+        marked[i] = [2 if hit[n] == there[n] else 1 if hit[n] else 0 for n in range(len(spans))]
+        for s, m in zip(spans, marked[i]):
+            if s[2] != H.ARTICLE:
+                counts[pages[i][0], s[3]][0] += 1
+                counts[pages[i][0], s[3]][1] += m > 0
+    template = {k for k, (n, t) in counts.items() if n >= 2 and 10 * t >= 9 * n}
+    want, by_comparison, by_markup = {}, 0, 0
+    for i, (host, _, spans, _, _) in pages.items():
+        shared = {n for n, m in enumerate(marked.get(i, [])) if spans[n][2] != H.ARTICLE and (m == 2 or (host, spans[n][3]) in template)}
+        said = {n for n, s in enumerate(spans) if s[2] == H.MARKED}
+        by_comparison, by_markup = by_comparison + len(shared), by_markup + len(said - shared)
+        want[i] = "\n\n".join(H.blocks_of(spans, shared | said))
+    got = {r["page_id"]: r["text"] for r in H.extract_main_text(table).collect()}
+    assert got == want
+    assert by_comparison >= len(rows)  # every page's footer, at least
+    print(f"spans removed by comparison {by_comparison}, by markup alone {by_markup}")
 
 
 def test_pages_of_the_small_tables(spark, sf):
