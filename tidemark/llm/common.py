@@ -31,10 +31,16 @@ def col(df: DataFrame, name: str) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in ``spark.checkpoint.dir``; a temporary one only where the session has none."""
+    """The folder that the cluster names in ``spark.checkpoint.dir``.
+
+    Only a local session, whose executors are the driver, may have none: it gets a temporary one. A cluster without a
+    shared folder is refused.
+    """
     context = spark.sparkContext
     folder = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not folder:
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir names no folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-checkpoint-"))
         folder = context.getCheckpointDir()
     return folder.rstrip("/")
@@ -46,12 +52,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Bound the rows of an Arrow batch, so that batches of very long texts stay small."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key))
-    if now <= 0 or now > rows:
-        spark.conf.set(key, str(rows))
+def small_batches(spark: SparkSession, megabytes: int = 4) -> None:
+    """Bound the bytes of an Arrow batch, so that Python workers hold few long texts at once.
+
+    This is a setting of the session, as plans read it when they run; it only lowers a bound, and changes no result.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = int(spark.conf.get(key).rstrip("b"))
+    if now <= 0 or now > megabytes << 20:
+        spark.conf.set(key, f"{megabytes << 20}b")
 
 
 def ascii_lower(text: Column) -> Column:

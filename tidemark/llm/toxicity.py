@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import col, fresh, small_batches
+from tidemark.llm.common import col, cut, fresh, small_batches
 
 # Letters of other scripts that look like Latin ones, and digits used as letters.
 HOMOGLYPHS = {
@@ -81,8 +81,18 @@ def hits(text: str, automaton: ahocorasick.Automaton) -> float:
             continue
         (found if weight else spared).append((start, end, weight))
     if spared:
-        found = [f for f in found if not any(s[0] <= f[0] and f[1] <= s[1] for s in spared)]
-    return float(sum(f[2] for f in found))
+        # One sweep over both in order of their starts: a phrase that covers a match has started before, and ends last.
+        found.sort()
+        spared.sort()
+        at, reach, left = 0, -1, []
+        for f in found:
+            while at < len(spared) and spared[at][0] <= f[0]:
+                reach = max(reach, spared[at][1])
+                at += 1
+            if f[1] > reach:
+                left.append(f)
+        found = left
+    return math.fsum(f[2] for f in found)
 
 
 def features(weight: float, chars: int) -> tuple[float, float]:
@@ -117,18 +127,18 @@ def fit(
     label_col: str = "toxic",
     max_toxic: int = 4000,
     max_clean: int = 8000,
-    max_words: int = 2000,
-    least: int = 2,
+    least_odds: float = 2.2,
 ) -> ToxicityModel:
     """Learn a model from labelled documents.
 
-    The bounds are parameters: at most ``max_toxic`` and ``max_clean`` labelled rows (the first by a hash of the id), of
-    which at most ``max_words`` words are kept. Only word counts and two numbers a row reach the driver; the sample is
-    broadcast as ids with labels, so its size is bounded too. Rows with a null id, label or text are not used; equal
-    texts count once. Without labelled rows the seeds alone make the model.
+    The bounds are parameters: at most ``max_toxic`` and ``max_clean`` labelled rows (the first by a hash of the id).
+    These rows are read once and written to the shared folder; only the lexicon and two numbers a row reach the driver.
+    Rows with a null id, label or text are not used; equal texts count once. Without labelled rows the seeds alone make
+    the model.
 
-    A word of three letters or more, in ``least`` toxic texts or more, enters the lexicon if its odds, less one standard
-    error, are high enough: some eleven toxic texts of 4,000 and no clean one of 8,000 suffice, in whatever language.
+    A word of two letters or more enters the lexicon if the logarithm of its odds, less one standard error, is
+    ``least_odds`` or more: some ten toxic texts of 4,000 and no clean one of 8,000 suffice, in whatever language. No
+    word that passes is left out.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -140,7 +150,7 @@ def fit(
     toxic = known.where("lab = 1").orderBy(*dealt).limit(max_toxic)
     clean = known.where("lab = 0").orderBy(*dealt).limit(max_clean)
     sample = docs.select(col(docs, id_col).alias("doc"), col(docs, text_col).alias("body")).where("body is not null")
-    sample = sample.join(F.broadcast(toxic.union(clean)), F.col("doc") == F.col("lab_id")).select("lab", "body")
+    sample = cut(sample.join(F.broadcast(toxic.union(clean)), F.col("doc") == F.col("lab_id")).select("lab", "body"))
 
     @F.pandas_udf("array<string>")
     def words(texts: pd.Series) -> pd.Series:
@@ -152,29 +162,20 @@ def fit(
         .agg(F.first("words").alias("words"))
     )
     totals = {r["lab"]: r["n"] for r in seen.groupBy("lab").agg(F.count(F.lit(1)).alias("n")).collect()}
-    n_toxic, n_clean = totals.get(1, 0), totals.get(0, 0)
-    counted = (
-        seen.select("lab", F.explode("words").alias("word"))
-        .groupBy("word")
-        .agg(F.sum("lab").alias("bad"), F.sum(1 - F.col("lab")).alias("good"))
-        .where((F.col("bad") >= least) | F.col("word").isin(*SEEDS))
-        .where(F.length("word") >= 3)
-        .orderBy(F.desc(F.col("bad") / (F.col("good") + 1)), "word")
-        .limit(max_words)
-        .collect()
+    seed = F.col("word").isin(*SEEDS)
+    # Seeds count as words of three toxic texts, and of none of 200 clean ones.
+    seeds = spark.createDataFrame([(w, 3, 0) for w in SEEDS], "word string, bad long, good long")
+    counted = seen.select(F.explode("words").alias("word"), F.col("lab").alias("bad"), (1 - F.col("lab")).alias("good"))
+    counted = counted.where(F.length("word") >= 2).unionByName(seeds).groupBy("word").agg(
+        F.sum("bad").alias("bad"), F.sum("good").alias("good")
     )
-    counts = {w: (3, 0) for w in SEEDS}
-    for r in counted:
-        bad, good = counts.get(r["word"], (0, 0))
-        counts[r["word"]] = (bad + r["bad"], good + r["good"])
-    weights = {}
-    for word, (bad, good) in counts.items():
-        # Seeds count as words of three toxic texts, and of none of 200 clean ones.
-        more_toxic, more_clean = (3, 200) if word in SEEDS else (0, 0)
-        odds = math.log((bad + 0.5) / (n_toxic + more_toxic + 4.0)) - math.log((good + 0.5) / (n_clean + more_clean + 4.0))
-        odds -= math.sqrt(1.0 / (bad + 0.5) + 1.0 / (good + 0.5))  # one standard error, so that chance finds weigh less
-        if odds >= 2.3:
-            weights[word] = round(min((odds - 2.0) / 3.0, 1.0), 6)
+    bad, good = F.col("bad") + 0.5, F.col("good") + 0.5
+    n_toxic = totals.get(1, 0) + F.when(seed, 3).otherwise(0) + 4.0
+    n_clean = totals.get(0, 0) + F.when(seed, 200).otherwise(0) + 4.0
+    # One standard error less, so that chance finds weigh less.
+    odds = F.log(bad / n_toxic) - F.log(good / n_clean) - F.sqrt(1 / bad + 1 / good)
+    lexicon = counted.select("word", odds.alias("odds")).where(F.col("odds") >= least_odds).collect()
+    weights = {r["word"]: round(min((r["odds"] - 2.0) / 3.0, 1.0), 6) for r in sorted(lexicon)}
     model = ToxicityModel(weights, EXCEPTIONS, (-3.0, 2.0, 1.0))
     shared = spark.sparkContext.broadcast(model)
 
@@ -184,7 +185,7 @@ def fit(
         for batch in texts:
             yield pd.DataFrame({"w": [hits(t, automaton) for t in batch], "n": [len(t) for t in batch]})
 
-    rows = sample.select("lab", measured("body").alias("m")).select("lab", "m.w", "m.n").collect()
+    rows = sorted(sample.select("lab", measured("body").alias("m")).select("lab", "m.w", "m.n").collect())
     x = np.array([features(r["w"], r["n"]) for r in rows]).reshape(-1, 2)
     return ToxicityModel(weights, EXCEPTIONS, fit_curve(x, np.array([r["lab"] for r in rows])))
 
