@@ -44,7 +44,8 @@ def dedup_lines(
 
     The only rows shuffled are 16-byte hashes with ids (a line's text never leaves its row) and, once, the documents
     for the final join. Counting is preceded by partial aggregation, so a line that a third of all documents share
-    costs each task one row; the join back to the lines is one that adaptive execution can split by rows.
+    costs each task one row; the join back to the lines is one that adaptive execution can split by rows. The time of a
+    text grows with its lines, however many of them go.
     """
     row, place, key, held, n_docs, last, drop, lines, mark = fresh(
         docs, "ld_row", "ld_place", "ld_key", "ld_doc", "ld_docs", "ld_last", "ld_drop", "ld_lines", "ld_mark"
@@ -77,7 +78,10 @@ def dedup_lines(
         .groupBy(row, held)
         .agg(F.collect_set(place).alias(drop))
     )
-    left = docs.withColumn(mark, named)
+    # The lines travel in place of the text: they are split once, and looked up by position after the join.
+    left = docs.select(
+        *[col(docs, c) for c in docs.columns if c != text_col], named.alias(mark), lines_of(text).alias(lines)
+    )
     # Equal rows may repeat, so the join keys only have to be those of the row.
     joined = left.join(
         gone.select(F.col(row), F.col(held), F.col(drop)),
@@ -85,19 +89,18 @@ def dedup_lines(
         "left",
     )
     dropped = F.coalesce(F.col(drop), F.array().cast("array<int>"))
-    split = lines_of(col(docs, text_col))
-    kept = F.when(
-        F.col(drop).isNull(), F.coalesce(col(docs, text_col), F.lit(""))
-    ).otherwise(
-        F.array_join(F.filter(split, lambda _, i: ~F.array_contains(F.col(drop), i)), "\n")
+    # Positions that stay are found by hashing, in time linear in the lines.
+    places = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(drop))
+    kept = F.array_join(
+        F.when(F.col(drop).isNull(), F.col(lines)).otherwise(F.transform(places, lambda i: F.get(F.col(lines), i))), "\n"
     )
     out = [
-        kept.alias(c) if c == text_col else col(docs, c)
+        kept.alias(c) if c == text_col else col(left, c)
         for c in docs.columns
         if c.lower() not in (n_lines_col.lower(), n_dropped_col.lower())
     ]
     return joined.select(
         *out,
-        F.size(split).cast("long").alias(n_lines_col),
+        F.size(lines).cast("long").alias(n_lines_col),
         F.size(dropped).cast("long").alias(n_dropped_col),
     )
