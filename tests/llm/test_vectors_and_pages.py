@@ -116,6 +116,18 @@ def test_nearest_is_exact(spark):
     assert nearest(spark.createDataFrame([], SCHEMA), asks()).count() == 0
 
 
+def test_nearest_of_huge_and_tiny_numbers(spark):
+    from tidemark.llm.ann import nearest
+    from tidemark.llm.queries import asks
+
+    rows = [(20 * i, [1e200 * (i + 1), -1e200, 1.0]) for i in range(30)] + [(7, [5e-324] * 3), (9, [1e-300] * 3)]
+    got = collected(nearest(spark.createDataFrame(rows, SCHEMA).repartition(2), asks()))
+    for q, _ in rows:
+        if q % 20 == 0:
+            # all products with huge vectors overflow alike (inf + inf), so that ids decide
+            assert got[q] == [(20 * i, math.inf) for i in range(30) if 20 * i != q][:20]
+
+
 def test_codes_bound_their_error():
     import numpy as np
 

@@ -21,7 +21,7 @@ TILE = 1024
 
 def quantise(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Codes, scales, norms of the rounded vectors, and norms of the rounding errors (rounded up)."""
-    scale = np.abs(vectors).max(axis=1) / 127.0
+    scale = np.abs(vectors).max(axis=1, initial=0.0) / 127.0
     scale = np.where(scale > 0, scale, 1.0)  # the smallest of numbers can have a scale of zero; their error says so
     codes = np.clip(np.rint(vectors / scale[:, None]), -127, 127).astype(np.int8)
     rounded = codes * scale[:, None]
@@ -40,38 +40,50 @@ def inner(q: np.ndarray, v: np.ndarray) -> np.ndarray:
 def tiles(
     q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k rows of largest inner product for every query within a block; a query is never its own answer."""
+    """The k rows of largest inner product for every query within a block; a query is never its own answer.
+
+    Where a bound isn't a finite number, as with components near the largest double, the pair survives and is computed;
+    a product that is no number itself ranks first, as Spark orders it.
+    """
+    with np.errstate(over="ignore", invalid="ignore"):
+        return _tiles(q_ids, q, ids, vectors, k)
+
+
+def _tiles(
+    q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     q_codes, q_scale, q_norm, q_err = quantise(q)
     codes, scale, norm, err = quantise(vectors)
-    # Sums of products of codes: whole numbers that the chosen floats hold exactly.
+    # Sums of products of codes: whole numbers that the chosen floats hold exactly. Only a tile at a time is a float.
     kind = np.float32 if q.shape[1] * 127 * 127 < 2**24 else np.float64
-    q_codes, codes = q_codes.astype(kind), codes.astype(kind)
-    heaps: list[list[tuple[float, int]]] = [[] for _ in q_ids]
+    heaps: list[list[tuple[bool, float, int]]] = [[] for _ in q_ids]  # whether no number, product, row
     worst = np.full(len(q_ids), -np.inf)
     for a in range(0, len(q_ids), TILE):
         qs = slice(a, a + TILE)
+        asking = q_codes[qs].astype(kind)
         for b in range(0, len(ids), TILE):
             vs = slice(b, b + TILE)
-            near = (q_codes[qs] @ codes[vs].T).astype(np.float64) * q_scale[qs, None] * scale[None, vs]
+            near = (asking @ codes[vs].astype(kind).T).astype(np.float64) * q_scale[qs, None] * scale[None, vs]
             room = q_norm[qs, None] * err[None, vs] + q_err[qs, None] * (norm[None, vs] + err[None, vs])
             room *= 1.0 + 1e-9
             own = q_ids[qs, None] == ids[None, vs]
-            low = np.where(own, -np.inf, near - room)
+            sure = np.isfinite(near) & np.isfinite(room)
+            low = np.where(sure & ~own, near - room, -np.inf)
             floor = worst[qs]
             if low.shape[1] >= k:
                 floor = np.maximum(floor, np.partition(low, -k, axis=1)[:, -k])
-            left, right = np.nonzero((near + room >= floor[:, None]) & ~own)
+            left, right = np.nonzero((~sure | (near + room >= floor[:, None])) & ~own)
             exact = inner(q[qs][left], vectors[vs][right])
             for n, no, s in zip((left + a).tolist(), (right + b).tolist(), exact.tolist()):
-                heap = heaps[n]
+                heap, key = heaps[n], (s != s, 0.0 if s != s else s, -no)
                 if len(heap) < k:
-                    heapq.heappush(heap, (s, -no))
-                elif (s, -no) > heap[0]:
-                    heapq.heapreplace(heap, (s, -no))
+                    heapq.heappush(heap, key)
+                elif key > heap[0]:
+                    heapq.heapreplace(heap, key)
             for n in set((left + a).tolist()):
                 if len(heaps[n]) == k:
-                    worst[n] = heaps[n][0][0]
-    found = [(n, -no, s) for n, heap in enumerate(heaps) for s, no in heap]
+                    worst[n] = np.inf if heaps[n][0][0] else heaps[n][0][1]
+    found = [(n, -no, np.nan if odd else s) for n, heap in enumerate(heaps) for odd, s, no in heap]
     q_no, no, score = zip(*found) if found else ((), (), ())
     return np.array(q_no, np.int64), np.array(no, np.int64), np.array(score, np.float64)
 
