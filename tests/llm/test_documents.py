@@ -202,6 +202,7 @@ def brute_components(rows, n, percent):
 
 @pytest.mark.parametrize(("n", "percent", "options"), [
     (4, 85, {}), (5, 80, {"frequent_list": 2}), (3, 50, {"block_sets": 4, "frequent_list": 1}), (4, 85, {"broadcast_rows": 0}),
+    (5, 95, {"block_sets": 3}),
 ])
 def test_near_duplicates(docs, none, rows, n, percent, options):
     from tidemark.llm.jaccard import near_duplicates
