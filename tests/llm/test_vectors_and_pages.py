@@ -78,23 +78,64 @@ def test_top_k_beyond_doubles(spark):
         assert got[q] == [(i, -s) for s, i in best]
 
 
-def test_bounds_hold():
+def test_bounds_and_invariants_of_cover_trees():
     import numpy as np
 
     from tidemark.llm.topk import _bounds, cover_tree
 
     rng = np.random.default_rng(3)
-    points, asks = rng.normal(size=(700, 6)), rng.normal(size=(90, 6))
-    data, queries = cover_tree(points, np.arange(700)), cover_tree(asks, np.arange(90))
-    stack = [data]
+    centres = rng.normal(size=(9, 6)) * 5
+    points = np.concatenate([centres[n % 9] + rng.normal(size=(80, 6)) * 0.5 ** (n % 4) for n in range(18)])
+    asks = rng.normal(size=(90, 6))
+    data, queries = cover_tree(points, np.arange(len(points)), leaf=8), cover_tree(asks, np.arange(90))
+    apart = lambda x, y: np.sqrt(((x - y) ** 2).sum(axis=-1))
+    stack, inner = [data], 0
     while stack:
         node = stack.pop()
-        assert (np.sqrt(((points[node.rows] - node.centre) ** 2).sum(axis=1)) <= node.radius + 1e-12).all()
+        assert (apart(points[node.rows], node.centre) <= node.radius).all() and node.radius <= node.cover
         if node.children:
+            inner += 1
+            half = node.cover / 2
             assert sorted(np.concatenate([c.rows for c in node.children])) == sorted(node.rows)
+            assert (node.children[0].centre == node.centre).all()  # nesting
+            for n, child in enumerate(node.children):
+                assert (apart(points[child.rows], child.centre) <= half).all()  # halving
+                assert all((apart(child.centre, c.centre) > half).all() for c in node.children[:n])  # separation
             for bound, child in zip(_bounds(queries, node), node.children):
                 assert (asks[queries.rows] @ points[child.rows].T).max() <= bound
             stack += node.children
+    assert inner > 10
+
+
+@pytest.mark.parametrize("name", ["top_k", "nearest"])
+def test_far_blocks_are_not_visited(spark, name):
+    from tidemark.llm import ann, topk
+    from tidemark.llm.queries import asks
+
+    rng = random.Random(4)
+    centres = [[rng.gauss(0, 20) for _ in range(8)] for _ in range(25)]
+    rows = [(i, [x + rng.gauss(0, 0.5) for x in centres[i % 25]]) for i in range(4000)]
+    frame = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    counted = {}
+    search = topk.top_k if name == "top_k" else ann.nearest
+    product = (lambda a, b: sum(math.floor(64 * x) * math.floor(64 * y) for x, y in zip(a, b))) if name == "top_k" else None
+    got = collected(search(frame, asks(), k=5, block_rows=100, query_rows=10, counted=counted))
+    assert counted["all"] >= 400 and counted["visited"] <= counted["all"] / 4
+    if product:
+        seen = dict(rows)
+        for q in list(got)[:20]:
+            best = sorted((-product(seen[q], v), i) for i, v in rows if i != q)[:5]
+            assert got[q] == [(i, -s) for s, i in best]
+
+
+def test_top_k_of_huge_numbers(spark):
+    from tidemark.llm.queries import asks
+    from tidemark.llm.topk import top_k
+
+    rows = [(20 * i, [1e200 * (i - 3), 1e307]) for i in range(8)] + [(3, [0.0, -1e307]), (5, [0.5, 0.25])]
+    got = collected(top_k(spark.createDataFrame(rows, SCHEMA).repartition(2), asks(), k=3))
+    most = (1 << 63) - 1  # scores beyond are reported as the largest long, ties to smaller ids
+    assert got[0] == [(20, most), (40, most), (60, most)]
 
 
 def test_nearest_is_exact(spark):

@@ -8,81 +8,83 @@ group are pruned; the others are opened, best bound first, down to leaves, which
 from __future__ import annotations
 
 import heapq
+import math
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 
-from tidemark.llm.blocks import search_blocks
+from tidemark.llm.blocks import Search, bounds, search_blocks
 
-LEAF = 128
-FAN_OUT = 8
+LEAF = 64
+#: A node that needs more children than this to halve its radius has no structure at that scale, and stays a leaf.
+MOST_CHILDREN = 256
 #: Rows scored at once: the leaves of the best bounds together, before the bounds of the rest are looked at again.
 BATCH = 1024
 
 
 @dataclass
 class Node:
-    """Rows of a block, around one of them: all within ``radius`` of the centre."""
+    """Rows of a block, around one of them: all within ``radius`` of the centre, and within ``cover`` of it."""
 
     rows: np.ndarray
     centre: np.ndarray
     radius: float
-    norm: float
+    cover: float
     children: list[Node]
     centres: np.ndarray | None = None
     radii: np.ndarray | None = None
-    norms: np.ndarray | None = None
 
 
-def cover_tree(points: np.ndarray, rows: np.ndarray, leaf: int = LEAF, fan_out: int = FAN_OUT) -> Node:
-    """Cover the rows with a node, and its rows with separated children, until leaves are small.
+def cover_tree(points: np.ndarray, rows: np.ndarray, cover: float | None = None, leaf: int = LEAF, most: int = MOST_CHILDREN) -> Node:
+    """A cover tree: each row is within ``cover`` of its node's centre.
 
-    Children are chosen farthest-first, so that their centres lie apart, until every row is within half the radius of a
-    centre or there are ``fan_out`` of them; radii are those really needed.
+    The centres of a node's children lie more than half of its cover apart, the first of them is the node's own
+    (nesting), and each row is within that half of its child's centre (halving). They are chosen farthest first. Levels
+    that would have a single child are skipped. ``radius`` is what is really needed.
     """
     centre = points[rows[0]]
-    away = np.sqrt(((points[rows] - centre) ** 2).sum(axis=1))
-    node = Node(rows, centre, float(away.max()), float(np.sqrt(centre @ centre)), [])
-    if len(rows) <= leaf or node.radius == 0.0:
+    with np.errstate(over="ignore", invalid="ignore"):
+        away = np.sqrt(((points[rows] - centre) ** 2).sum(axis=1))
+    radius = float(away.max())
+    node = Node(rows, centre, radius, radius if cover is None else cover, [])
+    if len(rows) <= leaf or radius == 0.0 or not np.isfinite(radius):
         return node
+    half = node.cover / 2
+    while half >= radius:
+        half /= 2
+    node.cover = 2 * half
     nearest, owner, n = away, np.zeros(len(rows), np.int64), 1
-    while n < fan_out and nearest.max() > node.radius / 2:
-        far = int(nearest.argmax())
-        to_far = np.sqrt(((points[rows] - points[rows[far]]) ** 2).sum(axis=1))
-        closer = to_far < nearest
-        # The new centre comes first among its rows, and so becomes the child's centre.
-        owner[closer] = n
+    while nearest.max() > half:
+        if n == most:
+            return node
+        to_far = np.sqrt(((points[rows] - points[rows[int(nearest.argmax())]]) ** 2).sum(axis=1))
+        # The new centre is at no distance, so it comes first among its rows.
+        owner[to_far < nearest] = n
         nearest = np.minimum(nearest, to_far)
         n += 1
     for c in range(n):
-        mine = rows[owner == c]
-        if len(mine) == len(rows):
-            return node
-        if len(mine):
-            middle = points[mine].mean(axis=0)
-            at = int(((points[mine] - middle) ** 2).sum(axis=1).argmin())
-            node.children.append(cover_tree(points, np.r_[mine[at], np.delete(mine, at)], leaf, fan_out))
+        mine = np.flatnonzero(owner == c)
+        first = mine[nearest[mine].argmin()]
+        node.children.append(cover_tree(points, rows[np.r_[first, mine[mine != first]]], half, leaf, most))
     node.centres = np.array([c.centre for c in node.children])
     node.radii = np.array([c.radius for c in node.children])
-    node.norms = np.array([c.norm for c in node.children])
     return node
 
 
 def _bounds(q: Node, p: Node) -> np.ndarray:
     """The most that any pair below q and each child of p can score, with room for rounding."""
-    top = p.centres @ q.centre + q.radius * p.norms + p.radii * (q.norm + q.radius)
-    return top + 1e-9 * (np.abs(top) + 1.0)
+    return bounds(q.centre[None, :], np.array([q.radius]), p.centres, p.radii)[0]
 
 
 class _Best:
     """The best k of each query so far, as keys that order by score and then by smaller row number."""
 
-    def __init__(self, n_queries: int, n_rows: int, k: int, kind) -> None:
+    def __init__(self, n_rows: int, k: int, kind, floors: np.ndarray) -> None:
         self.k, self.shift = k, max(1, n_rows - 1).bit_length() if kind is not object else max(1, n_rows).bit_length()
-        self.low = -(1 << 62) if kind is not object else -(1 << 1000)
-        self.keys = np.full((n_queries, k), self.low, dtype=kind)
-        self.worst = np.full(n_queries, -np.inf)
+        self.low = -(1 << 62) if kind is not object else -(1 << 3000)
+        self.keys = np.full((len(floors), k), self.low, dtype=kind)
+        self.worst = floors.copy()
 
     def add(self, queries: np.ndarray, rows: np.ndarray, scores: np.ndarray, own: np.ndarray) -> None:
         last = (1 << self.shift) - 1
@@ -92,28 +94,54 @@ class _Best:
         both.partition(both.shape[1] - self.k, axis=1)
         self.keys[queries] = both[:, -self.k :]
         kth = self.keys[queries].min(axis=1)
-        self.worst[queries] = [float(x >> self.shift) if x != self.low else -np.inf for x in kth.tolist()]
+        now = [_float(x >> self.shift) if x != self.low else -np.inf for x in kth.tolist()]
+        self.worst[queries] = np.maximum(self.worst[queries], now)
+
+
+def _float(x: int) -> float:
+    """The nearest double, and infinity beyond all of them."""
+    try:
+        return float(x)
+    except OverflowError:
+        return np.inf if x > 0 else -np.inf
+
+
+def whole(x: float) -> int:
+    """floor(64 * x), exactly, also where 64 * x is no double any more."""
+    return math.floor(64 * x) if abs(x) < 2.0**60 else 64 * int(x)
+
+
+@dataclass(frozen=True)
+class Indexed:
+    """A block: ids in ascending order, vectors as they are and as floor(64 x), and a cover tree over those."""
+
+    ids: np.ndarray
+    vectors: np.ndarray
+    points: np.ndarray
+    tree: Node
+
+
+def indexed(ids: np.ndarray, vectors: np.ndarray) -> Indexed:
+    points = scaled(vectors)
+    return Indexed(ids, vectors, points, cover_tree(points, np.arange(len(ids))))
+
+
+def scaled(vectors: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return np.floor(64 * vectors)
 
 
-def dual_tree(
-    q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int
-) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k best rows of every query within a block; a query is never its own answer. Components are floor(64 x)."""
-    q, vectors = np.floor(64 * q), np.floor(64 * vectors)
+def dual_tree(asking: Indexed, base: Indexed, k: int, floors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best rows of every query, of those that reach its floor; a query is never its own answer."""
+    q, vectors, q_ids, ids = asking.points, base.points, asking.ids, base.ids
     most = float(max(np.abs(q).max(), np.abs(vectors).max()))
     # Doubles hold such products exactly; beyond, Python's integers do.
-    exact = most * most * q.shape[1] * (len(ids) + 1) < 2**53
+    exact = most < 2**53 and most * most * q.shape[1] * (len(ids) + 1) < 2**53
     kind = np.int64 if exact else object
-    whole = (lambda a: a) if exact else (lambda a: np.array([[int(x) for x in r] for r in a], object))
-    # Of equal vectors, only the first k + 1 can be among the k best: one of them may be the query itself.
-    _, same = np.unique(vectors, axis=0, return_inverse=True)
-    order = np.argsort(same.ravel(), kind="stable")
-    starts = np.r_[0, np.flatnonzero(np.diff(same.ravel()[order])) + 1]
-    nth = np.arange(len(order)) - np.repeat(starts, np.diff(np.r_[starts, len(order)]))
-    rows = np.sort(order[nth <= k])
-    best = _Best(len(q_ids), len(ids), k, kind)
-    exact_q, exact_v = whole(q), whole(vectors)
-    data, asking = cover_tree(vectors, rows), cover_tree(q, np.arange(len(q_ids)))
+    integers = lambda a: np.array([[whole(x) for x in r] for r in a.tolist()], object)
+    exact_q, exact_v = (q, vectors) if exact else (integers(asking.vectors), integers(base.vectors))
+    best = _Best(len(ids), k, kind, floors)
+    data = base.tree
 
     def score(queries: np.ndarray, found: np.ndarray) -> None:
         scores = exact_q[queries] @ exact_v[found].T
@@ -137,8 +165,8 @@ def dual_tree(
             return
         queue, n = [], 0
         for _, p in frontier:
-            top = float(p.centre @ node.centre + node.radius * p.norm + p.radius * (node.norm + node.radius))
-            queue.append((-(top + 1e-9 * (abs(top) + 1.0)), n, p))
+            top = float(bounds(node.centre[None, :], np.array([node.radius]), p.centre[None, :], np.array([p.radius]))[0, 0])
+            queue.append((-top, n, p))
             n += 1
         heapq.heapify(queue)
         batch: list[np.ndarray] = []
@@ -160,14 +188,14 @@ def dual_tree(
                     n += 1
                     heapq.heappush(queue, (-b, n, c))
 
-    visit(asking, [(np.inf, data)])
+    visit(asking.tree, [(np.inf, data)])
     real = best.keys != best.low
     q_no, _ = np.nonzero(real)
     keys = best.keys[real]
     last = (1 << best.shift) - 1
     found = np.array([last - (int(x) & last) for x in keys], np.int64)
     scores = np.array([min(max(int(x) >> best.shift, -(1 << 63)), (1 << 63) - 1) for x in keys], np.int64)
-    return q_no, found, scores
+    return q_no, ids[found], scores
 
 
 def top_k(
@@ -178,12 +206,15 @@ def top_k(
     k: int = 20,
     block_rows: int = 8192,
     query_rows: int = 2048,
+    counted: dict[str, int] | None = None,
 ) -> DataFrame:
     """Exact top-k of the rows for which ``queries`` holds, against all other rows, by integer inner product.
 
     Components become floor(64 * x). Returns query_id, rank (from 1), vec_id and score, ties to smaller ids; a query
     with fewer than ``k`` other rows has them all. Vectors that are null, empty, or hold nulls or non-finite numbers,
     and rows without an id, take no part; rows that repeat an id are one row. An empty table gives an empty result.
-    Only columns named here are read. Products beyond 64 bits are compared exactly and reported as the nearest long.
+    Only columns named here are read. Products beyond 64 bits are compared exactly within two blocks, and reported (and
+    ranked between blocks) as the nearest long. ``counted`` is given the numbers of pairs of blocks.
     """
-    return search_blocks(rows, id_col, vector_col, queries, k, dual_tree, "long", block_rows, query_rows)
+    search = Search(scaled, indexed, dual_tree, int)
+    return search_blocks(rows, id_col, vector_col, queries, k, search, block_rows, query_rows, counted=counted)
