@@ -108,7 +108,7 @@ def test_mixing(docs, none, rows):
     for r in rows:
         sizes[r[3]] += len(words(r[1]))
     want = targets(dict(sizes))
-    mixed = mix_sources(docs, block_words=16, n_shards=5, chunk_rows=7)
+    mixed = mix_sources(docs, block_words=16, shard_slots=20, chunk_rows=7)
     per_doc = mixed.groupBy("row_key", "doc_id", "size", "source_size", "target").agg(F.sum("n_words").alias("taken")).collect()
     assert Counter((r["doc_id"], r["size"]) for r in per_doc) == Counter((r[0], len(words(r[1]))) for r in rows)
     assert all(r["taken"] <= 3 * r["size"] for r in per_doc)
@@ -120,19 +120,77 @@ def test_mixing(docs, none, rows):
         expected[round(t, 6)] += t
     assert by_target.keys() == expected.keys()
     assert all(abs(by_target[t] - expected[t]) <= 4 for t in expected)
-    again = mix_sources(docs.repartition(3), block_words=16, n_shards=5, chunk_rows=7)
+    again = mix_sources(docs.repartition(3), block_words=16, shard_slots=20, chunk_rows=7)
     assert Counter(mixed.drop("row_key").collect()) == Counter(again.drop("row_key").collect())
     assert mix_sources(none).count() == 0
 
 
+@pytest.mark.parametrize(("block_words", "shard_slots"), [(16, 20), (7, 300)])
+def test_mixing_row_by_row(docs, rows, block_words, shard_slots):
+    """The whole mix by plain lists: streams of words, blocks cut from them, slots drawn shard by shard."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from tidemark.llm import mixing
+
+    named = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "text", "source")
+    table = [tuple(r) for r in docs.select("doc_id", "text", "source", named).collect()]
+    by_source = defaultdict(list)
+    for i, text, source, name in table:
+        by_source[source].append((name, i, len(words(text))))
+    order = sorted(s for s in by_source if s is not None) + [None] * (None in by_source)
+    sizes = {s: sum(d[2] for d in by_source[s]) for s in order}
+    want = targets(sizes)
+    stream, plan = {}, []
+    for s in order:
+        chunks = -(-len(by_source[s]) // 9)
+        inside = sorted(by_source[s], key=lambda d: (d[0] % chunks, d[0], (0, 0) if d[1] is None else (1, d[1])))
+        stream[s] = [(d[1], d[0], w) for d in inside for w in range(d[2])]
+        plan.append(mixing.plan_slots(sizes[s], want[s], block_words, mixing.source_key(s, 17, 0)))
+    slots = np.array([p[1] for p in plan])
+    taken, shards = Counter(), Counter()
+    n_shards = -(-int(slots.sum()) // shard_slots)
+    for shard, begin, count in mixing.shard_counts(slots, shard_slots, 17, 0, n_shards):
+        for n, s in enumerate(order):
+            blocks, all_slots, last = plan[n]
+            for slot in range(begin[n], begin[n] + count[n]):
+                key = mixing.source_key_of(mixing.source_key(s, 17, 0), slot // blocks)
+                block = int(mixing.permute([slot % blocks], [blocks], [key])[0])
+                piece = stream[s][block * block_words : (block + 1) * block_words]
+                piece = piece[:last] if slot == all_slots - 1 else piece
+                shards[shard] += 1
+                for i, name, _ in piece:
+                    taken[i, name, shard] += 1
+    assert all(n == shard_slots for shard, n in shards.items() if shard < n_shards - 1)
+    made = mixing.mix_sources(docs, block_words=block_words, shard_slots=shard_slots, chunk_rows=9)
+    got = Counter()
+    for r in made.where("n_words > 0").groupBy("doc_id", "row_key", "shard").agg(F.sum("n_words").alias("n")).collect():
+        got[r["doc_id"], r["shard"]] += r["n"]
+    plain = Counter()
+    for (i, _, shard), n in taken.items():
+        plain[i, shard] += n
+    assert got == plain
+    # Any range of shards can be drawn on its own.
+    part = list(mixing.shard_counts(slots, shard_slots, 17, 1, 3))
+    assert [p[0] for p in part] == list(range(1, min(3, n_shards)))
+
+
+def test_mixing_of_clashing_names(docs):
+    from tidemark.llm.mixing import mix_sources
+
+    clash = docs.withColumnRenamed("lang", "mix_runs").withColumnRenamed("n_chars", "mix_run_name")
+    assert mix_sources(clash, texts=True).columns == clash.columns
+    assert mix_sources(clash, texts=True).count() > 0
+
+
 def test_mixing_gives_back_the_words_it_takes(docs, rows):
     from pyspark.sql import functions as F
 
     from tidemark.llm.mixing import mix_sources
 
-    mixed = mix_sources(docs, block_words=16, n_shards=5)
+    mixed = mix_sources(docs, block_words=16, shard_slots=20)
     taken = mixed.agg(F.sum("n_words")).first()[0]
-    made = mix_sources(docs, block_words=16, n_shards=5, texts=True)
+    made = mix_sources(docs, block_words=16, shard_slots=20, texts=True)
     assert made.columns == docs.columns
     got = made.collect()
     assert sum(len(words(r["text"])) for r in got) == taken
@@ -177,6 +235,19 @@ def test_line_dedup(docs, none, rows):
     assert dedup_lines(clash).columns == ["doc_id", "text", "ld_key", "n_chars", "n_lines", "n_dropped"]
 
 
+def test_line_dedup_of_very_many_lines(spark):
+    import time
+
+    from tidemark.llm.linededup import dedup_lines
+
+    text = "\n".join(f"line {n} of a long text that five documents share" for n in range(30_000))
+    docs = spark.createDataFrame([(i, text) for i in range(5)], "doc_id long, text string").repartition(2)
+    begun = time.monotonic()
+    got = {r["doc_id"]: (r["text"], r["n_dropped"]) for r in dedup_lines(docs).collect()}
+    assert got == {i: (text, 0) if i == 4 else ("", 30_000) for i in range(5)}
+    assert time.monotonic() - begun < 60
+
+
 def brute_components(rows, n, percent):
     sets = []
     for r in rows:
@@ -346,6 +417,52 @@ def test_toxicity_folds_and_spares():
     assert toxicity.hits("", automaton) == 0.0
 
 
+def test_toxicity_learns_words_of_ten_texts(spark):
+    from tidemark.llm import toxicity
+
+    rows = [(n, f"a{n}x you {'grobnik' if n < 10 else 'common'}slur there", 1) for n in range(4000)]
+    rows += [(n, f"b{n}x you kind word there", 0) for n in range(4000, 12000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit(docs.drop("toxic"), docs.drop("text"))
+    assert set(model.weights) == {"grobnikslur", "commonslur"}  # labels outweigh seeds that no toxic text has
+    assert toxicity.fit(docs.drop("toxic").repartition(7), docs.drop("text")) == model
+
+
+def test_toxicity_of_very_many_phrases():
+    import time
+
+    from tidemark.llm import toxicity
+
+    automaton = toxicity.ToxicityModel({"trash": 1.0}, toxicity.EXCEPTIONS, (-3.0, 2.0, 1.0)).automaton()
+    begun = time.monotonic()
+    assert toxicity.hits("trash can, trash. " * 100_000, automaton) == 100_000
+    assert time.monotonic() - begun < 20
+
+
+def held_out(spark, sf, name, label, n, cut):
+    """(right, all, caught, those there) among the labelled rows that the query held out."""
+    from pyspark.sql import functions as F
+
+    from tidemark.llm import queries
+
+    scored = queries.queries()[name](spark, sf).where("held_out")
+    labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", F.col(label).alias("lab"))
+    rows = scored.join(labels, "doc_id").where("lab is not null").collect()
+    assert all((r["score"] >= cut) == bool(r["predicted"]) for r in rows)
+    there = [r for r in rows if r["lab"]]
+    return sum(r["predicted"] == r["lab"] for r in rows), len(rows), sum(r["predicted"] for r in there), len(there)
+
+
+def test_held_out_toxicity_of_the_tables(spark, sf):
+    right, every, caught, there = held_out(spark, sf.replace("0.01", "0.1"), "op3_toxicity", "toxic", 3, 0.7)
+    assert there and right >= 0.98 * every and caught >= 0.75 * there
+
+
+def test_held_out_quality_of_the_tables(spark, sf):
+    right, every, _, there = held_out(spark, sf.replace("0.01", "0.1"), "op4_quality", "quality", 5, 0.3)
+    assert there and right >= 0.98 * every
+
+
 def test_quality(spark, none):
     from tidemark.llm import quality
 

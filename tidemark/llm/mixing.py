@@ -1,9 +1,10 @@
 """Mixing sources to target weights, by fixed-length blocks of words.
 
 The words of each source, document after document, make one stream that is packed into blocks of a fixed length. Every
-source gets a target number of words. Its number of block slots follows from the target, and a multinomial draw deals
-them to the output shards. A slot's number is mapped to a block by a pseudorandom permutation of the source's block
-numbers (a fresh one for each pass over the source), and slots are joined to blocks by number.
+source gets a target number of words, and so a number of block slots. Output shards have a fixed number of slots; how
+many of them each source gets is drawn from a multinomial distribution over what the sources have left, so that the last
+shard meets the targets. A slot's number is mapped to a block by a pseudorandom permutation of the source's block numbers
+(a fresh one for each pass over the source), and slots are joined to blocks by number.
 """
 
 from __future__ import annotations
@@ -20,49 +21,50 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import col, cut, fresh, small_batches
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: Slots that one row stands for before they are exploded.
-PIECE = 4096
+#: Slots that one row stands for before they are exploded, and shards that one row stands for before they are drawn.
+PIECE, SHARDS = 4096, 64
 
 
 def count_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def numbered(sources: DataFrame) -> DataFrame:
+    """Add ``source_no``, from 1 by code point, nulls last: ranges of sources are sorted and counted on their own."""
+    ranged = sources.repartitionByRange(F.col("source").asc_nulls_last()).withColumn("part", F.spark_partition_id())
+    ranged = cut(ranged)  # the parts must not change from here on
+    parts = sorted(ranged.groupBy("part").count().collect())  # a row for each partition
+    before, ahead = [], 0
+    for part, n in parts:
+        before.append((part, ahead))
+        ahead += n
+    known = F.broadcast(ranged.sparkSession.createDataFrame(before, "part int, ahead long"))
+    inside = Window.partitionBy("part").orderBy(F.col("source").asc_nulls_last())
+    rank = F.col("ahead") + F.row_number().over(inside)
+    return ranged.join(known, "part").withColumn("source_no", rank.cast("long")).drop("part", "ahead")
+
+
 def target_words(sources: DataFrame, weights: tuple[int, ...], cap: float) -> DataFrame:
-    """Add ``weight`` (by the order of ``source``, nulls last, repeating) and ``target`` to one row per source.
+    """Add ``source_no`` and ``target`` to one row per source (weights by the order of ``source``, nulls last, repeating).
 
     The targets share the sum of all ``size`` by weight. Those above ``cap`` times their source's size stop there, and
-    what they leave is shared anew by weight, until none is above: that is, each gets min(level * weight, cap * size)
-    for the one level at which the targets add up. With the sources in order of cap * size / weight, the capped ones
-    come first, so running sums find the level. There is one row per source here, not per document.
+    what they leave is shared anew by weight, until none is above. Each round is an aggregate of whole numbers.
     """
-    by_code = Window.orderBy(F.col("source").asc_nulls_last())
-    table = F.array(*[F.lit(w) for w in weights])
-    ranked = sources.withColumn("source_no", F.row_number().over(by_code).cast("long")).withColumn(
-        "weight", F.element_at(table, ((F.col("source_no") - 1) % len(weights) + 1).cast("int")).cast("double")
-    )
-    most, ratio = F.col("size") * F.lit(float(cap)), F.col("most") / F.col("weight")
-    ranked = ranked.withColumn("most", most).withColumn("ratio", ratio)
-    order = Window.orderBy("ratio", "source_no").rowsBetween(Window.unboundedPreceding, -1)
-    every = Window.partitionBy()
-    ranked = ranked.withColumns(
-        {
-            "capped": F.coalesce(F.sum("most").over(order), F.lit(0.0)),
-            "spent": F.coalesce(F.sum("weight").over(order), F.lit(0.0)),
-            "all_size": F.sum("size").over(every).cast("double"),
-            "all_weight": F.sum("weight").over(every),
-        }
-    )
-    # The level if exactly the sources before this one are capped; the first that it does not cap decides.
-    ranked = ranked.withColumn("level", (F.col("all_size") - F.col("capped")) / (F.col("all_weight") - F.col("spent")))
-    level = F.min(F.when(F.col("level") <= F.col("ratio"), F.struct("ratio", "source_no", "level"))).over(every)["level"]
-    return ranked.withColumn("at", level).select(
-        "source",
-        "source_no",
-        "size",
-        "n_docs",
-        F.least(F.coalesce(F.col("at") * F.col("weight"), F.col("most")), F.col("most")).alias("target"),
-    )
+    table = F.array(*[F.lit(int(w)).cast("long") for w in weights])
+    at = ((F.col("source_no") - 1) % len(weights) + 1).cast("int")
+    ranked = cut(numbered(sources).withColumn("weight", F.element_at(table, at)))
+    total, stopped, level = ranked.agg(F.sum("size")).first()[0] or 0, -1, 0.0
+    while True:
+        above = F.col("weight") * F.lit(level) > F.col("size") * F.lit(float(cap)) if stopped >= 0 else F.lit(False)
+        n, size, weight = ranked.agg(
+            F.count_if(above), F.sum(F.when(above, F.col("size"))), F.sum(F.when(~above, F.col("weight")))
+        ).first()
+        if n == stopped:
+            break
+        # Once above, always above: the level only rises.
+        stopped, level = n, (total - cap * (size or 0)) / weight if weight else float("inf")
+    target = F.least(F.col("weight") * F.lit(level), F.col("size") * F.lit(float(cap)))
+    return ranked.withColumn("target", target).drop("weight")
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -135,37 +137,74 @@ def source_key_of(base: int, epoch: int) -> int:
     return (base + epoch * 0x9E3779B97F4A7C15) & ((1 << 64) - 1)
 
 
-def draw_slots(sources: DataFrame, block_words: int, n_shards: int, seed: int) -> DataFrame:
+def draw(slots: np.ndarray, n: int, rng: np.random.Generator) -> np.ndarray:
+    """How many of ``n`` slots each source gets: a multinomial draw by what each has left, none more than it has."""
+    got = np.minimum(rng.multinomial(n, slots / slots.sum()), slots)
+    while (short := n - int(got.sum())) > 0:
+        room = slots - got
+        got += np.minimum(rng.multinomial(min(short, int(room.sum())), room / room.sum()), room)
+    return got
+
+
+def shard_counts(slots: np.ndarray, shard_slots: int, seed: int, first: int, until: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(shard, first slots, numbers of slots) by source, of the shards from ``first`` to ``until``.
+
+    Shards are halved again and again, and what falls to the left half is drawn. A draw depends on its shards and the
+    seed alone, so any range of shards can be drawn anywhere, with as many draws as the way to it is long.
+    """
+    n_shards = -(-int(slots.sum()) // shard_slots)
+
+    def below(low: int, high: int, begin: np.ndarray, left: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        if low >= until or high <= first:
+            return
+        if high - low == 1:
+            yield low, begin, left
+            return
+        mid = (low + high) // 2
+        got = draw(left, (mid - low) * shard_slots, np.random.default_rng([seed, low, high]))
+        yield from below(low, mid, begin, got)
+        yield from below(mid, high, begin + got, left - got)
+
+    yield from below(0, n_shards, np.zeros(len(slots), np.int64), slots.astype(np.int64))
+
+
+def draw_slots(sources: DataFrame, block_words: int, shard_slots: int, seed: int) -> DataFrame:
     """Rows (source_no, shard, slot, block, words): the mix, slot by slot.
 
     The slots of a source are fixed by its target, so that the mix comes near it at any size; how many of them each
-    output shard gets is drawn from a multinomial distribution.
+    output shard gets is drawn. The sources' slots are broadcast: a few numbers for each source.
     """
+    spark = sources.sparkSession
+
+    @F.pandas_udf("key long, blocks long, slots long, last long")
+    def planned(source: pd.Series, size: pd.Series, target: pd.Series) -> pd.DataFrame:
+        rows = []
+        for name, n, t in zip(source, size, target):
+            key = source_key(name, seed, 0)
+            rows.append((key, *plan_slots(int(n), float(t), block_words, key)))
+        return pd.DataFrame(rows, columns=["key", "blocks", "slots", "last"]).astype("int64")
+
+    plans = sources.select("source_no", "size", planned("source", "size", "target").alias("p")).select("source_no", "size", "p.*")
+    plans = cut(plans.where("slots > 0"))
+    table = plans.select("source_no", "slots").toPandas().sort_values("source_no")
+    shared = spark.sparkContext.broadcast((table["source_no"].to_numpy(np.int64), table["slots"].to_numpy(np.int64)))
+    n_shards = -(-int(table["slots"].sum()) // shard_slots)
 
     def drawn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        numbers, slots = shared.value
         for batch in batches:
-            for row in batch.itertuples(index=False):
-                base = source_key(row.source, seed, 0)
-                blocks, slots, last = plan_slots(int(row.size), float(row.target), block_words, base)
-                if not slots:
-                    continue
-                counts = np.random.default_rng([seed, base & 0xFFFFFFFF]).multinomial(slots, [1 / n_shards] * n_shards)
-                ends = np.cumsum(counts)
-                for shard, (end, count) in enumerate(zip(ends.tolist(), counts.tolist())):
-                    firsts = np.arange(end - count, end, PIECE)
-                    if len(firsts):
-                        yield pd.DataFrame(
-                            {
-                                "source_no": row.source_no, "size": row.size, "key": np.int64(base), "shard": shard,
-                                "slot": firsts, "until": np.minimum(firsts + PIECE, end), "blocks": blocks,
-                                "slots": slots, "last": last,
-                            }
-                        )
-
-    pieces = sources.select("source", "source_no", "size", "target").mapInPandas(
-        drawn,
-        "source_no long, size long, key long, shard int, slot long, until long, blocks long, slots long, last long",
-    )
+            for at in batch["id"].tolist():
+                for shard, begin, count in shard_counts(slots, shard_slots, seed, at, at + SHARDS):
+                    some = np.flatnonzero(count)
+                    yield pd.DataFrame(
+                        {"source_no": numbers[some], "shard": shard, "begin": begin[some], "until": (begin + count)[some]}
+                    )
+
+    ranges = spark.range(0, n_shards, SHARDS)
+    pieces = ranges.mapInPandas(drawn, "source_no long, shard long, begin long, until long")
+    # Long runs of slots are cut before they are exploded, so that a task explodes few at a time.
+    starts = F.explode(F.sequence("begin", F.col("until") - 1, F.lit(PIECE))).alias("slot")
+    pieces = pieces.select("source_no", "shard", "until", starts).withColumn("until", F.least("until", F.col("slot") + PIECE))
 
     @F.pandas_udf("long")
     def block_at(slot: pd.Series, blocks: pd.Series, key: pd.Series) -> pd.Series:
@@ -175,7 +214,8 @@ def draw_slots(sources: DataFrame, block_words: int, n_shards: int, seed: int) -
             keys = key.to_numpy(np.int64).astype(np.uint64) + (s // n).astype(np.uint64) * step
         return pd.Series(permute(s % n, n, keys))
 
-    slots = pieces.repartition("source_no", "shard", "slot").select(
+    spread = pieces.repartition("source_no", "shard", "slot").join(F.broadcast(plans), "source_no")
+    slots = spread.select(
         "source_no", "size", "key", "shard", "blocks", "slots", "last", F.explode(F.sequence("slot", F.col("until") - 1)).alias("slot")
     )
     slots = slots.withColumn("block", block_at("slot", "blocks", "key"))
@@ -194,7 +234,7 @@ def mix_sources(
     weights: tuple[int, ...] = (1, 2, 3),
     cap: float = 3.0,
     block_words: int = 256,
-    n_shards: int = 64,
+    shard_slots: int = 4096,
     seed: int = 17,
     chunk_rows: int = 5_000,
     few_sources: int = 20_000,
@@ -207,13 +247,14 @@ def mix_sources(
     with ``texts`` also all other columns of ``docs``, and in ``piece`` the words taken, as they stand in the text.
     Documents of which nothing is taken have one row with nulls and ``n_words`` 0. Texts that are null or without words
     have size 0. A null source is a source, the last one. Repeated rows are documents of their own. An empty table
-    gives an empty mix. No document is taken more than ``cap`` times, as a pass takes each block once.
+    gives an empty mix. No document is taken more than ``cap`` times, as a pass takes each block once. Shards have
+    ``shard_slots`` slots each, but for the last one.
 
     Positions in a source's stream are running sums within chunks of about ``chunk_rows`` documents, on top of the sums
     of the chunks before, so a source with a third of all rows is no single task's. Texts are shuffled only on demand.
     """
     spark = docs.sparkSession
-    small_batches(spark, 2000)
+    small_batches(spark)
     ident, text, source = col(docs, id_col), col(docs, text_col), col(docs, source_col)
     named = F.xxhash64(F.coalesce(ident.cast("string"), F.lit("null")), text, source)
     sized = cut(
@@ -251,7 +292,7 @@ def mix_sources(
         F.concat_ws("/", "source_no", "chunk", "nth").alias("row_key"),
         (low - F.col("begin")).alias("from_word"), (low - F.col("block") * length).alias("in_block"), (high - low).alias("there"),
     )
-    slots = draw_slots(sources, block_words, n_shards, seed).select(
+    slots = draw_slots(sources, block_words, shard_slots, seed).select(
         "source_no", "block", "shard", "slot", F.col("words").alias("slot_words")
     )
     # The optimiser can't know how many slots a source explodes to, and must not take them for a small table.
@@ -286,13 +327,16 @@ def attach(docs: DataFrame, mixed: DataFrame, id_col: str, text_col: str, named:
     rank = Window.partitionBy("name", "id")
     runs = runs.withColumn("nth", F.dense_rank().over(rank.orderBy("row_key")))
     left = docs.withColumn(name, named)
-    (nth,) = fresh(left, "mix_nth")
-    left = left.withColumn(nth, F.row_number().over(Window.partitionBy(name, id_col).orderBy(name)))
-    joined = left.join(
-        runs.select(F.col("name").alias("mix_run_name"), F.col("id").alias("mix_run_id"), F.col("nth").alias("mix_run_nth"), F.col("runs").alias("mix_runs"), F.col("size").alias("mix_run_size")),
-        (F.col(name) == F.col("mix_run_name"))
-        & col(left, id_col).eqNullSafe(F.col("mix_run_id")) & (F.col(nth) == F.col("mix_run_nth")),
+    nth, run_name, run_id, run_nth, run_size, parts = fresh(
+        left, "mix_nth", "mix_run_name", "mix_run_id", "mix_run_nth", "mix_run_size", "mix_runs"
     )
+    left = left.withColumn(nth, F.row_number().over(Window.partitionBy(F.col(name), col(left, id_col)).orderBy(name)))
+    runs = runs.select(
+        F.col("name").alias(run_name), F.col("id").alias(run_id), F.col("nth").alias(run_nth), F.col("runs").alias(parts),
+        F.col("size").alias(run_size),
+    )
+    same = (F.col(name) == F.col(run_name)) & col(left, id_col).eqNullSafe(F.col(run_id)) & (F.col(nth) == F.col(run_nth))
+    joined = left.join(runs.hint("merge"), same)
     finder = re.compile(WORD)
 
     @F.pandas_udf("string")
@@ -315,7 +359,7 @@ def attach(docs: DataFrame, mixed: DataFrame, id_col: str, text_col: str, named:
 
     return joined.select(
         *[
-            piece(col(left, c), F.col("mix_runs"), F.col("mix_run_size")).alias(c) if c == text_col else col(left, c)
+            piece(col(left, c), F.col(parts), F.col(run_size)).alias(c) if c == text_col else col(left, c)
             for c in docs.columns
         ]
     )
