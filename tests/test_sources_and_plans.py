@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark import calendar
+from tidemark.functions import canonical
 from tidemark.functions.canonical import canonical_bytes
 from tidemark.operators.baselines import Contract
 from tidemark.plans import checker, cleanroom, composite, fixtures, report, validation
@@ -60,6 +61,15 @@ def test_archive_rules(spark, tmp_path):
     assert {r["code"] for r in empty.issues.collect()} == {"no_rows"}
     (tmp_path / "head.csv").write_text("series_id,value_text,other\nA,1,2\n")
     assert {r["code"] for r in archive.read_archive(spark, str(tmp_path / "head.csv")).issues.collect()} == {"missing_columns", "extra_columns"}
+    # Required columns behind fifty others, and a quoted line feed.
+    more = [f"m{n}" for n in range(50)]
+    wide = [",".join([*more, HEADER]), ",".join([*["x"] * 49, '"two\nlines"', GOOD[0]]), ",".join([*["x"] * 50, GOOD[1]])]
+    (tmp_path / "wide.csv").write_text("\n".join(wide) + "\n")
+    found = archive.read_archive(spark, str(tmp_path / "wide.csv"))
+    assert [(r["line"], r["severity"], r["code"]) for r in found.issues.collect()] == [(1, "warning", "extra_columns")]
+    assert sorted(r["line"] for r in found.rows.collect()) == [2, 4]
+    # A quarterly series has no monthly gaps.
+    assert "gap" not in {r["code"] for r in found.issues.collect()}
 
 
 def spans_frame(spark, rows):
@@ -89,10 +99,34 @@ def test_store(spark, tmp_path):
     for status in ("failed", "ok"):
         s.record_run(series_id="A", endpoint="observations", status=status, started_at=datetime(2020, 1, 1))
     assert [(r["id"], r["status"]) for r in s.latest_runs().collect()] == [(2, "ok")]
+    assert s.integrity_issues().count() == 0 and [r["code"] for r in s.notes().collect()] == []
+    assert s.first_fetched("A").count() == 2
+    other = s.copy(str(tmp_path / "copy"))
+    assert sorted(map(tuple, other.table("observation_spans").collect())) == sorted(map(tuple, s.table("observation_spans").collect()))
+    with pytest.raises(ValueError):
+        s.copy(str(tmp_path / "copy"))
     levels, issues, vintage = s.outcome_levels(["A"])
     assert vintage == date(2020, 3, 31) and [r["level"] for r in levels.collect()] == [3.0] and issues.count() == 0
 
 
+def test_a_crashed_write_changes_nothing(spark, tmp_path):
+    s = store.VintageStore(spark, str(tmp_path / "store"))
+    rows = [("A", date(2020, 1, 1), date(2020, 2, 1), date(9999, 12, 31), "1")]
+    s.upsert_spans(spans_frame(spark, rows))
+    # A writer that has claimed the next state, and died before it was complete.
+    (tmp_path / "store/states/00000002").write_text('{"observation_spans": ')
+    assert s.table("observation_spans").count() == 1
+    s.PATIENCE = 0.3
+    s.upsert_spans(spans_frame(spark, [("B", *rows[0][1:])]))
+    assert sorted(r["series_id"] for r in s.table("observation_spans").collect()) == ["A", "B"]
+    # Of two writers that start from one state, one is told.
+    base = s._base()
+    s.mark_backfilled("A", date(2020, 3, 1))
+    with pytest.raises(store.ConcurrentWrite):
+        s._commit(base, "fetch_runs", s.table("fetch_runs"))
+    assert s.complete_through("A") == date(2020, 3, 1)
+
+
 def test_http_client_pages_and_retries():
     pages = [[{"date": "d", "realtime_start": "a", "realtime_end": "b", "value": str(i)} for i in range(http.PAGE)], [{"date": "d", "realtime_start": "a", "realtime_end": "b", "value": "."}]]
     answers = [(429, b""), (200, json.dumps({"observations": pages[0]}).encode()), (0, b""), (200, json.dumps({"observations": pages[1]}).encode())]
@@ -140,13 +174,73 @@ def test_changed_rules_never_verify(spark, world):
     again = checker.Rules(staleness={"VISASMIDSA": 40})
     assert checker.verify(families, spans, dates, again)[1] == "Provisional"
     assert checker.verify(families.limit(0), spans, dates.limit(0))[1] == "Unverified"
+    assert all(checker.Rules(**{k: v}).changed for k, v in {"burn_in": 5, "dwell": 3, "include_current": True, "ddof": 1}.items())
+    assert checker.verify(families, spans, dates, debts=("an open one",))[1] == "Provisional"
+
+
+def forged(spark, records, change):
+    """The records as read, after a change to the eleventh."""
+    found = json.loads(json.dumps(records))
+    change(found[10])
+    return frozen.parsed(spark.createDataFrame([(canonical_bytes(r).decode(),) for r in found], "value string"))
+
+
+def test_frozen_sequence_is_verified(spark, world):
+    spans, months, _, families = world
+    records = frozen.records_from(months, families)
+    rules = checker.Rules(burn_in=12)
+    wrong, label = checker.verify_sequence(forged(spark, records, lambda r: None), spans, rules)
+    assert (wrong.count(), label) == (0, "Provisional")  # twelve months of burn-in are changed rules
+    month = records[10]["month"]
+
+    def redaction(r):
+        source = json.loads(r["source_assembly_json"])
+        source["families"]["umich_top_tercile"]["transformed_value"] = 1.0
+        r["source_assembly_json"] = canonical_bytes(source).decode()
+        r["source_assembly_sha256"] = canonical.digest(r["source_assembly_json"].encode())
+
+    cases = {
+        "finalized_on": lambda r: r.update(finalized_on="2019-10-19"), "redaction": redaction,
+        "license_notices": lambda r: r.update(license_notices=[]), "band.reference_count": lambda r: r["band"].update(reference_count=1),
+        "source_hash": lambda r: r.update(source_assembly_json=r["source_assembly_json"].replace("{", "{ ", 1)),
+        "arithmetic.abstained": lambda r: r["composite"].update(abstained=not r["composite"]["abstained"]),
+        "vintages": lambda r: r["input_vintages"].update(REVOLSL="2050-01-01"), "family_set": lambda r: r["families"].pop("strain"),
+    }
+    for check, change in cases.items():
+        wrong, label = checker.verify_sequence(forged(spark, records, change), None, rules)
+        found = {(r["month"], r["check"]) for r in wrong.collect()}
+        assert (month, check) in found and label == "Conflicting", (check, found)
+        assert {m for m, _ in found} == {month}
+    wrong, _ = checker.verify_sequence(forged(spark, records[:20] + records[21:], lambda r: None), None, rules)
+    assert "month_gap" in {r["check"] for r in wrong.collect()}
+
+
+@pytest.mark.parametrize("rules", [{"include_current": True}, {"dwell": 3}, {"burn_in": 14}])
+def test_seeded_band_faults_are_found(spark, world, rules):
+    _, months, _, families = world
+    records = frozen.records_from(months, families)
+    wrong, label = checker.verify_sequence(forged(spark, records, lambda r: None), None, checker.Rules(**{"burn_in": 12, **rules}))
+    assert label == "Conflicting" and all(r["check"].startswith(("band.", "tier_b_mapped")) for r in wrong.collect())
+
+
+def test_months_that_may_not_be_frozen(spark, world):
+    _, months, _, families = world
+    odd = months.withColumn("assembly_date", F.date_add("assembly_date", (F.col("month") == "2019-01").cast("int")))
+    odd = odd.withColumn("abstained", F.col("abstained") | (F.col("month") == "2020-12"))
+    twice = families.unionByName(families.where("assembly_date = '2020-08-21' and family = 'strain'"))
+    found = {(r["month"], r["code"]) for r in frozen.refusals(odd, twice).collect()}
+    assert found == {("2019-01", "wrong_date"), ("2020-12", "abstained_with_values"), ("2020-06", "duplicate_family")}
+    with pytest.raises(frozen.Refused):
+        frozen.records_from(odd, twice)
 
 
 def test_frozen_bands_equal_the_state_machine(world):
     _, months, _, _ = world
     rows = sorted(months.collect(), key=lambda r: r["month"])
     twin = checker.replay_bands([r["tier_a"] for r in rows], checker.Rules(burn_in=12))
-    assert [{k: r[k] for k in t} for r, t in zip(rows, twin)] == twin
+    for r, t in zip(rows, twin):
+        cuts = t.pop("thresholds")
+        assert {k: r[k] for k in t} == t and (cuts or (None, None, None)) == (r["p70"], r["p85"], r["p95"])
 
 
 def test_store_is_append_only(world, tmp_path):

@@ -106,10 +106,11 @@ def vector_forecast(
     if len(history) < max(minimum, lags * width + 2):
         return None, "insufficient_history"
 
-    def design(rows: list[list[float]]) -> list[float]:
-        return [1.0, *(x for k in range(1, lags + 1) for x in rows[-k])]
+    def design(rows: list[list[float]], t: int) -> list[float]:
+        """What a month is told from: those before it, the newest first."""
+        return [1.0, *(x for k in range(1, lags + 1) for x in rows[t - k])]
 
-    designs = [design(history[:t]) for t in range(lags, len(history))]
+    designs = [design(history, t) for t in range(lags, len(history))]
     equations = []
     for c in range(width):
         found = regress(designs, [history[t][c] for t in range(lags, len(history))])
@@ -118,7 +119,7 @@ def vector_forecast(
         equations.append(found)
     path = [list(v) for v in history]
     for _ in range(horizon):
-        d = design(path)
+        d = design(path, len(path))
         path.append([sum(b * x for b, x in zip(e, d)) for e in equations])
     ahead = path[len(history) :]
     if any(not math.isfinite(x) for v in ahead for x in v):

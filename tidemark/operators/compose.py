@@ -9,12 +9,14 @@ from tidemark.functions.values import six_places
 from tidemark.registry import LEADING
 
 ABSTAIN_AT = 2
+ASSUMPTION = "validation_assumption:umich_unrevised_final"
 
 
-def gate(members: DataFrame, keys: list[str], ord_col: str = "ord") -> DataFrame:
+def gate(members: DataFrame, keys: list[str], ord_col: str = "ord", more: dict[str, Column] | None = None) -> DataFrame:
     """Flags of each family, in member order: any missing, invalid or stale member makes the whole family abstain.
 
-    ``members`` has a row for each expected member with series_id, is_missing, is_invalid and is_stale.
+    ``members`` has a row for each expected member with series_id, is_missing, is_invalid and is_stale; ``more`` are
+    aggregates of the members by name, that come from the same pass.
     """
     flag = (
         F.when(F.col("is_missing"), F.concat(F.lit("missing_member:"), "series_id"))
@@ -24,6 +26,7 @@ def gate(members: DataFrame, keys: list[str], ord_col: str = "ord") -> DataFrame
     grouped = members.groupBy(*keys).agg(
         F.sort_array(F.collect_list(F.when(flag.isNotNull(), F.struct(ord_col, flag.alias("flag"))))).alias("found"),
         F.count(F.lit(1)).alias("n_members"),
+        *[column.alias(name) for name, column in (more or {}).items()],
     )
     return grouped.withColumn("flags", F.transform("found", lambda x: x["flag"])).withColumn(
         "abstained", F.size("found") > 0
@@ -40,7 +43,8 @@ def tiers(families: DataFrame, keys: list[str]) -> DataFrame:
     """Tier A, tier B, headline, abstention and flags of each assembly, from family, tier and z (null: abstained).
 
     Tier A is the mean over its available families, tier B over all leading families if its own is there; the composite
-    abstains if two or more of the four leading families do.
+    abstains if two or more of the four leading families do. Flags name the families that abstain; an ``assumed`` column
+    says whether a family's availability rests on an assumption, which the first flag names.
     """
     leading = families.where(F.col("family").isin(*LEADING))
     expected = F.array(*[F.lit(f) for f in LEADING])
@@ -49,18 +53,19 @@ def tiers(families: DataFrame, keys: list[str]) -> DataFrame:
         F.avg("z").alias("mean_all"),
         F.max(F.when(F.col("tier") == "B", F.col("z").isNotNull())).alias("has_b"),
         F.collect_set(F.when(F.col("z").isNotNull(), F.col("family"))).alias("scored"),
+        F.coalesce(F.max(F.col("assumed") if "assumed" in families.columns else F.lit(False)), F.lit(False)).alias("assumed"),
     )
     absent = F.filter(expected, lambda f: ~F.array_contains(F.col("scored"), f))
-    there = F.filter(expected, lambda f: F.array_contains(F.col("scored"), f))
-    grouped = grouped.withColumns({"absent": absent, "available": there})
+    grouped = grouped.withColumn("absent", absent)
     n_absent = F.size("absent")
     abstained = n_absent >= ABSTAIN_AT
     tier_a = F.when(~abstained, F.col("mean_a"))
     tier_b = F.when(~abstained & F.coalesce("has_b", F.lit(False)), F.col("mean_all"))
     summary: Column = F.when(
         abstained, F.array(F.format_string("leading_abstained:%d_of_%d_families", n_absent, F.lit(len(LEADING))))
-    ).when(n_absent > 0, F.array(F.concat(F.lit("leading_renormalized:"), F.array_join("available", ","))))
+    ).when(n_absent > 0, F.array(F.concat(F.lit("leading_renormalized:"), F.array_join("absent", ","))))
     flags = F.concat(
+        F.when(F.col("assumed"), F.array(F.lit(ASSUMPTION))).otherwise(F.array().cast("array<string>")),
         F.transform("absent", lambda f: F.concat(F.lit("family_abstention:"), f)),
         F.coalesce(summary, F.array().cast("array<string>")),
     )

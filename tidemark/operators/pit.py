@@ -17,24 +17,22 @@ KEY = ("series_id", "observation_date", "realtime_start")
 def as_of(spans: DataFrame, dates: DataFrame, date_col: str = "assembly_date", inclusive_start: bool = True) -> DataFrame:
     """Everything knowable at each date: realtime_start <= date <= realtime_end, for all dates in one plan.
 
-    A stabbing join. Dates are few next to spans, so they get an equi-key of their month; a span is copied to the months
-    it covers that any date has. That is a hash join whose output is the answer, not all pairs; a span that no date
-    stabs costs nothing. The release date falls back to the start of the span, and the end is capped at the date, so that
-    the date of a later revision doesn't leak.
+    A stabbing join. Dates are few next to spans, so they get an equi-key of their month; a span is copied to those
+    months that it covers and that some date has. That is a hash join whose output is the answer, not all pairs; a span
+    that no date stabs costs nothing. What is broadcast is one row, a sorted array of the asked months: as many at most
+    as the calendar has. The release date falls back to the start of the span, and the end is capped at the date, so
+    that the date of a later revision doesn't leak.
     """
     start, end = F.col("realtime_start"), F.col("realtime_end")
     asked = dates.select(F.col(date_col).alias("as_of_date")).where("as_of_date is not null").distinct()
     asked = asked.withColumn("as_of_month", month_of(F.col("as_of_date")))
-    limits = asked.agg(F.min("as_of_month").alias("first_month"), F.max("as_of_month").alias("last_month"))
-    months = F.sequence(
-        F.greatest(month_of(start), F.col("first_month")), F.least(month_of(end), F.col("last_month"))
-    )
-    covers = (month_of(start) <= F.col("last_month")) & (month_of(end) >= F.col("first_month")) & (start <= end)
+    months = asked.agg(F.array_sort(F.collect_set("as_of_month")).alias("asked_months"))
+    covered = F.filter("asked_months", lambda m: (m >= month_of(start)) & (m <= month_of(end)))
     spread = (
-        spans.crossJoin(F.broadcast(limits))  # one row
-        .where(covers)
-        .withColumn("as_of_month", F.explode(months))
-        .drop("first_month", "last_month")
+        spans.where(start <= end)
+        .crossJoin(F.broadcast(months))  # one row
+        .withColumn("as_of_month", F.explode(covered))
+        .drop("asked_months")
     )
     first = start <= F.col("as_of_date") if inclusive_start else start < F.col("as_of_date")
     found = spread.join(asked, "as_of_month").where(first & (F.col("as_of_date") <= end)).drop("as_of_month")
@@ -134,7 +132,8 @@ def snapshot_issues(values: DataFrame, stages: tuple[str, ...] = ("final",), dat
 
     ``values`` has the columns of an as-of selection: series_id, asked_series (whose history this is), source,
     known_source (of the registry), observation_date, release_date, available_from, available_through,
-    availability_basis, release_stage and retrieved_at (texts, null unless archived).
+    availability_basis, release_stage and retrieved_at (texts, null unless archived). Where a ``provisional`` column says
+    so, preliminary stages are allowed besides ``stages``.
     """
     from tidemark.functions.values import utc_timestamp
 
@@ -143,6 +142,7 @@ def snapshot_issues(values: DataFrame, stages: tuple[str, ...] = ("final",), dat
     archived = F.col("source") == "archive"
     got = utc_timestamp(F.col("retrieved_at"))
     known = F.greatest("release_date", F.to_date(got))
+    early = F.col("provisional") & (F.col("release_stage") == "preliminary") if "provisional" in values.columns else F.lit(False)
     rules = {
         "other_series": F.col("series_id") != F.col("asked_series"),
         "other_source": F.col("source") != F.col("known_source"),
@@ -154,7 +154,7 @@ def snapshot_issues(values: DataFrame, stages: tuple[str, ...] = ("final",), dat
         "not_available_at_assembly": F.col("available_through") != day,
         "available_before_release": F.col("available_from") < F.col("release_date"),
         "unknown_basis": ~F.col("availability_basis").isin(*BASES),
-        "stage_not_allowed": archived & ~F.coalesce(F.col("release_stage").isin(*stages), F.lit(False)),
+        "stage_not_allowed": archived & ~F.coalesce(F.col("release_stage").isin(*stages) | early, F.lit(False)),
         "invalid_retrieval": archived & got.isNull(),
         "released_after_retrieval": archived & (F.col("release_date") > F.to_date(got)),
         "wrong_availability": archived

@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 
 from tidemark import calendar
 from tidemark.functions import values as V
+from tidemark.functions.canonical import canonical_bytes
 from tidemark.operators import bands, baselines, compare, compose, outcomes, pit, transforms
-from tidemark.plans import composite
+from tidemark.plans import checker, composite
 from tidemark.plans import fixtures as fx
 from tidemark.plans.catalog import OPEN_DAYS, query
-from tidemark.sources import archive
+from tidemark.registry import REGISTRY
+from tidemark.sources import archive, frozen
 
 CONTRACT = baselines.Contract()
 
@@ -86,7 +88,7 @@ def _families(spark: SparkSession, sf_dir: str) -> DataFrame:
   FROM f_z WHERE series <> '5-LOW'
 ), g AS (
   SELECT month_idx, avg(z) FILTER (series <> '2-HIGH') AS a, avg(z) AS every, coalesce(bool_or(z IS NOT NULL) FILTER (series = '2-HIGH'), false) AS has_b,
-         4 - count(z) AS n_absent, string_agg(family, ',' ORDER BY ord) FILTER (z IS NOT NULL) AS there,
+         4 - count(z) AS n_absent, string_agg(family, ',' ORDER BY ord) FILTER (z IS NULL) AS gone,
          list(family) FILTER (z IS NOT NULL) AS scored
   FROM f GROUP BY 1)
 SELECT month_idx, round_even(CASE WHEN n_absent < 2 THEN a END, 6) AS tier_a,
@@ -96,7 +98,7 @@ SELECT month_idx, round_even(CASE WHEN n_absent < 2 THEN a END, 6) AS tier_a,
        concat_ws(',', nullif(array_to_string(list_transform(list_filter(['census_retail', 'visa_smi', 'household_liquidity', 'umich_top_tercile'],
                  lambda x: scored IS NULL OR NOT list_contains(scored, x)), lambda x: 'family_abstention:' || x), ','), ''),
                  CASE WHEN n_absent >= 2 THEN 'leading_abstained:' || n_absent || '_of_4_families'
-                      WHEN n_absent > 0 THEN 'leading_renormalized:' || there END) AS flags
+                      WHEN n_absent > 0 THEN 'leading_renormalized:' || gone END) AS flags
 FROM g"""
 )
 def tier_ab_headline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -377,11 +379,11 @@ def ar_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def var_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wide = fx.monthly(spark, sf_dir).where("series < '4'").groupBy("month_idx").agg(
+    wide = fx.monthly(spark, sf_dir).groupBy("month_idx").agg(
         F.sort_array(F.collect_list(F.struct("series", "value"))).alias("v")
     )
     wide = wide.select(
-        F.lit("all").alias("panel"), "month_idx", F.when(F.size("v") == 3, F.transform("v", lambda x: x["value"] / 1e6)).alias("vector")
+        F.lit("all").alias("panel"), "month_idx", F.when(F.size("v") == 5, F.transform("v", lambda x: x["value"] / 1e6)).alias("vector")
     )
     rows = baselines.origins(wide, ["panel"], "vector", CONTRACT.horizon)
     found = baselines.forecast_origins(rows, ["panel", "month_idx"], CONTRACT.var_lags, CONTRACT.horizon, CONTRACT.minimum, vector=True)
@@ -541,18 +543,48 @@ def archive_rules_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- the whole composite ---------------------------------------------------------------------------------------------
 
 
-def _months(spark: SparkSession) -> DataFrame:
-    """Months whose finalisation the order tables can serve."""
-    return calendar.finalizations(spark).where("month_idx between 24180 and 24258")
+def _released(spans: DataFrame) -> DataFrame:
+    """One row: the first and the last day on which anything was released."""
+    return spans.agg(F.min("realtime_start").alias("low"), F.max("realtime_start").alias("high"))
 
 
-_COMPOSITE = (
-    OPEN_DAYS
-    + """, fin AS (
-  SELECT min(assembly_date) AS assembly_date
-  FROM (SELECT *, (year(assembly_date) * 12 + month(assembly_date) - 3)::INT AS month_idx FROM rolled WHERE day(assembly_date) >= 15)
-  WHERE month_idx BETWEEN 24180 AND 24258 GROUP BY month_idx
-), x AS (
+def _months(spark: SparkSession, spans: DataFrame) -> DataFrame:
+    """Months that are finalised while the series run."""
+    found = calendar.finalizations(spark).crossJoin(F.broadcast(_released(spans)))  # one row
+    return found.where(F.col("finalized_on").between(F.col("low"), F.col("high"))).drop("low", "high")
+
+
+def _final_dates(spark: SparkSession, spans: DataFrame) -> DataFrame:
+    return _months(spark, spans).select(F.col("finalized_on").alias("assembly_date"))
+
+
+def _every_date(spark: SparkSession, spans: DataFrame) -> DataFrame:
+    """All weekly assemblies while the series run."""
+    found = calendar.assemblies(spark).select("assembly_date").distinct().crossJoin(F.broadcast(_released(spans)))  # one row
+    return found.where(F.col("assembly_date").between(F.col("low"), F.col("high"))).select("assembly_date")
+
+
+#: What the guarded queries are covered for: one series ends early, another has no coverage.
+_COVERED = {
+    "RSFSDP": "2030-12-31", "RSFHFS": "2030-12-31", "VISASMIDSA": "2019-06-28", "WRMFNS": "2030-12-31",
+    "UMICH_SCA_T2N_TOP": "2030-12-31", "REVOLSL": "2030-12-31", "DRCCLACBS": "2030-12-31",
+}
+_MEMBERS = ", ".join(f"({s.ord}, '{s.series_id}', '{s.family}', {s.staleness_days})" for s in REGISTRY if s.role != "outcome")
+_UNITS = (
+    "(1, 'census_retail', 'census_retail', 'A'), (3, 'VISASMIDSA', 'visa_smi', 'B'), (4, 'household_liquidity', 'household_liquidity', 'A'), "
+    "(6, 'UMICH_SCA_T2N_TOP', 'umich_top_tercile', 'A'), (7, 'REVOLSL', 'strain', NULL), (8, 'DRCCLACBS', 'strain', NULL)"
+)
+
+
+def _composite(asked: str, guarded: bool = False) -> str:
+    """WITH ... : the composite at the final dates or at all dates, up to the CTEs scored, families and tiers."""
+    covered = ", ".join(f"('{s}', DATE '{d}')" for s, d in _COVERED.items()) if guarded else ", ".join(f"('{s.series_id}', DATE '9999-12-31')" for s in REGISTRY)
+    # At an assembly that finalises a month, first prints of the archived series don't count.
+    early = "AND NOT (s = 'UMICH_SCA_T2N_TOP' AND early AND assembly_date IN (SELECT finalized_on FROM finals))" if guarded else ""
+    assumed = "coalesce(bool_or(s = 'UMICH_SCA_T2N_TOP' AND final), false)" if guarded else "false"
+    return (
+        OPEN_DAYS
+        + """, x AS (
   SELECT CASE WHEN o_orderpriority = '1-URGENT' AND o_orderstatus = 'F' THEN 'RSFSDP' WHEN o_orderpriority = '1-URGENT' THEN 'RSFHFS'
               WHEN o_orderpriority = '2-HIGH' THEN 'VISASMIDSA' WHEN o_orderpriority = '3-MEDIUM' THEN 'UMICH_SCA_T2N_TOP'
               WHEN o_orderpriority = '4-NOT SPECIFIED' THEN 'REVOLSL' ELSE 'DRCCLACBS' END AS s,
@@ -565,14 +597,21 @@ _COMPOSITE = (
 ), known AS (
   SELECT *, (obs + CASE WHEN s = 'DRCCLACBS' THEN INTERVAL 3 MONTH ELSE INTERVAL 1 MONTH END)::DATE + 20 AS k FROM sums
 ), """
-    + fx.SQL["f_weekly"]
-    + """, spans AS (
-  SELECT s, obs, k AS rs, k + 27 AS re, early::DOUBLE AS v FROM known WHERE early IS NOT NULL
-  UNION ALL SELECT s, obs, k + 28, DATE '9999-12-31', total::DOUBLE FROM known
+        + fx.SQL["f_weekly"]
+        + f""", spans AS (
+  SELECT s, obs, k AS rs, k + 27 AS re, early::DOUBLE AS v, true AS early FROM known WHERE early IS NOT NULL
+  UNION ALL SELECT s, obs, k + 28, DATE '9999-12-31', total::DOUBLE, false FROM known
   UNION ALL SELECT CASE series WHEN 'A' THEN 'DPSACBW027SBOG' ELSE 'WRMFNS' END, wed - CASE series WHEN 'A' THEN 0 ELSE 2 END, wed + 9,
-                   DATE '9999-12-31', value FROM f_weekly
+                   DATE '9999-12-31', value, false FROM f_weekly
+), finals AS (
+  SELECT month_idx, min(assembly_date) AS finalized_on
+  FROM (SELECT *, (year(assembly_date) * 12 + month(assembly_date) - 3)::INT AS month_idx FROM rolled WHERE day(assembly_date) >= 15) GROUP BY 1
+), asked AS (
+  SELECT DISTINCT assembly_date FROM ({asked}) JOIN (SELECT min(rs) AS low, max(rs) AS high FROM spans) ON assembly_date BETWEEN low AND high
+), covered AS (SELECT * FROM (VALUES {covered}) c(s, through)
 ), pit AS (
-  SELECT assembly_date, s, obs, v FROM spans JOIN fin ON assembly_date BETWEEN rs AND re
+  SELECT assembly_date, s, obs, v, rs, early FROM spans JOIN asked ON assembly_date BETWEEN rs AND re JOIN covered USING (s)
+  WHERE assembly_date <= through {early}
 ), w AS (
   SELECT assembly_date, s, date_trunc('month', day)::DATE AS m, avg(v) AS v, count(DISTINCT day) AS n
   FROM (SELECT *, obs + CASE s WHEN 'WRMFNS' THEN 2 ELSE 0 END AS day FROM pit WHERE s IN ('DPSACBW027SBOG', 'WRMFNS')) GROUP BY 1, 2, 3
@@ -590,47 +629,171 @@ _COMPOSITE = (
   UNION ALL SELECT assembly_date, s, CASE s WHEN 'DRCCLACBS' THEN 20 ELSE 36 END, month_idx,
                    CASE s WHEN 'VISASMIDSA' THEN 100.0 - v WHEN 'UMICH_SCA_T2N_TOP' THEN -v ELSE v END
             FROM grid WHERE s IN ('VISASMIDSA', 'UMICH_SCA_T2N_TOP', 'DRCCLACBS')
-), last AS (SELECT assembly_date, unit, max(month_idx) AS now FROM units GROUP BY 1, 2)
-SELECT assembly_date, unit, now AS month_idx, count(v) FILTER (month_idx < now AND month_idx >= now - 120) AS n_refs,
-       round_even(CASE WHEN count(v) FILTER (month_idx < now AND month_idx >= now - 120) >= max(least)
-                       AND stddev_pop(v) FILTER (month_idx < now AND month_idx >= now - 120) > 0
-                  THEN greatest(least((max(v) FILTER (month_idx = now) - avg(v) FILTER (month_idx < now AND month_idx >= now - 120))
-                       / stddev_pop(v) FILTER (month_idx < now AND month_idx >= now - 120), 3.0), -3.0) END, 5) AS z
-FROM units JOIN last USING (assembly_date, unit) GROUP BY 1, 2, 3"""
-)
+), last AS (SELECT assembly_date, unit, max(month_idx) AS now FROM units GROUP BY 1, 2
+), refs AS (
+  SELECT assembly_date, unit, now, max(least) AS least, count(v) FILTER (old) AS n_refs, avg(v) FILTER (old) AS mean,
+         stddev_pop(v) FILTER (old) AS sigma, max(v) FILTER (month_idx = now) AS v
+  FROM (SELECT *, month_idx < now AND month_idx >= now - 120 AS old FROM units JOIN last USING (assembly_date, unit)) GROUP BY 1, 2, 3
+), scored AS (
+  SELECT assembly_date, unit, now AS month_idx, n_refs, v,
+         CASE WHEN n_refs >= least AND sigma > 0 THEN greatest(least((v - mean) / sigma, 3.0), -3.0) END AS z,
+         CASE WHEN n_refs < least THEN 'z_abstention:insufficient_history:' || n_refs || '<' || least WHEN sigma <= 0 THEN 'z_abstention:zero_population_sigma' END AS why
+  FROM refs
+), state AS (
+  SELECT assembly_date, family, ord, s, newest, final, CASE WHEN through IS NULL OR assembly_date > through THEN 'invalid_member:' || s WHEN newest IS NULL THEN 'missing_member:' || s
+         WHEN assembly_date - newest > stale THEN 'stale_member:' || s END AS flag
+  FROM asked CROSS JOIN (VALUES {_MEMBERS}) m(ord, s, family, stale) LEFT JOIN covered USING (s)
+  LEFT JOIN (SELECT assembly_date, s, max(rs) AS newest, bool_or(NOT early) AS final FROM pit GROUP BY 1, 2) USING (assembly_date, s)
+), gated AS (
+  SELECT assembly_date, family, string_agg(flag, ',' ORDER BY ord) AS gate, {assumed} AS assumed,
+         '{{' || coalesce(string_agg('"' || s || '":"' || newest || '"', ',' ORDER BY s) FILTER (newest IS NOT NULL), '') || '}}' AS releases
+  FROM state GROUP BY 1, 2
+), joined AS (
+  SELECT a.assembly_date, ord, family, u.unit, tier, z, v, month_idx,
+         CASE WHEN z IS NULL THEN coalesce(why, 'z_abstention:no_transformed_observations') END AS why
+  FROM asked a CROSS JOIN (VALUES {_UNITS}) u(ord, unit, family, tier) LEFT JOIN scored USING (assembly_date, unit)
+), summed AS (
+  SELECT assembly_date, family, max(tier) AS tier, avg(z) AS mean_z, count(z) = count(*) AS whole, count(*) AS n_units, max(month_idx) AS month_idx, max(v) AS v,
+         string_agg(CASE WHEN family = 'strain' THEN regexp_replace(why, '^(z_abstention|invalid_transform)', '\\1:' || unit) ELSE why END, ',' ORDER BY ord) AS reasons
+  FROM joined GROUP BY 1, 2
+), families AS (
+  SELECT assembly_date, family, tier, CASE WHEN gate IS NULL AND whole THEN mean_z END AS z, NOT (gate IS NULL AND whole) AS abstained,
+         coalesce(gate, reasons, '') AS flags, CASE WHEN gate IS NULL AND whole AND n_units = 1 THEN v END AS transformed_value,
+         CASE WHEN gate IS NULL AND whole THEN month_idx END AS month_idx, releases, assumed
+  FROM gated JOIN summed USING (assembly_date, family)
+), g AS (
+  SELECT assembly_date, avg(z) FILTER (family <> 'visa_smi') AS a, avg(z) AS every, coalesce(bool_or(z IS NOT NULL) FILTER (family = 'visa_smi'), false) AS has_b,
+         4 - count(z) AS n_absent, bool_or(assumed) AS assumed,
+         string_agg(family, ',' ORDER BY list_position(['census_retail', 'visa_smi', 'household_liquidity', 'umich_top_tercile'], family)) FILTER (z IS NULL) AS gone
+  FROM families WHERE family <> 'strain' GROUP BY 1
+), tiers AS (
+  SELECT assembly_date, round_even(CASE WHEN n_absent < 2 THEN a END, 6) + 0.0 AS tier_a, round_even(CASE WHEN n_absent < 2 AND has_b THEN every END, 6) + 0.0 AS tier_b,
+         round_even(CASE WHEN n_absent < 2 THEN CASE WHEN has_b THEN every ELSE a END END, 6) + 0.0 AS headline,
+         CASE WHEN n_absent < 2 THEN CASE WHEN has_b THEN 'B' ELSE 'A' END END AS headline_tier, n_absent >= 2 AS abstained,
+         concat_ws(',', CASE WHEN assumed THEN 'validation_assumption:umich_unrevised_final' END,
+                   CASE WHEN gone IS NOT NULL THEN 'family_abstention:' || replace(gone, ',', ',family_abstention:') END,
+                   CASE WHEN n_absent >= 2 THEN 'leading_abstained:' || n_absent || '_of_4_families' WHEN n_absent > 0 THEN 'leading_renormalized:' || gone END) AS flags,
+         assembly_date NOT IN (SELECT finalized_on FROM finals) AS provisional
+  FROM g
+)"""
+    )
+
+
+_FINAL, _ALL = "SELECT finalized_on AS assembly_date FROM finals", "SELECT assembly_date FROM rolled"
 
 
-@query(_COMPOSITE)
+@query(_composite(_FINAL) + " SELECT assembly_date, unit, month_idx, n_refs, round_even(z, 5) AS z FROM scored")
 def composite_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every unit's score at every finalisation, from vintages to z."""
-    dates = _months(spark).select(F.col("finalized_on").alias("assembly_date"))
-    rows = composite.checked(composite.histories(composite.demo_spans(spark, sf_dir), dates))
+    spans = composite.demo_spans(spark, sf_dir)
+    rows = composite.checked(composite.histories(spans, _final_dates(spark, spans)))
     found = composite.scored(composite.transformed(composite.grid(rows)))
     return found.select("assembly_date", "unit", "month_idx", "n_refs", F.bround("z", 5).alias("z"))
 
 
-@query()
+@query(_composite(_ALL) + " SELECT * FROM tiers")
 def composite_all_assemblies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    dates = calendar.assemblies(spark).where("assembly_date between '2015-06-01' and '2021-12-31'").select("assembly_date")
-    found = composite.assemblies(composite.demo_spans(spark, sf_dir), dates)
+    """The composite at every weekly assembly while the series run."""
+    spans = composite.demo_spans(spark, sf_dir)
+    found = composite.assemblies(spans, _every_date(spark, spans))
     return found.withColumn("flags", F.array_join("flags", ","))
 
 
-@query()
+@query(_composite(_ALL, guarded=True) + " SELECT * FROM tiers")
+def composite_guarded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with provenance: coverage fails closed, snapshots are checked, first prints are for provisional weeks only."""
+    spans = composite.with_provenance(composite.demo_spans(spark, sf_dir))
+    coverage = spark.createDataFrame(list(_COVERED.items()), "series_id string, d string").select("series_id", F.to_date("d").alias("complete_through"))
+    found = composite.assemblies(spans, _every_date(spark, spans), coverage=coverage)
+    return found.withColumn("flags", F.array_join("flags", ","))
+
+
+@query(
+    _composite(_FINAL)
+    + """ SELECT assembly_date, family, tier, round_even(z, 6) + 0.0 AS z, abstained, flags, round_even(transformed_value, 6) + 0.0 AS transformed_value,
+       month_idx, releases, assumed FROM families"""
+)
 def composite_families(spark: SparkSession, sf_dir: str) -> DataFrame:
-    dates = _months(spark).select(F.col("finalized_on").alias("assembly_date"))
-    found = composite.families(composite.demo_spans(spark, sf_dir), dates)
+    spans = composite.demo_spans(spark, sf_dir)
+    found = composite.families(spans, _final_dates(spark, spans))
     found = composite.rounded(found, "z", "transformed_value").withColumn("flags", F.array_join("flags", ","))
     return found.withColumn("releases", F.to_json("releases"))
 
 
-@query()
+_BANDED = (
+    _composite(_FINAL)
+    + f""", frozen AS (
+  SELECT month_idx, finalized_on, tier_a, tier_b, headline, row_number() OVER w AS position,
+         (count(tier_a) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))::INT AS reference_count,
+         list_sort(list((round(tier_a * 1000000))::BIGINT) FILTER (tier_a IS NOT NULL) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) AS refs
+  FROM tiers JOIN finals ON assembly_date = finalized_on WINDOW w AS (ORDER BY month_idx)
+), cut AS (
+  SELECT *, {", ".join(f'''CASE WHEN position >= {_BURN} AND reference_count >= {_BURN - 1} THEN round_even(
+           (refs[((len(refs) - 1) * {q} // 100) + 1]::DECIMAL(20,0) * 100
+            + (refs[least((len(refs) - 1) * {q} // 100 + 2, len(refs))] - refs[((len(refs) - 1) * {q} // 100) + 1])::DECIMAL(20,0) * ((len(refs) - 1) * {q} % 100)::DECIMAL(3,0)
+           )::DECIMAL(24,0) * 0.00000001::DECIMAL(9,8), 6)::DOUBLE END AS p{q}''' for q in (70, 85, 95))}
+  FROM frozen
+), banded AS (
+  SELECT *, CASE WHEN tier_a < p70 THEN 'Normal' WHEN tier_a < p85 THEN 'Watch' WHEN tier_a <= p95 THEN 'Elevated' WHEN tier_a > p95 THEN 'High' END AS raw_band,
+         CASE WHEN tier_b < p70 THEN 'Normal' WHEN tier_b < p85 THEN 'Watch' WHEN tier_b <= p95 THEN 'Elevated' WHEN tier_b > p95 THEN 'High' END AS tier_b_mapped_band
+  FROM cut
+), runs AS (
+  SELECT *, sum(CASE WHEN raw_band = lag_band THEN 0 ELSE 1 END) OVER (ORDER BY month_idx) AS run_id
+  FROM (SELECT *, lag(raw_band) OVER (ORDER BY month_idx) AS lag_band FROM banded)
+), counted AS (
+  SELECT *, CASE WHEN raw_band IS NOT NULL THEN row_number() OVER (PARTITION BY run_id ORDER BY month_idx) END AS run FROM runs
+), dwelt AS (
+  SELECT *, last_value(CASE WHEN run >= 2 THEN raw_band END IGNORE NULLS) OVER (ORDER BY month_idx) AS confirmed_band FROM counted
+)
+SELECT printf('%04d-%02d', month_idx // 12, month_idx % 12 + 1) AS month, finalized_on, tier_a, tier_b, headline, p70, p85, p95, raw_band,
+       CASE WHEN raw_band IS NOT NULL THEN confirmed_band END AS published_band, confirmed_band,
+       CASE WHEN raw_band IS NOT NULL AND raw_band IS DISTINCT FROM confirmed_band THEN raw_band END AS candidate_band,
+       (CASE WHEN raw_band IS NOT NULL AND raw_band IS DISTINCT FROM confirmed_band THEN run ELSE 0 END)::INT AS candidate_count, tier_b_mapped_band
+FROM dwelt"""
+)
+
+
+@query(_BANDED)
 def composite_frozen_months(spark: SparkSession, sf_dir: str) -> DataFrame:
-    months = _months(spark)
-    dates = months.select(F.col("finalized_on").alias("assembly_date"))
-    assembled = composite.assemblies(composite.demo_spans(spark, sf_dir), dates)
-    found = composite.frozen(assembled, months, burn_in=12)
+    spans = composite.demo_spans(spark, sf_dir)
+    months = _months(spark, spans)
+    found = composite.frozen(composite.assemblies(spans, _final_dates(spark, spans)), months, burn_in=_BURN)
     return found.select(
         "month", "finalized_on", "tier_a", "tier_b", "headline", "p70", "p85", "p95", "raw_band", "published_band",
         "confirmed_band", "candidate_band", "candidate_count", "tier_b_mapped_band",
     )
+
+
+#: Faults that are put into every sixth record, and the checks that each must fail.
+_FAULTS = {
+    0: ("source.composite.headline_tier", "arithmetic.headline_tier"), 1: ("source.flags", "sources.assembly_flags"), 2: ("source_hash",),
+    3: ("license_notices",), 4: ("band.candidate_count",),
+}
+
+
+@query(
+    _composite(_FINAL)
+    + f""" SELECT printf('%04d-%02d', month_idx // 12, month_idx % 12 + 1) AS month, "check" FROM finals JOIN asked ON finalized_on = assembly_date
+JOIN (VALUES {", ".join(f"({k}, '{c}')" for k, cs in _FAULTS.items() for c in cs)}) f(k, "check") ON month_idx % 6 = k"""
+)
+def frozen_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frozen records with known faults, verified by the second path: exactly these faults are found."""
+    spans = composite.demo_spans(spark, sf_dir)
+    dates = _final_dates(spark, spans)
+    families = composite.families(spans, dates)
+    assembled = composite.tiers_of(families)
+    records = frozen.records_from(composite.frozen(assembled, _months(spark, spans)), families)
+    for r in records:
+        kind = calendar.month_index(r["month"]) % 6
+        if kind == 0:
+            r["composite"]["headline_tier"] = "X"
+        elif kind == 1:
+            r["assembly_flags"] = [*r["assembly_flags"], "forged"]
+        elif kind == 2:
+            r["source_assembly_sha256"] = "0" * 64
+        elif kind == 3:
+            r["license_notices"] = [*r["license_notices"], "forged"]
+        elif kind == 4:
+            r["band"]["candidate_count"] += 1
+    lines = spark.createDataFrame([(canonical_bytes(r).decode(),) for r in records], "value string")
+    return checker.verify_sequence(frozen.parsed(lines), spans)[0]

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark import calendar
 from tidemark.functions.values import month_of, six_places
 from tidemark.operators import bands, compose, pit, transforms
 from tidemark.registry import registry
@@ -16,14 +17,37 @@ from tidemark.registry import registry
 POOLED = "pooled_yoy_growth"
 
 
-def histories(spans: DataFrame, dates: DataFrame, inclusive_start: bool = True) -> DataFrame:
-    """What is knowable of the engine's series at each date, with the registry's columns."""
-    series = F.broadcast(registry(spans.sparkSession, engine_only=True))
-    return pit.as_of(spans, dates, inclusive_start=inclusive_start).join(series, "series_id")
+def modes(spark: SparkSession) -> DataFrame:
+    """(assembly_date, provisional) of all scheduled assemblies: those that finalise no month are provisional."""
+    final = calendar.finalizations(spark).select(F.col("finalized_on").alias("final_date"))
+    days = calendar.assemblies(spark).select("assembly_date").distinct()
+    joined = days.join(F.broadcast(final), F.col("assembly_date") == F.col("final_date"), "left")
+    return joined.select("assembly_date", F.col("final_date").isNull().alias("provisional"))
+
+
+def histories(spans: DataFrame, dates: DataFrame, inclusive_start: bool = True, coverage: DataFrame | None = None) -> DataFrame:
+    """What is knowable of the engine's series at each date, with the registry's columns.
+
+    With ``coverage`` (series_id, complete_through) it fails closed: a date beyond what a series is covered for, or a
+    series without coverage, has no history. Spans may have a ``mode``, canonical or provisional: they hold at
+    assemblies of that mode only.
+    """
+    series = registry(spans.sparkSession, engine_only=True).withColumnRenamed("source", "known_source")
+    rows = pit.as_of(spans, dates, inclusive_start=inclusive_start).join(F.broadcast(series), "series_id")
+    if "mode" in spans.columns:
+        rows = rows.join(F.broadcast(modes(spans.sparkSession)), "assembly_date", "left")
+        own = F.when(F.coalesce("provisional", F.lit(True)), "provisional").otherwise("canonical")
+        rows = rows.where(F.col("mode").isNull() | (F.col("mode") == own)).drop("mode")
+    if coverage is not None:
+        rows = pit.guard_coverage(rows, coverage).where("covered").drop("complete_through", "reason", "covered")
+    return rows
 
 
 def checked(rows: DataFrame) -> DataFrame:
-    """Histories with each observation's number and, if it can't be used, a code; ``latest`` marks the newest one."""
+    """Histories with each observation's number and, if it can't be used, a code.
+
+    Where rows say where they come from (source, availability_basis), the rules of a snapshot are codes too.
+    """
     rows = transforms.numeric_issues(rows, ["assembly_date", "series_id"])
     shifted = F.date_add("observation_date", F.col("shift_days"))
     off_grid = (
@@ -32,14 +56,21 @@ def checked(rows: DataFrame) -> DataFrame:
         .otherwise(F.dayofmonth("observation_date") != 1)
     )
     code = F.coalesce("code", F.when(off_grid, "off_grid"))
+    if {"source", "availability_basis"} <= set(rows.columns):
+        rows = pit.snapshot_issues(rows.withColumn("asked_series", F.col("series_id"))).drop("asked_series")
+        code = F.coalesce(F.when(F.size("codes") > 0, F.concat(F.lit("snapshot:"), F.get("codes", F.lit(0)))), code)
     return rows.withColumns({"code": code, "number": F.when(code.isNull(), F.col("number"))})
 
 
-def member_state(rows: DataFrame, dates: DataFrame, date_col: str = "assembly_date", limits: dict[str, int] | None = None) -> DataFrame:
+def member_state(
+    rows: DataFrame, dates: DataFrame, date_col: str = "assembly_date", limits: dict[str, int] | None = None,
+    coverage: DataFrame | None = None,
+) -> DataFrame:
     """A row for each date and expected member: whether it is missing, invalid or stale.
 
-    Invalid: an observation that is no number (other than the missing mark), is off its grid or repeated, or a newest
-    observation without a number. Stale: the newest release over the whole history is older than the limit.
+    Invalid: a date that the coverage doesn't reach; an observation that is no number (other than the missing mark), is
+    off its grid, repeated, or breaks a rule of snapshots; or a newest observation without a number. Stale: the newest
+    release over the whole history is older than the limit.
     """
     spark = rows.sparkSession
     series = registry(spark, engine_only=True).select("series_id", "family", "ord", "staleness_days")
@@ -47,17 +78,24 @@ def member_state(rows: DataFrame, dates: DataFrame, date_col: str = "assembly_da
         given = F.create_map(*[F.lit(x) for p in limits.items() for x in p])
         series = series.withColumn("staleness_days", F.coalesce(given[F.col("series_id")], "staleness_days"))
     expected = dates.select(date_col).distinct().crossJoin(F.broadcast(series))  # eight rows
+    uncovered = F.lit(False)
+    if coverage is not None:
+        expected = pit.guard_coverage(expected, coverage, date_col)
+        uncovered = ~F.col("covered")
+    assumed = F.col("availability_basis") == pit.BASES[1] if "availability_basis" in rows.columns else F.lit(False)
     found = rows.groupBy(date_col, "series_id").agg(
         F.max("release_date").alias("newest_release"),
         F.count_if(F.col("code").isNotNull() & (F.col("code") != "missing_value")).alias("errors"),
         F.max_by("code", "observation_date").alias("newest_code"),
+        F.max(assumed).alias("assumed"),
     )
     age = F.datediff(F.col(date_col), F.col("newest_release"))
     return expected.join(found, [date_col, "series_id"], "left").select(
         date_col, "family", "series_id", "ord", "newest_release",
-        F.col("errors").isNull().alias("is_missing"),
-        (F.coalesce(F.col("errors") > 0, F.lit(False)) | F.col("newest_code").isNotNull() | F.coalesce(age < 0, F.lit(False))).alias("is_invalid"),
+        (F.col("errors").isNull() & ~uncovered).alias("is_missing"),
+        (uncovered | F.coalesce(F.col("errors") > 0, F.lit(False)) | F.col("newest_code").isNotNull() | F.coalesce(age < 0, F.lit(False))).alias("is_invalid"),
         F.coalesce(age > F.col("staleness_days"), F.lit(False)).alias("is_stale"),
+        F.coalesce("assumed", F.lit(False)).alias("assumed"),
     )
 
 
@@ -138,14 +176,19 @@ def scored(points: DataFrame, ddof: int = 0) -> DataFrame:
     return out.withColumn("z", clamp(F.when(F.col("reason").isNull(), z), transforms.CAP)).drop("mean", "sigma", "void")
 
 
-def families(spans: DataFrame, dates: DataFrame, inclusive_start: bool = True, ddof: int = 0, limits: dict[str, int] | None = None) -> DataFrame:
+def families(
+    spans: DataFrame, dates: DataFrame, inclusive_start: bool = True, ddof: int = 0, limits: dict[str, int] | None = None,
+    coverage: DataFrame | None = None,
+) -> DataFrame:
     """Every family at every date: z (null if it abstains), flags, the latest transformed value and its month."""
     spark = spans.sparkSession
-    rows = checked(histories(spans, dates, inclusive_start))
-    state = member_state(rows, dates, limits=limits)
-    gated = compose.gate(state, ["assembly_date", "family"])
+    rows = checked(histories(spans, dates, inclusive_start, coverage))
+    state = member_state(rows, dates, limits=limits, coverage=coverage)
     released = F.when(F.col("newest_release").isNotNull(), F.struct("series_id", "newest_release"))
-    releases = state.groupBy("assembly_date", "family").agg(F.map_from_entries(F.sort_array(F.collect_list(released))).alias("releases"))
+    gated = compose.gate(
+        state, ["assembly_date", "family"],
+        more={"releases": F.map_from_entries(F.sort_array(F.collect_list(released))), "assumed": F.max("assumed")},
+    )
     units = registry(spark, engine_only=True)
     expected = units.select(
         "family", "ord", "tier", F.when(F.col("transform") == POOLED, F.col("family")).otherwise(F.col("series_id")).alias("unit")
@@ -164,7 +207,7 @@ def families(spans: DataFrame, dates: DataFrame, inclusive_start: bool = True, d
         F.max_by("value", "ord").alias("value"),
         F.sort_array(F.collect_list(F.when(F.col("flag").isNotNull(), F.struct("ord", "flag")))).alias("reasons"),
     )
-    out = gated.join(by_family, ["assembly_date", "family"]).join(releases, ["assembly_date", "family"])
+    out = gated.join(by_family, ["assembly_date", "family"])
     available = ~F.col("abstained") & (F.col("scored") == F.col("units"))
     return out.select(
         "assembly_date", "family", "tier",
@@ -173,17 +216,33 @@ def families(spans: DataFrame, dates: DataFrame, inclusive_start: bool = True, d
         F.when(F.col("abstained"), F.col("flags")).otherwise(F.transform("reasons", lambda r: r["flag"])).alias("flags"),
         F.when(available & (F.col("units") == 1), F.col("value")).alias("transformed_value"),
         F.when(available, F.col("month_idx")).alias("month_idx"),
-        "releases",
+        "releases", "assumed",
     )
 
 
 def assemblies(spans: DataFrame, dates: DataFrame, **rules) -> DataFrame:
-    """Tier A, tier B and headline at every date, with abstentions as flags."""
-    return compose.tiers(families(spans, dates, **rules), ["assembly_date"])
+    """Tier A, tier B and headline at every date, with abstentions as flags, and the mode that the calendar gives it.
+
+    A date that is no scheduled assembly has a first flag that says so, and values nobody may publish: it is provisional.
+    """
+    return tiers_of(families(spans, dates, **rules))
+
+
+def tiers_of(found: DataFrame) -> DataFrame:
+    """The assemblies of families that have been computed already."""
+    found = compose.tiers(found, ["assembly_date"])
+    found = found.join(F.broadcast(modes(found.sparkSession)), "assembly_date", "left")
+    odd = F.when(F.col("provisional").isNull(), F.array(F.lit("invalid_assembly_date"))).otherwise(F.array().cast("array<string>"))
+    return found.withColumns({"flags": F.concat(odd, "flags"), "provisional": F.coalesce("provisional", F.lit(True))})
 
 
 def frozen(assembled: DataFrame, months: DataFrame, include_current: bool = False, dwell: int = bands.DWELL, burn_in: int = bands.BURN_IN) -> DataFrame:
-    """One record a month: the assembly that finalises it, its bands and dwell state, and tier B on tier A's thresholds."""
+    """One record a month: the assembly that finalises it, its bands and dwell state, and tier B on tier A's thresholds.
+
+    Provisional assemblies finalise nothing.
+    """
+    if "provisional" in assembled.columns:
+        assembled = assembled.where("not provisional")
     rows = assembled.join(F.broadcast(months), F.col("assembly_date") == F.col("finalized_on"))
     rows = rows.withColumn("panel", F.lit(0))
     rows = bands.thresholds(rows, ["panel"], "tier_a", include_current, burn_in, burn_in - 1)
@@ -240,5 +299,24 @@ def demo_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prints.unionByName(weekly)
 
 
+def with_provenance(spans: DataFrame) -> DataFrame:
+    """Demo spans that say where they come from.
+
+    The archived series' first prints, which end, are preliminary and hold in provisional weeks; its last ones are final,
+    and taken to have been known when they were released.
+    """
+    archived = F.col("series_id") == "UMICH_SCA_T2N_TOP"
+    last = F.col("realtime_end") == F.lit(pit.FOREVER).cast("date")
+    return spans.withColumns(
+        {
+            "source": F.when(archived, "archive").otherwise("alfred"),
+            "availability_basis": F.when(archived & last, pit.BASES[1]).otherwise(pit.BASES[0]),
+            "release_stage": F.when(archived, F.when(last, "final").otherwise("preliminary")),
+            "retrieved_at": F.when(archived, F.concat(F.col("realtime_start").cast("string"), F.lit("T12:00:00Z"))),
+            "mode": F.when(archived & ~last, "provisional"),
+        }
+    )
+
+
 def rounded(rows: DataFrame, *columns: str) -> DataFrame:
     return rows.withColumns({c: six_places(F.col(c)) for c in columns})

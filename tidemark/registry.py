@@ -23,36 +23,25 @@ class Series:
 
 
 # Identifiers, families, limits and licences that results depend on.
-_TABLE = """
-1 RSFSDP census_retail leading alfred monthly 40 A pooled_yoy_growth public 0
-2 RSFHFS census_retail leading alfred monthly 40 A pooled_yoy_growth public 0
-3 VISASMIDSA visa_smi leading alfred monthly 40 B hundred_minus_level visa_citation 0
-4 DPSACBW027SBOG household_liquidity leading alfred weekly 21 A pooled_yoy_growth public 0
-5 WRMFNS household_liquidity leading alfred weekly 45 A pooled_yoy_growth public 2
-6 UMICH_SCA_T2N_TOP umich_top_tercile leading archive monthly 40 A inverted_level umich_internal 0
-7 REVOLSL strain overlay alfred monthly 40 - yoy_growth public 0
-8 DRCCLACBS strain overlay alfred quarterly 110 - level public 0
-9 DRCARX1Q020SBEA outcome outcome alfred quarterly 0 - quarterly_log_trend_gap_component public 0
-10 DFSARX1Q020SBEA outcome outcome alfred quarterly 0 - quarterly_log_trend_gap_component public 0
-"""
+# fmt: off
+REGISTRY = (
+    Series(1, "RSFSDP", "census_retail", "leading", "alfred", "monthly", 40, "A", "pooled_yoy_growth", "public", 0),
+    Series(2, "RSFHFS", "census_retail", "leading", "alfred", "monthly", 40, "A", "pooled_yoy_growth", "public", 0),
+    Series(3, "VISASMIDSA", "visa_smi", "leading", "alfred", "monthly", 40, "B", "hundred_minus_level", "visa_citation", 0),
+    Series(4, "DPSACBW027SBOG", "household_liquidity", "leading", "alfred", "weekly", 21, "A", "pooled_yoy_growth", "public", 0),
+    Series(5, "WRMFNS", "household_liquidity", "leading", "alfred", "weekly", 45, "A", "pooled_yoy_growth", "public", 2),
+    Series(6, "UMICH_SCA_T2N_TOP", "umich_top_tercile", "leading", "archive", "monthly", 40, "A", "inverted_level", "umich_internal", 0),
+    Series(7, "REVOLSL", "strain", "overlay", "alfred", "monthly", 40, None, "yoy_growth", "public", 0),
+    Series(8, "DRCCLACBS", "strain", "overlay", "alfred", "quarterly", 110, None, "level", "public", 0),
+    Series(9, "DRCARX1Q020SBEA", "outcome", "outcome", "alfred", "quarterly", 0, None, "quarterly_log_trend_gap_component", "public", 0),
+    Series(10, "DFSARX1Q020SBEA", "outcome", "outcome", "alfred", "quarterly", 0, None, "quarterly_log_trend_gap_component", "public", 0),
+)
+# fmt: on
 #: Families in the order of every report: four leading ones, then the overlay.
 FAMILIES = ("census_retail", "visa_smi", "household_liquidity", "umich_top_tercile", "strain")
 LEADING = FAMILIES[:4]
 
 
-def _read() -> tuple[Series, ...]:
-    rows = []
-    for line in _TABLE.split("\n"):
-        if p := line.split():
-            rows.append(
-                Series(int(p[0]), *p[1:6], int(p[6]), None if p[7] == "-" else p[7], p[8], p[9], int(p[10]))
-            )
-    return tuple(rows)
-
-
-REGISTRY = _read()
-
-
 def by_id(series_id: str) -> Series:
     """The series of that id; KeyError if there is none."""
     return {s.series_id: s for s in REGISTRY}[series_id]

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import csv
+import io
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -36,12 +40,27 @@ class Archive:
         return pit.build_spans(kept, self.coverage(), effective, ORDER[3:])
 
 
-def lines(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """The lines of CSV files with their numbers, read by Spark, so that any file system will do."""
+def records(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(file, line, values): the records of CSV files, with the line each begins at, as many values as it has.
+
+    Spark reads the files, so that any file system will do; a quoted value may hold line feeds. Files are dealt to tasks
+    one by one: an archive has some hundred rows. Blank lines are no records.
+    """
+
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for file, text in zip(batch["file"], batch["value"]):
+                body = io.StringIO(text.removeprefix("\ufeff").replace("\r\n", "\n").replace("\r", "\n"), newline="")
+                reader, before = csv.reader(body), 0
+                for values in reader:
+                    if values:
+                        out.append((file, before + 1, values))
+                    before = reader.line_num
+            yield pd.DataFrame(out, columns=["file", "line", "values"])
+
     text = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    body = F.regexp_replace(F.regexp_replace("value", "^﻿", ""), "\r\n?", "\n")
-    split = text.select("file", F.posexplode(F.split(body, "\n")).alias("line", "raw"))
-    return split.where("raw <> ''").withColumn("line", F.col("line") + 1)
+    return text.mapInPandas(parse, "file string, line int, values array<string>")
 
 
 def rule_codes(rows: DataFrame) -> DataFrame:
@@ -84,15 +103,14 @@ def read_archive(spark: SparkSession, paths: str | list[str]) -> Archive:
     Rows that break a rule are left out and reported; so are headers, files without rows, rows out of order, repeated
     rows, and rows that contradict each other on one effective date.
     """
-    found = lines(spark, [paths] if isinstance(paths, str) else list(paths))
-    header = found.where("line = 1").select("file", F.from_csv("raw", F.lit(f"{', '.join(f'c{i} string' for i in range(40))}")).alias("h"))
-    names = F.filter(F.array(*[F.col(f"h.c{i}") for i in range(40)]), lambda x: x.isNotNull())
-    header = header.select("file", names.alias("names"))
+    found = records(spark, [paths] if isinstance(paths, str) else list(paths))
+    first = found.groupBy("file").agg(F.min_by("values", "line").alias("names"), F.min("line").alias("head"))
+    header = first.select("file", F.transform("names", lambda x: F.trim(x)).alias("names"), "head")
     missing = F.array_except(F.array(*[F.lit(c) for c in ARCHIVE_COLUMNS]), "names")
     extra = F.array_except("names", F.array(*[F.lit(c) for c in ARCHIVE_COLUMNS]))
     issue = lambda code, severity="error": F.struct(F.lit(severity).alias("severity"), F.lit(code).alias("code"))
     head_issues = header.select(
-        "file", F.lit(1).alias("line"),
+        "file", F.col("head").alias("line"),
         F.explode(F.array_compact(F.array(
             F.when(F.size(missing) > 0, issue("missing_columns")),
             F.when(F.size(F.array_distinct("names")) < F.size("names"), issue("duplicate_columns")),
@@ -100,14 +118,11 @@ def read_archive(spark: SparkSession, paths: str | list[str]) -> Archive:
         ))).alias("i"),
     ).select("file", "line", "i.severity", "i.code")
     good = header.where((F.size(missing) == 0) & (F.size(F.array_distinct("names")) == F.size("names")))
-    parsed = found.where("line > 1").join(good, "file")
-    fields = F.from_csv("raw", F.lit(f"{', '.join(f'c{i} string' for i in range(41))}"))
-    parsed = parsed.withColumn("f", fields)
-    every = F.array(*[F.col(f"f.c{i}") for i in range(41)])
-    value = lambda name: F.get(every, (F.array_position("names", name) - 1).cast("int"))
+    parsed = found.join(good, "file").where("line > head")
+    value = lambda name: F.get("values", (F.array_position("names", name) - 1).cast("int"))
     rows = parsed.select(
         "file", "line", *[value(c).alias(c) for c in ARCHIVE_COLUMNS],
-        F.get(every, F.size("names")).isNotNull().alias("too_long"),
+        (F.size("values") > F.size("names")).alias("too_long"),
     )
     rows = rule_codes(rows)
     row_issues = rows.select("file", "line", F.lit("error").alias("severity"), F.explode("codes").alias("code"))
@@ -134,9 +149,10 @@ def read_archive(spark: SparkSession, paths: str | list[str]) -> Archive:
             F.when(F.col("n_values") > 1, F.lit("conflicting_rows")),
         ))).alias("code"),
     ).select("file", "line", F.lit("error").alias("severity"), "code")
-    late = pit.gaps(valid.select("series_id", "observation_date").distinct(), F.lit("monthly"))
+    kinds = F.broadcast(registry(spark).select("series_id", "frequency"))  # ten rows
+    late = pit.gaps(valid.select("series_id", "observation_date").distinct().join(kinds, "series_id"), F.col("frequency"))
     late = late.select(F.lit(None).cast("string").alias("file"), F.lit(None).cast("int").alias("line"), F.lit("warning").alias("severity"), F.lit("gap").alias("code"))
-    empty = good.join(found.where("line > 1").select("file").distinct(), "file", "left_anti")
-    empty = empty.select("file", F.lit(1).alias("line"), F.lit("error").alias("severity"), F.lit("no_rows").alias("code"))
+    empty = good.join(parsed.select("file").distinct(), "file", "left_anti")
+    empty = empty.select("file", F.col("head").alias("line"), F.lit("error").alias("severity"), F.lit("no_rows").alias("code"))
     issues = head_issues.unionByName(row_issues).unionByName(more).unionByName(late).unionByName(empty)
     return Archive(valid, issues)

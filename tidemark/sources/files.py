@@ -33,9 +33,8 @@ def read_regular(path: str | Path, most: int = MOST) -> bytes:
     return data
 
 
-def replace(path: str | Path, data: bytes, mode: int = 0o600) -> None:
-    """Write next to the target, then move over it."""
-    target = Path(path)
+def _beside(target: Path, data: bytes, mode: int) -> str:
+    """A complete file in the target's folder."""
     target.parent.mkdir(parents=True, exist_ok=True)
     handle, name = tempfile.mkstemp(dir=target.parent, prefix=f".{target.name}-")
     try:
@@ -44,20 +43,34 @@ def replace(path: str | Path, data: bytes, mode: int = 0o600) -> None:
             file.flush()
             os.fsync(file.fileno())
         os.chmod(name, mode)
-        os.replace(name, target)
+    except BaseException:
+        Path(name).unlink(missing_ok=True)
+        raise
+    return name
+
+
+def replace(path: str | Path, data: bytes, mode: int = 0o600) -> None:
+    """Write next to the target, then move over it."""
+    name = _beside(Path(path), data, mode)
+    try:
+        os.replace(name, path)
     except BaseException:
         Path(name).unlink(missing_ok=True)
         raise
 
 
-def write_once(path: str | Path, data: bytes) -> bool:
-    """Create a file, or accept one with the same bytes; True if it was created."""
-    if os.path.lexists(path):
+def write_once(path: str | Path, data: bytes, mode: int = 0o600) -> bool:
+    """Create a file, or accept one with the same bytes; True if it was created. Of two writers one creates it."""
+    name = _beside(Path(path), data, mode)
+    try:
+        os.link(name, path)  # fails if there is one
+        return True
+    except FileExistsError:
         if read_regular(path, max(MOST, len(data) + 1)) != data:
-            raise EvidenceError(f"{Path(path).name} exists with other content")
+            raise EvidenceError(f"{Path(path).name} exists with other content") from None
         return False
-    replace(path, data)
-    return True
+    finally:
+        Path(name).unlink(missing_ok=True)
 
 
 def describe(path: str | Path, name: str, most: int = 1 << 40) -> dict:

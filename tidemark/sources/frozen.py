@@ -14,9 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark import calendar, schemas
-from tidemark.functions.canonical import canonical_bytes, digest, parse_canonical, parse_strict
+from tidemark.functions.canonical import canonical_bytes, digest, parse_canonical
 from tidemark.functions.values import BANDS
-from tidemark.registry import by_id
+from tidemark.registry import REGISTRY, by_id, registry
 
 SCHEMA_VERSION = "tidemark.frozen.month.v1"
 #: What has to be said wherever a series of that licence is used.
@@ -138,26 +138,71 @@ def append(path: str | Path, record: dict) -> list[tuple[str, str]]:
         return issues
 
 
+def refusals(frozen: DataFrame, families: DataFrame) -> DataFrame:
+    """(month, code): what forbids to freeze a month.
+
+    The assembly is provisional or isn't the one that finalises the month; it abstains and has values; a family is there
+    twice; one series has several vintages, is unknown, or has a licence without a notice.
+    """
+    spark = frozen.sparkSession
+    days = frozen.select("month", "assembly_date", "finalized_on", "abstained", "tier_a", "tier_b", "headline")
+    provisional = F.col("provisional") if "provisional" in frozen.columns else F.lit(False)
+    valued = F.coalesce("tier_a", "tier_b", "headline").isNotNull()
+    rules = {
+        "provisional": provisional, "wrong_date": F.col("assembly_date") != F.col("finalized_on"),
+        "abstained_with_values": F.col("abstained") & valued, "values_missing": ~F.col("abstained") & ~valued,
+    }
+    found = frozen.select("month", F.explode(F.array_compact(F.array(*[F.when(r, F.lit(c)) for c, r in rules.items()]))).alias("code"))
+    twice = families.groupBy("assembly_date", "family").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    found = found.unionByName(days.join(twice, "assembly_date").select("month", F.lit("duplicate_family").alias("code")))
+    vintages = families.select("assembly_date", F.explode("releases").alias("series_id", "release"))
+    several = vintages.groupBy("assembly_date", "series_id").agg(F.count_distinct("release").alias("n")).where("n > 1")
+    found = found.unionByName(days.join(several, "assembly_date").select("month", F.lit("vintage_conflict").alias("code")))
+    series = registry(spark).select("series_id", "license")
+    odd = vintages.join(F.broadcast(series), "series_id", "left").where(F.col("license").isNull() | ~F.col("license").isin("public", *NOTICES))
+    return found.unionByName(days.join(odd, "assembly_date").select("month", F.lit("unknown_series").alias("code"))).distinct()
+
+
+class Refused(ValueError):
+    """A month that may not be frozen."""
+
+
+def source_assembly(day: date, composite: dict, families: list, flags: list[str]) -> str:
+    """The canonical JSON of an assembly; transformed values of internal licences are redacted."""
+    internal = {s.family for s in REGISTRY if s.license == "umich_internal"}
+    members = {
+        f["family"]: {
+            "abstained": f["abstained"], "flags": list(f["flags"]),
+            "member_release_dates": {s: d.isoformat() for s, d in (f["releases"] or {}).items()},
+            "transformed_value": None if f["family"] in internal else f["transformed_value"],
+            "transformed_value_redacted": f["family"] in internal, "z_score": f["z"],
+        }
+        for f in families
+    }
+    return canonical_bytes({"assembly_date": day.isoformat(), "composite": composite, "families": members, "flags": flags}).decode()
+
+
 def records_from(frozen: DataFrame, families: DataFrame) -> list[dict]:
-    """Frozen records of a plan's months (a few hundred rows), with the canonical assembly that each comes from."""
+    """Frozen records of a plan's months (a few hundred rows), with the canonical assembly that each comes from.
+
+    Raises ``Refused`` if any month may not be frozen.
+    """
+    if wrong := refusals(frozen, families).limit(5).collect():
+        raise Refused(f"{[tuple(r) for r in wrong]}")
     by_date: dict[date, list] = {}
-    for r in families.select("assembly_date", "family", "z", "abstained", "flags", "releases").collect():
+    for r in families.select("assembly_date", "family", "z", "abstained", "flags", "releases", "transformed_value").collect():
         by_date.setdefault(r["assembly_date"], []).append(r)
     out = []
     for r in sorted(frozen.collect(), key=lambda r: r["month"]):
-        members = {
-            f["family"]: {"abstained": f["abstained"], "flags": list(f["flags"]), "z_score": f["z"]}
-            for f in by_date.get(r["assembly_date"], [])
-        }
-        composite = {
+        found = by_date.get(r["assembly_date"], [])
+        members = {f["family"]: {"abstained": f["abstained"], "flags": list(f["flags"]), "z_score": f["z"]} for f in found}
+        inner = {
             "abstained": r["abstained"], "headline_tier": r["headline_tier"], "headline_value": r["headline"],
-            "tier_a_value": r["tier_a"], "tier_b_mapped_band": r["tier_b_mapped_band"], "tier_b_value": r["tier_b"],
+            "tier_a_value": r["tier_a"], "tier_b_value": r["tier_b"],
         }
-        vintages = {s: d.isoformat() for f in by_date.get(r["assembly_date"], []) for s, d in (f["releases"] or {}).items()}
+        vintages = {s: d.isoformat() for f in found for s, d in (f["releases"] or {}).items()}
         notices = sorted({NOTICES[by_id(s).license] for s in vintages if by_id(s).license in NOTICES})
-        source = canonical_bytes(
-            {"assembly_date": r["assembly_date"].isoformat(), "composite": composite, "families": members, "flags": list(r["flags"])}
-        ).decode()
+        source = source_assembly(r["assembly_date"], inner, found, list(r["flags"]))
         cuts = None if r["p70"] is None else {"p70": r["p70"], "p85": r["p85"], "p95": r["p95"]}
         out.append(
             {
@@ -167,7 +212,8 @@ def records_from(frozen: DataFrame, families: DataFrame) -> list[dict]:
                     "eligible": r["eligible"], "published_band": r["published_band"], "raw_band": r["raw_band"],
                     "reference_count": r["reference_count"], "thresholds": cuts,
                 },
-                "composite": composite, "families": members, "finalized_on": r["finalized_on"].isoformat(), "input_vintages": vintages,
+                "composite": {**inner, "tier_b_mapped_band": r["tier_b_mapped_band"]},
+                "families": members, "finalized_on": r["finalized_on"].isoformat(), "input_vintages": vintages,
                 "license_notices": notices, "month": r["month"], "schema_version": SCHEMA_VERSION, "source_assembly_json": source,
                 "source_assembly_sha256": digest(source.encode()),
             }
@@ -175,12 +221,11 @@ def records_from(frozen: DataFrame, families: DataFrame) -> list[dict]:
     return out
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """A store as a DataFrame: each line parsed by schema; lines that are no such JSON have a null record."""
-    text = spark.read.text(path)
-    return text.select(F.from_json("value", schemas.FROZEN).alias("r"), "value").select("r.*", F.col("value").alias("line"))
+def parsed(lines: DataFrame) -> DataFrame:
+    """Lines (value) by schema; those that are no such JSON have a null record."""
+    return lines.select(F.from_json("value", schemas.FROZEN).alias("r"), "value").select("r.*", F.col("value").alias("line"))
 
 
-def embedded(record: dict) -> dict:
-    """The assembly inside a record."""
-    return parse_strict(record["source_assembly_json"])
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """A store as a DataFrame, a record a month."""
+    return parsed(spark.read.text(path))

@@ -1,11 +1,15 @@
 """The vintage store: four Parquet tables with keyed merges, and read snapshots.
 
-Merges write a new version of a table and then move a pointer, so a reader sees one state and a failed job changes
-nothing. Versions are directories; the pointer is a one-line text file next to them.
+A state is a small numbered file that names the directories of all tables. A merge writes new directories, then claims
+the next number; a reader takes the last complete state, so it sees all tables at one moment, and a failed or crashed
+job changes nothing: the states before it stay where they are. Of two writers that start from one state, one claims the
+number, and the other is told.
 """
 
 from __future__ import annotations
 
+import json
+import time
 import uuid
 from datetime import date
 
@@ -27,80 +31,157 @@ class VintageCoverageError(LookupError):
     """A vintage is asked for that the store can't vouch for."""
 
 
+class ConcurrentWrite(RuntimeError):
+    """Another writer has changed the store since this one has read it."""
+
+
 class VintageStore:
     """A store under one root, on any file system that Spark reads and writes."""
 
+    #: Directories of an appended table, before they are written anew as one.
+    MOST_PARTS = 64
+    #: Seconds after which a state that was claimed and never completed is taken for that of a crashed writer.
+    PATIENCE = 5.0
+
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
 
-    def _pointer(self, name: str):
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}/CURRENT")
+    def _path(self, name: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
 
-    def version(self, name: str) -> str | None:
-        """The current version of a table."""
-        fs, path = self._pointer(name)
+    def _numbers(self) -> list[int]:
+        fs, path = self._path("states")
         if not fs.exists(path):
-            return None
+            return []
+        names = [f.getPath().getName() for f in fs.listStatus(path)]
+        return sorted(int(n) for n in names if n.isdigit())
+
+    def _read(self, number: int) -> dict[str, list[str]] | None:
+        """A state; None while it isn't complete: its last character is a line feed."""
+        fs, path = self._path(f"states/{number:08d}")
         stream = fs.open(path)
         try:
-            return bytes(stream.readAllBytes()).decode().strip()
+            text = bytes(stream.readAllBytes()).decode()
         finally:
             stream.close()
-
-    def table(self, name: str, version: str | None = None) -> DataFrame:
-        """A table at its current (or a given) version, with its schema; empty before the first write."""
+        return json.loads(text) if text.endswith("\n") else None
+
+    def state(self) -> tuple[int, dict[str, list[str]]]:
+        """The highest number that is claimed, and the last complete state: table -> directories."""
+        numbers = self._numbers()
+        for n in reversed(numbers):
+            if (found := self._read(n)) is not None:
+                return numbers[-1], found
+        return (numbers[-1] if numbers else 0), {}
+
+    def table(self, name: str, state: dict[str, list[str]] | None = None) -> DataFrame:
+        """A table at the current (or a given) state, with its schema; empty before the first write."""
         schema = TABLES[name][0]
-        at = version or self.version(name)
-        if at is None:
+        parts = (self.state()[1] if state is None else state).get(name)
+        if not parts:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.root}/{name}/{at}")
+        return self.spark.read.schema(schema).parquet(*[f"{self.root}/{name}/{p}" for p in parts])
 
     def snapshot(self) -> dict[str, DataFrame]:
-        """All tables at the versions current now: later merges don't show in them."""
-        return {name: self.table(name, self.version(name)) for name in TABLES}
-
-    def _replace(self, name: str, rows: DataFrame) -> None:
-        at = uuid.uuid4().hex
+        """All tables at one moment: later merges don't show in them."""
+        state = self.state()[1]
+        return {name: self.table(name, state) for name in TABLES}
+
+    def _base(self) -> tuple[int, dict[str, list[str]]]:
+        """The state to start a merge from; one that is being written is waited for."""
+        claimed, state = self.state()
+        until = time.monotonic() + self.PATIENCE
+        while claimed and self._read(claimed) is None and time.monotonic() < until:
+            time.sleep(0.2)
+            claimed, state = self.state()
+        return claimed, state
+
+    def _commit(self, base: tuple[int, dict[str, list[str]]], name: str, rows: DataFrame, append: bool = False) -> None:
+        """Write the rows of a table, and make them (or them too) the table's in the next state."""
+        claimed, state = base
+        part = uuid.uuid4().hex
         columns = [c.split()[0] for c in TABLES[name][0].split(", ")]
-        rows.select(*columns).write.parquet(f"{self.root}/{name}/{at}")
-        fs, path = self._pointer(name)
-        fresh = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}/CURRENT-{at}")
-        stream = fs.create(fresh)
-        stream.write(bytearray(at.encode()))
+        rows.select(*columns).write.parquet(f"{self.root}/{name}/{part}")
+        new = {**state, name: [*state.get(name, []), part] if append else [part]}
+        fs, path = self._path(f"states/{claimed + 1:08d}")
+        try:
+            stream = fs.create(path, False)
+        except Exception as error:
+            if fs.exists(path):
+                raise ConcurrentWrite(f"state {claimed + 1} is another writer's") from error
+            raise
+        stream.write(bytearray((json.dumps(new, sort_keys=True) + "\n").encode()))
         stream.close()
-        fs.delete(path, False)
-        fs.rename(fresh, path)
+
+    def integrity_issues(self, state: dict[str, list[str]] | None = None) -> DataFrame:
+        """(table, code, n): repeated or null keys, and spans that end before they start, of all tables of a state."""
+        state = self.state()[1] if state is None else state
+        found = []
+        for name, (_, keys) in TABLES.items():
+            rows = self.table(name, state)
+            odd = F.lit(False)
+            for k in keys:
+                odd |= F.col(k).isNull()
+            found.append(rows.where(odd).select(F.lit(name).alias("table"), F.lit("null_key").alias("code")))
+            twice = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+            found.append(twice.select(F.lit(name).alias("table"), F.lit("repeated_key").alias("code")))
+        spans = self.table("observation_spans", state).where("realtime_start > realtime_end")
+        found.append(spans.select(F.lit("observation_spans").alias("table"), F.lit("reversed_span").alias("code")))
+        every = found[0]
+        for frame in found[1:]:
+            every = every.unionByName(frame)
+        return every.groupBy("table", "code").agg(F.count(F.lit(1)).alias("n"))
+
+    def copy(self, target: str) -> VintageStore:
+        """A checked copy of the state of one moment under another root, which must be empty."""
+        state = self.state()[1]
+        if (wrong := self.integrity_issues(state).collect()):
+            raise ValueError(f"the store has issues: {[tuple(r) for r in wrong]}")
+        other = VintageStore(self.spark, target)
+        if other.state() != (0, {}):
+            raise ValueError("the target is a store already")
+        for name in TABLES:
+            rows = self.table(name, state)
+            other._commit(other._base(), name, rows)
+            if rows.count() != other.table(name).count() or not rows.exceptAll(other.table(name)).isEmpty():
+                raise ValueError(f"the copy of {name} differs")
+        return other
 
     def upsert_spans(self, spans: DataFrame) -> int:
         """Merge spans by key; what is known keeps its first fetch and its source. Returns the rows given."""
+        base = self._base()
         given = spans.count()
         newest = pit.latest_version(spans, TABLES["observation_spans"][1], ["last_fetched_at"])
-        self._replace("observation_spans", pit.upsert(self.table("observation_spans"), newest))
+        self._commit(base, "observation_spans", pit.upsert(self.table("observation_spans", base[1]), newest))
         return given
 
     def insert_vintages(self, vintages: DataFrame) -> int:
+        base = self._base()
         given = vintages.count()
-        self._replace("vintage_dates", pit.insert_ignore(self.table("vintage_dates"), vintages, TABLES["vintage_dates"][1]))
+        known = self.table("vintage_dates", base[1])
+        self._commit(base, "vintage_dates", pit.insert_ignore(known, vintages, TABLES["vintage_dates"][1]))
         return given
 
     def mark_backfilled(self, series_id: str, through: date) -> None:
         """Move a series' coverage on, never back; the time of the backfill always changes."""
+        base = self._base()
         new = self.spark.createDataFrame([(series_id, through)], "series_id string, newer date").withColumn("now", F.current_timestamp())
-        both = self.table("series_coverage").join(new, "series_id", "full_outer")
-        self._replace(
-            "series_coverage",
+        both = self.table("series_coverage", base[1]).join(new, "series_id", "full_outer")
+        self._commit(
+            base, "series_coverage",
             both.select("series_id", F.greatest("complete_through", "newer").alias("complete_through"), F.coalesce("now", "last_backfill_at").alias("last_backfill_at")),
         )
 
     def record_run(self, **run) -> None:
-        """Append an audit row; ids count on."""
-        runs = self.table("fetch_runs")
+        """Append an audit row; ids count on. Only the new row is written, until there are many parts."""
+        base = self._base()
+        runs = self.table("fetch_runs", base[1])
         last = runs.agg(F.max("id")).first()[0] or 0
         names = [c.split()[0] for c in schemas.RUNS.split(", ")]
         row = self.spark.createDataFrame([tuple({"id": last + 1, **run}.get(c) for c in names)], schemas.RUNS)
-        self._replace("fetch_runs", runs.unionByName(row))
+        append = len(base[1].get("fetch_runs", [])) < self.MOST_PARTS
+        self._commit(base, "fetch_runs", row if append else runs.unionByName(row), append)
 
     def complete_through(self, series_id: str) -> date | None:
         found = self.table("series_coverage").where(F.col("series_id") == series_id).select("complete_through").first()
@@ -114,6 +195,21 @@ class VintageStore:
         held = (F.col("realtime_start") <= F.lit(vintage)) & (F.col("realtime_end") >= F.lit(vintage))
         return self.table("observation_spans").where((F.col("series_id") == series_id) & held).orderBy("observation_date")
 
+    def first_fetched(self, series_id: str) -> DataFrame:
+        """(observation_date, realtime_start, first_fetched_at) of a series: when each span became known here."""
+        rows = self.table("observation_spans").where(F.col("series_id") == series_id)
+        return rows.select("observation_date", "realtime_start", "first_fetched_at").orderBy("observation_date", "realtime_start")
+
+    def notes(self) -> DataFrame:
+        """(series_id, code, detail): series without coverage, or whose newest run failed or was slowed down."""
+        covered = self.table("series_coverage").where("complete_through is not null")
+        runs = self.latest_runs()
+        bare = runs.select("series_id").distinct().join(covered, "series_id", "left_anti")
+        failed = runs.where("status <> 'ok'").select("series_id", F.lit("run_failed").alias("code"), F.col("error_summary").alias("detail"))
+        slow = runs.where("rate_limited > 0").select("series_id", F.lit("rate_limited").alias("code"), F.col("rate_limited").cast("string").alias("detail"))
+        bare = bare.select("series_id", F.lit("no_coverage").alias("code"), F.lit(None).cast("string").alias("detail"))
+        return bare.unionByName(failed).unionByName(slow)
+
     def vintages_for(self, series_id: str) -> DataFrame:
         return self.table("vintage_dates").where(F.col("series_id") == series_id).select("vintage_date").orderBy("vintage_date")
 
