@@ -16,10 +16,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import col, fresh, small_batches
+from tidemark.llm.common import col, cut, fresh, small_batches
 
 BUCKETS = 1 << 15
 STATS = 24
@@ -166,12 +166,14 @@ def fit(
     label_col: str = "quality",
     max_good: int = 3000,
     max_bad: int = 3000,
+    max_features: int = 8_000_000,
 ) -> FactorisationMachine:
     """Train on at most ``max_good`` and ``max_bad`` labelled documents, the first by a hash of their id.
 
-    These bounds are the only ones: the sample is broadcast as ids with labels, and each of its rows reaches the driver
-    as feature indexes with counts (at most 2**15 of each), never as text. Rows with a null id, label or text are not
-    used. Without labels, all texts score one half.
+    The sample is broadcast as ids with labels. Its rows reach the driver as feature indexes with counts, never as text,
+    the first by their hash up to ``max_features`` features in all: that bounds the driver's memory, at 12 bytes each,
+    whatever the texts. Rows with a null id, label or text are not used; equal texts count once. Without labels, all
+    texts score one half.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -193,8 +195,12 @@ def fit(
             yield pd.DataFrame({"i": [r[0].astype(np.int32) for r in rows], "x": [r[1].astype(np.float32) for r in rows]})
 
     made = sample.select("doc", "lab", F.xxhash64("body").alias("copy"), encoded("body").alias("f"))
-    rows = made.select("doc", "copy", "lab", "f.i", "f.x").toPandas().sort_values(["doc", "copy"])
-    rows = rows.drop_duplicates(["copy", "lab"])
+    made = made.groupBy("copy", "lab").agg(F.min("doc").alias("doc"), F.first("f").alias("f"))
+    made = cut(made.withColumns({"n": F.size("f.i"), "dealt": F.xxhash64("doc", "copy")}))
+    ahead = Window.orderBy("dealt", "copy", "lab")  # some thousand rows
+    kept = made.select("copy", "lab", "dealt", F.sum("n").over(ahead).alias("ahead")).where(F.col("ahead") <= max_features)
+    rows = made.join(F.broadcast(kept.select("copy", "lab")), ["copy", "lab"]).select("doc", "copy", "lab", "f.i", "f.x").toPandas()
+    rows = rows.sort_values(["doc", "copy", "lab"])
     features = [(np.asarray(i, np.int64), np.asarray(x, np.float64)) for i, x in zip(rows["i"], rows["x"])]
     return train(features, rows["lab"].to_numpy(np.float64))
 
