@@ -352,6 +352,20 @@ def test_bpe_equals_the_library(docs, none, rows):
     assert encode_documents(none, path).count() == 0
 
 
+def test_other_vocabularies_are_refused():
+    import json
+
+    import public_tokenizers
+
+    from tidemark.llm.bpe import ForcedBoundaryBPE
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as file:
+        spec = json.load(file)
+    for part, value in (("normalizer", None), ("normalizer", {"type": "NFKC"}), ("decoder", {"type": "ByteLevel"}), ("pre_tokenizer", None)):
+        with pytest.raises(ValueError, match=part):
+            ForcedBoundaryBPE(json.dumps({**spec, part: value}))
+
+
 def test_forced_cuts_never_cross_a_token():
     public_tokenizers = pytest.importorskip("public_tokenizers")
     from tidemark.llm.bpe import ForcedBoundaryBPE

@@ -58,6 +58,28 @@ def byte_alphabet() -> list[str]:
     return [chars[b] for b in range(256)]
 
 
+#: How texts are made into words here; a vocabulary that wants it otherwise is refused.
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+
+
+def refuse_others(spec: dict) -> None:
+    """ValueError if a vocabulary's texts are normalised, cut, merged or decoded otherwise than here."""
+    normalizer, cutter, model = spec.get("normalizer") or {}, spec.get("pre_tokenizer") or {}, spec["model"]
+    first = (cutter.get("pretokenizers") or [{}])[0]
+    wanted = {
+        "model": model.get("type", "BPE") == "BPE" and not model.get("dropout") and not model.get("continuing_subword_prefix")
+        and not model.get("byte_fallback") and not model.get("ignore_merges"),
+        "normalizer": normalizer.get("type") == "Sequence" and normalizer.get("normalizers") == NORMALIZERS,
+        "pre_tokenizer": cutter.get("type") == "Sequence" and cutter["pretokenizers"][1:] == [BYTE_LEVEL]
+        and (first.get("type"), first.get("behavior"), first.get("invert")) == ("Split", "Removed", True),
+        "post_processor": spec.get("post_processor") is None, "decoder": spec.get("decoder") is None,
+        "added_tokens": not any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") or t.get("normalized") for t in spec["added_tokens"]),
+    }
+    if wrong := [part for part, fine in wanted.items() if not fine]:
+        raise ValueError(f"the vocabulary's {', '.join(wrong)} can't be followed")
+
+
 class ForcedBoundaryBPE:
     """A byte-level BPE vocabulary with an end-of-word mark, read from its JSON text.
 
@@ -67,6 +89,7 @@ class ForcedBoundaryBPE:
 
     def __init__(self, definition: str) -> None:
         spec = json.loads(definition)
+        refuse_others(spec)
         model = spec["model"]
         self.vocab: dict[str, int] = model["vocab"]
         self.end = model.get("end_of_word_suffix") or ""
