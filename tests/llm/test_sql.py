@@ -40,3 +40,54 @@ def test_contracts(spark, sf):
     for name, schema in want.items():
         found = queries.queries()[name](spark, small)
         assert ", ".join(f"{c} {t}" for c, t in found.dtypes) == schema, name
+
+
+def test_shards_of_the_whole_table(spark, sf):
+    """The law of equal bytes: all documents once, right sizes and checksums, gapless slots, shards near their share."""
+    import zlib
+    from collections import Counter, defaultdict
+
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    rows = queries.op1_sharding(spark, sf).collect()
+    assert Counter(r["doc_id"] for r in rows) == Counter(texts)
+    total, slots, shards = Counter(), defaultdict(list), defaultdict(set)
+    for r in rows:
+        data = texts[r["doc_id"]].encode()
+        assert (r["size"], r["text_crc32"], r["law"], r["grown_shard"]) == (len(data) + 1, zlib.crc32(data), "bytes", None)
+        total[r["shard"]] += r["size"]
+        slots[r["shard"]].append(r["slot"])
+        shards[data].add(r["shard"])
+    assert set(total) == set(range(8)) and all(sorted(s) == list(range(len(s))) for s in slots.values())
+    share, largest = sum(total.values()) / 8, max(r["size"] for r in rows)
+    assert all(abs(n - share) <= 0.02 * share + largest for n in total.values())
+    assert sum(len(s) > 1 for s in shards.values()) <= 7
+
+
+def test_mix_of_the_whole_table(spark, sf):
+    """All documents once, sizes by counting words, targets by resharing, each source's words near its target."""
+    import re
+    from collections import Counter, defaultdict
+
+    table = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "source").collect()
+    words = {r["doc_id"]: len(re.findall(r"[^\x20\x09-\x0d]+", r["text"] or "")) for r in table}
+    source = {r["doc_id"]: r["source"] for r in table}
+    sizes = defaultdict(int)
+    for i, n in words.items():
+        sizes[source[i]] += n
+    order = sorted(s for s in sizes if s is not None) + [None] * (None in sizes)
+    weight, stopped = {s: (1, 2, 3)[n % 3] for n, s in enumerate(order)}, set()
+    while True:
+        level = (sum(sizes.values()) - sum(3 * sizes[s] for s in stopped)) / sum(w for s, w in weight.items() if s not in stopped)
+        over = {s for s in order if s not in stopped and level * weight[s] > 3 * sizes[s]}
+        if not over:
+            break
+        stopped |= over
+    target = {s: 3 * sizes[s] if s in stopped else level * weight[s] for s in order}
+    rows, taken = queries.op2_mixing(spark, sf).collect(), Counter()
+    assert Counter(r["doc_id"] for r in rows) == Counter(words)
+    for r in rows:
+        s = source[r["doc_id"]]
+        assert (r["size"], r["source_size"]) == (words[r["doc_id"]], sizes[s]) and abs(r["target"] - target[s]) < 1e-6 * target[s] + 1e-9
+        assert r["taken"] <= 3 * r["size"]
+        taken[s] += r["taken"]
+    assert all(abs(taken[s] - target[s]) <= 1 for s in order)
