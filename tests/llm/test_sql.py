@@ -49,7 +49,7 @@ def test_shards_of_the_whole_table(spark, sf):
 
     texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     rows = queries.op1_sharding(spark, sf).collect()
-    assert Counter(r["doc_id"] for r in rows) == Counter(texts)
+    assert Counter(r["doc_id"] for r in rows) == Counter(list(texts))
     total, slots, shards = Counter(), defaultdict(list), defaultdict(set)
     for r in rows:
         data = texts[r["doc_id"]].encode()
@@ -84,7 +84,7 @@ def test_mix_of_the_whole_table(spark, sf):
         stopped |= over
     target = {s: 3 * sizes[s] if s in stopped else level * weight[s] for s in order}
     rows, taken = queries.op2_mixing(spark, sf).collect(), Counter()
-    assert Counter(r["doc_id"] for r in rows) == Counter(words)
+    assert Counter(r["doc_id"] for r in rows) == Counter(list(words))
     for r in rows:
         s = source[r["doc_id"]]
         assert (r["size"], r["source_size"]) == (words[r["doc_id"]], sizes[s]) and abs(r["target"] - target[s]) < 1e-6 * target[s] + 1e-9
