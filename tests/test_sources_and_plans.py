@@ -139,6 +139,49 @@ def test_http_client_pages_and_retries():
     assert "secret" not in str(error.value) and "http" not in str(error.value)
 
 
+def test_fetch_audits_both_endpoints(spark, tmp_path):
+    import http.server
+    import os
+
+    from tidemark import cli
+    from tidemark.registry import by_id
+
+    class Pages(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):
+            bad = "series_id=RSFHFS" in self.path
+            self.send_response(404 if bad else 200)
+            self.end_headers()
+            if not bad:
+                rows = {"observations": [{"date": "2020-01-01", "realtime_start": "2020-02-01", "realtime_end": "9999-12-31", "value": "1"}]}
+                self.wfile.write(json.dumps({"vintage_dates": ["2020-02-01"]} if "vintagedates" in self.path else rows).encode())
+
+        def log_message(self, *args):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Pages)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    proxies = {k: os.environ.pop(k) for k in list(os.environ) if k.lower().endswith("_proxy")}
+    try:
+        from tidemark.sources.http import VintageApi
+
+        spark.dataSource.register(VintageApi)
+        s, url = store.VintageStore(spark, str(tmp_path / "store")), f"http://127.0.0.1:{server.server_port}"
+        assert cli.fetch_series(s, by_id("RSFSDP"), url, "secret", date(2020, 3, 1))
+        assert not cli.fetch_series(s, by_id("RSFHFS"), url, "secret", date(2020, 3, 1))
+        assert not cli.fetch_series(s, by_id("RSFSDP"), url, "secret", date(2020, 2, 1))  # before what is covered
+    finally:
+        server.shutdown()
+        os.environ.update(proxies)
+    runs = sorted((r["series_id"], r["endpoint"], r["status"]) for r in s.table("fetch_runs").collect())
+    assert runs == [
+        ("RSFHFS", "vintagedates", "failed"), ("RSFSDP", "observations", "ok"), ("RSFSDP", "vintagedates", "failed"), ("RSFSDP", "vintagedates", "ok"),
+    ]
+    assert not any("secret" in (r["error_summary"] or "") or "127.0.0.1" in (r["error_summary"] or "") for r in s.table("fetch_runs").collect())
+    assert s.complete_through("RSFSDP") == date(2020, 3, 1) and s.complete_through("RSFHFS") is None
+    assert s.provider_health().first()["provider_health"] == "degraded"
+    assert ("RSFHFS", "no_coverage") in {(r["series_id"], r["code"]) for r in s.notes().collect()}
+
+
 def test_http_data_source_plans_a_partition_a_series(spark):
     spark.dataSource.register(http.VintageApi)
     frame = spark.read.format("vintage_api").options(url="http://x", key="k", series="A, B").load()
@@ -149,7 +192,7 @@ def test_http_data_source_plans_a_partition_a_series(spark):
 @pytest.fixture(scope="module")
 def world(spark, sf):
     spans = composite.demo_spans(spark, sf).cache()
-    weekly, months = validation.reconstruct(spans, "2018-10", "2021-07", burn_in=12)
+    weekly, months, _ = validation.reconstruct(spans, "2018-10", "2021-07", burn_in=12)
     months = months.cache()
     dates = months.select("assembly_date")
     families = composite.families(spans, dates).cache()
@@ -278,21 +321,50 @@ def test_validation_artifact(spark, world, tmp_path, sf):
     found = json.loads((tmp_path / "artifact.json").read_text())
     assert {f["model"] for f in found["baseline_floor"]} == {"seasonal_naive", "ar", "var"}
     assert len(found["calibration"]["rows"]) == 4 and found["primary_summary"]["points"] == 34
+    assert found["framing"]["leading_claim_allowed"] is False and found["source"]["checker_label"] == "Verified"
+    assert found["power"]["episodes"] == found["primary_summary"]["episodes"] and found["verification_debt"]
     with pytest.raises(validation.ValidationError):
         validation.run(spark, path, gaps, contract, date(2021, 12, 31), "Provisional", out)
+    records = frozen.load(path).records
+    unmet = validation.gates(records, gaps.limit(0), "xyz", date(2021, 12, 31), "Verified", 0, False)
+    assert len(unmet) == 4 and validation.gates(records, gaps, "0" * 64, date(2021, 12, 31), "Verified", 1, True) == []
 
 
 def test_weekly_report(spark, world, tmp_path):
-    spans, _, _, _ = world
+    spans, months, _, families = world
     day = calendar.monthly_finalization_date("2020-12")
-    one = report.weekly(spark, spans, day, str(tmp_path / "a"), band="Watch")
-    two = report.weekly(spark, spans, day, str(tmp_path / "b"), band="Watch", previous=str(tmp_path / "a/report.json"))
-    assert one["confidence"] == "Verified" and two["changes"] == []
-    hidden = next(f for f in one["findings"] if f["finding_id"] == "family:umich_top_tercile")
+    store_path = tmp_path / "frozen.jsonl"
+    store_path.write_bytes(b"".join(map(canonical_bytes, frozen.records_from(months, families))))
+    live = report.live_sequence(spark, str(store_path), None)
+    assert live.latest["month"] == "2021-07" and live.confidence == "Conflicting"  # it was frozen with other rules
+    live = report.Live(live.sha256, {**live.latest, "band": {**live.latest["band"], "published_band": "Watch"}}, "Verified")
+    artifact = {
+        "schema_version": validation.SCHEMA_VERSION, "baseline_floor": [], "calibration": {"monotonic": True, "rows": []}, "primary_summary": {},
+        "framing": {"claim_status": "descriptive_only", "leading_claim_allowed": False, "monitor_status": "coincident_monitor", "research_label": "research_only"},
+        "source": {"checker_label": "Verified", "frozen_sha256": "0" * 64, "outcome_vintage": "2021-12-31"}, "verification_debt": ["few_episodes"],
+    }
+    (tmp_path / "artifact.json").write_bytes(canonical_bytes(artifact))
+    common = {"live": live, "validation_path": str(tmp_path / "artifact.json")}
+    one = report.weekly(spark, spans, day, str(tmp_path / "a"), **common)
+    two = report.weekly(spark, spans, day, str(tmp_path / "b"), previous=str(tmp_path / "a/report.json"), **common)
+    assert one["confidence"] == "Verified" and two["changes"] == [] and two["previous_run_id"] == one["run_id"]
+    by_id = {f["finding_id"]: f for f in one["findings"]}
+    hidden = by_id["family:umich_top_tercile"]["values"]
     assert hidden["transformed_value"] is None and hidden["transformed_value_redacted"]
-    assert not one["launch_audit"]["external_ready"]
+    assert not by_id["family:visa_smi"]["values"]["transformed_value_redacted"] and by_id["sequence"]["label"] == "watchlist"
+    met = {c["condition_id"]: c["met"] for c in one["launch_audit"]["conditions"]}
+    assert len(met) == 9 and met["current_assembly_verified"] and met["live_history_available"] and not met["leading_claim_allowed"]
+    assert not one["launch_audit"]["external_ready"] and one["launch_audit"]["internal_ready"]
+    assert one["debts"] == [{"debt_id": "few_episodes", "scope": "validation"}]
+    assert len(report.cited(one["findings"], one["evidence"])) >= 11
+    with pytest.raises(report.ReportError):
+        report.cited([{"finding_id": "x", "evidence_ids": ["none"]}], one["evidence"])
+    with pytest.raises(report.ReportError):
+        report.weekly(spark, spans, day, str(tmp_path / "a"), previous=str(tmp_path / "a/report.json"))
     assert (tmp_path / "a/assembly.json").read_bytes() == (tmp_path / "b/assembly.json").read_bytes()
-    assert "| composite | watchlist |" in (tmp_path / "a/report.md").read_text()
+    assert "| sequence | watchlist |" in (tmp_path / "a/report.md").read_text()
+    cold = report.live_sequence(spark, str(tmp_path / "nowhere"), None)
+    assert cold.latest is None and cold.confidence == "Unverified"
 
 
 def test_cleanroom(world, tmp_path):
@@ -311,6 +383,10 @@ def test_cleanroom(world, tmp_path):
     cleanroom.seal(packet, str(mine), "other", attested, "2026-01-02T00:00:00Z", "2026-01-03T00:00:00Z", str(tmp_path / "seal"))
     found = cleanroom.compare(packet, str(reference), str(mine), str(tmp_path / "seal"), str(tmp_path / "cmp"))
     assert found["verdict"] == "exact_match" and not found["debt_closed"]
+    (tmp_path / "artifact.json").write_bytes(canonical_bytes({"source": {"checker_label": "Verified", "frozen_sha256": "0" * 64}}))
+    with pytest.raises(cleanroom.CleanRoomError):
+        cleanroom.compare(packet, str(reference), str(mine), str(tmp_path / "seal"), str(tmp_path / "cmp2"), str(tmp_path / "artifact.json"))
+    assert set(cleanroom.project(records[0])["input_vintages"]) == set(cleanroom.SERIES) and len(cleanroom.SERIES) == 5
     changed = json.loads(json.dumps(cleanroom.project(records[1])))
     changed["tier_a_value"] = 9.0
     assert cleanroom.differences([cleanroom.project(records[1])], [changed])[0] == 1
@@ -351,6 +427,9 @@ def test_streamed_dwell_equals_batch(spark, tmp_path):
         assert query.awaitTermination(120)
     got = spark.read.parquet(str(tmp_path / "out"))
     want = bands.dwell(spark.createDataFrame(rows, kind), ["panel"])
+    # The same months in another batch, as after a restart from the source, are kept once.
+    dwell.month_sink(str(tmp_path / "out"))(got.select(*dwell.OUTPUT.replace(",", "").split()[::2]), 99)
+    got = spark.read.parquet(str(tmp_path / "out"))
     columns = ["panel", "month_idx", "raw_band", "confirmed_band", "candidate_band", "candidate_count", "published_band"]
     assert sorted(map(str, got.select(*columns).collect())) == sorted(map(str, want.select(*columns).collect()))
 

@@ -106,6 +106,11 @@ def month_index(month: str) -> int:
     return year * 12 + number - 1
 
 
+def month_name(index: int | None) -> str | None:
+    """YYYY-MM of a month's number."""
+    return None if index is None else f"{index // 12:04d}-{index % 12 + 1:02d}"
+
+
 def calendar_days(spark: SparkSession, first: int = FIRST_YEAR, last: int = LAST_YEAR) -> DataFrame:
     """(day, is_open) for every day of the years."""
     days = spark.sql(

@@ -12,61 +12,101 @@ from tidemark.session import get_spark
 
 
 def _fetch(args) -> int:
-    from pyspark.sql import functions as F
-
+    """Both endpoints of each series, pinned to one cutoff; each is a run of its own in the store's audit."""
+    from tidemark.config import Config, ConfigError
     from tidemark.registry import REGISTRY, by_id
-    from tidemark.sources.http import Client, VintageApiError
+    from tidemark.sources.http import VintageApi
     from tidemark.sources.store import VintageStore
 
-    key = os.environ.get(args.key_variable)
-    if not key:
-        print(f"{args.key_variable} isn't set", file=sys.stderr)
+    config = Config.of(args.root, args.key_variable)
+    try:
+        config.check_fetch()
+        chosen = [by_id(s) for s in args.series] if args.series else [s for s in REGISTRY if s.source != "archive"]
+    except (ConfigError, KeyError) as error:
+        print(error, file=sys.stderr)
         return 2
-    chosen = [by_id(s) for s in args.series] if args.series else [s for s in REGISTRY if s.source != "archive"]
-    spark, client, failed = get_spark("tidemark fetch"), Client(args.url, key), 0
-    store = VintageStore(spark, args.store)
-    cutoff = args.cutoff or date.today()
+    spark = get_spark("tidemark fetch")
+    spark.dataSource.register(VintageApi)
+    store, cutoff, failed = VintageStore(spark, args.store or config.store), args.cutoff or date.today(), 0
     for series in chosen:
+        failed += not fetch_series(store, series, args.url, config.key, cutoff)
+    return 1 if failed else 0
+
+
+def fetch_series(store, series, url: str, key: str, cutoff: date) -> bool:
+    """Fetch one series through the data source, first its vintage dates, then its observations up to the same cutoff."""
+    from pyspark.errors import PySparkException
+    from pyspark.sql import functions as F
+
+    spark = store.spark
+
+    def audited(endpoint: str, work) -> bool:
         begun = datetime.now(timezone.utc)
-        run = {"started_at": begun, "series_id": series.series_id, "endpoint": "observations"}
+        run = {"started_at": begun, "series_id": series.series_id, "endpoint": endpoint, "rate_limited": 0}
         try:
-            known = store.complete_through(series.series_id)
-            if known and cutoff < known:
-                raise ValueError("the cutoff is before what is covered")
-            vintages = list(client.rows("vintagedates", series.series_id, end=cutoff.isoformat()))
-            if not vintages or max(v for _, v in vintages) > cutoff.isoformat():
-                raise ValueError("no vintages, or some after the cutoff")
-            rows = list(client.rows("observations", series.series_id, end=cutoff.isoformat()))
-            spans = spark.createDataFrame(rows, "series_id string, o string, s string, e string, value_text string").select(
-                "series_id", F.to_date("o").alias("observation_date"), F.to_date("s").alias("realtime_start"), F.to_date("e").alias("realtime_end"),
-                "value_text", F.lit("http").alias("source"), F.lit(None).cast("string").alias("source_file"),
-                F.current_timestamp().alias("first_fetched_at"), F.current_timestamp().alias("last_fetched_at"),
-            )
-            dates = spark.createDataFrame(vintages, "series_id string, v string").select(
-                "series_id", F.to_date("v").alias("vintage_date"), F.current_timestamp().alias("fetched_at")
+            rows = work(
+                spark.read.format("vintage_api").options(url=url, key=key, series=series.series_id, endpoint=endpoint, realtime_end=cutoff.isoformat()).load()
             )
-            store.insert_vintages(dates)
-            count = store.upsert_spans(spans)
-            store.mark_backfilled(series.series_id, cutoff)
-            store.record_run(**run, completed_at=datetime.now(timezone.utc), status="ok", rows_upserted=count, rate_limited=client.rate_limited)
-        except (VintageApiError, ValueError) as error:
-            failed += 1
-            store.record_run(**run, completed_at=datetime.now(timezone.utc), status="failed", error_summary=str(error)[:200])
-    return 1 if failed else 0
+        except (PySparkException, ValueError) as error:
+            # The worker's own message stands last; it has neither URL nor key.
+            said = [x for x in str(error).replace(key, "***").splitlines() if "Error" in x and "http" not in x] or [type(error).__name__]
+            store.record_run(**run, completed_at=datetime.now(timezone.utc), status="failed", error_summary=said[-1][:200])
+            return False
+        store.record_run(**run, completed_at=datetime.now(timezone.utc), status="ok", rows_upserted=rows)
+        return True
+
+    def vintages(rows) -> int:
+        known = store.complete_through(series.series_id)
+        if known and cutoff < known:
+            raise ValueError("ValueError: the cutoff is before what is covered")
+        dates = rows.select("series_id", F.to_date("vintage_date").alias("vintage_date"), F.current_timestamp().alias("fetched_at")).cache()
+        last = dates.agg(F.max("vintage_date")).first()[0]
+        if last is None or last > cutoff:
+            raise ValueError("ValueError: no vintages, or some after the cutoff")
+        return store.insert_vintages(dates)
+
+    def observations(rows) -> int:
+        spans = rows.select(
+            "series_id", *[F.to_date(c).alias(c) for c in ("observation_date", "realtime_start", "realtime_end")], "value_text",
+            F.lit(series.source).alias("source"), F.lit(None).cast("string").alias("source_file"),
+            F.current_timestamp().alias("first_fetched_at"), F.current_timestamp().alias("last_fetched_at"),
+        ).cache()
+        return store.upsert_spans(spans)
+
+    fine = audited("vintagedates", vintages) and audited("observations", observations)
+    if fine:
+        store.mark_backfilled(series.series_id, cutoff)
+    return fine
+
+
+def _inputs(spark, root: str, paths, assume_unrevised=False):
+    """(spans, coverage) of a store and of release files; a file with errors is refused as a whole.
+
+    Release files give two sets of spans: final ones for assemblies that finalise a month, and those with preliminary
+    releases for the weeks between.
+    """
+    from pyspark.sql import functions as F
 
+    from tidemark.operators.pit import BASES
+    from tidemark.sources.archive import CANONICAL, PROVISIONAL, read_archive
+    from tidemark.sources.store import VintageStore
 
-def _with_archive(spans, paths, stages=("final",), assume_unrevised=False):
-    """The store's spans and those of release files; a file with errors is refused as a whole."""
+    tables = VintageStore(spark, root).snapshot()
+    columns = ["series_id", "observation_date", "realtime_start", "realtime_end", "value_text", "source"]
+    spans = tables["observation_spans"].select(*columns).withColumn("availability_basis", F.lit(BASES[0]))
+    coverage = tables["series_coverage"].select("series_id", "complete_through")
     if not paths:
-        return spans
-    from tidemark.sources.archive import read_archive
-
-    found = read_archive(spans.sparkSession, paths)
+        return spans, coverage
+    found = read_archive(spark, paths)
     wrong = found.issues.where("severity = 'error'").select("file", "line", "code").limit(5).collect()
     if wrong:
         raise SystemExit(f"the archive has errors: {[tuple(r) for r in wrong]}")
-    columns = ["series_id", "observation_date", "realtime_start", "realtime_end", "value_text", "release_date"]
-    return spans.unionByName(found.spans(stages, assume_unrevised).select(*columns), allowMissingColumns=True)
+    basis = BASES[1] if assume_unrevised else BASES[0]
+    for stages, mode in ((CANONICAL, "canonical"), (PROVISIONAL, "provisional")):
+        more = found.spans(stages, assume_unrevised).select(*columns[:5], "release_date", "release_stage", "retrieved_at")
+        more = more.withColumns({"source": F.lit("archive"), "availability_basis": F.lit(basis), "mode": F.lit(mode)})
+        spans = spans.unionByName(more, allowMissingColumns=True)
+    return spans, coverage.unionByName(found.coverage())
 
 
 def _validate(args) -> int:
@@ -74,27 +114,28 @@ def _validate(args) -> int:
 
     from tidemark.operators.baselines import Contract
     from tidemark.operators.outcomes import outcome_gaps, trend_gap
-    from tidemark.plans import checker, composite, validation
+    from tidemark.plans import checker, validation
+    from tidemark.sources import frozen
     from tidemark.sources.store import VintageStore
 
     if not args.approved:
         print("the contract isn't approved", file=sys.stderr)
         return 2
     spark = get_spark("tidemark validate")
-    store = VintageStore(spark, args.store).snapshot()
-    spans = _with_archive(store["observation_spans"], args.archive, assume_unrevised=True)
-    validation.reconstruct_store(spans, args.frozen, args.start, args.end)
-    _, months = validation.reconstruct(spans, args.start, args.end)
-    dates = months.select("assembly_date")
-    _, label = checker.verify(composite.families(spans, dates), spans, dates)
-    levels, issues, vintage = VintageStore(spark, args.store).outcome_levels(["DRCARX1Q020SBEA", "DFSARX1Q020SBEA"])
-    if issues.where("code <> 'missing_level'").count():
-        return 1
-    gaps = trend_gap(levels, ["series_id"])
-    both = outcome_gaps(gaps.where(F.col("series_id") == "DRCARX1Q020SBEA"), gaps.where(F.col("series_id") == "DFSARX1Q020SBEA"))
+    spans, coverage = _inputs(spark, args.store, args.archive, assume_unrevised=True)
     try:
+        validation.reconstruct_store(spans, args.frozen, args.start, args.end, coverage=coverage, weekly_path=args.weekly)
+        # The file itself is verified, against the sources and against itself.
+        wrong, label = checker.verify_sequence(frozen.read(spark, args.frozen), spans, coverage=coverage)
+        for row in wrong.limit(5).collect():
+            print(f"{row['month']}: {row['check']}", file=sys.stderr)
+        levels, issues, vintage = VintageStore(spark, args.store).outcome_levels(["DRCARX1Q020SBEA", "DFSARX1Q020SBEA"])
+        if issues.where("code <> 'missing_level'").count():
+            return 1
+        gaps = trend_gap(levels, ["series_id"])
+        both = outcome_gaps(gaps.where(F.col("series_id") == "DRCARX1Q020SBEA"), gaps.where(F.col("series_id") == "DFSARX1Q020SBEA"))
         print(json.dumps(validation.run(spark, args.frozen, both, Contract(), vintage, label, args.output), sort_keys=True))
-    except validation.ValidationError as error:
+    except (validation.ValidationError, frozen.Refused, LookupError) as error:
         print(error, file=sys.stderr)
         return 1
     return 0
@@ -109,12 +150,18 @@ def _report(args) -> int:
         print("that day has no assembly", file=sys.stderr)
         return 2
     spark = get_spark("tidemark report")
-    from tidemark.sources.archive import CANONICAL, PROVISIONAL
-
-    # An assembly that finalises a month takes final releases only; others may use preliminary ones.
-    stages = CANONICAL if calendar.canonical_month_for_assembly(args.date) else PROVISIONAL
-    spans = _with_archive(VintageStore(spark, args.store).snapshot()["observation_spans"], args.archive, stages)
-    found = report.weekly(spark, spans, args.date, args.output, previous=args.previous)
+    spans, coverage = _inputs(spark, args.store, args.archive)
+    store = VintageStore(spark, args.store)
+    health = store.provider_health().first()
+    operations = {"notes": sorted((r.asDict() for r in store.notes().collect()), key=str), **health.asDict()}
+    try:
+        live = report.live_sequence(spark, args.frozen, spans, coverage)
+        found = report.weekly(
+            spark, spans, args.date, args.output, live=live, validation_path=args.validation, previous=args.previous, coverage=coverage, operations=operations
+        )
+    except report.ReportError as error:
+        print(error, file=sys.stderr)
+        return 2
     print(found["run_id"])
     return 0 if found["confidence"] in ("Verified", "Provisional") else 1
 
@@ -129,7 +176,7 @@ def _cleanroom(args) -> int:
             attested = dict.fromkeys(args.attest, True)
             made = cleanroom.seal(args.packet, args.candidate, args.implementation, attested, args.submitted, args.at, args.output)
         else:
-            made = cleanroom.compare(args.packet, args.reference, args.candidate, args.seal, args.output)
+            made = cleanroom.compare(args.packet, args.reference, args.candidate, args.seal, args.output, args.artifact)
     except (cleanroom.CleanRoomError, OSError, RuntimeError) as error:
         print(error, file=sys.stderr)
         return 2
@@ -143,18 +190,22 @@ def parser() -> argparse.ArgumentParser:
     fetch = sub.add_parser("fetch")
     fetch.add_argument("--url", required=True)
     fetch.add_argument("--key-variable", default="VINTAGE_API_KEY")
+    fetch.add_argument("--root", default=".")
     fetch.add_argument("--series", nargs="*")
     fetch.add_argument("--cutoff", type=date.fromisoformat)
     validate = sub.add_parser("validate")
     for name in ("--frozen", "--output", "--start", "--end"):
         validate.add_argument(name, required=True)
     validate.add_argument("--approved", action="store_true")
+    validate.add_argument("--weekly", help="where the weekly assemblies go, as Parquet")
     report = sub.add_parser("report")
     report.add_argument("--date", type=date.fromisoformat, required=True)
     report.add_argument("--output", required=True)
-    report.add_argument("--previous")
-    for p in (fetch, validate, report):
+    for name in ("--previous", "--frozen", "--validation"):
+        report.add_argument(name)
+    for p in (validate, report):
         p.add_argument("--store", required=True)
+    fetch.add_argument("--store", help="the store's folder; below --root if not given")
     for p in (validate, report):
         p.add_argument("--archive", nargs="*", default=[])
     prepare = sub.add_parser("cleanroom-prepare")
@@ -168,6 +219,7 @@ def parser() -> argparse.ArgumentParser:
     compare = sub.add_parser("cleanroom-compare")
     for name in ("--packet", "--reference", "--candidate", "--seal", "--output"):
         compare.add_argument(name, required=True)
+    compare.add_argument("--artifact", help="the validation that vouches for the reference")
     return top
 
 

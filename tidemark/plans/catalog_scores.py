@@ -15,7 +15,7 @@ from tidemark.plans import checker, composite
 from tidemark.plans import fixtures as fx
 from tidemark.plans.catalog import OPEN_DAYS, query
 from tidemark.registry import REGISTRY
-from tidemark.sources import archive, frozen
+from tidemark.sources import archive, frozen, store
 
 CONTRACT = baselines.Contract()
 
@@ -471,6 +471,16 @@ def label_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare.label_counts(fx.read(spark, sf_dir, "orders").withColumnRenamed("o_orderstatus", "label"), "label", order)
 
 
+@query(
+    """SELECT o_custkey, CASE WHEN bool_and(o_orderstatus <> 'P') THEN 'ok' ELSE 'degraded' END AS provider_health, sum(o_orderkey % 3)::BIGINT AS rate_limited
+FROM orders GROUP BY 1"""
+)
+def provider_health(spark: SparkSession, sf_dir: str) -> DataFrame:
+    status = F.when(F.col("o_orderstatus") != "P", "ok").otherwise("failed")
+    runs = fx.read(spark, sf_dir, "orders").select("o_custkey", status.alias("status"), (F.col("o_orderkey") % 3).alias("rate_limited"))
+    return store.provider_health(runs, ["o_custkey"])
+
+
 _RANK = "['Verified', 'Provisional', 'Stale', 'Unverified', 'Conflicting']"
 
 

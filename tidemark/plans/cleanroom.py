@@ -11,6 +11,8 @@ from pathlib import Path
 from tidemark import calendar
 from tidemark.functions.canonical import canonical_bytes, digest, parse_canonical
 from tidemark.operators.compare import flatten
+from tidemark.operators.compose import ASSUMPTION
+from tidemark.registry import REGISTRY
 from tidemark.sources import files
 
 PACKET, SEAL, COMPARISON = "tidemark.cleanroom.packet.v1", "tidemark.cleanroom.seal.v1", "tidemark.cleanroom.comparison.v1"
@@ -18,6 +20,9 @@ FAMILIES = ("census_retail", "household_liquidity", "umich_top_tercile")
 MOST_EXAMPLES = 100
 ATTESTATIONS = ("independent_implementation", "no_reference_access")
 _ID = re.compile(r"^[a-z0-9][a-z0-9._-]{2,63}$")
+_SHA256 = re.compile(r"^[0-9a-f]{64}$")
+#: Series whose vintages both sides must have used.
+SERIES = tuple(s.series_id for s in REGISTRY if s.family in FAMILIES)
 
 
 class CleanRoomError(RuntimeError):
@@ -77,11 +82,13 @@ def project(record: dict) -> dict:
     families = record["families"]
     return {
         "band": record["band"],
-        "families": {f: {"abstained": families[f]["abstained"], "z_score": families[f]["z_score"]} for f in FAMILIES if f in families},
+        "families": {f: {k: families[f][k] for k in ("abstained", "flags", "z_score")} for f in FAMILIES if f in families},
         "finalized_on": record["finalized_on"],
+        "input_vintages": {s: record["input_vintages"].get(s) for s in SERIES},
         "month": record["month"],
         "tier_a_abstained": record["composite"]["tier_a_value"] is None,
         "tier_a_value": record["composite"]["tier_a_value"],
+        "unrevised_final_assumption": ASSUMPTION in record["assembly_flags"],
     }
 
 
@@ -126,6 +133,27 @@ def seal(packet: str, candidate: str, implementation: str, attested: dict[str, b
     return value
 
 
+def load_seal(path: str) -> dict:
+    """A seal of exactly its parts, with hashes, names and instants of the right shape."""
+    value = parse_canonical(files.read_regular(path))
+    keys = {"attested", "candidate_sha256", "implementation", "manifest_sha256", "schema_version", "sealed_at", "submitted_at"}
+    if not isinstance(value, dict) or set(value) != keys or value["schema_version"] != SEAL:
+        raise CleanRoomError("this is no seal")
+    if not all(_SHA256.match(str(value[k])) for k in ("candidate_sha256", "manifest_sha256")) or not _ID.match(str(value["implementation"])):
+        raise CleanRoomError("the seal's hashes or name have no valid shape")
+    _instant(str(value["submitted_at"])), _instant(str(value["sealed_at"]))
+    return value
+
+
+def check_reference(reference: str, artifact: str) -> str:
+    """The hash of a reference sequence, if a validation artifact vouches for exactly its bytes as verified."""
+    sha256 = digest(files.read_regular(reference))
+    source = parse_canonical(files.read_regular(artifact)).get("source", {})
+    if source.get("frozen_sha256") != sha256 or source.get("checker_label") != "Verified":
+        raise CleanRoomError("no verified validation vouches for the reference")
+    return sha256
+
+
 def differences(reference: list[dict], candidate: list[dict]) -> tuple[int, list[dict]]:
     """All differences of two sequences counted, the first hundred shown, by JSON pointer."""
     count, examples = 0, []
@@ -147,11 +175,16 @@ def differences(reference: list[dict], candidate: list[dict]) -> tuple[int, list
     return count, examples
 
 
-def compare(packet: str, reference: str, candidate: str, seal_path: str, output: str) -> dict:
-    """Compare a sealed candidate with the reference months. A verdict closes nothing by itself."""
+def compare(packet: str, reference: str, candidate: str, seal_path: str, output: str, artifact: str | None = None) -> dict:
+    """Compare a sealed candidate with the reference months. A verdict closes nothing by itself.
+
+    With an ``artifact``, the reference must be the sequence that it has verified.
+    """
     manifest = verify_packet(packet)
-    sealed = parse_canonical(files.read_regular(seal_path))
-    if sealed["schema_version"] != SEAL or sealed["candidate_sha256"] != digest(files.read_regular(candidate)):
+    if artifact:
+        check_reference(reference, artifact)
+    sealed = load_seal(seal_path)
+    if sealed["candidate_sha256"] != digest(files.read_regular(candidate)):
         raise CleanRoomError("the seal is of another candidate")
     if sealed["manifest_sha256"] != digest(files.read_regular(Path(packet) / "manifest.json")):
         raise CleanRoomError("the seal is of another packet")

@@ -1,19 +1,39 @@
-"""The weekly report: findings, changes against the last report, a launch audit; JSON and Markdown."""
+"""The weekly report: findings with their evidence, changes against the last report, a launch audit; JSON and Markdown."""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tidemark import calendar
 from tidemark.functions.canonical import canonical_bytes, digest, parse_canonical
 from tidemark.functions.values import CONFIDENCE
+from tidemark.operators import compose
 from tidemark.plans import checker, composite
-from tidemark.sources import files
+from tidemark.registry import FAMILIES, LEADING, REGISTRY, by_id, registry
+from tidemark.sources import files, frozen
 
-SCHEMA_VERSION = "tidemark.weekly_report.v1"
-#: The label of a finding by band.
+SCHEMA_VERSION = "tidemark.weekly_report.v2"
+#: The label of the latest published band, and the order in which labels are counted.
 LABELS = {None: "validation_pending", "Normal": "research_only", "Watch": "watchlist", "Elevated": "needs_human_review", "High": "needs_human_review"}
+RESULTS = ("research_only", "watchlist", "needs_human_review", "validation_pending")
+
+
+class ReportError(ValueError):
+    """What a report is made from isn't what it must be."""
+
+
+@dataclass(frozen=True)
+class Live:
+    """The frozen sequence as a report sees it: its hash, its last record if there is one, and the label it earns."""
+
+    sha256: str
+    latest: dict | None
+    confidence: str
+    debts: tuple[str, ...] = ()
 
 
 def combined(labels: list[str]) -> str:
@@ -21,35 +41,118 @@ def combined(labels: list[str]) -> str:
     return max(labels, key=CONFIDENCE.index) if labels else "Unverified"
 
 
-def findings(families: list[dict], assembly: dict, confidence: str, band: str | None, validation: dict | None) -> list[dict]:
-    """A finding for each family, the composite, and the validation."""
-    out = []
+def citation(series_id: str) -> str:
+    """How a series is cited, by its licence."""
+    series = by_id(series_id)
+    notice = frozen.NOTICES.get(series.license)
+    return f"{series_id} ({series.source})" if notice is None else f"{series_id} ({series.source}): {notice}"
+
+
+def redacted(families: DataFrame) -> DataFrame:
+    """Families with their members and licences; a value that an internal licence covers is hidden."""
+    known = registry(families.sparkSession, engine_only=True).groupBy("family").agg(
+        F.sort_array(F.collect_list(F.struct("ord", "series_id"))).alias("m"), F.collect_set("license").alias("licenses")
+    )
+    known = known.select("family", F.transform("m", lambda x: x["series_id"]).alias("members"), "licenses")
+    return compose.redact(families.join(F.broadcast(known), "family"))  # five rows
+
+
+def evidence(families: list[dict], day: str, assembly_sha256: str, live: Live, validation: dict | None, validation_sha256: str | None) -> list[dict]:
+    """A record for everything that findings rest on, each with an id."""
+    out = [{"as_of": day, "evidence_id": f"assembly/{assembly_sha256}", "kind": "assembly", "releases": {}, "sources": []}]
     for f in families:
-        hidden = f["family"] == "umich_top_tercile"
+        releases = {s: d.isoformat() for s, d in (f["releases"] or {}).items()}
         out.append(
             {
-                "confidence": confidence, "evidence": [f"family:{f['family']}"], "finding_id": f"family:{f['family']}",
-                "flags": list(f["flags"]), "label": "validation_pending" if f["abstained"] else "research_only",
-                "transformed_value": None if hidden else f["transformed_value"], "transformed_value_redacted": hidden, "z_score": f["z"],
+                "as_of": day, "evidence_id": f"assembly/{assembly_sha256}/{f['family']}", "kind": "family", "releases": releases,
+                "sources": [citation(s) for s in f["members"]],
             }
         )
+    known_at = live.latest["finalized_on"] if live.latest else day
+    out.append({"as_of": known_at, "evidence_id": f"sequence/{live.sha256}", "kind": "sequence", "releases": {}, "sources": []})
+    if validation is not None:
+        at = validation["source"]["outcome_vintage"]
+        out.append({"as_of": at, "evidence_id": f"validation/{validation_sha256}", "kind": "validation", "releases": {}, "sources": []})
+    return out
+
+
+def findings(families: list[dict], assembly: dict, confidence: str, live: Live, validation: dict | None, ids: dict[str, list[str]]) -> list[dict]:
+    """A finding for each family, the composite, the frozen sequence, and the validation."""
+    day, out = assembly["assembly_date"].isoformat(), []
+    for f in families:
+        releases = sorted(d.isoformat() for d in (f["releases"] or {}).values())
+        out.append(
+            {
+                "confidence": confidence, "evidence_ids": [i for i in ids["family"] if i.endswith("/" + f["family"])], "finding_id": f"family:{f['family']}",
+                "label": "validation_pending" if f["abstained"] else "research_only", "known_at": releases[-1] if releases else day,
+                "values": {
+                    "abstained": f["abstained"], "flags": list(f["flags"]), "members": list(f["members"]), "month": calendar.month_name(f["month_idx"]),
+                    "transformed_value": f["transformed_value"], "transformed_value_redacted": f["redacted"], "z_score": f["z"],
+                },
+            }
+        )
+    label = "needs_human_review" if confidence == "Conflicting" else "validation_pending" if assembly["abstained"] else "research_only"
+    out.append(
+        {
+            "confidence": confidence, "evidence_ids": ids["assembly"], "finding_id": "composite", "known_at": day, "label": label,
+            "values": {
+                "abstained": assembly["abstained"], "flags": list(assembly["flags"]), "headline_tier": assembly["headline_tier"],
+                "headline_value": assembly["headline"], "mode": "provisional" if assembly["provisional"] else "canonical",
+                "tier_a_value": assembly["tier_a"], "tier_b_value": assembly["tier_b"],
+            },
+        }
+    )
+    band = live.latest["band"]["published_band"] if live.latest else None
     out.append(
         {
-            "confidence": confidence, "evidence": [f"family:{f['family']}" for f in families], "finding_id": "composite",
-            "flags": list(assembly["flags"]), "headline_tier": assembly["headline_tier"], "headline_value": assembly["headline"],
-            "label": LABELS[band] if not assembly["abstained"] else "validation_pending",
+            "confidence": live.confidence, "evidence_ids": ids["sequence"], "finding_id": "sequence", "label": LABELS[band],
+            "known_at": live.latest["finalized_on"] if live.latest else day,
+            "values": {"cold_start": live.latest is None, "latest_month": live.latest["month"] if live.latest else None, "published_band": band},
         }
     )
     if validation is not None:
         out.append(
             {
-                "confidence": combined([confidence]), "evidence": ["validation"], "finding_id": "validation", "flags": [],
-                "label": "research_only" if validation["monitor_status"] == "coincident_monitor" else "validation_pending",
+                "confidence": validation["source"]["checker_label"], "evidence_ids": ids["validation"], "finding_id": "validation",
+                "known_at": validation["source"]["outcome_vintage"], "label": validation["framing"]["research_label"],
+                "values": {
+                    **{k: validation[k] for k in ("baseline_floor", "calibration", "primary_summary")},
+                    **{k: validation["framing"][k] for k in ("claim_status", "leading_claim_allowed", "monitor_status")},
+                },
             }
         )
     return out
 
 
+def audit(families: list[dict], assembly: dict, confidence: str, live: Live, validation: dict | None, ids: dict[str, list[str]]) -> dict:
+    """Nine conditions of readiness, each with its evidence. External publication needs an approval that nothing here can give."""
+    v = validation or {"source": {}, "framing": {}, "calibration": {}, "verification_debt": ["no_validation"]}
+    leading = [f for f in families if f["family"] in LEADING]
+    conditions = [
+        ("current_assembly_verified", confidence == "Verified", ids["assembly"]),
+        ("current_composite_available", not assembly["abstained"], ids["assembly"]),
+        ("all_leading_families_available", all(not f["abstained"] for f in leading), ids["family"][: len(leading)]),
+        ("live_history_available", live.latest is not None, ids["sequence"]),
+        ("validation_checker_verified", v["source"].get("checker_label") == "Verified", ids["validation"]),
+        ("leading_claim_allowed", v["framing"].get("leading_claim_allowed") is True, ids["validation"]),
+        ("calibration_monotonic", v["calibration"].get("monotonic") is True, ids["validation"]),
+        ("verification_debt_closed", not v["verification_debt"] and not live.debts, [*ids["validation"], *ids["sequence"]]),
+        ("external_publication_approved", False, []),
+    ]
+    met = {name: bool(fine) for name, fine, _ in conditions}
+    return {
+        "conditions": [{"condition_id": name, "evidence_ids": list(e), "met": bool(fine)} for name, fine, e in conditions],
+        "external_ready": all(met.values()),
+        "internal_ready": met["current_assembly_verified"] and met["current_composite_available"] and met["validation_checker_verified"],
+    }
+
+
+def debts_of(validation: dict | None, assembly: tuple[str, ...], live: Live) -> list[dict]:
+    """Everything that verification still owes, with the part of the report it belongs to."""
+    scopes = (("validation", tuple(validation["verification_debt"]) if validation else ()), ("assembly", assembly), ("sequence", live.debts))
+    return [{"debt_id": d, "scope": scope} for scope, found in scopes for d in found]
+
+
 def changes(old: list[dict], new: list[dict]) -> list[dict]:
     """Findings that are new, gone, or different, by id."""
     a, b = ({f["finding_id"]: f for f in fs} for fs in (old, new))
@@ -62,18 +165,33 @@ def changes(old: list[dict], new: list[dict]) -> list[dict]:
     return out
 
 
-def audit(confidence: str, sequence_ok: bool, validation: dict | None, debts: list[str]) -> dict:
-    """Conditions of readiness. External publication needs an approval that nothing here can give."""
-    inside = {
-        "assembly_verified": confidence == "Verified",
-        "frozen_sequence_valid": sequence_ok,
-        "validation_present": validation is not None,
-        "calibration_known": bool(validation and validation["calibration"]["monotonic"] is not None),
-        "permutation_scored": bool(validation and validation["permutation"]["observed_lead_rate"] is not None),
-        "no_open_debts": not debts,
-    }
-    outside = inside | {"external_publication_approved": False}
-    return {"conditions": outside, "external_ready": all(outside.values()), "internal_ready": all(inside.values())}
+def counts(found: list[dict], name: str, order: tuple[str, ...]) -> dict[str, int]:
+    """How often each label occurs, in a fixed order; labels that don't are left out."""
+    labels = [f[name] for f in found]
+    return {x: labels.count(x) for x in order if x in labels}
+
+
+def cited(found: list[dict], records: list[dict]) -> list[tuple[str, str, list[str]]]:
+    """(finding, evidence, sources): each finding joined to its evidence; ids without a record are an error."""
+    known = {e["evidence_id"]: e for e in records}
+    if missing := sorted({i for f in found for i in f["evidence_ids"]} - known.keys()):
+        raise ReportError(f"no evidence has the id {missing[0]}")
+    return [(f["finding_id"], i, known[i]["sources"]) for f in found for i in f["evidence_ids"]]
+
+
+def check_artifact(validation: dict) -> dict:
+    """A validation artifact of the shape that reports need."""
+    from tidemark.plans import validation as v
+
+    wanted = {"source": {"checker_label", "frozen_sha256", "outcome_vintage"}, "framing": {"claim_status", "leading_claim_allowed", "monitor_status", "research_label"}}
+    if validation.get("schema_version") != v.SCHEMA_VERSION:
+        raise ReportError("the validation has another schema")
+    for part, keys in wanted.items():
+        if not isinstance(validation.get(part), dict) or not keys <= validation[part].keys():
+            raise ReportError(f"the validation's {part} isn't complete")
+    if not isinstance(validation.get("verification_debt"), list) or validation["source"]["checker_label"] not in CONFIDENCE:
+        raise ReportError("the validation's debts or label aren't what they must be")
+    return validation
 
 
 def cell(value) -> str:
@@ -88,42 +206,83 @@ def cell(value) -> str:
 
 
 def markdown(payload: dict) -> str:
-    lines = [f"# Weekly report {payload['assembly_date']}", "", f"Confidence: {payload['confidence']}", "", "| finding | label | score | flags |", "| --- | --- | --- | --- |"]
+    lines = [f"# Weekly report {payload['assembly_date']}", "", f"Confidence: {payload['confidence']}", "", "| finding | label | confidence | score | flags |", "| --- | --- | --- | --- | --- |"]
     for f in payload["findings"]:
-        score = f.get("z_score", f.get("headline_value"))
-        lines.append(f"| {cell(f['finding_id'])} | {cell(f['label'])} | {cell(score)} | {cell(f['flags'])} |")
-    lines += ["", "## Changes", ""]
+        values = f["values"]
+        score = values.get("z_score", values.get("headline_value"))
+        lines.append(f"| {cell(f['finding_id'])} | {cell(f['label'])} | {cell(f['confidence'])} | {cell(score)} | {cell(values.get('flags'))} |")
+    lines += ["", "## Evidence", ""]
+    lines += [f"- {cell(a)}: {cell(b)}; {cell(c)}" for a, b, c in cited(payload["findings"], payload["evidence"])]
+    lines += ["", "## Changes", "", f"Against: {cell(payload['previous_run_id'])}"]
     lines += [f"- {c['finding_id']}: {c['change']}" for c in payload["changes"]] or ["- none"]
     lines += ["", "## Launch audit", ""]
-    lines += [f"- {k}: {cell(v)}" for k, v in sorted(payload["launch_audit"]["conditions"].items())]
+    lines += [f"- {c['condition_id']}: {cell(c['met'])}" for c in payload["launch_audit"]["conditions"]]
+    lines += ["", "## Open debts", ""]
+    lines += [f"- {d['scope']}: {cell(d['debt_id'])}" for d in payload["debts"]] or ["- none"]
+    notes = payload["operations"]
+    lines += ["", "## Operations", "", f"Provider: {cell(notes['provider_health'])}, rate limited {cell(notes['rate_limited'])} times"]
+    lines += [f"- {cell(n['series_id'])}: {cell(n['code'])} {cell(n['detail'])}" for n in notes["notes"]]
     return "\n".join(lines) + "\n"
 
 
+def live_sequence(spark: SparkSession, path: str | None, spans: DataFrame | None, coverage: DataFrame | None = None) -> Live:
+    """The frozen store at ``path``, verified on the second path; a store that isn't there is a cold start."""
+    if path is None or not files.exists(path):
+        return Live(digest(b""), None, "Unverified")
+    data = files.read_regular(path, 1 << 30)
+    sequence = frozen.load(path)
+    if not sequence.ok:
+        return Live(digest(data), sequence.records[-1] if sequence.records else None, "Conflicting")
+    _, label = checker.verify_sequence(frozen.read(spark, path), spans, coverage=coverage)
+    return Live(digest(data), sequence.records[-1] if sequence.records else None, label)
+
+
 def weekly(
-    spark: SparkSession, spans: DataFrame, assembly_date: date, output: str, band: str | None = None, sequence_ok: bool = True,
-    validation: dict | None = None, previous: str | None = None, debts: tuple[str, ...] = (),
+    spark: SparkSession, spans: DataFrame, assembly_date: date, output: str, live: Live | None = None, validation_path: str | None = None,
+    previous: str | None = None, debts: tuple[str, ...] = (), coverage: DataFrame | None = None, operations: dict | None = None,
 ) -> dict:
     """Assemble one date, check it on the second path, and write report.json, assembly.json and report.md."""
+    for path in (previous, validation_path):
+        if path and files.inside(path, output):
+            raise ReportError("what a report reads can't be where it writes")
+    live = live or Live(digest(b""), None, "Unverified")
     dates = spark.createDataFrame([(assembly_date,)], "assembly_date date")
-    families = composite.families(spans, dates).cache()
-    _, confidence = checker.verify(families, spans, dates)
-    order = {f: n for n, f in enumerate(composite.compose.LEADING)}
-    rows = sorted((r.asDict() for r in families.collect()), key=lambda r: order.get(r["family"], 9))
-    assembly = composite.compose.tiers(families, ["assembly_date"]).first().asDict()
-    # Six places from here on, as in the report before.
-    found = parse_canonical(canonical_bytes(findings(rows, assembly, confidence, band, validation)))
-    old = parse_canonical(files.read_regular(previous))["findings"] if previous else []
-    source = canonical_bytes(
+    families = composite.families(spans, dates, coverage=coverage).cache()
+    _, confidence = checker.verify(families, spans, dates, coverage=coverage, debts=debts)
+    order = {f: n for n, f in enumerate(FAMILIES)}
+    rows = sorted((r.asDict() for r in redacted(families).collect()), key=lambda r: order[r["family"]])
+    assembly = composite.tiers_of(families).first().asDict()
+    inner = {
+        "abstained": assembly["abstained"], "headline_tier": assembly["headline_tier"], "headline_value": assembly["headline"],
+        "tier_a_value": assembly["tier_a"], "tier_b_value": assembly["tier_b"],
+    }
+    source = frozen.source_assembly(assembly_date, inner, rows, list(assembly["flags"])).encode()
+    validation, validation_sha256 = None, None
+    if validation_path:
+        data = files.read_regular(validation_path)
+        validation, validation_sha256 = check_artifact(parse_canonical(data)), digest(data)
+    records = evidence(rows, assembly_date.isoformat(), digest(source), live, validation, validation_sha256)
+    ids = {kind: [e["evidence_id"] for e in records if e["kind"] == kind] for kind in ("assembly", "family", "sequence", "validation")}
+    found = findings(rows, assembly, confidence, live, validation, ids)
+    checked = audit(rows, assembly, confidence, live, validation, ids)
+    labels = [confidence, live.confidence, *([validation["source"]["checker_label"]] if validation else [])]
+    found.append(
         {
-            "assembly_date": assembly_date.isoformat(),
-            "composite": {k: assembly[k] for k in ("abstained", "headline", "headline_tier", "tier_a", "tier_b")},
-            "families": {r["family"]: {"abstained": r["abstained"], "flags": list(r["flags"]), "z_score": r["z"]} for r in rows},
-            "flags": list(assembly["flags"]),
+            "confidence": combined(labels), "evidence_ids": [*ids["assembly"], *ids["sequence"], *ids["validation"]], "finding_id": "launch_audit",
+            "known_at": assembly_date.isoformat(), "label": "validation_pending", "values": checked,
         }
-    )
+    )
+    # Six places from here on, as in the report before.
+    found = parse_canonical(canonical_bytes(found))
+    cited(found, records)
+    old = parse_canonical(files.read_regular(previous)) if previous else {"findings": [], "run_id": None}
     payload = {
-        "assembly_date": assembly_date.isoformat(), "assembly_sha256": digest(source), "changes": changes(old, found), "confidence": confidence,
-        "findings": found, "launch_audit": audit(confidence, sequence_ok, validation, list(debts)), "schema_version": SCHEMA_VERSION,
+        "assembly_date": assembly_date.isoformat(), "assembly_sha256": digest(source), "changes": changes(old["findings"], found),
+        "confidence": confidence, "confidence_counts": counts(found, "confidence", CONFIDENCE), "debts": debts_of(validation, debts, live),
+        "evidence": records, "findings": found, "label_counts": counts(found, "label", RESULTS), "launch_audit": checked,
+        "operations": operations or {"notes": [], "provider_health": "unknown", "rate_limited": 0},
+        "previous_run_id": old["run_id"], "schema_version": SCHEMA_VERSION,
+        "series": [citation(s.series_id) for s in REGISTRY if s.role != "outcome"],
     }
     payload["run_id"] = digest(canonical_bytes(payload))[:12]
     blob = canonical_bytes(payload)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -15,23 +16,32 @@ from tidemark.operators.baselines import Contract
 from tidemark.plans import composite
 from tidemark.sources import files, frozen
 
-SCHEMA_VERSION = "tidemark.validation.v1"
+SCHEMA_VERSION = "tidemark.validation.v2"
 MONITOR, PENDING = "coincident_monitor", "validation_pending"
+#: What a validation of this kind owes, whatever it finds: episodes are few, and none is out of sample.
+DEBTS = ("few_episodes", "no_out_of_sample_episode", "unrevised_archive_assumption")
+MOST_EPISODES = 4
 
 
 class ValidationError(RuntimeError):
     """A gate of the validation isn't met."""
 
 
-def reconstruct(spans: DataFrame, start: str, end: str, burn_in: int = 36) -> tuple[DataFrame, DataFrame]:
-    """(weekly assemblies, frozen months) from the finalisation of ``start`` to that of ``end``: one plan for all weeks."""
+def reconstruct(
+    spans: DataFrame, start: str, end: str, burn_in: int = 36, coverage: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(weekly assemblies, frozen months, families) from the finalisation of ``start`` to that of ``end``, one plan for all weeks.
+
+    With ``coverage`` it fails closed: weeks that the series aren't covered for abstain.
+    """
     spark = spans.sparkSession
     first, last = calendar.monthly_finalization_date(start), calendar.monthly_finalization_date(end)
-    weeks = calendar.assemblies(spark).where(F.col("assembly_date").between(first, last)).select("assembly_date")
-    weekly = composite.assemblies(spans, weeks)
+    weeks = calendar.assemblies(spark).where(F.col("assembly_date").between(first, last)).select("assembly_date").distinct()
+    families = composite.families(spans, weeks, coverage=coverage).cache()
+    weekly = composite.tiers_of(families)
     low, high = calendar.month_index(start), calendar.month_index(end)
     months = calendar.finalizations(spark).where(F.col("month_idx").between(low, high))
-    return weekly, composite.frozen(weekly, months, burn_in=burn_in)
+    return weekly, composite.frozen(weekly, months, burn_in=burn_in), families
 
 
 def points(spark: SparkSession, records: list[dict]) -> DataFrame:
@@ -122,12 +132,30 @@ def _summary(row) -> dict:
     return {k: row[k] for k in ("episodes", "hits", "lead_rate", "outcome_abstentions", "points", "scorable", "scored_episodes", "signal_abstentions")}
 
 
+def gates(
+    records: list[dict], gaps: DataFrame, frozen_sha256: str, outcome_vintage: date, checker_label: str, checks: int, approved: bool
+) -> list[str]:
+    """The gates of a validation that aren't met: approval, hash, vintage, checker, and something to validate."""
+    tests = {
+        "the contract isn't approved": approved,
+        "the hash of the sequence is no SHA-256": bool(re.fullmatch("[0-9a-f]{64}", frozen_sha256)),
+        "the outcome vintage is no date": isinstance(outcome_vintage, date),
+        f"the sequence is {checker_label}": checker_label == "Verified",
+        "nothing has been checked": checks > 0,
+        "the sequence has no months": bool(records),
+        "the outcome has no quarters": not gaps.isEmpty(),
+    }
+    return [why for why, fine in tests.items() if not fine]
+
+
 def artifact(
-    spark: SparkSession, records: list[dict], gaps: DataFrame, contract: Contract, frozen_sha256: str, outcome_vintage: date, checker_label: str
-) -> dict:
+    spark: SparkSession, records: list[dict], gaps: DataFrame, contract: Contract, frozen_sha256: str, outcome_vintage: date, checker_label: str,
+    checks: int | None = None, approved: bool = True,
+) -> dict:
     """Everything a validation finds, as one JSON value; only a verified sequence is validated."""
-    if checker_label != "Verified":
-        raise ValidationError(f"the sequence is {checker_label}")
+    checks = len(records) if checks is None else checks
+    if unmet := gates(records, gaps, frozen_sha256, outcome_vintage, checker_label, checks, approved):
+        raise ValidationError(unmet[0])
     points_ = points(spark, records).cache()
     gaps = gaps.cache()
     scored = score(points_, gaps, contract).cache()
@@ -155,18 +183,29 @@ def artifact(
         for r in sorted(outcomes.regime_macro(scored).collect(), key=lambda r: (r["dimension"], r["category"]))
     ]
     failed = null["practical"] is False or any(f["beats"] is False for f in floor)
+    status = MONITOR if failed else PENDING
+    episodes = primary["episodes"]
     return {
         "baseline_floor": floor,
+        "baseline_summaries": by_model,
         "calibration": {"monotonic": monotonic, "rows": table},
         "contract": {k: v for k, v in vars(contract).items()},
-        "frozen_sha256": frozen_sha256,
-        "monitor_status": MONITOR if failed else PENDING,
-        "outcome_vintage": outcome_vintage.isoformat(),
+        "framing": {"claim_status": "descriptive_only", "leading_claim_allowed": False, "monitor_status": status, "research_label": "research_only"},
+        "input_contract": {"outcome_vintage": "latest_common", "signal": "published_band", "target": "tier_a"},
+        "monitor_status": status,
         "permutation": null,
+        "power": {
+            "episodes": episodes, "episodes_within_bound": episodes <= MOST_EPISODES, "most_episodes": MOST_EPISODES,
+            "out_of_sample_episode_required": True, "scored_episodes": primary["scored_episodes"],
+        },
         "primary_summary": primary,
         "regimes": regimes,
         "schema_version": SCHEMA_VERSION,
-    }
+        "source": {
+            "checker_checks": checks, "checker_label": checker_label, "frozen_sha256": frozen_sha256, "outcome_vintage": outcome_vintage.isoformat(),
+        },
+        "verification_debt": list(DEBTS),
+    }
 
 
 def run(
@@ -183,22 +222,23 @@ def run(
     return {"artifact_sha256": digest(blob), "months": len(sequence.records), "monitor_status": found["monitor_status"]}
 
 
-def reconstruct_store(spans: DataFrame, path: str, start: str, end: str, burn_in: int = 36) -> int:
-    """Freeze every month of a window into a new store, in order; the number of months."""
-    weekly, months = reconstruct(spans, start, end, burn_in)
-    dates = months.select("assembly_date")
-    families = composite.families(spans, dates)
-    records = frozen.records_from(months, families)
+def reconstruct_store(
+    spans: DataFrame, path: str, start: str, end: str, burn_in: int = 36, coverage: DataFrame | None = None, weekly_path: str | None = None
+) -> int:
+    """Freeze every month of a window into a new store, in order; the number of months.
+
+    All weekly assemblies of the window are computed once; ``weekly_path`` keeps them as Parquet.
+    """
+    weekly, months, families = reconstruct(spans, start, end, burn_in, coverage)
+    if weekly_path:
+        weekly.write.parquet(weekly_path)
+    months = months.cache()
+    records = frozen.records_from(months, families.join(months.select("assembly_date"), "assembly_date", "left_semi"))
     expected = calendar.month_index(end) - calendar.month_index(start) + 1
     if len(records) != expected:
         raise ValidationError(f"{len(records)} of {expected} months")
-    blob = b"".join(canonical_bytes(r) for r in records)
-    files.write_once(path, blob)
+    files.write_once(path, b"".join(canonical_bytes(r) for r in records))
     found = frozen.load(path)
     if not found.ok:
         raise ValidationError(f"the store has issues: {found.issues[:3]}")
     return len(records)
-
-
-def month_label(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("month", month_text(F.col("month_idx")))

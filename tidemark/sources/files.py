@@ -73,6 +73,15 @@ def write_once(path: str | Path, data: bytes, mode: int = 0o600) -> bool:
         Path(name).unlink(missing_ok=True)
 
 
+def exists(path: str | Path) -> bool:
+    return os.path.lexists(path)
+
+
+def inside(path: str | Path, folder: str | Path) -> bool:
+    """Whether a path is one of the files that go into a folder."""
+    return Path(folder).resolve() in (Path(path).resolve(), *Path(path).resolve().parents) and Path(path).name in ("assembly.json", "report.json", "report.md")
+
+
 def describe(path: str | Path, name: str, most: int = 1 << 40) -> dict:
     data = read_regular(path, most)
     return {"bytes": len(data), "path": name, "sha256": digest(data)}

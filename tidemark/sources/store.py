@@ -35,6 +35,14 @@ class ConcurrentWrite(RuntimeError):
     """Another writer has changed the store since this one has read it."""
 
 
+def provider_health(runs: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Whether all runs went well, and how often they were slowed down, over all of them or by key."""
+    grouped = runs.groupBy(*(keys or []))
+    fine = F.every(F.coalesce(F.col("status") == "ok", F.lit(False)))
+    word = F.when(fine.isNull(), "unknown").when(fine, "ok").otherwise("degraded")
+    return grouped.agg(word.alias("provider_health"), F.coalesce(F.sum("rate_limited"), F.lit(0)).cast("long").alias("rate_limited"))
+
+
 class VintageStore:
     """A store under one root, on any file system that Spark reads and writes."""
 
@@ -200,6 +208,10 @@ class VintageStore:
         rows = self.table("observation_spans").where(F.col("series_id") == series_id)
         return rows.select("observation_date", "realtime_start", "first_fetched_at").orderBy("observation_date", "realtime_start")
 
+    def provider_health(self) -> DataFrame:
+        """One row over the newest runs: provider_health (ok, degraded, or unknown without runs) and rate_limited, in all."""
+        return provider_health(self.latest_runs())
+
     def notes(self) -> DataFrame:
         """(series_id, code, detail): series without coverage, or whose newest run failed or was slowed down."""
         covered = self.table("series_coverage").where("complete_through is not null")
