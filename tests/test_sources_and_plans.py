@@ -72,6 +72,29 @@ def test_archive_rules(spark, tmp_path):
     assert "gap" not in {r["code"] for r in found.issues.collect()}
 
 
+def test_the_checker_reads_archives_on_its_own(spark, tmp_path):
+    path = write(tmp_path / "a.csv", GOOD)
+    for mode, stages in (("canonical", archive.CANONICAL), ("provisional", archive.PROVISIONAL)):
+        for assumed in (False, True):
+            own, through = checker.archive_spans(spark, [path], mode, assumed)
+            first = archive.read_archive(spark, path)
+            names = ["series_id", "observation_date", "realtime_start", "realtime_end", "value_text", "release_date"]
+            assert sorted(map(tuple, own.select(*names).collect())) == sorted(map(tuple, first.spans(stages, assumed).select(*names).collect()))
+            assert sorted(map(tuple, through.collect())) == sorted(map(tuple, first.coverage().collect()))
+    cases = {
+        checker.EvidenceConflict: [GOOD[0], GOOD[0].replace("10.0", "12.0")],
+        checker.EvidenceUnavailable: [GOOD[0].replace("preliminary", "revision")],
+    }
+    for error, lines in cases.items():
+        with pytest.raises(error):
+            checker.archive_spans(spark, [write(tmp_path / "b.csv", lines)], "canonical")
+    with pytest.raises(checker.EvidenceConflict) as conflict:
+        checker.archive_spans(spark, [write(tmp_path / "b.csv", cases[checker.EvidenceConflict]), write(tmp_path / "c.csv", [])], "canonical")
+    assert len(conflict.value.debts) == 1
+    with pytest.raises(checker.EvidenceUnavailable):
+        checker.archive_spans(spark, [path, write(tmp_path / "c.csv", [])], "canonical")
+
+
 def spans_frame(spark, rows):
     now = datetime(2026, 1, 1)
     full = [(*r, "http", None, now, now) for r in rows]
@@ -254,6 +277,11 @@ def test_frozen_sequence_is_verified(spark, world):
         found = {(r["month"], r["check"]) for r in wrong.collect()}
         assert (month, check) in found and label == "Conflicting", (check, found)
         assert {m for m, _ in found} == {month}
+    odd = [canonical_bytes(records[0]).decode(), '{"month":"2019-01","month":"2019-02"}', "no json", '{"month":"2019-03"}']
+    odd.append(canonical_bytes({**records[1], "composite": {**records[1]["composite"], "tier_a_value": 1}}).decode())
+    found = {tuple(r) for r in checker.shapes(spark.createDataFrame([(x,) for x in odd], "line string")).collect()}
+    assert {c for _, c in found} >= {"repeated_key", "no_json", "keys.record", "type.composite.tier_a_value"}
+    assert not any(m == records[0]["month"] for m, _ in found)
     wrong, _ = checker.verify_sequence(forged(spark, records[:20] + records[21:], lambda r: None), None, rules)
     assert "month_gap" in {r["check"] for r in wrong.collect()}
 

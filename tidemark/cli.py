@@ -125,8 +125,12 @@ def _validate(args) -> int:
     spans, coverage = _inputs(spark, args.store, args.archive, assume_unrevised=True)
     try:
         validation.reconstruct_store(spans, args.frozen, args.start, args.end, coverage=coverage, weekly_path=args.weekly)
-        # The file itself is verified, against the sources and against itself.
-        wrong, label = checker.verify_sequence(frozen.read(spark, args.frozen), spans, coverage=coverage)
+        # The file itself is verified, against itself and against sources that the checker reads on its own.
+        own, known = VintageStore(spark, args.store).snapshot()["observation_spans"].select(*spans.columns[:5]), coverage
+        if args.archive:
+            more, _ = checker.archive_spans(spark, args.archive, "canonical", assume_unrevised=True)
+            own = own.unionByName(more, allowMissingColumns=True)
+        wrong, label = checker.verify_sequence(frozen.read(spark, args.frozen), own, coverage=known)
         for row in wrong.limit(5).collect():
             print(f"{row['month']}: {row['check']}", file=sys.stderr)
         levels, issues, vintage = VintageStore(spark, args.store).outcome_levels(["DRCARX1Q020SBEA", "DFSARX1Q020SBEA"])
@@ -135,7 +139,7 @@ def _validate(args) -> int:
         gaps = trend_gap(levels, ["series_id"])
         both = outcome_gaps(gaps.where(F.col("series_id") == "DRCARX1Q020SBEA"), gaps.where(F.col("series_id") == "DFSARX1Q020SBEA"))
         print(json.dumps(validation.run(spark, args.frozen, both, Contract(), vintage, label, args.output), sort_keys=True))
-    except (validation.ValidationError, frozen.Refused, LookupError) as error:
+    except (validation.ValidationError, frozen.Refused, checker.EvidenceUnavailable, checker.EvidenceConflict, LookupError) as error:
         print(error, file=sys.stderr)
         return 1
     return 0

@@ -7,16 +7,19 @@ against themselves.
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark import calendar
 from tidemark.functions import values as V
 from tidemark.operators import compare
 from tidemark.registry import FAMILIES, LEADING, registry
+from tidemark.schemas import ARCHIVE_COLUMNS
 
 
 @dataclass(frozen=True)
@@ -39,6 +42,107 @@ MONTHS_BACK, MOST, LEAST = 120, 3.0, {"quarterly": 20, "monthly": 36}
 TOLERANCE = 1.0001e-6
 
 
+class EvidenceUnavailable(RuntimeError):
+    """Something that a check needs isn't there, or can't be read."""
+
+
+class EvidenceConflict(RuntimeError):
+    """Two pieces of evidence contradict each other; ``debts`` are what else is missing."""
+
+    def __init__(self, message: str, debts: tuple[str, ...] = ()) -> None:
+        super().__init__(message)
+        self.debts = debts
+
+
+def archive_spans(spark: SparkSession, paths: list[str], mode: str, assume_unrevised: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(spans, coverage) of release files, read on this path's own: by the CSV source, file by file, closed by arrays.
+
+    ``mode`` canonical takes final releases, provisional preliminary ones too. Raises on the first thing that is wrong;
+    contradictions come before what is missing.
+    """
+    every, bare = None, []
+    for path in paths:  # a handful of files
+        rows = spark.read.csv(path, header=True, multiLine=True, escape='"', mode="PERMISSIVE")
+        names = [c.strip().lstrip("\ufeff") for c in rows.columns]
+        if missing := sorted(set(ARCHIVE_COLUMNS) - set(names)):
+            raise EvidenceUnavailable(f"a release file has no {missing[0]}")
+        rows = rows.toDF(*names).select(*ARCHIVE_COLUMNS)
+        bare += [path] * rows.isEmpty()
+        every = rows if every is None else every.unionByName(rows)
+    if every is None:
+        raise EvidenceUnavailable("there is no release file")
+    known = F.broadcast(registry(spark).where("source = 'archive'").select("series_id", F.lit(True).alias("known")))
+    day = lambda c: F.when(F.length(c) == 10, F.to_date(F.col(c).try_cast("timestamp")))
+    got = F.to_date(F.when(F.col("retrieved_at").endswith("Z"), F.col("retrieved_at")).try_cast("timestamp"))
+    rows = every.join(known, "series_id", "left").withColumns({"obs": day("observation_date"), "rel": day("release_date"), "got": got})
+    from_day = F.col("rel") if assume_unrevised else F.greatest("rel", "got")
+    rows = rows.withColumn("begins", from_day)
+    good = F.col("known") & F.col("obs").isNotNull() & (F.col("rel") >= F.col("obs")) & (F.col("got") >= F.col("rel")) & (F.trim("value_text") != "") & F.col("release_stage").isin("preliminary", "final")
+    one = rows.agg(F.count_if(~F.coalesce(good, F.lit(False))).alias("bad")).first()
+    twice = rows.groupBy("series_id", "obs", F.greatest("rel", "got").alias("at")).agg(F.count_distinct("value_text", "release_stage", "release_date").alias("n"))
+    if not twice.where("n > 1").isEmpty():
+        raise EvidenceConflict("release files contradict each other", tuple(f"no rows in {p}" for p in bare))
+    if one["bad"] or bare:
+        raise EvidenceUnavailable("a release file has rows that break the rules" if one["bad"] else "a release file has no rows")
+    through = rows.groupBy("series_id").agg(F.max("got").alias("complete_through"))
+    kept = rows.where(F.col("release_stage") == "final") if mode == "canonical" else rows
+    entry = F.struct("begins", F.col("rel").alias("release_date"), "value_text")
+    lists = kept.groupBy("series_id", F.col("obs").alias("observation_date")).agg(F.array_sort(F.collect_set(entry)).alias("v"))
+    lists = lists.join(through, "series_id")
+    ends = F.transform("v", lambda x, i: F.struct(x.alias("e"), F.coalesce(F.date_sub(F.get("v", i + 1)["begins"], 1), F.col("complete_through")).alias("until")))
+    spans = lists.select("series_id", "observation_date", F.explode(ends).alias("s")).select(
+        "series_id", "observation_date", F.col("s.e.begins").alias("realtime_start"), F.col("s.until").alias("realtime_end"), "s.e.value_text", "s.e.release_date"
+    )
+    return spans, through
+
+
+def shapes(lines: DataFrame) -> DataFrame:
+    """(month, check) of lines (line) that are no records: no JSON, a repeated key, wrong keys, or values of wrong types.
+
+    A line without a month has its start instead.
+    """
+    from tidemark.sources.frozen import KEYS
+
+    texts = ("finalized_on", "month", "schema_version", "source_assembly_json", "source_assembly_sha256")
+
+    def wrong(line: str) -> tuple[str, list[str]]:
+        try:
+            value = json.loads(line, object_pairs_hook=_once)
+        except ValueError as error:
+            return line[:40], ["repeated_key" if "repeated" in str(error) else "no_json"]
+        if not isinstance(value, dict):
+            return line[:40], ["no_record"]
+        month, said = str(value.get("month"))[:40], []
+        for part, keys in KEYS.items():
+            inner = value if not part else value.get(part)
+            if not isinstance(inner, dict) or set(inner) != keys:
+                said.append(f"keys.{part or 'record'}")
+        said += [f"type.{k}" for k in texts if not isinstance(value.get(k), str)]
+        for f, state in value["families"].items() if isinstance(value.get("families"), dict) else ():
+            fine = isinstance(state, dict) and set(state) == {"abstained", "flags", "z_score"} and isinstance(state["abstained"], bool)
+            if not fine or not (state["z_score"] is None or isinstance(state["z_score"], float)):
+                said.append(f"type.families.{f}")
+        for part in ("composite", "band"):
+            inner = value.get(part)
+            numbers = {k: v for k, v in inner.items() if k.endswith("_value")} if isinstance(inner, dict) else {}
+            said += [f"type.{part}.{k}" for k, v in numbers.items() if not (v is None or isinstance(v, float))]
+        return month, said
+
+    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [wrong(x) for x in batch["line"]]
+            yield pd.DataFrame([(m, c) for m, said in found for c in said], columns=["month", "check"])
+
+    return lines.select("line").mapInPandas(check, "month string, check string")
+
+
+def _once(pairs: list[tuple[str, object]]) -> dict:
+    found = dict(pairs)
+    if len(found) < len(pairs):
+        raise ValueError("a key is repeated")
+    return found
+
+
 def held(spans: DataFrame, dates: DataFrame, rules: Rules) -> DataFrame:
     """As-of selection as the newest version that had started and not ended, by a grouped maximum.
 
@@ -391,7 +495,10 @@ def verify_sequence(
             sources__assembly_flags=(F.col("own_flags"), plain),
         )
         found = found.unionByName(outer.select("month", same.alias("checks")))
-    wrong = found.select("month", F.explode("checks").alias("check")).distinct()
+    wrong = found.select("month", F.explode("checks").alias("check"))
+    if "line" in records.columns:
+        wrong = wrong.unionByName(shapes(records))
+    wrong = wrong.distinct()
     return wrong, label(wrong, records.count(), len(debts) + rules.changed)
 
 
