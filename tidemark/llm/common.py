@@ -52,7 +52,7 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def small_batches(spark: SparkSession, megabytes: int = 4) -> None:
+def small_batches(spark: SparkSession, megabytes: int = 1) -> None:
     """Bound the bytes of an Arrow batch, so that Python workers hold few long texts at once.
 
     This is a setting of the session, as plans read it when they run; it only lowers a bound, and changes no result.
