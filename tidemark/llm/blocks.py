@@ -89,42 +89,46 @@ def _cells(kept: DataFrame, pivots: DataFrame, search: Search) -> DataFrame:
     return kept.withColumn("cell", cell("vec"))
 
 
-def _built(rows: DataFrame, n_rows: int, search: Search) -> DataFrame:
-    """(block, size, n, centre, radius, packed): blocks of about ``n_rows`` rows of one cell, or of a share of it."""
-    parts = rows.groupBy("size", "cell").agg(F.ceil(F.count(F.lit(1)) / n_rows).alias("parts"))
-    # A row for each pivot and length at most.
-    dealt = rows.join(F.broadcast(parts.withColumnsRenamed({"size": "its_size", "cell": "its_cell"})), (F.col("size") == F.col("its_size")) & (F.col("cell") == F.col("its_cell")))
-    dealt = dealt.select("id", "vec", "size", "cell", F.pmod(F.xxhash64("id"), F.col("parts")).alias("part"))
+def _built(kept: DataFrame, block_rows: int, query_rows: int, search: Search) -> DataFrame:
+    """(kind, block, size, n, centre, radius, packed): blocks (b) of about ``block_rows`` rows, and blocks of queries (q).
+
+    The rows of a block are those of one cell, or of a share of it.
+    """
+    each = ["id", "vec", "size", "cell"]
+    rows = kept.select(*each, F.lit("b").alias("kind")).unionByName(kept.where("asks").select(*each, F.lit("q").alias("kind")))
+    n_rows = F.when(F.col("kind") == "b", block_rows).otherwise(query_rows)
+    keys = ["kind", "size", "cell"]
+    parts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).select(*keys, F.ceil(F.col("n") / n_rows).alias("parts"))
+    # Two rows for each pivot and length at most.
+    dealt = rows.join(F.broadcast(parts), keys).select(*each, "kind", F.pmod(F.xxhash64("id"), F.col("parts")).alias("part"))
 
     def build(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("id")
         ids, vectors = frame["id"].to_numpy(np.int64), np.array(frame["vec"].tolist(), np.float64).reshape(len(frame), -1)
         centre, radius = ball(search.points(vectors))
-        name = f"{frame['size'].iloc[0]}/{frame['cell'].iloc[0]}/{frame['part'].iloc[0]}"
+        first = frame.iloc[0]
+        name = f"{first['size']}/{first['cell']}/{first['part']}"
         packed = pickle.dumps(search.build(ids, vectors), pickle.HIGHEST_PROTOCOL)
-        return pd.DataFrame(
-            {"block": [name], "size": [int(frame["size"].iloc[0])], "n": [len(ids)], "centre": [centre.tobytes()], "radius": [radius], "packed": [packed]}
-        )
+        row = (first["kind"], name, int(first["size"]), len(ids), centre.tobytes(), radius, packed)
+        return pd.DataFrame([row], columns=["kind", "block", "size", "n", "centre", "radius", "packed"])
 
-    made = dealt.groupBy("size", "cell", "part").applyInPandas(
-        build, "block string, size int, n long, centre binary, radius double, packed binary"
+    made = dealt.groupBy("kind", "size", "cell", "part").applyInPandas(
+        build, "kind string, block string, size int, n long, centre binary, radius double, packed binary"
     )
     return cut(made)
 
 
-def _bounded(asking: DataFrame, base: DataFrame, floors: DataFrame | None) -> DataFrame:
+def _bounded(asking: DataFrame, n_asking: int, base: DataFrame, n_base: int, floors: DataFrame | None) -> DataFrame:
     """(q, b, bound): pairs of blocks of one length, each q with its best b only, or all that reach its floor.
 
     Blocks are told by their summaries, 4096 against 4096 in a task.
     """
-    def piece(frame: DataFrame, name: str) -> tuple[DataFrame, int]:
-        n = -(-frame.count() // PIECE) or 1
-        return frame.withColumn(name, F.pmod(F.xxhash64("block"), F.lit(n)).cast("int")), n
-
+    n_left, n_right = (-(-n // PIECE) or 1 for n in (n_asking, n_base))
+    piece = lambda n: F.pmod(F.xxhash64("block"), F.lit(n)).cast("int")
     left = asking.select("block", "size", "centre", "radius")
     left = left.join(floors, F.col("block") == F.col("q")).drop("q") if floors is not None else left.withColumn("floor", F.lit(float("-inf")))
-    left, n_left = piece(left, "i")
-    right, n_right = piece(base.select("block", "size", "centre", "radius"), "j")
+    left = left.withColumn("i", piece(n_left))
+    right = base.select("block", "size", "centre", "radius").withColumn("j", piece(n_right))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left, right = left.withColumn("j", every(n_right)), right.withColumn("i", every(n_left))
     best_only = floors is None
@@ -174,8 +178,12 @@ def search_blocks(
     kept = cut(kept.groupBy("id", "size").agg(F.min("vec").alias("vec"), F.max("asks").alias("asks")))
     n_pivots = min(most_pivots, -(-kept.count() // block_rows)) or 1
     kept = _cells(kept, kept.select("id", "vec").orderBy(F.xxhash64("id"), "id").limit(n_pivots), search)
-    base, asking = _built(kept, block_rows, search), _built(kept.where("asks"), query_rows, search)
-    n_parts = max(1, min(base.count(), 100_000))
+    built = _built(kept, block_rows, query_rows, search)
+    n_blocks = {r["kind"]: r["count"] for r in built.groupBy("kind").count().collect()}
+    n_base, n_asking = n_blocks.get("b", 0), n_blocks.get("q", 0)
+    # Columns of their own, as both are joined and grouped together.
+    base, asking = (built.where(F.col("kind") == k).toDF(*built.columns) for k in ("b", "q"))
+    n_parts = max(1, min(n_base, 100_000))
     column = "long" if search.kind is int else "double"
     kind = np.int64 if search.kind is int else np.float64
     # A fixed number of partitions, as few bytes may take long: adaptive execution would put them together again.
@@ -194,7 +202,7 @@ def search_blocks(
 
         return joined.mapInPandas(each, f"q string, query_id long, vec_id long, score {column}")
 
-    first = _bounded(asking, base, None)
+    first = _bounded(asking, n_asking, base, n_base, None)
     near = cut(found(first, None))
     # The kth score of each query so far; a query with fewer has none yet.
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
@@ -209,7 +217,7 @@ def search_blocks(
 
     floor = F.when(F.size("kth") == F.col("n_asking"), F.array_min(F.transform("kth", lambda x: x["score"])))
     floors = cut(sized.join(kth, "q", "left").select("q", packed("kth").alias("worst"), F.coalesce(floor, F.lit(float("-inf"))).alias("floor")))
-    second = _bounded(asking, base, floors.select("q", "floor"))
+    second = _bounded(asking, n_asking, base, n_base, floors.select("q", "floor"))
     second = second.join(first.select("q", F.col("b").alias("done")), "q").where("b <> done").select("q", "b")
     if counted is not None:
         pairs = asking.groupBy("size").count().join(base.groupBy("size").agg(F.count(F.lit(1)).alias("n")), "size")
