@@ -110,7 +110,8 @@ def test_bands_after_burn_in(spark):
     assert got[36]["published_band"] == "High"
     twin = checker.replay_bands(values)
     for i, t in enumerate(twin):
-        assert {k: got[i][k] for k in t} == t
+        cuts = t.pop("thresholds") or (None, None, None)
+        assert {k: got[i][k] for k in t} == t and cuts == tuple(got[i][p] for p in ("p70", "p85", "p95"))
     drifted = checker.replay_bands(values, checker.Rules(dwell=1))
     assert drifted[35]["published_band"] == "High"
 
@@ -202,3 +203,16 @@ def test_tree_diff(spark):
     a, b = (compare.flatten_json(spark.createDataFrame(x, "k int, t string"), "k", "t") for x in (left, right))
     got = {(r["path"], r["code"]) for r in compare.tree_diff(a, b, "k").collect()}
     assert got == {("/a/b", "value_mismatch"), ("/a/c", "type_mismatch"), ("/d", "missing_in_candidate"), ("/e", "unexpected_in_candidate")}
+
+
+def test_unknown_transforms_are_errors(spark):
+    from pyspark.errors import PySparkException
+
+    rows = spark.createDataFrame([("level", 2.0), ("inverted_level", 2.0), ("yoy_growth", 2.0)], "t string, v double")
+    got = {r[0]: r[1] for r in rows.select("t", transforms.level(F.col("t"), F.col("v"))).collect()}
+    assert got == {"level": 2.0, "inverted_level": -2.0, "yoy_growth": None}
+    own = {**transforms.LEVELS, "doubled": lambda v: v * 2}
+    twice = spark.createDataFrame([("doubled", 2.0)], "t string, v double")
+    assert twice.select(transforms.level(F.col("t"), F.col("v"), own)).first()[0] == 4.0
+    with pytest.raises(PySparkException):
+        twice.select(transforms.level(F.col("t"), F.col("v"))).collect()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,13 +13,23 @@ from tidemark.functions.values import clamp, month_of
 WINDOW_MONTHS, MIN_MONTHLY, MIN_QUARTERLY, CAP = 120, 36, 20, 3.0
 
 
-def level(transform: Column, value: Column) -> Column:
-    """Level transforms by tag; growth tags give null here, as they need history."""
-    return (
-        F.when(transform == "hundred_minus_level", 100.0 - value)
-        .when(transform == "inverted_level", -value)
-        .when(transform == "level", value)
-    )
+#: Transforms of a single observation, by tag; a deployment may add its own.
+LEVELS: dict[str, Callable[[Column], Column]] = {
+    "hundred_minus_level": lambda value: 100.0 - value,
+    "inverted_level": lambda value: -value,
+    "level": lambda value: value,
+}
+#: Transforms that need history: they are plans of their own.
+GROWTH = ("pooled_yoy_growth", "yoy_growth", "quarterly_log_trend_gap_component")
+
+
+def level(transform: Column, value: Column, levels: dict[str, Callable[[Column], Column]] | None = None) -> Column:
+    """Level transforms by tag; growth tags give null here, and a tag that nobody knows is an error."""
+    found = F.when(transform.isin(*GROWTH), F.lit(None).cast("double"))
+    for tag, make in (LEVELS if levels is None else levels).items():
+        found = found.when(transform == tag, make(value))
+    unknown = F.concat(F.lit("unknown transform: "), F.coalesce(transform, F.lit("none")))
+    return found.otherwise(F.raise_error(unknown).cast("double"))
 
 
 def wednesdays_in_month(day: Column) -> Column:

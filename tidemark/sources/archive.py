@@ -29,6 +29,10 @@ class Archive:
     rows: DataFrame
     issues: DataFrame
 
+    def ordered(self) -> DataFrame:
+        """The valid rows in the order of an archive file."""
+        return self.rows.orderBy(*ORDER)
+
     def coverage(self) -> DataFrame:
         """The last retrieval of each series: what an archive can vouch for."""
         return self.rows.groupBy("series_id").agg(F.max("retrieval_date").alias("complete_through"))

@@ -45,8 +45,9 @@ def fetch(url: str) -> tuple[int, bytes]:
 class Client:
     """Paged reads with retries on 429, 5xx and network failures; other statuses are final."""
 
-    def __init__(self, url: str, key: str, get: Callable[[str], tuple[int, bytes]] = fetch, sleep: Callable[[float], None] = time.sleep) -> None:
-        self.url, self._key, self._get, self._sleep = url.rstrip("/"), key, get, sleep
+    def __init__(self, url: str, key: str, get: Callable[[str], tuple[int, bytes]] = fetch, sleep: Callable[[float], None] = time.sleep, clients: int = 1) -> None:
+        """``clients`` says how many may read at once: each pauses so much longer, so that all together keep the pace."""
+        self.url, self._key, self._get, self._sleep, self._pause = url.rstrip("/"), key, get, sleep, PAUSE * clients
         self.requests = self.rate_limited = 0
 
     def _json(self, path: str, **query) -> dict:
@@ -54,7 +55,7 @@ class Client:
         status = 0
         for attempt in range(ATTEMPTS):
             if self.requests:
-                self._sleep(PAUSE)
+                self._sleep(self._pause)
             self.requests += 1
             status, body = self._get(asked)
             if status == 200:
@@ -99,7 +100,7 @@ class _Reader(DataSourceReader):
         return [InputPartition(s.strip()) for s in self.options["series"].split(",") if s.strip()]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        client = Client(self.options["url"], self.options["key"])
+        client = Client(self.options["url"], self.options["key"], clients=len(self.partitions()))
         yield from client.rows(
             self.options.get("endpoint", "observations"), partition.value, self.options.get("realtime_start", "1776-07-04"), self.options.get("realtime_end", "9999-12-31")
         )
