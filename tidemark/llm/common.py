@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -58,7 +59,8 @@ def small_batches(spark: SparkSession, megabytes: int = 1) -> None:
     This is a setting of the session, as plans read it when they run; it only lowers a bound, and changes no result.
     """
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = int(spark.conf.get(key).rstrip("b"))
+    number, unit = re.fullmatch(r"\s*(-?\d+)\s*([a-z]?)i?b?\s*", spark.conf.get(key).lower()).groups()
+    now = int(number) << {"k": 10, "m": 20, "g": 30, "t": 40, "p": 50}.get(unit, 0)
     if now <= 0 or now > megabytes << 20:
         spark.conf.set(key, f"{megabytes << 20}b")
 
