@@ -34,6 +34,10 @@ def test_contracts(spark, sf):
         "op8_nearest": "query_id bigint, rank int, vec_id bigint, score double",
         "op9_main_text": "page_id bigint, url string, text string, n_chars bigint",
         "op10_bpe": "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string",
+        "op11_periodic_runs": "doc_id bigint, n_runs bigint, start bigint, length bigint, period bigint, exponent_milli bigint, "
+        "runs_sha256 string, collapsed_sha256 string",
+        "op12_merkle": "doc_id bigint, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean",
+        "op13_exact_dedup": "doc_id bigint, keep_id bigint, group_size bigint, kept boolean, text_sha256 string",
     }
     small = sf.replace("0.01", "0.001")
     assert set(queries.queries()) == set(want)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, bpe, html, jaccard, linededup, mixing, quality, sharding, topk, toxicity
+from tidemark.llm import ann, bpe, exactdedup, html, jaccard, linededup, merkle, mixing, periodic, quality, sharding, topk, toxicity
 from tidemark.llm.common import table
 
 
@@ -189,6 +189,113 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _with_periods(docs: DataFrame) -> DataFrame:
+    """The contract's texts: where 10 divides the checksum h of the id, the words from a on repeat with period p.
+
+    g = h div 10, a = g % n, p = 1 + (n - a) div (3 + g % 8), for n words. Texts without words, and rows without an id, stay.
+    """
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    split = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    rows = docs.select("doc_id", "text", F.when(h % 10 == 0, split).alias("words"), F.expr("crc32(cast(cast(doc_id as string) as binary)) div 10").alias("g"))
+    rows = rows.withColumn("a", F.when(F.size("words") > 0, (F.col("g") % F.size("words")).cast("int")))
+    rows = rows.withColumn("p", F.expr("cast(1 + (size(words) - a) div (3 + g % 8) as int)"))
+    # 3 + g % 8 periods reach the end of the text.
+    unit = F.array_repeat(F.slice("words", F.col("a") + 1, F.col("p")), F.expr("cast(3 + g % 8 as int)"))
+    periodic = F.slice(F.concat(F.slice("words", F.lit(1), F.col("a")), F.flatten(unit)), F.lit(1), F.size("words"))
+    return rows.select("doc_id", F.coalesce(F.when(F.col("a").isNotNull(), F.array_join(periodic, " ")), "text").alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.find_runs(_with_periods(table(spark, sf_dir, "documents")), min_length=6, min_periods=4)
+    first = F.col("runs")[0]
+    # The greatest length / period, compared exactly; runs come by start and period, so of equals the first stays.
+    best = F.when(
+        F.size("runs") > 0,
+        F.aggregate("runs", first, lambda b, r: F.when(r["length"] * b["period"] > b["length"] * r["period"], r).otherwise(b)),
+    )
+    line = lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n"))
+    return found.withColumn("best", best).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        F.col("best.start").alias("start"),
+        F.col("best.length").alias("length"),
+        F.col("best.period").alias("period"),
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = ["doc_id", "source", "lang", "n_chars", "text"]
+    row = [F.col(c) for c in names]
+    # Where 7 divides the checksum of the id, the row has been tampered with: n_chars is one more, if there is any.
+    more = (F.col("n_chars").cast("decimal(20,0)") + 1).cast("string")
+    tampered = [*row[:3], more, row[4]]
+    found = (remainder(F.col("doc_id"), 7) == 0) & F.col("doc_id").isNotNull() & F.col("n_chars").isNotNull()
+    leaves = table(spark, sf_dir, "documents").select(
+        "doc_id", "lang", merkle.leaf_digest(*row).alias("leaf"), F.when(found, merkle.leaf_digest(*tampered)).alias("changed")
+    )
+    claimed = leaves.withColumn("claim", F.coalesce("changed", "leaf")).drop("changed")
+    return merkle.manifest(claimed, "lang", "doc_id", "leaf", "claim", fanout=2)
+
+
+#: Levels as lists that halve; the checksum of an id is worked out bit by bit, as there is no function for it.
+OP12_SQL = """
+WITH RECURSIVE fields AS (
+  SELECT doc_id, lang, n_chars,
+         coalesce(octet_length(encode(doc_id::VARCHAR)) || ':' || doc_id, '-') || coalesce(octet_length(encode(source)) || ':' || source, '-')
+           || coalesce(octet_length(encode(lang)) || ':' || lang, '-') AS head,
+         coalesce(octet_length(encode(text)) || ':' || text, '-') AS tail,
+         xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+           lambda a, x: list_reduce(list_prepend(xor(a, x), range(8)), lambda c, i: xor(c >> 1, 3988292384 * (c & 1)))), 4294967295::BIGINT) % 7 = 0 AS tampered
+  FROM documents
+), leaves AS (
+  SELECT doc_id, lang, sha256(head || coalesce(length(n_chars::VARCHAR) || ':' || n_chars, '-') || tail) AS leaf,
+         sha256(head || coalesce(length((n_chars + tampered::INT)::VARCHAR) || ':' || (n_chars + tampered::INT), '-') || tail) AS claim,
+         coalesce('=' || lang, '') AS tree
+  FROM fields
+), placed AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id) - 1 AS pos FROM leaves),
+levels AS (
+  SELECT tree, 0 AS lvl, list(leaf ORDER BY pos) AS nodes FROM placed GROUP BY tree
+  UNION ALL
+  SELECT tree, lvl + 1, list_transform(range(0, len(nodes), 2), lambda i: sha256(nodes[i + 1] || coalesce(nodes[i + 2], ''))) FROM levels WHERE len(nodes) > 1
+), subroots AS (SELECT tree, nodes[1] AS subroot, row_number() OVER (ORDER BY tree) - 1 AS pos FROM levels WHERE len(nodes) = 1),
+tops AS (
+  SELECT 0 AS lvl, list(subroot ORDER BY pos) AS nodes FROM subroots
+  UNION ALL
+  SELECT lvl + 1, list_transform(range(0, len(nodes), 2), lambda i: sha256(nodes[i + 1] || coalesce(nodes[i + 2], ''))) FROM tops WHERE len(nodes) > 1
+), below AS (SELECT tree, list(nodes ORDER BY lvl) FILTER (len(nodes) > 1) AS levels FROM levels GROUP BY tree),
+over AS (SELECT list(nodes ORDER BY lvl) FILTER (len(nodes) > 1) AS levels, max(nodes[1]) FILTER (len(nodes) = 1) AS root FROM tops),
+paths AS (
+  SELECT p.doc_id, p.leaf, p.claim, s.subroot, o.root,
+         list_concat(list_transform(coalesce(b.levels, []), lambda n, i: {'s': coalesce(n[xor(p.pos >> (i - 1), 1) + 1], ''), 'first': (p.pos >> (i - 1)) & 1 = 1}),
+                     list_transform(coalesce(o.levels, []), lambda n, i: {'s': coalesce(n[xor(s.pos >> (i - 1), 1) + 1], ''), 'first': (s.pos >> (i - 1)) & 1 = 1})) AS path
+  FROM placed p JOIN subroots s USING (tree) JOIN below b USING (tree), over o
+), folded AS (
+  SELECT *, sha256(array_to_string(list_transform(path, lambda x: x.s), '')) AS proof_sha256,
+         list_reduce(list_prepend({'s': claim, 'first': false}, path),
+           lambda a, x: {'s': sha256(CASE WHEN x.first THEN x.s || a.s ELSE a.s || x.s END), 'first': false}).s AS folded_root
+  FROM paths
+)
+SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified FROM folded
+"""
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    # Texts become digests before anything is kept or exchanged.
+    digests = docs.select("doc_id", exactdedup.text_digest(F.col("text")).alias("text_sha256"))
+    return exactdedup.mark_duplicates(digests).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+OP13_SQL = """
+WITH d AS (SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256 FROM documents),
+g AS (SELECT text_sha256, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY 1)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM d JOIN g USING (text_sha256)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sharding": op1_sharding,
@@ -201,8 +308,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_nearest": op8_nearest,
         "op9_main_text": op9_main_text,
         "op10_bpe": op10_bpe,
+        "op11_periodic_runs": op11_periodic_runs,
+        "op12_merkle": op12_merkle,
+        "op13_exact_dedup": op13_exact_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_top_k": OP5_SQL, "op6_line_dedup": OP6_SQL, "op7_near_duplicates": OP7_SQL, "op8_nearest": OP8_SQL}
+    return {"op5_top_k": OP5_SQL, "op6_line_dedup": OP6_SQL, "op7_near_duplicates": OP7_SQL, "op8_nearest": OP8_SQL, "op12_merkle": OP12_SQL, "op13_exact_dedup": OP13_SQL}
