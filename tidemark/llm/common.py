@@ -53,6 +53,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def forget(df: DataFrame) -> None:
+    """Delete the checkpoint of ``df``, a result of ``cut`` that nothing will read again."""
+    file = df._jdf.queryExecution().logical().rdd().getCheckpointFile()
+    if file.isDefined():
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(file.get())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def small_batches(spark: SparkSession, megabytes: int = 1) -> None:
     """Bound the bytes of an Arrow batch, so that Python workers hold few long texts at once.
 
