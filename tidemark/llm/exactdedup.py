@@ -30,7 +30,8 @@ def frequent(rows: DataFrame, digest_col: str, counters: int) -> DataFrame:
     state = lambda expr: F.expr(expr).alias("fd_state")
     hashed = rows.select(F.xxhash64(col(rows, digest_col)).alias("fd_hash"), F.spark_partition_id().alias("fd_part"))
     local = hashed.groupBy(F.pmod("fd_part", F.lit(MERGERS))).agg(state(f"approx_top_k_accumulate(fd_hash, {counters})"))
-    whole = local.agg(state(f"approx_top_k_combine(fd_state, {counters})"))
+    # Grouped, as an empty partition has no summary to merge.
+    whole = local.groupBy(F.lit(0)).agg(state(f"approx_top_k_combine(fd_state, {counters})"))
     found = whole.select(F.explode(F.expr(f"approx_top_k_estimate(fd_state, {counters})")).alias("fd_item"))
     return found.select(F.col("fd_item.item").alias("fd_hash"))
 
@@ -67,10 +68,6 @@ def mark_duplicates(
     )
     named = cut(named)
     total = named.count()
-    if not total:  # there are no summaries to merge
-        return named.select(
-            *[col(named, c) for c in keep], F.col(ident).alias(keep_col), F.lit(1).cast("long").alias(size_col), F.lit(True).alias(kept_col)
-        )
     count, last = F.count(F.lit(1)).alias(size), F.max(F.struct(ident, row)).alias(best)
 
     asked = frequent(named, digest, counters).withColumnRenamed("fd_hash", h)
