@@ -31,7 +31,7 @@ def frequent(rows: DataFrame, digest_col: str, counters: int) -> DataFrame:
     hashed = rows.select(F.xxhash64(col(rows, digest_col)).alias("fd_hash"), F.spark_partition_id().alias("fd_part"))
     local = hashed.groupBy(F.pmod("fd_part", F.lit(MERGERS))).agg(state(f"approx_top_k_accumulate(fd_hash, {counters})"))
     # Grouped, as an empty partition has no summary to merge.
-    whole = local.groupBy(F.lit(0)).agg(state(f"approx_top_k_combine(fd_state, {counters})"))
+    whole = local.withColumn("fd_all", F.lit(True)).groupBy("fd_all").agg(state(f"approx_top_k_combine(fd_state, {counters})"))
     found = whole.select(F.explode(F.expr(f"approx_top_k_estimate(fd_state, {counters})")).alias("fd_item"))
     return found.select(F.col("fd_item.item").alias("fd_hash"))
 
