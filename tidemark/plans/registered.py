@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from tidemark.plans import catalog, catalog_scores
+from tidemark.plans import catalog, catalog_logs, catalog_scores
 from tidemark.plans.catalog import ORACLES, QUERIES, Query
 
-__all__ = ["catalog", "catalog_scores", "oracle_sql", "queries"]
+__all__ = ["catalog", "catalog_logs", "catalog_scores", "oracle_sql", "queries"]
 
 
 def queries() -> dict[str, Query]:

@@ -1,16 +1,15 @@
-"""The vintage store: four Parquet tables with keyed merges, and read snapshots.
+"""The vintage store: four keyed tables, each a log of batches merged on reading, and read snapshots.
 
-A state is a small numbered file that names the directories of all tables. A merge writes new directories, then claims
-the next number; a reader takes the last complete state, so it sees all tables at one moment, and a failed or crashed
-job changes nothing: the states before it stay where they are. Of two writers that start from one state, one claims the
-number, and the other is told.
+A state is a small numbered file that names the parts of all tables. A merge writes its batch and nothing else, then
+claims the next number; a reader takes the last complete state, so it sees all tables at one moment, and a failed or
+crashed job changes nothing: the states before it stay where they are. Of two writers that start from one state, one
+claims the number, and the other is told. Compaction and vacuum keep the number of parts and of old states bounded.
 """
 
 from __future__ import annotations
 
 import json
 import time
-import uuid
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,12 +17,16 @@ from pyspark.sql import functions as F
 
 from tidemark import schemas
 from tidemark.operators import pit
+from tidemark.sources.mergelog import Entry, Layout, MergeLog
 
+#: What is known of a span keeps its first fetch and its source; vintages are only added; coverage never goes back.
 TABLES = {
-    "observation_spans": (schemas.SPANS, ["series_id", "observation_date", "realtime_start"]),
-    "vintage_dates": (schemas.VINTAGES, ["series_id", "vintage_date"]),
-    "series_coverage": (schemas.COVERAGE, ["series_id"]),
-    "fetch_runs": (schemas.RUNS, ["id"]),
+    "observation_spans": Layout(
+        schemas.SPANS, pit.KEY, dict.fromkeys(("first_fetched_at", "source", "source_file"), "first"), ("series_id", "observation_date"), 32
+    ),
+    "vintage_dates": Layout(schemas.VINTAGES, ("series_id", "vintage_date"), {"fetched_at": "first"}, buckets=8),
+    "series_coverage": Layout(schemas.COVERAGE, ("series_id",), {"complete_through": "greatest"}, buckets=1),
+    "fetch_runs": Layout(schemas.RUNS, ("id",), buckets=1),
 }
 
 
@@ -46,8 +49,8 @@ def provider_health(runs: DataFrame, keys: list[str] | None = None) -> DataFrame
 class VintageStore:
     """A store under one root, on any file system that Spark reads and writes."""
 
-    #: Directories of an appended table, before they are written anew as one.
-    MOST_PARTS = 64
+    #: Batches of a table, before its buckets are compacted.
+    MOST_DELTAS = 32
     #: Seconds after which a state that was claimed and never completed is taken for that of a crashed writer.
     PATIENCE = 5.0
 
@@ -65,7 +68,7 @@ class VintageStore:
         names = [f.getPath().getName() for f in fs.listStatus(path)]
         return sorted(int(n) for n in names if n.isdigit())
 
-    def _read(self, number: int) -> dict[str, list[str]] | None:
+    def _read(self, number: int) -> dict[str, dict] | None:
         """A state; None while it isn't complete: its last character is a line feed."""
         fs, path = self._path(f"states/{number:08d}")
         stream = fs.open(path)
@@ -75,28 +78,28 @@ class VintageStore:
             stream.close()
         return json.loads(text) if text.endswith("\n") else None
 
-    def state(self) -> tuple[int, dict[str, list[str]]]:
-        """The highest number that is claimed, and the last complete state: table -> directories."""
+    def state(self) -> tuple[int, dict[str, dict]]:
+        """The highest number that is claimed, and the last complete state: table -> its entry."""
         numbers = self._numbers()
         for n in reversed(numbers):
             if (found := self._read(n)) is not None:
                 return numbers[-1], found
         return (numbers[-1] if numbers else 0), {}
 
-    def table(self, name: str, state: dict[str, list[str]] | None = None) -> DataFrame:
+    def log(self, name: str) -> MergeLog:
+        return MergeLog(self.spark, f"{self.root}/{name}", TABLES[name], lambda part: self._path(f"{name}/{part}"))
+
+    def table(self, name: str, state: dict[str, dict] | None = None) -> DataFrame:
         """A table at the current (or a given) state, with its schema; empty before the first write."""
-        schema = TABLES[name][0]
-        parts = (self.state()[1] if state is None else state).get(name)
-        if not parts:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(*[f"{self.root}/{name}/{p}" for p in parts])
+        entry = (self.state()[1] if state is None else state).get(name)
+        return self.log(name).read(Entry.of(entry))
 
     def snapshot(self) -> dict[str, DataFrame]:
         """All tables at one moment: later merges don't show in them."""
         state = self.state()[1]
         return {name: self.table(name, state) for name in TABLES}
 
-    def _base(self) -> tuple[int, dict[str, list[str]]]:
+    def _base(self) -> tuple[int, dict[str, dict]]:
         """The state to start a merge from; one that is being written is waited for."""
         claimed, state = self.state()
         until = time.monotonic() + self.PATIENCE
@@ -105,13 +108,10 @@ class VintageStore:
             claimed, state = self.state()
         return claimed, state
 
-    def _commit(self, base: tuple[int, dict[str, list[str]]], name: str, rows: DataFrame, append: bool = False) -> None:
-        """Write the rows of a table, and make them (or them too) the table's in the next state."""
+    def _claim(self, base: tuple[int, dict[str, dict]], name: str, entry: Entry) -> tuple[int, dict[str, dict]]:
+        """Make ``entry`` the table's in the next state, which is returned."""
         claimed, state = base
-        part = uuid.uuid4().hex
-        columns = [c.split()[0] for c in TABLES[name][0].split(", ")]
-        rows.select(*columns).write.parquet(f"{self.root}/{name}/{part}")
-        new = {**state, name: [*state.get(name, []), part] if append else [part]}
+        new = {**state, name: entry.plain()}
         fs, path = self._path(f"states/{claimed + 1:08d}")
         try:
             stream = fs.create(path, False)
@@ -121,14 +121,55 @@ class VintageStore:
             raise
         stream.write(bytearray((json.dumps(new, sort_keys=True) + "\n").encode()))
         stream.close()
+        return claimed + 1, new
+
+    def _commit(self, base: tuple[int, dict[str, dict]], name: str, rows: DataFrame, order: list[str] | None = None) -> None:
+        """Write the rows of a batch, and make them the table's in the next state; compact a table of many batches."""
+        entry = self.log(name).append(Entry.of(base[1].get(name)), rows, base[0] + 1, order)
+        after = self._claim(base, name, entry)
+        if len(entry.deltas) > self.MOST_DELTAS:
+            self._claim(after, name, self.log(name).compact(entry))
+
+    def compact(self, name: str, least: int = 2) -> int:
+        """Write the buckets of a table anew that have ``least`` parts or more; returns how many parts that saves."""
+        base = self._base()
+        old = Entry.of(base[1].get(name))
+        new = self.log(name).compact(old, least)
+        if new != old:
+            self._claim(base, name, new)
+        return sum(old.parts().values()) - sum(new.parts().values())
+
+    def vacuum(self, keep: int = 16, older_than: float = 86_400.0) -> list[str]:
+        """Remove all states but the last ``keep``, and the parts that no state left names. Returns what went.
+
+        Parts younger than ``older_than`` seconds stay, as a writer may be about to name them. A reader that started from
+        a state that goes may fail; it has to start again.
+        """
+        numbers = self._numbers()
+        complete = [n for n in numbers if self._read(n) is not None]
+        kept = set(complete[-max(1, keep) :]) | {n for n in numbers if n > (complete or [0])[-1]}
+        named = [state for n in kept if (state := self._read(n)) is not None]
+        gone = []
+        for table in TABLES:
+            fs, path = self._path(table)
+            used = set().union(*[Entry.of(state.get(table)).folders() for state in named])
+            for part in fs.listStatus(path) if fs.exists(path) else []:
+                if part.getPath().getName() not in used and time.time() - part.getModificationTime() / 1000 >= older_than:
+                    gone.append(f"{table}/{part.getPath().getName()}")
+        for n in numbers:
+            if n not in kept:
+                gone.append(f"states/{n:08d}")
+        for name in gone:
+            fs, path = self._path(name)
+            fs.delete(path, True)
+        return gone
 
     def integrity_issues(self, state: dict[str, list[str]] | None = None) -> DataFrame:
         """(table, code, n): repeated or null keys, and spans that end before they start, of all tables of a state."""
         state = self.state()[1] if state is None else state
         found = []
-        for name, (_, keys) in TABLES.items():
-            rows = self.table(name, state)
-            odd = F.lit(False)
+        for name, layout in TABLES.items():
+            rows, keys, odd = self.table(name, state), layout.keys, F.lit(False)
             for k in keys:
                 odd |= F.col(k).isNull()
             found.append(rows.where(odd).select(F.lit(name).alias("table"), F.lit("null_key").alias("code")))
@@ -160,36 +201,31 @@ class VintageStore:
         """Merge spans by key; what is known keeps its first fetch and its source. Returns the rows given."""
         base = self._base()
         given = spans.count()
-        newest = pit.latest_version(spans, TABLES["observation_spans"][1], ["last_fetched_at"])
-        self._commit(base, "observation_spans", pit.upsert(self.table("observation_spans", base[1]), newest))
+        self._commit(base, "observation_spans", spans, ["last_fetched_at"])
         return given
 
     def insert_vintages(self, vintages: DataFrame) -> int:
         base = self._base()
         given = vintages.count()
-        known = self.table("vintage_dates", base[1])
-        self._commit(base, "vintage_dates", pit.insert_ignore(known, vintages, TABLES["vintage_dates"][1]))
+        self._commit(base, "vintage_dates", vintages, ["fetched_at"])
         return given
 
     def mark_backfilled(self, series_id: str, through: date) -> None:
         """Move a series' coverage on, never back; the time of the backfill always changes."""
-        base = self._base()
-        new = self.spark.createDataFrame([(series_id, through)], "series_id string, newer date").withColumn("now", F.current_timestamp())
-        both = self.table("series_coverage", base[1]).join(new, "series_id", "full_outer")
-        self._commit(
-            base, "series_coverage",
-            both.select("series_id", F.greatest("complete_through", "newer").alias("complete_through"), F.coalesce("now", "last_backfill_at").alias("last_backfill_at")),
-        )
+        new = self.spark.createDataFrame([(series_id, through)], "series_id string, complete_through date")
+        self.advance_coverage(new.withColumn("last_backfill_at", F.current_timestamp()))
+
+    def advance_coverage(self, marks: DataFrame) -> None:
+        """Move the coverage of many series on, each never back."""
+        self._commit(self._base(), "series_coverage", marks, ["last_backfill_at"])
 
     def record_run(self, **run) -> None:
-        """Append an audit row; ids count on. Only the new row is written, until there are many parts."""
+        """Append an audit row; ids count on."""
         base = self._base()
-        runs = self.table("fetch_runs", base[1])
-        last = runs.agg(F.max("id")).first()[0] or 0
-        names = [c.split()[0] for c in schemas.RUNS.split(", ")]
+        last = self.table("fetch_runs", base[1]).agg(F.max("id")).first()[0] or 0
+        names = TABLES["fetch_runs"].columns
         row = self.spark.createDataFrame([tuple({"id": last + 1, **run}.get(c) for c in names)], schemas.RUNS)
-        append = len(base[1].get("fetch_runs", [])) < self.MOST_PARTS
-        self._commit(base, "fetch_runs", row if append else runs.unionByName(row), append)
+        self._commit(base, "fetch_runs", row)
 
     def complete_through(self, series_id: str) -> date | None:
         found = self.table("series_coverage").where(F.col("series_id") == series_id).select("complete_through").first()
