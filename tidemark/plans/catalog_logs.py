@@ -7,8 +7,14 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions.values import month_of
+from tidemark.operators import revisions
+from tidemark.operators.pit import FOREVER
+from tidemark.plans import composite, revision_scores
 from tidemark.plans import fixtures as fx
-from tidemark.plans.catalog import query
+from tidemark.plans.catalog import query, release_dates
+from tidemark.plans.catalog_scores import _ALL, _composite
+from tidemark.plans.catalog_scores import _every_date as every_date
 from tidemark.session import shared_folder
 from tidemark.sources.store import VintageStore
 
@@ -88,3 +94,41 @@ def merge_log_watermarks(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
         store.advance_coverage(marks)
     return store.table("series_coverage").select("series_id", "complete_through", F.unix_seconds("last_backfill_at").alias("last_batch"))
+
+
+# --- scores from revisions -------------------------------------------------------------------------------------------
+
+#: Every ninth month is taken back at its last revision, so that the latest month goes back now and then.
+_REVISED = """, r AS (SELECT series_id, (year(observation_date) * 12 + month(observation_date) - 1)::INT AS month_idx, realtime_start, realtime_end, value
+  FROM f_spans), known AS (SELECT * FROM r WHERE NOT (month_idx % 9 = 0 AND realtime_end = DATE '9999-12-31'))"""
+_DATES = "dates AS (SELECT DISTINCT date_trunc('month', l_shipdate + INTERVAL 240 MONTH)::DATE AS assembly_date FROM lineitem)"
+
+
+def _known(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = fx.spans(spark, sf_dir).withColumn("month_idx", month_of(F.col("observation_date")))
+    return spans.where(~((F.col("month_idx") % 9 == 0) & (F.col("realtime_end") == F.lit(FOREVER).cast("date"))))
+
+
+@query(
+    fx.with_sql("f_spans")
+    + _REVISED
+    + f""", {_DATES}, held AS (SELECT assembly_date, series_id, month_idx, value FROM known JOIN dates ON assembly_date BETWEEN realtime_start AND realtime_end),
+z AS (SELECT *, count(value) OVER w AS n_refs, avg(value) OVER w AS mean, stddev_pop(value) OVER w AS sigma,
+             row_number() OVER (PARTITION BY assembly_date, series_id ORDER BY month_idx DESC) AS newest
+      FROM held WINDOW w AS (PARTITION BY assembly_date, series_id ORDER BY month_idx RANGE BETWEEN 120 PRECEDING AND 1 PRECEDING))
+SELECT assembly_date, series_id, month_idx, n_refs, CASE WHEN n_refs < 36 THEN 'insufficient_history:' || n_refs || '<36' END AS reason,
+       CASE WHEN n_refs >= 36 THEN round_even(greatest(least((value - mean) / sigma, 3.0), -3.0), 6) END AS z
+FROM z WHERE newest = 1"""
+)
+def trailing_z_by_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The score of each series' latest month at every date of a release, from signed changes alone."""
+    found = revisions.trailing_scores(_known(spark, sf_dir), release_dates(spark, sf_dir), ["series_id"], places=2)
+    return found.select("assembly_date", "series_id", "month_idx", "n_refs", "reason", F.bround("z", 6).alias("z"))
+
+
+@query(_composite(_ALL) + " SELECT assembly_date, unit, month_idx, n_refs, round_even(z, 5) AS z FROM scored")
+def composite_scores_by_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every unit's score at every weekly assembly, from vintages to z, without copying histories to dates."""
+    spans = composite.demo_spans(spark, sf_dir)
+    found = revision_scores.unit_scores(spans, every_date(spark, spans))
+    return found.select("assembly_date", "unit", "month_idx", "n_refs", F.bround("z", 5).alias("z"))
