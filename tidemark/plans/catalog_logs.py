@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.values import month_of
-from tidemark.operators import revisions
+from tidemark.operators import ranks, revisions
 from tidemark.operators.pit import FOREVER
 from tidemark.plans import composite, revision_scores
 from tidemark.plans import fixtures as fx
@@ -132,3 +132,19 @@ def composite_scores_by_revisions(spark: SparkSession, sf_dir: str) -> DataFrame
     spans = composite.demo_spans(spark, sf_dir)
     found = revision_scores.unit_scores(spans, every_date(spark, spans))
     return found.select("assembly_date", "unit", "month_idx", "n_refs", F.bround("z", 5).alias("z"))
+
+
+# --- order statistics of long panels ---------------------------------------------------------------------------------
+
+
+@query(
+    """WITH p AS (SELECT l_returnflag, l_orderkey, l_linenumber, l_extendedprice, count(*) OVER w AS reference_count,
+  quantile_cont(l_extendedprice::DOUBLE, 0.7) OVER w AS p70, quantile_cont(l_extendedprice::DOUBLE, 0.85) OVER w AS p85, quantile_cont(l_extendedprice::DOUBLE, 0.95) OVER w AS p95
+  FROM lineitem WINDOW w AS (PARTITION BY l_returnflag ORDER BY l_orderkey, l_linenumber, l_extendedprice ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT l_returnflag, l_orderkey, l_linenumber, l_extendedprice, reference_count, round_even(p70, 4) AS p70, round_even(p85, 4) AS p85, round_even(p95, 4) AS p95 FROM p"""
+)
+def expanding_percentile_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Percentiles of all earlier prices of a return flag, for every line: three panels of a third of the table."""
+    rows = fx.read(spark, sf_dir, "lineitem").select("l_returnflag", "l_orderkey", "l_linenumber", "l_extendedprice")
+    found = ranks.expanding_percentiles(rows, ["l_returnflag"], ["l_orderkey", "l_linenumber", "l_extendedprice"], "l_extendedprice")
+    return found.select("l_returnflag", "l_orderkey", "l_linenumber", "l_extendedprice", "reference_count", *[F.bround(f"p{q}", 4).alias(f"p{q}") for q in (70, 85, 95)])
