@@ -1,6 +1,7 @@
 """Document operators against brute force, on small made-up tables with the awkward cases."""
 
 import hashlib
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -521,3 +522,26 @@ def test_digest_of_queries(spark, sf):
     text = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id = 0").first()["text"]
     if not lines[0]["n_dropped"]:
         assert lines[0]["kept_sha256"] == hashlib.sha256(text.encode()).hexdigest()
+
+
+@pytest.mark.parametrize("edge_rows", [30, 100_000])
+def test_components_of_many_and_of_one_partition(spark, edge_rows):
+    """Random graphs, a path and a star with a large-named hub, against a plain union-find."""
+    from tidemark.llm import jaccard
+
+    rng = random.Random(edge_rows)
+    edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(120)] + [(300 + i, 301 + i) for i in range(60)] + [(999, 400 + i) for i in range(60)]
+    parent = {x: x for e in edges for x in e}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        a, b = root(a), root(b)
+        parent[max(a, b)] = min(a, b)
+    want = {x: root(x) for e in edges if e[0] != e[1] for x in e}
+    found = jaccard.components(spark.createDataFrame(edges, "a long, b long").repartition(4), edge_rows).collect()
+    assert len(found) == len(want) and {r["node"]: r["root"] for r in found} == want
+    assert jaccard.components(spark.createDataFrame([], "a long, b long"), edge_rows).collect() == []
