@@ -7,7 +7,7 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import bands, baselines, compare, compose, outcomes, pit, transforms
+from tidemark.operators import autoregression, bands, baselines, compare, compose, outcomes, pit, transforms
 from tidemark.plans import checker
 
 MONTHS = "key string, month_idx int, value double"
@@ -168,24 +168,55 @@ def test_baselines(spark):
     assert naive == [12.0, 13.0, 14.0, 15.0, 16.0, 17.0]
 
 
-def test_autoregression_recovers_its_process():
+def test_autoregression_recovers_its_process(spark):
+    """Every origin's forecast from running sums, against least squares over its own history."""
+    import numpy as np
+
     rng = random.Random(1)
     x = [0.0, 1.0]
     for _ in range(120):
         x.append(0.5 + 0.6 * x[-1] - 0.3 * x[-2] + rng.gauss(0, 0.2))
-    path, reason = baselines.vector_forecast([[v] for v in x], 2, 3, 36)
-    import numpy as np
-
-    design = np.array([[1.0, x[t - 1], x[t - 2]] for t in range(2, len(x))])
-    beta = np.linalg.lstsq(design, np.array(x[2:]), rcond=None)[0]
-    tail = list(x)
-    for _ in range(3):
-        tail.append(float(beta @ [1.0, tail[-1], tail[-2]]))
-    assert reason is None and [v[0] for v in path] == pytest.approx(tail[-3:], abs=1e-9)
-    assert baselines.vector_forecast([[0.0]] * 60, 12, 6, 36) == (None, "singular_fit")
-    assert baselines.vector_forecast([[1.0]] * 10, 1, 6, 36) == (None, "insufficient_history")
-    assert baselines.vector_forecast([[1.0], [1.0, 2.0]], 1, 6, 1) == (None, "inconsistent_vector_width")
-    assert baselines.vector_forecast([[math.nan]] * 60, 1, 6, 36) == (None, "non_finite_history")
+    rows = spark.createDataFrame([("k", i, [v]) for i, v in enumerate(x)] + [("zero", i, [0.0]) for i in range(60)], "key string, month_idx int, v array<double>")
+    found = {(r["key"], r["month_idx"]): r for r in autoregression.forecasts(rows, ["key"], "v", 1, 2, 3, 36).collect()}
+    assert len(found) == len(x) + 60
+    for t in range(len(x)):
+        r = found["k", t]
+        if t + 1 < 36:
+            assert (r["forecast"], r["reason"]) == (None, "insufficient_history")
+            continue
+        design = np.array([[1.0, x[i - 1], x[i - 2]] for i in range(2, t + 1)])
+        beta, tail = np.linalg.lstsq(design, np.array(x[2 : t + 1]), rcond=None)[0], x[: t + 1]
+        for _ in range(3):
+            tail.append(float(beta @ [1.0, tail[-1], tail[-2]]))
+        assert r["reason"] is None and r["forecast"] == pytest.approx(tail[-3:], abs=1e-9)
+    assert {found["zero", t]["reason"] for t in range(36, 60)} == {"singular_fit"}
+
+
+def test_histories_that_cannot_be_fitted(spark):
+    rng = random.Random(2)
+    vector = lambda n=2: [rng.uniform(-1, 1) for _ in range(n)]
+    rows = [("gap", i, None if i == 20 else vector()) for i in range(60)]
+    rows += [("odd", i, vector(3 if i == 40 else 2)) for i in range(60)] + [("nan", i, [*vector(1), math.nan if i == 40 else rng.random()]) for i in range(60)]
+    given = spark.createDataFrame(rows, "key string, month_idx int, v array<double>")
+    found = {(r["key"], r["month_idx"]): r["reason"] for r in autoregression.forecasts(given, ["key"], "v", 2, 1, 6, 10).collect()}
+    assert found["gap", 19] is None and {found["gap", t] for t in range(20, 30)} == {"insufficient_history"} and found["gap", 30] is None
+    assert found["odd", 39] is None and {found["odd", t] for t in range(40, 60)} == {"inconsistent_vector_width"}
+    assert found["nan", 39] is None and {found["nan", t] for t in range(40, 60)} == {"non_finite_history"}
+    assert autoregression.forecasts(given.limit(0), ["key"], "v", 2, 1, 6, 10).collect() == []
+
+
+def test_trials_are_replayed_from_snapshots(spark):
+    """The same trials whatever the distance of snapshots, and as one stream over all of them draws them."""
+    contract = baselines.Contract(trials=60)
+    lengths = spark.createDataFrame([(80,), (155,), (80,), (20,)], "length int")
+    tables = [sorted(map(tuple, baselines.permutation_tables(lengths, contract, every).collect()), key=str) for every in (7, 250)]
+    assert tables[0] == tables[1]
+    for n in (80, 155):
+        stream = random.Random(contract.seed)
+        for trial in range(contract.trials):
+            order = baselines.block_permutation(n, contract.block, contract.embargo, stream)
+            assert [r[3] for r in sorted(x for x in tables[0] if x[:2] == (n, trial))] == list(order)
+    assert [r for r in tables[0] if r[0] == 20] == sorted([(20, t, None, None) for t in range(60)], key=str)  # an embargo that none can meet
 
 
 def test_permutations_move_everything_far():

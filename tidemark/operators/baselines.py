@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-import math
+import array
 import random
-from collections.abc import Callable
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-PIVOT = 1e-12
-
+from tidemark.session import cut
 
 @dataclass(frozen=True)
 class Contract:
@@ -64,69 +63,6 @@ def path_signal(path: Column, threshold: Column, dwell: int = 2) -> Column:
     return F.when(threshold.isNotNull() & (F.size(path) >= dwell), run)
 
 
-def solve(matrix: list[list[float]], right: list[float]) -> list[float] | None:
-    """Gauss-Jordan with partial pivoting; None if a pivot is tiny against the matrix: smooth data are singular."""
-    n = len(right)
-    rows = [[*map(float, r), float(b)] for r, b in zip(matrix, right)]
-    limit = PIVOT * max(1.0, *(abs(v) for r in matrix for v in r))
-    for c in range(n):
-        best = max(range(c, n), key=lambda r: abs(rows[r][c]))
-        if abs(rows[best][c]) <= limit:
-            return None
-        rows[c], rows[best] = rows[best], rows[c]
-        lead = rows[c][c]
-        rows[c] = [v / lead for v in rows[c]]
-        for r in range(n):
-            if r != c and rows[r][c]:
-                by = rows[r][c]
-                rows[r] = [v - by * w for v, w in zip(rows[r], rows[c])]
-    found = [r[-1] for r in rows]
-    return found if all(map(math.isfinite, found)) else None
-
-
-def regress(designs: list[list[float]], targets: list[float]) -> list[float] | None:
-    """Least squares by the normal equations."""
-    width = len(designs[0])
-    gram = [[sum(d[i] * d[j] for d in designs) for j in range(width)] for i in range(width)]
-    return solve(gram, [sum(d[i] * t for d, t in zip(designs, targets)) for i in range(width)])
-
-
-def vector_forecast(
-    history: list[list[float]], lags: int, horizon: int, minimum: int
-) -> tuple[list[list[float]] | None, str | None]:
-    """A vector autoregression with intercept, equation by equation, forecast recursively; or a reason why not.
-
-    With one component it is the scalar autoregression.
-    """
-    if any(len(v) != len(history[0]) for v in history):
-        return None, "inconsistent_vector_width"
-    if any(not math.isfinite(x) for v in history for x in v):
-        return None, "non_finite_history"
-    width = len(history[0]) if history else 1
-    if len(history) < max(minimum, lags * width + 2):
-        return None, "insufficient_history"
-
-    def design(rows: list[list[float]], t: int) -> list[float]:
-        """What a month is told from: those before it, the newest first."""
-        return [1.0, *(x for k in range(1, lags + 1) for x in rows[t - k])]
-
-    designs = [design(history, t) for t in range(lags, len(history))]
-    equations = []
-    for c in range(width):
-        found = regress(designs, [history[t][c] for t in range(lags, len(history))])
-        if found is None:
-            return None, "singular_fit"
-        equations.append(found)
-    path = [list(v) for v in history]
-    for _ in range(horizon):
-        d = design(path, len(path))
-        path.append([sum(b * x for b, x in zip(e, d)) for e in equations])
-    ahead = path[len(history) :]
-    if any(not math.isfinite(x) for v in ahead for x in v):
-        return None, "non_finite_forecast"
-    return ahead, None
-
-
 def origins(rows: DataFrame, keys: list[str], value: str, horizon: int) -> DataFrame:
     """For each month: the unbroken history that ends with it, and the months after it, as arrays.
 
@@ -149,32 +85,6 @@ def origins(rows: DataFrame, keys: list[str], value: str, horizon: int) -> DataF
     return rows.withColumn("actual_reason", reason).drop("island", "ahead")
 
 
-def forecast_origins(rows: DataFrame, keys: list[str], lags: int, horizon: int, minimum: int, vector: bool = False) -> DataFrame:
-    """Add an autoregressive ``forecast`` (the mean path, for vectors) and ``reason`` to rows with a ``history`` array.
-
-    Rows are independent: each one's history travels in its own row, so this is a map over batches without a shuffle.
-    """
-    kind = rows.select(*keys).schema.fields
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kind) + ", forecast array<double>, reason string"
-
-    def run(batches):
-        for batch in batches:
-            out = []
-            for h in batch["history"]:
-                if h is None:
-                    out.append((None, "insufficient_history"))
-                    continue
-                series = [[float(x) for x in v] for v in h] if vector else [[float(x)] for x in h]
-                path, reason = vector_forecast(series, lags, horizon, minimum) if series else (None, "insufficient_history")
-                out.append(([math.fsum(v) / len(v) for v in path] if path else None, reason))
-            frame = batch[keys].copy()
-            frame["forecast"] = pd.Series([o[0] for o in out], index=frame.index, dtype=object)
-            frame["reason"] = pd.Series([o[1] for o in out], index=frame.index, dtype=object)
-            yield frame
-
-    return rows.select(*keys, "history").mapInPandas(run, schema)
-
-
 def block_permutation(
     length: int, block: int, embargo: int, rng: random.Random, attempts: int = 20_000
 ) -> tuple[int, ...]:
@@ -195,12 +105,62 @@ def block_permutation(
     return ()
 
 
-def permutation_table(
-    spark: SparkSession, length: int, contract: Contract, rng: Callable[[int], random.Random] = random.Random
-) -> DataFrame:
-    """(trial, target, source) of every trial: one seeded stream over all of them, so trials reproduce exactly."""
-    stream, rows = rng(contract.seed), []
-    for trial in range(contract.trials):
-        rows.append((trial, list(block_permutation(length, contract.block, contract.embargo, stream))))
-    frame = spark.createDataFrame(rows, "trial int, sources array<int>")
-    return frame.select("trial", F.posexplode_outer("sources").alias("target", "source"))
+#: Trials between two snapshots of the random stream: what one task replays.
+REPLAYED = 250
+
+
+def _state(stream: random.Random) -> bytes:
+    """The generator's 624 words and its place among them, 2,500 bytes."""
+    return array.array("I", stream.getstate()[1]).tobytes()
+
+
+def _restored(state: bytes) -> random.Random:
+    stream = random.Random()
+    stream.setstate((3, tuple(array.array("I", state)), None))
+    return stream
+
+
+def stream_snapshots(lengths: DataFrame, contract: Contract, every: int = REPLAYED) -> DataFrame:
+    """(length, first_trial, state): the random stream of each length before every ``every``-th trial.
+
+    How much a trial draws is only known when it has been drawn, so one task follows the stream of a length. It keeps no
+    trial; different lengths have streams of their own, in tasks of their own.
+    """
+
+    def follow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for length in batch["length"].tolist():
+                stream, found = random.Random(contract.seed), []
+                for trial in range(contract.trials):
+                    if trial % every == 0:
+                        found.append((length, trial, _state(stream)))
+                    block_permutation(length, contract.block, contract.embargo, stream)
+                yield pd.DataFrame(found, columns=["length", "first_trial", "state"])
+
+    return lengths.select(F.col("length").cast("int")).distinct().repartition("length").mapInPandas(follow, "length int, first_trial int, state binary")
+
+
+def permutation_tables(lengths: DataFrame, contract: Contract, every: int = REPLAYED) -> DataFrame:
+    """(length, trial, target, source) of every trial for each length of ``lengths``.
+
+    Trials come from one seeded stream a length, so they reproduce exactly. The stream is followed once for its snapshots;
+    these are kept by a checkpoint, and tasks replay the trials after each of them. A trial without a permutation has one
+    row, with nulls.
+    """
+
+    def replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for length, first, state in batch.itertuples(index=False):
+                stream, found = _restored(state), []
+                for trial in range(first, min(first + every, contract.trials)):
+                    found.append((length, trial, list(block_permutation(length, contract.block, contract.embargo, stream))))
+                yield pd.DataFrame(found, columns=["length", "trial", "sources"])
+
+    snapshots = cut(stream_snapshots(lengths, contract, every))
+    drawn = snapshots.repartition("length", "first_trial").mapInPandas(replay, "length int, trial int, sources array<int>")
+    return drawn.select("length", "trial", F.posexplode_outer("sources").alias("target", "source"))
+
+
+def permutation_table(spark: SparkSession, length: int, contract: Contract) -> DataFrame:
+    """(trial, target, source) of every trial over one sequence of ``length`` months."""
+    return permutation_tables(spark.createDataFrame([(length,)], "length int"), contract).drop("length")

@@ -14,11 +14,11 @@ from tidemark.plans import fixtures as fx
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str | Callable[[], str]] = {}
 
 
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    """Register a query under its name, with its SQL if there is any."""
+def query(sql: str | Callable[[], str] | None = None) -> Callable[[Query], Query]:
+    """Register a query under its name, with its SQL, or a function that writes it, if there is any."""
 
     def add(function: Query) -> Query:
         QUERIES[function.__name__] = function

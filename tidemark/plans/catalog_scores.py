@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 from tidemark import calendar
 from tidemark.functions import values as V
 from tidemark.functions.canonical import canonical_bytes
-from tidemark.operators import bands, baselines, compare, compose, outcomes, pit, transforms
+from tidemark.operators import autoregression, bands, baselines, compare, compose, outcomes, pit, transforms
 from tidemark.plans import checker, composite
 from tidemark.plans import fixtures as fx
 from tidemark.plans.catalog import OPEN_DAYS, query
 from tidemark.registry import REGISTRY
+from tidemark.session import cut
 from tidemark.sources import archive, frozen, store
 
 CONTRACT = baselines.Contract()
@@ -370,27 +371,135 @@ def path_signal_dwell(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _origins(spark, sf_dir).select("series", "month_idx", signal.alias("signal"))
 
 
-@query()
+def _equations(design: list[str], values: list[str], horizon: int) -> str:
+    """CTEs on ``o`` (k, month_idx, n, and the columns named): the forecasts of each row's history, as ``f`` with step 1 to ``horizon``.
+
+    Running sums of products make the augmented matrix; Gauss-Jordan with partial pivoting takes a column a step.
+    """
+    n, m = len(design), len(design) + len(values)
+    lags = len(design) - 1
+    return f""", x AS (SELECT k, month_idx, n, [{", ".join(design)}] AS x, [{", ".join([*design, *values])}] AS z FROM o
+), long AS (
+  SELECT k, month_idx, i, j, sum(CASE WHEN x[{n}] IS NOT NULL THEN x[i] * z[j] END) OVER (PARTITION BY k, i, j ORDER BY month_idx) AS s
+  FROM x, (SELECT unnest(range(1, {n + 1})) AS i), (SELECT unnest(range(1, {m + 1})) AS j)
+), wide AS (SELECT k, month_idx, i, list(s ORDER BY j) AS r FROM long GROUP BY 1, 2, 3
+), start AS (SELECT k, month_idx, list(r ORDER BY i) AS a FROM wide JOIN (SELECT k, month_idx FROM o WHERE n >= {max(CONTRACT.minimum, n + 1)}) USING (k, month_idx) GROUP BY 1, 2
+), steps AS (
+  SELECT k, month_idx, 1 AS c, a, 1e-12 * greatest(1.0, list_max(list_transform(a, lambda r: list_max(list_transform(r[1:{n}], lambda v: abs(v)))))) AS tiny, true AS fine FROM start
+  UNION ALL
+  SELECT k, month_idx, c + 1, list_transform(range(1, {n + 1}), lambda r: CASE WHEN r = c THEN lead ELSE
+           list_transform(range(1, {m + 1}), lambda q: a[CASE WHEN r = best THEN c ELSE r END][q] - a[CASE WHEN r = best THEN c ELSE r END][c] * lead[q]) END), tiny, fine AND large
+  FROM (SELECT *, list_transform(a[best], lambda v: v / a[best][c]) AS lead, abs(a[best][c]) > tiny AS large
+        FROM (SELECT *, (c - 1 + list_position(list_transform(a[c:{n}], lambda r: abs(r[c])), list_max(list_transform(a[c:{n}], lambda r: abs(r[c])))))::INT AS best
+              FROM steps WHERE c <= {n}))
+), solved AS (
+  SELECT k, month_idx, list_transform(range({n + 1}, {m + 1}), lambda q: list_transform(a, lambda r: r[q])) AS e, state
+  FROM steps JOIN o USING (k, month_idx) WHERE c = {n + 1} AND fine
+), path AS (
+  SELECT k, month_idx, 0 AS step, e, state, NULL::DOUBLE AS mean FROM solved
+  UNION ALL
+  SELECT k, month_idx, step + 1, e, list_concat(now, state)[1:{lags}], list_avg(now)
+  FROM (SELECT *, list_transform(e, lambda b: b[1] + list_dot_product(b[2:{n}], state)) AS now FROM path WHERE step < {horizon})
+), f AS (SELECT k, month_idx, list(mean ORDER BY step) AS f FROM path WHERE step > 0 GROUP BY 1, 2)"""
+
+
+def _steps(unit: float = 1.0) -> list:
+    return [F.bround(F.get("forecast", F.lit(n)) / unit, 4).alias(f"h{n + 1}") for n in range(CONTRACT.horizon)]
+
+
+_H = ", ".join(f"round_even(f[{n}], 4) AS h{n}" for n in range(1, CONTRACT.horizon + 1))
+_REASON = f"CASE WHEN f IS NULL AND n < {CONTRACT.minimum} THEN 'insufficient_history' WHEN f IS NULL THEN 'singular_fit' END AS reason"
+_SCALAR_LAGS = [f"lag(value, {k}) OVER w" for k in range(1, CONTRACT.ar_lags + 1)]
+
+
+@query(
+    fx.with_sql("f_monthly").replace("WITH ", "WITH RECURSIVE ", 1)
+    + f""", o AS (
+  SELECT series AS k, month_idx, row_number() OVER w AS n, value, {", ".join(f"{lag} AS l{k}" for k, lag in enumerate(_SCALAR_LAGS, 1))}, [value, {", ".join(_SCALAR_LAGS[:-1])}] AS state
+  FROM f_monthly WINDOW w AS (PARTITION BY series ORDER BY month_idx))"""
+    + _equations(["1.0::DOUBLE", *[f"l{k}" for k in range(1, CONTRACT.ar_lags + 1)]], ["value"], CONTRACT.horizon)
+    + f" SELECT k AS series, month_idx, {_H.replace('round_even(f[', 'round_even(1e-6 * f[')}, {_REASON} FROM o LEFT JOIN f USING (k, month_idx)"
+)
 def ar_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = baselines.origins(fx.monthly(spark, sf_dir), ["series"], "value", CONTRACT.horizon)
-    found = baselines.forecast_origins(rows, ["series", "month_idx"], CONTRACT.ar_lags, CONTRACT.horizon, CONTRACT.minimum)
-    return found.withColumn("forecast", F.transform("forecast", lambda x: F.bround(x, 4)))
+    """Scalar autoregressions of each series at every month, in millions."""
+    rows = fx.monthly(spark, sf_dir).withColumn("vector", F.array("value"))
+    found = autoregression.forecasts(rows, ["series"], "vector", 1, CONTRACT.ar_lags, CONTRACT.horizon, CONTRACT.minimum)
+    return found.select("series", "month_idx", *_steps(1e6), "reason")
 
 
-@query()
+@query(
+    fx.with_sql("f_monthly").replace("WITH ", "WITH RECURSIVE ", 1)
+    + f""", v AS (SELECT month_idx, list(value / 1e6 ORDER BY series) AS v FROM f_monthly GROUP BY 1 HAVING count(*) = 5
+), o AS (SELECT 'all' AS k, month_idx, row_number() OVER w AS n, v, v AS state, lag(v) OVER w AS p FROM v WINDOW w AS (ORDER BY month_idx))"""
+    + _equations(["1.0::DOUBLE", *[f"p[{c}]" for c in range(1, 6)]], [f"v[{c}]" for c in range(1, 6)], CONTRACT.horizon)
+    + f" SELECT k AS panel, month_idx, {_H}, {_REASON} FROM o LEFT JOIN f USING (k, month_idx)"
+)
 def var_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wide = fx.monthly(spark, sf_dir).groupBy("month_idx").agg(
-        F.sort_array(F.collect_list(F.struct("series", "value"))).alias("v")
-    )
-    wide = wide.select(
-        F.lit("all").alias("panel"), "month_idx", F.when(F.size("v") == 5, F.transform("v", lambda x: x["value"] / 1e6)).alias("vector")
+    """A vector autoregression of all five series at every month that all of them have."""
+    wide = fx.monthly(spark, sf_dir).groupBy("month_idx").agg(F.sort_array(F.collect_list(F.struct("series", "value"))).alias("v"))
+    wide = wide.where(F.size("v") == 5).select(F.lit("all").alias("panel"), "month_idx", F.transform("v", lambda x: x["value"] / 1e6).alias("vector"))
+    found = autoregression.forecasts(wide, ["panel"], "vector", 5, CONTRACT.var_lags, CONTRACT.horizon, CONTRACT.minimum)
+    return found.select("panel", "month_idx", *_steps(), "reason")
+
+
+def _drawn(lengths: tuple[int, ...]) -> str:
+    """A table (length, text) of all trials, ten characters each: where the turn starts, then the blocks in their order.
+
+    It is drawn here by the rule of the contract, trial after trial, and not by the code that it is held against.
+    """
+    import random
+
+    rows = []
+    for n in lengths:
+        stream, text = random.Random(CONTRACT.seed), []
+        for _ in range(CONTRACT.trials):
+            while True:
+                turn, blocks = stream.randrange(n), list(range(-(-n // CONTRACT.block)))
+                stream.shuffle(blocks)
+                starts = [sum(min(CONTRACT.block, n - CONTRACT.block * b) for b in blocks[:k]) for k in range(len(blocks))]
+                moves = [(turn + CONTRACT.block * b - at) % n for b, at in zip(blocks, starts)]
+                if all(min(m, n - m) > CONTRACT.embargo for m in moves):
+                    break
+            text.append(f"{turn:03d}" + "".join(map(str, blocks)))
+        rows.append(f"({n}, '{''.join(text)}')")
+    return f"(VALUES {', '.join(rows)}) drawn(length, text)"
+
+
+#: The months of the tables' orders: all series have one of these numbers of months.
+_LENGTHS = (79, 80)
+
+
+@functools.cache
+def permutation_sql() -> str:
+    """SQL of ``permutation_null``; a function, as its table of trials takes some seconds to draw."""
+    block = CONTRACT.block
+    return (
+        _GAPS
+        + f""", points AS (
+  SELECT series, signal, outcome_event, row_number() OVER (PARTITION BY series ORDER BY month_idx) - 1 AS idx, (count(*) OVER (PARTITION BY series))::INT AS length FROM signals
+), trials AS (SELECT length, t AS trial, substr(text, 10 * t + 1, 10) AS drawn FROM {_drawn(_LENGTHS)}, range({CONTRACT.trials}) r(t)
+), blocks AS (
+  SELECT length, trial, substr(drawn, 1, 3)::INT AS turn, k, {block} * substr(drawn, 4 + k::INT, 1)::INT AS start FROM trials, range(7) q(k)
+), placed AS (
+  SELECT *, least({block}, length - start) AS n, coalesce(sum(least({block}, length - start)) OVER (PARTITION BY length, trial ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at_
+  FROM blocks
+), moved AS (
+  SELECT length, trial, (at_ + i)::BIGINT AS target, ((turn + start + i) % length)::BIGINT AS source FROM placed, range({block}) s(i) WHERE i < n
+), joined AS (
+  SELECT a.series, trial, target, a.signal, b.outcome_event FROM moved m JOIN points a ON a.length = m.length AND a.idx = m.source
+  JOIN points b ON b.series = a.series AND b.idx = m.target
+), onsets AS (
+  SELECT series, trial, outcome_event, coalesce(signal, false) AND NOT coalesce(lag(signal) OVER (PARTITION BY series, trial ORDER BY target), false) AS onset FROM joined
+), counts AS (
+  SELECT series, trial, count(*) FILTER (onset) AS episodes, count(*) FILTER (onset AND outcome_event IS NOT NULL) AS scored_episodes, count(*) FILTER (onset AND outcome_event) AS hits
+  FROM onsets GROUP BY 1, 2
+)
+SELECT series, trial::INT AS trial, episodes, scored_episodes, hits, hits / nullif(scored_episodes, 0) AS lead_rate,
+       CASE WHEN scored_episodes = 0 THEN 'no_signal_episode' ELSE 'scored' END AS status FROM counts"""
     )
-    rows = baselines.origins(wide, ["panel"], "vector", CONTRACT.horizon)
-    found = baselines.forecast_origins(rows, ["panel", "month_idx"], CONTRACT.var_lags, CONTRACT.horizon, CONTRACT.minimum, vector=True)
-    return found.withColumn("forecast", F.transform("forecast", lambda x: F.bround(x, 6)))
 
 
-@query()
+@query(permutation_sql)
 def permutation_null(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lead rates of each series' signals under joint block permutations: the null of no lead.
 
@@ -399,12 +508,9 @@ def permutation_null(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = _scores(spark, sf_dir).select("series", "month_idx", "signal", "outcome_event")
     order, whole = Window.partitionBy("series").orderBy("month_idx"), Window.partitionBy("series")
     points = points.withColumns({"idx": F.row_number().over(order) - 1, "length": F.count(F.lit(1)).over(whole).cast("int")})
-    lengths = points.select("series", "length").distinct().collect()  # one row per series
-    tables = [
-        baselines.permutation_table(spark, n, CONTRACT).withColumn("length", F.lit(n)) for n in sorted({r["length"] for r in lengths})
-    ]
-    table = functools.reduce(DataFrame.unionByName, tables)
-    table = table.join(F.broadcast(spark.createDataFrame(lengths, "series string, length int")), "length").drop("length")
+    points = cut(points)
+    lengths = points.select("series", "length").distinct()
+    table = baselines.permutation_tables(lengths, CONTRACT).join(F.broadcast(lengths), "length").drop("length")  # a row for each series
     source = points.select("series", F.col("idx").alias("source"), "signal")
     target = points.select("series", F.col("idx").alias("target"), "month_idx", "outcome_event")
     moved = table.where("target is not null").join(F.broadcast(source), ["series", "source"]).join(F.broadcast(target), ["series", "target"])

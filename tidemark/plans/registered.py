@@ -13,4 +13,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLES)
+    return {name: sql if isinstance(sql, str) else sql() for name, sql in ORACLES.items()}

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tidemark import calendar
 from tidemark.functions.canonical import canonical_bytes, digest
 from tidemark.functions.values import month_text, positive
-from tidemark.operators import baselines, outcomes
+from tidemark.operators import autoregression, baselines, outcomes
 from tidemark.operators.baselines import Contract
 from tidemark.plans import composite
 from tidemark.sources import files, frozen
@@ -74,10 +74,9 @@ def baseline_origins(points_: DataFrame, contract: Contract) -> DataFrame:
     long_enough = F.size("history") >= contract.minimum
     naive = scalar.withColumn("forecast", F.when(long_enough, baselines.seasonal_naive(F.col("history"), contract.horizon, contract.season)))
     naive = naive.select(*keys, "forecast", F.when(F.col("forecast").isNull(), "insufficient_history").alias("reason"))
-    ar = baselines.forecast_origins(scalar, keys, contract.ar_lags, contract.horizon, contract.minimum)
-    var = baselines.forecast_origins(
-        baselines.origins(rows, ["panel"], "vector", contract.horizon), keys, contract.var_lags, contract.horizon, contract.minimum, vector=True
-    )
+    scalars = rows.withColumn("scalar", F.when(F.col("tier_a").isNotNull(), F.array("tier_a")))
+    ar = autoregression.forecasts(scalars, ["panel"], "scalar", 1, contract.ar_lags, contract.horizon, contract.minimum)
+    var = autoregression.forecasts(rows, ["panel"], "vector", len(order), contract.var_lags, contract.horizon, contract.minimum)
     every = None
     for model, found in (("seasonal_naive", naive), ("ar", ar), ("var", var)):
         named = found.withColumn("model", F.lit(model))
