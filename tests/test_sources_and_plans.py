@@ -13,7 +13,6 @@ from tidemark.functions.canonical import canonical_bytes
 from tidemark.operators.baselines import Contract
 from tidemark.plans import checker, cleanroom, composite, fixtures, report, validation
 from tidemark.sources import archive, files, frozen, http, store
-from tidemark.streaming import dwell
 
 HEADER = "series_id,observation_date,value_text,release_date,release_stage,source_file,retrieved_at"
 GOOD = [
@@ -439,29 +438,6 @@ def test_command_line(tmp_path, capsys):
     assert main(made) == 0 and main(made) == 2
 
 
-def test_streamed_dwell_equals_batch(spark, tmp_path):
-    from tidemark.operators import bands
-
-    raws = ["Normal", "Normal", "Watch", None, "Watch", "Watch", "High", "High", "Normal"]
-    kind = "panel string, month_idx int, raw_band string"
-    rows = [(p, i, r) for p in ("a", "b") for i, r in enumerate(raws)]
-    for n, part in enumerate((rows[:5] + rows[9:12], rows[5:9] + rows[12:], rows[2:4])):
-        spark.createDataFrame(part, kind).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-        stream = spark.readStream.schema(kind).parquet(str(tmp_path / "in"))
-        query = (
-            dwell.dwell_stream(stream).writeStream.foreachBatch(dwell.month_sink(str(tmp_path / "out")))
-            .option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
-        )
-        assert query.awaitTermination(120)
-    got = spark.read.parquet(str(tmp_path / "out"))
-    want = bands.dwell(spark.createDataFrame(rows, kind), ["panel"])
-    # The same months in another batch, as after a restart from the source, are kept once.
-    dwell.month_sink(str(tmp_path / "out"))(got.select(*dwell.OUTPUT.replace(",", "").split()[::2]), 99)
-    got = spark.read.parquet(str(tmp_path / "out"))
-    columns = ["panel", "month_idx", "raw_band", "confirmed_band", "candidate_band", "candidate_count", "published_band"]
-    assert sorted(map(str, got.select(*columns).collect())) == sorted(map(str, want.select(*columns).collect()))
-
-
 def test_entry_and_queries(spark, sf):
     import __spark_entry__ as entry
 

@@ -4,19 +4,21 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.values import month_of
+from tidemark.functions.values import month_of, month_start
 from tidemark.operators import ranks, revisions
 from tidemark.operators.pit import FOREVER
 from tidemark.plans import composite, revision_scores
 from tidemark.plans import fixtures as fx
 from tidemark.plans.catalog import query, release_dates
-from tidemark.plans.catalog_scores import _ALL, _composite
+from tidemark.plans.catalog_scores import _ALL, _FROZEN, _composite
+from tidemark.plans.catalog_scores import _banded as banded
 from tidemark.plans.catalog_scores import _every_date as every_date
-from tidemark.session import shared_folder
+from tidemark.session import cut, shared_folder
 from tidemark.sources.store import VintageStore
+from tidemark.streaming import dwell, held, sink
 
 #: Batches of the merge-log queries: the lines of an order by their number.
 BATCHES = range(1, 8)
@@ -148,3 +150,43 @@ def expanding_percentile_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = fx.read(spark, sf_dir, "lineitem").select("l_returnflag", "l_orderkey", "l_linenumber", "l_extendedprice")
     found = ranks.expanding_percentiles(rows, ["l_returnflag"], ["l_orderkey", "l_linenumber", "l_extendedprice"], "l_extendedprice")
     return found.select("l_returnflag", "l_orderkey", "l_linenumber", "l_extendedprice", "reference_count", *[F.bround(f"p{q}", 4).alias(f"p{q}") for q in (70, 85, 95)])
+
+
+# --- streams ---------------------------------------------------------------------------------------------------------
+
+
+@query(
+    _FROZEN
+    + """ SELECT series, month_idx, raw_band, confirmed_band,
+       CASE WHEN raw_band IS NOT NULL AND raw_band IS DISTINCT FROM confirmed_band THEN raw_band END AS candidate_band,
+       (CASE WHEN raw_band IS NOT NULL AND raw_band IS DISTINCT FROM confirmed_band THEN run ELSE 0 END)::INT AS candidate_count,
+       CASE WHEN raw_band IS NOT NULL THEN confirmed_band END AS published_band FROM dwelt"""
+)
+def dwell_stream_restarted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bands of ``dwell_state`` from a stream: even months arrive after odd ones, it is restarted in the middle, and the last
+    third is taken by another stream that goes on from what is frozen."""
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    months = banded(spark, sf_dir).select(
+        F.col("series").alias("panel"), "month_idx", "raw_band", month_start(F.col("month_idx")).cast("timestamp").alias("finalized_at")
+    )
+    months = cut(months.withColumn("part", F.ntile(3).over(Window.partitionBy("panel").orderBy("month_idx")) - 1))
+    names = ["panel", "month_idx", "raw_band", "finalized_at"]
+    clock = months.select(F.lit("~").alias("panel"), F.lit(None).cast("int").alias("month_idx"), F.lit(None).cast("string").alias("raw_band"), F.max("finalized_at").over(Window.partitionBy()).alias("finalized_at")).limit(1)
+    log = sink.MonthLog(spark, f"{folder}/out", dwell.OUTPUT)
+
+    def arrive(rows: DataFrame) -> None:
+        rows.select(*names).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+
+    for part, stream in enumerate(("one", "one", "two")):
+        for odd in (1, 0):
+            arrive(months.where((F.col("part") == part) & (F.col("month_idx") % 2 == odd)))
+        if part == 2:  # event time goes on, so that all months are past it
+            for years in (1, 2):
+                arrive(clock.withColumn("finalized_at", F.col("finalized_at") + F.make_interval(F.lit(years))))
+        source = spark.readStream.schema(months.select(*names).schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+        frozen = cut(log.read()) if part == 2 else None
+        with held.state_store(spark):
+            found = held.held_dwell(source, delay="120 days", frozen=frozen)
+            run = found.writeStream.foreachBatch(log.writer(stream)).option("checkpointLocation", f"{folder}/{stream}").trigger(availableNow=True).start()
+            run.awaitTermination()
+    return log.read().withColumnRenamed("panel", "series")

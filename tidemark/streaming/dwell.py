@@ -1,4 +1,4 @@
-"""The dwell state machine as keyed state of a stream, and an idempotent sink for frozen months."""
+"""The dwell state machine as keyed state of a stream."""
 
 from __future__ import annotations
 
@@ -46,24 +46,3 @@ def dwell_stream(months: DataFrame, dwell: int = 2) -> DataFrame:
         yield pd.DataFrame(out, columns=[c.split()[0] for c in OUTPUT.split(", ")])
 
     return months.groupBy("panel").applyInPandasWithState(step, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)
-
-
-def month_sink(path: str):
-    """A foreachBatch sink of frozen months: the first row of a month stays, whatever is delivered again.
-
-    Each batch has its own folder: one that comes again replaces itself. Months that another batch has written are left
-    out, as a sequence restarted from its source would bring them anew.
-    """
-
-    def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        rows = batch.dropDuplicates(["panel", "month_idx"])
-        fs_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-        fs = fs_path.getFileSystem(spark._jsc.hadoopConfiguration())
-        others = [f.getPath().toString() for f in (fs.listStatus(fs_path) if fs.exists(fs_path) else []) if f.getPath().getName() not in (f"batch={number}", "_SUCCESS")]
-        if others:
-            known = spark.read.schema(OUTPUT).parquet(*others).select("panel", "month_idx")
-            rows = rows.join(known, ["panel", "month_idx"], "left_anti")
-        rows.write.mode("overwrite").parquet(f"{path}/batch={number}")
-
-    return write
