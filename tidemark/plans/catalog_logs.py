@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from tidemark.functions.values import month_of, month_start
 from tidemark.operators import ranks, revisions
 from tidemark.operators.pit import FOREVER
-from tidemark.plans import composite, revision_scores
+from tidemark.plans import checker, composite, revision_scores
 from tidemark.plans import fixtures as fx
 from tidemark.plans.catalog import query, release_dates
-from tidemark.plans.catalog_scores import _ALL, _FROZEN, _composite
+from tidemark.plans.catalog_scores import _ALL, _COVERED, _FROZEN, _composite
 from tidemark.plans.catalog_scores import _banded as banded
 from tidemark.plans.catalog_scores import _every_date as every_date
 from tidemark.session import cut, shared_folder
@@ -190,3 +190,22 @@ def dwell_stream_restarted(spark: SparkSession, sf_dir: str) -> DataFrame:
             run = found.writeStream.foreachBatch(log.writer(stream)).option("checkpointLocation", f"{folder}/{stream}").trigger(availableNow=True).start()
             run.awaitTermination()
     return log.read().withColumnRenamed("panel", "series")
+
+
+# --- the second path with modes ---------------------------------------------------------------------------------------
+
+
+@query(
+    _composite(_ALL, guarded=True)
+    + " SELECT assembly_date, family, round_even(z, 6) + 0.0 AS z, abstained, flags, releases, 0 AS differences FROM families"
+)
+def guarded_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every family at every assembly by the second path, on spans of both modes under coverage, and how often the first differs."""
+    spans = composite.with_provenance(composite.demo_spans(spark, sf_dir))
+    dates = cut(every_date(spark, spans))
+    coverage = spark.createDataFrame(list(_COVERED.items()), "series_id string, d string").select("series_id", F.to_date("d").alias("complete_through"))
+    found = cut(checker.recompute(spans, dates, coverage=coverage))
+    wrong, _ = checker.verify(composite.families(spans, dates, coverage=coverage), spans, dates, coverage=coverage)
+    n = wrong.agg(F.count(F.lit(1)).cast("int").alias("differences"))
+    rows = composite.rounded(found, "z").withColumns({"flags": F.array_join("flags", ","), "releases": F.to_json("releases")})
+    return rows.crossJoin(F.broadcast(n))  # one row

@@ -143,10 +143,24 @@ def _once(pairs: list[tuple[str, object]]) -> dict:
     return found
 
 
+def kinds(spark: SparkSession) -> DataFrame:
+    """(assembly_date, kind): canonical for the first scheduled assembly of a month from its 15th day on, else provisional.
+
+    This path's own rule: that day finalises the month two months earlier. A day that isn't scheduled has no row.
+    """
+    days = calendar.assemblies(spark).select("assembly_date").distinct()
+    late = F.dayofmonth("assembly_date") >= 15
+    firsts = days.where(late).groupBy(F.trunc("assembly_date", "MM").alias("of")).agg(F.min("assembly_date").alias("first"))
+    named = days.withColumn("of", F.trunc("assembly_date", "MM")).join(F.broadcast(firsts), "of", "left")  # a row for each month of the calendar
+    final = F.coalesce(F.col("assembly_date") == F.col("first"), F.lit(False))
+    return named.select("assembly_date", F.when(final, "canonical").otherwise("provisional").alias("kind"))
+
+
 def held(spans: DataFrame, dates: DataFrame, rules: Rules) -> DataFrame:
     """As-of selection as the newest version that had started and not ended, by a grouped maximum.
 
-    Spans and dates meet by year: a span is copied to each year it covers, up to the last one asked.
+    Spans and dates meet by year: a span is copied to each year it covers, up to the last one asked. Spans with a ``mode`` hold
+    at assemblies of that kind alone.
     """
     asked = dates.select("assembly_date").distinct().withColumn("year", F.year("assembly_date"))
     last = asked.agg(F.max("year").alias("last_year"), F.min("year").alias("first_year"))
@@ -156,6 +170,9 @@ def held(spans: DataFrame, dates: DataFrame, rules: Rules) -> DataFrame:
     pairs = copied.withColumn("year", F.explode(years)).join(asked, "year")
     started = F.col("realtime_start") <= F.col("assembly_date") if rules.inclusive_start else F.col("realtime_start") < F.col("assembly_date")
     pairs = pairs.where(started & (F.col("assembly_date") <= F.col("realtime_end")))
+    if "mode" in spans.columns:
+        pairs = pairs.join(F.broadcast(kinds(spans.sparkSession)), "assembly_date", "left")
+        pairs = pairs.where(F.col("mode").isNull() | (F.col("mode") == F.coalesce("kind", F.lit("provisional"))))
     release = F.coalesce("release_date", "realtime_start") if "release_date" in spans.columns else F.col("realtime_start")
     best = pairs.groupBy("assembly_date", "series_id", "observation_date").agg(
         F.max_by(F.struct("value_text", release.alias("release_date")), "realtime_start").alias("b"), F.count(F.lit(1)).alias("n")

@@ -225,6 +225,13 @@ def markdown(payload: dict) -> str:
     return "\n".join(lines) + "\n"
 
 
+def assumes_unrevised(path: str | None) -> bool:
+    """Whether a record of the frozen store says that archived finals were taken to be known when they were released."""
+    if path is None or not files.exists(path):
+        return False
+    return any(compose.ASSUMPTION in (r.get("assembly_flags") or []) for r in frozen.load(path).records if isinstance(r, dict))
+
+
 def live_sequence(spark: SparkSession, path: str | None, spans: DataFrame | None, coverage: DataFrame | None = None) -> Live:
     """The frozen store at ``path``, verified on the second path; a store that isn't there is a cold start."""
     if path is None or not files.exists(path):
