@@ -168,12 +168,16 @@ def test_fetch_audits_both_endpoints(spark, tmp_path):
     from tidemark import cli
     from tidemark.registry import by_id
 
+    asked = []
+
     class Pages(http.server.BaseHTTPRequestHandler):
         def do_GET(self):
             bad = "series_id=RSFHFS" in self.path
-            self.send_response(404 if bad else 200)
+            asked.append(self.path)
+            slow = len(asked) == 1
+            self.send_response(404 if bad else 429 if slow else 200)
             self.end_headers()
-            if not bad:
+            if not bad and not slow:
                 rows = {"observations": [{"date": "2020-01-01", "realtime_start": "2020-02-01", "realtime_end": "9999-12-31", "value": "1"}]}
                 self.wfile.write(json.dumps({"vintage_dates": ["2020-02-01"]} if "vintagedates" in self.path else rows).encode())
 
@@ -198,6 +202,10 @@ def test_fetch_audits_both_endpoints(spark, tmp_path):
     assert runs == [
         ("RSFHFS", "vintagedates", "failed"), ("RSFSDP", "observations", "ok"), ("RSFSDP", "vintagedates", "failed"), ("RSFSDP", "vintagedates", "ok"),
     ]
+    # How the requests went is evidence: the first one was slowed down, and one series isn't there.
+    seen = {(r["series_id"], r["endpoint"], r["status"], r["http_status"], r["rate_limited"]) for r in s.table("fetch_runs").collect()}
+    assert {("RSFSDP", "vintagedates", "ok", 200, 1), ("RSFSDP", "observations", "ok", 200, 0), ("RSFHFS", "vintagedates", "failed", 404, 0)} <= seen
+    assert len(asked) == 5  # no request was made twice
     assert not any("secret" in (r["error_summary"] or "") or "127.0.0.1" in (r["error_summary"] or "") for r in s.table("fetch_runs").collect())
     assert s.complete_through("RSFSDP") == date(2020, 3, 1) and s.complete_through("RSFHFS") is None
     assert s.provider_health().first()["provider_health"] == "degraded"
@@ -211,6 +219,25 @@ def test_http_data_source_plans_a_partition_a_series(spark):
     assert [p.value for p in http._Reader({"series": "A, B"}).partitions()] == ["A", "B"]
 
 
+def test_http_data_source_takes_filters_and_tells_of_its_requests(spark):
+    from pyspark.sql.datasource import EqualTo, In, IsNotNull
+
+    reader = http._Filtered({"series": "A, B, C"})
+    rest = IsNotNull(("value_text",))
+    assert list(reader.pushFilters([In(("series_id",), ("B", "C", "D")), rest])) == [rest] and [p.value for p in reader.partitions()] == ["B", "C"]
+    assert list(reader.pushFilters([EqualTo(("series_id",), "C")])) == [] and [p.value for p in reader.partitions()] == ["C"]
+    # Nobody listens there: the request's own row says so, and only the series of the filter is asked for.
+    spark.dataSource.register(http.VintageApi)
+    options = {"url": "http://127.0.0.1:1", "key": "k", "series": "A, B", "audit": "true", "push_filters": "true"}
+    found = spark.read.format("vintage_api").options(**options).load().where("series_id = 'B'").collect()
+    assert [(r["series_id"], r["requests"], r["http_status"], r["error"]) for r in found] == [("B", 3, 0, "series/observations failed with status 0")]
+    client = http.Client("http://x", "k", lambda url: (200, b"<html>"), lambda s: None)
+    with pytest.raises(http.VintageApiError):
+        list(client.rows("observations", "A"))
+    with pytest.raises(http.VintageApiError):
+        list(http.Client("http://x", "k", lambda url: (200, b"[]"), lambda s: None).rows("observations", "A"))
+
+
 @pytest.fixture(scope="module")
 def world(spark, sf):
     spans = composite.demo_spans(spark, sf).cache()

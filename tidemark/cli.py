@@ -41,18 +41,27 @@ def fetch_series(store, series, url: str, key: str, cutoff: date) -> bool:
     spark = store.spark
 
     def audited(endpoint: str, work) -> bool:
-        begun = datetime.now(timezone.utc)
-        run = {"started_at": begun, "series_id": series.series_id, "endpoint": endpoint, "rate_limited": 0}
+        run = {"started_at": datetime.now(timezone.utc), "series_id": series.series_id, "endpoint": endpoint}
+        told: dict = {"rate_limited": 0, "http_status": None}
+        rows = None
         try:
-            rows = work(
-                spark.read.format("vintage_api").options(url=url, key=key, series=series.series_id, endpoint=endpoint, realtime_end=cutoff.isoformat()).load()
-            )
+            options = {"url": url, "key": key, "series": series.series_id, "endpoint": endpoint, "realtime_end": cutoff.isoformat(), "audit": "true"}
+            # Kept, as the requests' own row and the data come from one reading; a lost block would only be asked for anew.
+            rows = spark.read.format("vintage_api").options(**options).load().persist()
+            asked = rows.where("requests is not null").select("rate_limited", "http_status", "error").first()
+            told = {"rate_limited": asked["rate_limited"], "http_status": asked["http_status"]}
+            if asked["error"]:
+                raise ValueError(f"VintageApiError: {asked['error']}")
+            known = work(rows.where("requests is null").drop("requests", "rate_limited", "http_status", "error"))
         except (PySparkException, ValueError) as error:
-            # The worker's own message stands last; it has neither URL nor key.
+            # The message has neither URL nor key.
             said = [x for x in str(error).replace(key, "***").splitlines() if "Error" in x and "http" not in x] or [type(error).__name__]
-            store.record_run(**run, completed_at=datetime.now(timezone.utc), status="failed", error_summary=said[-1][:200])
+            store.record_run(**run, **told, completed_at=datetime.now(timezone.utc), status="failed", error_summary=said[-1][:200])
             return False
-        store.record_run(**run, completed_at=datetime.now(timezone.utc), status="ok", rows_upserted=rows)
+        finally:
+            if rows is not None:
+                rows.unpersist()
+        store.record_run(**run, **told, completed_at=datetime.now(timezone.utc), status="ok", rows_upserted=known)
         return True
 
     def vintages(rows) -> int:
