@@ -6,6 +6,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 
@@ -430,3 +431,54 @@ def test_pages_of_the_small_tables(spark, sf):
         blocks = (" ".join(entities.unescape(re.sub("<[^>]+>", "", b)).split()) for b in re.split(r"</?p>|</?h1>", inner))
         assert r["text"] == "\n\n".join(b for b in blocks if b)
         assert r["n_chars"] == len(r["text"])
+
+
+@pytest.mark.parametrize("odd", ["long", "wide"])
+def test_no_block_is_everybodys_first(spark, odd):
+    """One cluster of long vectors, or one wide block: query blocks still begin with their own neighbours, and results stay exact."""
+    from pyspark.sql import functions as F
+
+    from tidemark.llm import ann, blocks
+
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(40, 8)) * 4
+    vectors = np.concatenate([c + rng.normal(size=(50, 8)) * 0.1 for c in centres])
+    vectors[:50] = vectors[:50] * 3 if odd == "long" else rng.normal(size=(50, 8)) * 4
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    chosen = []
+    real = blocks._bounded
+
+    def seen(asking, n_asking, base, n_base, floors):
+        found = real(asking, n_asking, base, n_base, floors)
+        if floors is None:
+            chosen.extend(r["b"] for r in found.collect())
+        return found
+
+    blocks._bounded = seen
+    try:
+        got = ann.nearest(rows, F.expr("vec_id % 5 = 0"), k=3, block_rows=40, query_rows=10).collect()
+    finally:
+        blocks._bounded = real
+    assert len(chosen) >= 40 and max(chosen.count(b) for b in set(chosen)) <= len(chosen) / 4
+    products = vectors @ vectors.T
+    np.fill_diagonal(products, -np.inf)
+    for r in got:
+        assert r["vec_id"] == np.argsort(-products[r["query_id"]], kind="stable")[r["rank"] - 1]
+    assert len(got) == 3 * 400
+
+
+def test_blocks_that_many_visit_are_copied(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from tidemark.llm import ann, blocks
+
+    monkeypatch.setattr(blocks, "VISITORS", 2)
+    rng = np.random.default_rng(6)
+    vectors = rng.normal(size=(300, 4))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    for few in (0, 1000):
+        monkeypatch.setattr(blocks, "FEW", few)
+        got = {(r["query_id"], r["rank"]): r["vec_id"] for r in ann.nearest(rows, F.expr("vec_id % 2 = 0"), k=4, block_rows=50, query_rows=10).collect()}
+        products = vectors @ vectors.T
+        np.fill_diagonal(products, -np.inf)
+        assert got == {(q, n + 1): v for q in range(0, 300, 2) for n, v in enumerate(np.argsort(-products[q], kind="stable")[:4].tolist())}

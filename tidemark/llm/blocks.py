@@ -2,8 +2,9 @@
 
 Similar rows share a block: each goes to its nearest pivot. A block is built once, with whatever index the search wants,
 and has a centre, a radius and a norm, so no pair of a query and a row of two blocks scores more than these allow. Each
-block of queries first meets the one block of the highest bound; after that it meets only those blocks whose bound
-reaches the worst kth score of its queries.
+block of queries first meets the block whose centre is nearest; after that it meets only those blocks whose bound
+reaches the worst kth score of its queries. Any first block is right, and the nearest ones differ from query block to query
+block, whereas the highest bound may be that of one wide block, or of one with long vectors, for all of them.
 """
 
 from __future__ import annotations
@@ -22,6 +23,10 @@ from tidemark.llm.common import col, cut, small_batches
 
 #: Blocks whose bounds one task looks at together.
 PIECE = 4096
+#: Blocks of queries that meet a block in one task; a block that more of them visit is copied.
+VISITORS = 64
+#: Blocks up to which all are searched at once: a first round would cost more than it saves.
+FEW = 4
 
 
 @dataclass(frozen=True)
@@ -119,7 +124,7 @@ def _built(kept: DataFrame, block_rows: int, query_rows: int, search: Search) ->
 
 
 def _bounded(asking: DataFrame, n_asking: int, base: DataFrame, n_base: int, floors: DataFrame | None) -> DataFrame:
-    """(q, b, bound): pairs of blocks of one length, each q with its best b only, or all that reach its floor.
+    """(q, b, bound): pairs of blocks of one length, each q with its nearest b only, or all whose bounds reach its floor.
 
     Blocks are told by their summaries, 4096 against 4096 in a task.
     """
@@ -138,10 +143,13 @@ def _bounded(asking: DataFrame, n_asking: int, base: DataFrame, n_base: int, flo
             return pd.DataFrame({"q": [], "b": [], "bound": []}).astype({"q": object, "b": object, "bound": "float64"})
         b = b.sort_values("block")
         balls = [np.array([np.frombuffer(c) for c in f["centre"]]) for f in (a, b)]
-        top = bounds(balls[0], a["radius"].to_numpy(), balls[1], b["radius"].to_numpy())
         if best_only:
+            with np.errstate(over="ignore", invalid="ignore"):
+                top = 2 * balls[0] @ balls[1].T - (balls[1] ** 2).sum(axis=1)[None, :]  # the greatest is the nearest
+            top = np.where(np.isnan(top), -np.inf, top)
             at = np.arange(len(a)), top.argmax(axis=1)
         else:
+            top = bounds(balls[0], a["radius"].to_numpy(), balls[1], b["radius"].to_numpy())
             at = np.nonzero(top >= a["floor"].to_numpy()[:, None])
         return pd.DataFrame({"q": a["block"].to_numpy()[at[0]], "b": b["block"].to_numpy()[at[1]], "bound": top[at]})
 
@@ -186,13 +194,20 @@ def search_blocks(
     n_parts = max(1, min(n_base, 100_000))
     column = "long" if search.kind is int else "double"
     kind = np.int64 if search.kind is int else np.float64
-    # A fixed number of partitions, as few bytes may take long: adaptive execution would put them together again.
-    data = base.select("block", "packed").withColumnsRenamed({"block": "b", "packed": "b_packed"}).repartition(n_parts, "b")
+    data = base.select("block", "packed").withColumnsRenamed({"block": "b", "packed": "b_packed"})
+    # The kth score of each query so far; a query with fewer has none yet.
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
 
     def found(pairs: DataFrame, worst: DataFrame | None) -> DataFrame:
         joined = pairs.select("q", "b").join(asking.select(F.col("block").alias("q"), F.col("packed").alias("q_packed")), "q")
         joined = joined.join(worst.select("q", "worst"), "q") if worst is not None else joined.withColumn("worst", F.lit(None).cast("binary"))
-        joined = data.join(joined.hint("shuffle_hash"), "b").select("q", "q_packed", "b_packed", "worst")
+        # A block that very many visit has copies, each for a share of them.
+        copies = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / VISITORS).cast("int").alias("copies"))
+        joined = joined.join(copies.hint("shuffle_hash"), "b").withColumn("copy", F.pmod(F.xxhash64("q"), F.col("copies")).cast("int")).drop("copies")
+        copied = data.join(copies.hint("shuffle_hash"), "b").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).drop("copies")
+        # A fixed number of partitions, as few bytes may take long: adaptive execution would put them together again.
+        copied = copied.repartition(n_parts, "b", "copy")
+        joined = copied.join(joined.hint("shuffle_hash"), ["b", "copy"]).select("q", "q_packed", "b_packed", "worst")
 
         def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
@@ -202,10 +217,16 @@ def search_blocks(
 
         return joined.mapInPandas(each, f"q string, query_id long, vec_id long, score {column}")
 
+    if n_base <= FEW:
+        same = base.select(F.col("block").alias("b"), F.col("size").alias("b_size"))
+        pairs = asking.select(F.col("block").alias("q"), "size").join(same, F.col("size") == F.col("b_size")).select("q", "b")
+        if counted is not None:
+            counted["all"] = counted["visited"] = pairs.count()
+        ranked = found(pairs, None).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        return ranked.select("query_id", "rank", "vec_id", "score")
+
     first = _bounded(asking, n_asking, base, n_base, None)
     near = cut(found(first, None))
-    # The kth score of each query so far; a query with fewer has none yet.
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     kth = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") == k).select("q", "query_id", "score")
     number = F.nanvl(F.col("score").cast("double"), F.lit(float("inf")))  # what is no number ranks first
     kth = kth.groupBy("q").agg(F.collect_list(F.struct("query_id", number.alias("score"))).alias("kth"))
