@@ -482,3 +482,26 @@ def test_blocks_that_many_visit_are_copied(spark, monkeypatch):
         products = vectors @ vectors.T
         np.fill_diagonal(products, -np.inf)
         assert got == {(q, n + 1): v for q in range(0, 300, 2) for n, v in enumerate(np.argsort(-products[q], kind="stable")[:4].tolist())}
+
+
+def test_raw_elements_without_an_end_are_read_in_linear_time():
+    import time
+
+    from tidemark.llm import html
+
+    def taken(n):
+        page = "<svg>" + "<title/><style/>" * n + "</svg><article><p>text</p></article>"
+        begun = time.perf_counter()
+        assert "text" in [s[1] for s in html.spans_of(page)]
+        return time.perf_counter() - begun
+
+    taken(500)
+    assert taken(16_000) < 40 * max(taken(1_000), 0.002)  # 16 times as long; 256 times if each looked through the rest
+
+
+def test_long_attributes_are_not_remembered():
+    from tidemark.llm import html
+
+    html._inside.cache_clear()
+    html.spans_of("".join(f'<img src="data:{n}{"x" * 10_000}"><p class="a{n}">t</p>' for n in range(50)))
+    assert 0 < html._inside.cache_info().currsize <= 60

@@ -72,6 +72,7 @@ def tokens_of(page: str) -> Iterator[tuple[int, int, str, str, str]]:
     elements with their name. Quotes around ``>`` count unless they never close. A tag that never ends ends the page.
     """
     at, n, quotes = 0, len(page), True
+    ends: dict[str, re.Match | None] = {}  # the next end of each raw element: looked for anew only once it is passed
     while (start := page.find("<", at)) >= 0:
         after = page[start + 1 : start + 2]
         if after in "!?" and after:
@@ -98,7 +99,9 @@ def tokens_of(page: str) -> Iterator[tuple[int, int, str, str, str]]:
         name, attrs = named[0].lower(), page[named.end() : end]
         at = end + 1
         if not closing and name in RAW:
-            m = _RAW_END[name].search(page, at)
+            m = ends.get(name)
+            if name not in ends or (m and m.start() < at):
+                m = ends[name] = _RAW_END[name].search(page, at)
             # Drawings have empty ones: the reader says where to go on, or None.
             at = (yield start, m.end() if m else n, "!", name, attrs) or (m.end() if m else n)
             yield start, at, "", "", ""
@@ -174,6 +177,10 @@ def _level(tag: str, attributes: list[tuple[str, str]], now: int) -> int:
     return level
 
 
+#: The longest attributes, in characters, whose answer is kept.
+REMEMBERED = 400
+
+
 @lru_cache(maxsize=1 << 14)
 def _inside(tag: str, attrs: str, level: int, place: int) -> tuple[int, int]:
     """The level and the place inside an element: a place is a chain of blocks and classes, whatever the page."""
@@ -260,7 +267,8 @@ def spans_of(page: str | None, seen: frozenset[str] = frozenset()) -> list[Span]
             if tag in UNSEEN and tag not in seen:
                 unseen = len(stack)
                 continue
-            inner = _inside(tag, attrs, level, place)
+            # Attributes may hold whole pictures: only short ones are remembered.
+            inner = (_inside if len(attrs) <= REMEMBERED else _inside.__wrapped__)(tag, attrs, level, place)
             if inner != (level, place):
                 end_span()
                 level, place = inner
