@@ -24,6 +24,7 @@ NOTICES = {
     "visa_citation": "Uses a spending index that must be cited with its publisher.",
     "umich_internal": "Uses survey values for internal research only.",
 }
+# The keys of a record and of its parts, as the format has them.
 KEYS = {
     "": {
         "assembly_flags", "band", "composite", "families", "finalized_on", "input_vintages", "license_notices", "month",
