@@ -380,6 +380,26 @@ def test_forced_cuts_never_cross_a_token():
     assert own._merge_long([own._first[b] for b in long.encode()]) == own._merge_short([own._first[b] for b in long.encode()])
 
 
+def test_plain_words_are_spelled_once():
+    """ASCII letters need no pattern, and a quarter of a million words are remembered."""
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    from tidemark.llm.bpe import ForcedBoundaryBPE
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as file:
+        own = ForcedBoundaryBPE(file.read())
+    want = own.encode("Don't stop the press.")
+    merge, merged = own._merge, []
+    own._merge = lambda fragment, last: (merged.append(1), merge(fragment, last))[1]
+    words = [f"{a}{b}{c}{d}" for a in "bdfgklmnprst" for b in "aeiouyvwxzqj" for c in "bcdfghjklmnpqrstvwxyz" for d in ("a", "es", "ing", "Ly", "tion", "ed", "or")]
+    words = [w + v for w in words for v in ("", "t", "m", "no", "ke", "ru", "si", "la", "wo", "ph", "ou", "ee")]
+    pattern, own._pattern = own._pattern, None
+    first = own.encode_and_decode(" ".join(words))
+    new = len(merged)
+    assert new >= 250_000 and own.encode_and_decode(" ".join(words)) == first and len(merged) == new
+    own._pattern = pattern
+    assert own.encode("Don't stop the press.") == want
+
+
 def toxic_rows():
     out = []
     for i in range(240):
