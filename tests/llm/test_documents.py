@@ -400,6 +400,30 @@ def test_plain_words_are_spelled_once():
     assert own.encode("Don't stop the press.") == want
 
 
+def test_remembered_words_take_bounded_bytes():
+    """A worker keeps its words after the stage: 400,000 of them, short or long, take no more than 64 MiB."""
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    from sys import getsizeof
+
+    from tidemark.llm.bpe import ForcedBoundaryBPE
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as file:
+        own = ForcedBoundaryBPE(file.read())
+
+    def size(value):
+        return getsizeof(value) + (sum(map(size, value)) if isinstance(value, tuple) else 0)
+
+    short = [f"{n:06x}".translate(str.maketrans("0123456789", "ghijklmnop")) for n in range(300_000)]
+    long = [f"Ж{chr(0x4E00 + n % 20_000)}{n}日本語の長い文章" for n in range(100_000)]
+    want = [own.encode_and_decode(" ".join(words[:100])) for words in (short, long)]
+    for words in (short, long):
+        own.encode_and_decode(" ".join(words))
+        held = [d for memory in (own._words, own._chunks) for d in (memory.young, memory.old)]
+        assert sum(getsizeof(d) + sum(map(size, d)) + sum(map(size, d.values())) for d in held) <= 64 << 20
+    # What was forgotten is made anew, the same.
+    assert [own.encode_and_decode(" ".join(words[:100])) for words in (short, long)] == want
+
+
 def toxic_rows():
     out = []
     for i in range(240):
