@@ -297,6 +297,51 @@ def test_keep_one(docs, none, rows, broadcast_rows):
     assert keep_one(none).count() == 0
 
 
+def test_only_texts_of_families_are_exchanged(spark):
+    """Beyond what may be broadcast with its places, all texts were exchanged before."""
+    from tidemark.llm import jaccard
+
+    texts = [(n, 0, f"text number {n} with words {n // 2} of its own") for n in range(100)]
+    body = spark.createDataFrame(texts, "id long, copy long, body string")
+    sig = {n: jaccard.signature(jaccard.shingles(text, 4)) for n, _, text in texts}
+    places = spark.createDataFrame(
+        [(n, sig[n], 7, i, i, i) for n in (3, 5, 8) for i in range(4)], "id long, sig binary, family long, i int, j int, block int"
+    )
+    for broadcast_rows, semi in ((200, False), (5, True), (0, False)):
+        read = jaccard._with_tokens(body, places, 4, broadcast_rows)
+        got = Counter((bytes(r["sig"]), r["i"]) for r in read.collect())
+        assert got == Counter((sig[n], i) for n in (3, 5, 8) for i in range(4))
+        plan = read._jdf.queryExecution().executedPlan().toString()
+        assert ("LeftSemi" in plan) == semi and ("SortMergeJoin" in plan) == (broadcast_rows < 200)
+
+
+@pytest.mark.parametrize("broadcast_rows", [100, 10])
+def test_near_duplicates_beyond_the_broadcast(docs, rows, broadcast_rows):
+    from tidemark.llm.jaccard import near_duplicates
+
+    got = near_duplicates(docs, n=4, percent=85, broadcast_rows=broadcast_rows, block_sets=3).collect()
+    assert Counter(tuple(r) for r in got) == Counter(brute_components(rows, 4, 85))
+
+
+def test_pairs_of_long_lists_come_in_parts():
+    """All 162,560 pairs of a batch were one frame before."""
+    import pandas as pd
+
+    from tidemark.llm import jaccard
+
+    class Lists:
+        def mapInPandas(self, made, schema):
+            return made
+
+    lists = [[{"n": 300, "label": 1000 * k + n} for n in range(128)] for k in range(20)]
+    parts = list(jaccard._pairs(Lists(), 85)(iter([pd.DataFrame({"list": lists})])))
+    assert sum(map(len, parts)) == 20 * 128 * 127 // 2
+    assert max(map(len, parts)) < jaccard.PAIRS + 128
+    assert {tuple(x) for p in parts for x in p.itertuples(index=False)} == {
+        (1000 * k + a, 1000 * k + b, 10) for k in range(20) for b in range(128) for a in range(b)
+    }
+
+
 def test_links_are_spanning_and_complete():
     import random
 
