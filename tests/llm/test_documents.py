@@ -323,6 +323,28 @@ def test_near_duplicates_beyond_the_broadcast(docs, rows, broadcast_rows):
     assert Counter(tuple(r) for r in got) == Counter(brute_components(rows, 4, 85))
 
 
+def test_near_duplicate_workers_drop_what_bpe_remembers():
+    """A worker kept the tokenizer and its words through all later stages before."""
+    import pandas as pd
+    import public_tokenizers
+    from pyspark.sql.types import LongType, StructType
+
+    from tidemark.llm import bpe, jaccard
+
+    class Docs:
+        schema = StructType().add("id", LongType())
+
+        def mapInPandas(self, made, schema):
+            return made
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as file:
+        bpe.tokenizer(file.read()).encode("some words")
+    assert bpe.tokenizer.cache_info().currsize
+    made = jaccard._prefixes(Docs(), 4, 85, None)
+    assert [len(x) for x in made(iter([pd.DataFrame({"id": [1], "copy": [0], "body": ["a b"]})]))] == [1]
+    assert not bpe.tokenizer.cache_info().currsize
+
+
 def test_pairs_of_long_lists_come_in_parts():
     """All 162,560 pairs of a batch were one frame before."""
     import pandas as pd
